@@ -44,3 +44,9 @@ def row_key(*columns: str | Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def held(df: DataFrame, *columns: str) -> DataFrame:
+    """df, its columns named here computed once: filters above do not move below, where they would repeat the work."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_held")).select(*rest, *(F.col("_held")[c].alias(c) for c in columns))

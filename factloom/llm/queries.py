@@ -1,15 +1,21 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, mixing, sharding, warc
+from . import ann, licenses, mixing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op7_licenses": licenses.op7_licenses,
     "op8_warc": warc.op8_warc,
+    "op9_secrets": secrets.op9_secrets,
     "op10_ann": ann.op10_ann,
 }
 
 ORACLES = {
+    "op3_quality": quality.ORACLE_OP3,
     "op5_mixing": mixing.ORACLE_OP5,
+    "op7_licenses": licenses.ORACLE_OP7,
     "op8_warc": warc.ORACLE_OP8,
+    "op9_secrets": secrets.ORACLE_OP9,
 }
