@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, licenses, mixing, quality, secrets, sharding, warc
+from . import ann, jaccard, licenses, mixing, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
     "op7_licenses": licenses.op7_licenses,
