@@ -7,9 +7,11 @@ Exact over 63-bit hashes of word n-grams (two distinct n-grams of a corpus share
 2. A document of n n-grams can only link to one that shares an n-gram of its first n - ceil(t * n) + 1 (prefix bound),
    of size t * n to n / t. These matrix entries go in packed blocks, by column range, to tasks that read off which
    rows meet in a column. Documents with equal sets are one row.
-3. Rows that meet are tried in chains and stars first: each with the next and with the smallest that fits. A block of
-   the product is a star's centre and up to BLOCK partners, whose overlaps are accumulated and held against the bound
-   t / (1 + t) * (sum of sizes). Its links join rows to classes.
+3. Rows that meet are tried in chains and stars first: each with the next and with the smallest that fits. Bitmaps of
+   2 to 4 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
+   only it has. Pairs whose bound is too small are discarded. A block of the product is a star's centre and up to BLOCK
+   of the partners left, whose overlaps are accumulated and held against t / (1 + t) * (sum of sizes). Its links join
+   rows to classes.
 4. Where rows of several classes meet in a column, all pairs across classes within the size bounds are tried likewise;
    pairs within a class need no trial, as they are connected. So no link between classes is lost, and groups of
    thousands of near copies take linear, not quadratic, work.
@@ -34,7 +36,7 @@ from .words import gram_hashes, mixed, slices
 
 N, THRESHOLD = 5, Fraction(3, 4)
 #: n-grams read last, at most, those first in frequency (8 bytes each reach every task); n-grams gathered before they are counted.
-FREQUENT, GATHER = 65_536, 4_000_000
+FREQUENT, GATHER = 262_144, 4_000_000
 #: Partners in a block; pairs up to which their table, 24 bytes a pair, is broadcast to the texts.
 BLOCK, BROADCAST_PAIRS = 256, 500_000
 _TOP = np.uint64(1 << 63)
@@ -93,6 +95,31 @@ def _sets(piece, n: int, order: _Order) -> tuple[np.ndarray, np.ndarray, np.ndar
     return gram, bounds, names
 
 
+def _bits(size: int) -> int:
+    """Bits of the bitmap of a set of that size."""
+    return 1 << max(6, (2 * size - 1).bit_length())
+
+
+def _bitmaps(gram: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    scattered, out = mixed(gram), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        bits = np.zeros(_bits(int(b - a)), dtype=bool)
+        bits[(scattered[a:b] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def most_shared(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """What the intersection of two sets has at most, by their bitmaps and sizes."""
+    p, q, m = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    while p >> m:
+        p = (p & ((1 << m) - 1)) | (p >> m)
+    while q >> m:
+        q = (q & ((1 << m) - 1)) | (q >> m)
+    both = (p & q).bit_count()
+    return min(n_x - p.bit_count(), n_y - q.bit_count()) + both
+
+
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for piece in slices(batch["text"], lower=True):
@@ -169,31 +196,38 @@ def _entries(docs: DataFrame, n: int, t: Fraction, order: _Order, buckets: int)
             ids, null = batch["doc_id"].fill_null(0).to_numpy(), np.asarray(batch["doc_id"].is_null())
             turn = (turn * 31 + len(sizes) + 7) % buckets
             got.append((-1 - turn, [ids.tobytes(), names.tobytes(), sizes.astype(np.int32).tobytes()]))
-            keys, flags = [b""] * (len(got) - 1) + [batch["key"].to_numpy().tobytes()], [b""] * (len(got) - 1) + [null.tobytes()]
+            last = lambda x: pa.array([b""] * (len(got) - 1) + [x], pa.binary())
+            keys, flags, maps = last(batch["key"].to_numpy().tobytes()), last(null.tobytes()), last(b"".join(_bitmaps(gram, bounds)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in got], pa.int32()), *(pa.array([v[i] for _, v in got], pa.binary()) for i in range(3)), pa.array(keys, pa.binary()), pa.array(flags, pa.binary())],
-                ["bucket", "a", "b", "c", "key", "nulls"],
+                [pa.array([k for k, _ in got], pa.int32()), *(pa.array([v[i] for _, v in got], pa.binary()) for i in range(3)), keys, flags, maps],
+                ["bucket", "a", "b", "c", "key", "nulls", "maps"],
             )
 
-    return docs.mapInArrow(run, "bucket int, a binary, b binary, c binary, key binary, nulls binary")
+    return docs.mapInArrow(run, "bucket int, a binary, b binary, c binary, key binary, nulls binary, maps binary")
 
 
-_MET = "kind byte, a long, b long, c long, key long"
+_MET = "kind byte, a long, b long, c long, key long, map binary"
 
 
 def _met(t: Fraction):
-    """Reads off blocks which rows meet. kind 0: documents (id, row, size, key); 1: pairs to try first; 2: rows that meet (meeting, row, size)."""
+    """Reads off blocks which rows meet. kind 0: documents (id, row, size, key, bitmap); 1: pairs to try first; 2: rows that meet (meeting, row, size)."""
+
+    def rows(kind, a, b, c, key=None, null=None, maps=None):
+        columns = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64), mask=null), pa.array(b.astype(np.int64)), pa.array(c.astype(np.int64))]
+        columns += [pa.array(np.zeros(len(a), np.int64) if key is None else key), pa.nulls(len(a), pa.binary()) if maps is None else pa.array(maps, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "c", "key", "map"])
 
-    def rows(kind, a, b, c, key=None, null=None):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64), mask=null), pa.array(b.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(a), np.int64) if key is None else key)], ["kind", "a", "b", "c", "key"])
+    def cut(maps, sizes):
+        ends = np.cumsum([_bits(int(n)) // 8 for n in sizes])
+        return [maps[e - _bits(int(n)) // 8 : e] for e, n in zip(ends, sizes, strict=True)]
 
     def run(batches):
         held = []
         for batch in batches:
-            for k, a, b, c, key, null in zip(*(batch[x].to_pylist() for x in ("bucket", "a", "b", "c", "key", "nulls")), strict=True):
+            for k, a, b, c, key, null, maps in zip(*(batch[x].to_pylist() for x in ("bucket", "a", "b", "c", "key", "nulls", "maps")), strict=True):
                 b, c = np.frombuffer(b, np.uint64), np.frombuffer(c, np.int32)
                 if k < 0:
-                    yield rows(0, np.frombuffer(a, np.int64), b, c, np.frombuffer(key, np.int64), np.frombuffer(null, bool))
+                    yield rows(0, np.frombuffer(a, np.int64), b, c, np.frombuffer(key, np.int64), np.frombuffer(null, bool), cut(maps, c))
                 else:
                     held.append((np.frombuffer(a, np.uint64), b, c))
         if not held:
@@ -245,8 +279,23 @@ def _met(t: Fraction):
     return run
 
 
+def likely(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow the overlap that a link needs."""
+    side = lambda x: rows.select(F.col("row").alias(x), F.struct("map", "size").alias(f"{x}_is"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch["a_is"].to_pylist(), batch["b_is"].to_pylist()
+            ok = [(t.numerator + t.denominator) * most_shared(p["map"], p["size"], q["map"], q["size"]) >= t.numerator * (p["size"] + q["size"]) for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fraction, order: _Order) -> DataFrame:
-    """The pairs (a, b) of rows of the matrix that link. rows: row and the key of a text that has its set."""
+    """The pairs (a, b) of rows of the matrix that link. rows: row, its bitmap and size, and the key of a text that has its set."""
+    pairs, rows = staged(likely(pairs, rows, t), "likely"), rows.select("row", "key")
     centre = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     partners = pairs.join(centre, "a").select(F.col("b").alias("row"), F.struct("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(1).alias("role")).alias("to"))
     centres = centre.select(F.col("a").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("row", F.struct(F.col("row").alias("a"), "block", F.lit(0).alias("role")).alias("to"))
@@ -302,7 +351,7 @@ def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataF
     order = _Order(frequent_grams(docs.select("text"), n, buckets, FREQUENT))
     met = staged(_entries(docs, n, t, order, buckets).repartition("bucket").mapInArrow(_met(t), _MET), "met")
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("row"), F.col("c").alias("size"))
-    holders = rows.where("size > 0").groupBy("row").agg(F.min("key").alias("key"))
+    holders = met.where("kind = 0 AND c > 0").groupBy(F.col("b").alias("row")).agg(F.min(F.struct("key", "map", F.col("c").alias("size"))).alias("x")).select("row", "x.*")
     tried = staged(met.where("kind = 1").select("a", "b").distinct(), "tried")
     links = staged(linked(docs, tried, holders, n, t, order), "linked")
     classes = staged(components(links), "classes")
