@@ -12,9 +12,9 @@ Exact over 63-bit hashes of word n-grams (two distinct n-grams of a corpus share
    only it has. Pairs whose bound is too small are discarded. A block of the product is a star's centre and up to BLOCK
    of the partners left, whose overlaps are accumulated and held against t / (1 + t) * (sum of sizes). Its links join
    rows to classes.
-4. Where rows of several classes meet in a column, all pairs across classes within the size bounds are tried likewise;
-   pairs within a class need no trial, as they are connected. So no link between classes is lost, and groups of
-   thousands of near copies take linear, not quadratic, work.
+4. Where rows of several classes meet in a column, each row's likeliest partner of another class is tried, twice, and at
+   last all pairs across classes that their bitmaps allow. Pairs within a class need no trial, as they are connected.
+   So no link between classes is lost, and a group of thousands of near copies need not make all its pairs.
 
 Nulls: a null text has an empty set, which links with nothing; rows with a null id are linked, but do not name a class.
 Repeated rows are copies of each other. Very long texts are read alone, whole.
@@ -36,7 +36,7 @@ from .words import gram_hashes, mixed, slices
 
 N, THRESHOLD = 5, Fraction(3, 4)
 #: n-grams read last, at most, those first in frequency (8 bytes each reach every task); n-grams gathered before they are counted.
-FREQUENT, GATHER = 262_144, 4_000_000
+FREQUENT, GATHER = 262_144, 2_000_000
 #: Partners in a block; pairs up to which their table, 24 bytes a pair, is broadcast to the texts.
 BLOCK, BROADCAST_PAIRS = 256, 500_000
 _TOP = np.uint64(1 << 63)
@@ -344,6 +344,88 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
     return blocks.repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(accumulate, "a long, b long").distinct()
 
 
+def _wide(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of one length, or twice it, as rows of that many 64-bit words."""
+    out = np.zeros((len(maps), words), dtype=np.uint64)
+    for i, m in enumerate(maps):
+        bits = np.frombuffer(m, dtype=np.uint64)
+        out[i] = bits if len(bits) == words else bits[:words] | bits[words:]
+    return out
+
+
+def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> set[tuple[int, int]]:
+    """Of two blocks of a meeting (row, size, class, bitmap): the pairs across classes that may link, or the likeliest of each row."""
+    out: set[tuple[int, int]] = set()
+    by_length: dict[int, tuple[list, list]] = {}
+    for k, block in enumerate((left, right)):
+        for x in block:
+            by_length.setdefault(len(x[3]) // 8, ([], []))[k].append(x)
+    for words, (xs, _) in by_length.items():
+        for other in (words // 2, words, words * 2):
+            ys = by_length.get(other, ([], []))[1]
+            if not xs or not ys:
+                continue
+            w = min(words, other)
+            x_map, y_map = _wide([x[3] for x in xs], w), _wide([y[3] for y in ys], w)
+            x_n, y_n = (np.array([x[1] for x in z]) for z in (xs, ys))
+            x_c, y_c = (np.array([x[2] for x in z]) for z in (xs, ys))
+            x_r, y_r = (np.array([x[0] for x in z]) for z in (xs, ys))
+            x_p, y_p = (np.bitwise_count(z).sum(axis=1).astype(np.int64) for z in (x_map, y_map))
+            step = max(1, (1 << 20) // (w * len(ys)))
+            for at in range(0, len(xs), step):
+                s = slice(at, at + step)
+                shared = np.bitwise_count(x_map[s, None, :] & y_map[None, :, :]).sum(axis=2).astype(np.int64)
+                most = np.minimum((x_n[s] - x_p[s])[:, None], (y_n - y_p)[None, :]) + shared
+                sizes = x_n[s][:, None] + y_n[None, :]
+                spare = (t.numerator + t.denominator) * most - t.numerator * sizes
+                spare[x_c[s][:, None] == y_c[None, :]] = -1
+                if same:
+                    spare[x_r[s][:, None] == y_r[None, :]] = -1
+                if every:
+                    i, j = np.nonzero(spare >= 0)
+                else:
+                    i = np.arange(spare.shape[0])
+                    j = np.argmax(spare, axis=1)
+                    good = spare[i, j] >= 0
+                    i, j = i[good], j[good]
+                p, q = x_r[s][i], y_r[j]
+                out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
+    return out
+
+
+def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> DataFrame:
+    """Pairs (a, b) of rows of several classes that meet and may link: all, or of each row the likeliest. known: meeting, n (its rows), row, class.
+
+    A meeting is worked on in pairs of blocks of about BLOCK rows; pairs that cannot link never leave their task.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    dealt = known.join(rows.select("row", "size", "map"), "row").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("meeting", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "row", "size", "class", "map")
+
+    def run(batches):
+        key, left, right = None, [], []
+
+        def out():
+            found = _block(left, right, False, t, every) if right else _block(left, left, True, t, every)
+            if not every and right:
+                found |= _block(right, left, False, t, every)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for m, i, j, second, *x in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
+                if key != (m, i, j):
+                    if left or right:
+                        yield out()
+                    key, left, right = (m, i, j), [], []
+                (right if second else left).append(x)
+        if left or right:
+            yield out()
+
+    return dealt.repartition("meeting", "i", "j").sortWithinPartitions("meeting", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, text, key, a hash of both): rows (doc_id, key, row, size), where equal sets share a row, and components (node, component) of linked rows."""
     spark = docs.sparkSession
@@ -356,16 +438,17 @@ def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataF
     links = staged(linked(docs, tried, holders, n, t, order), "linked")
     classes = staged(components(links), "classes")
 
-    meetings = met.where("kind = 2").select(F.col("a").alias("meeting"), F.col("b").alias("row"), F.col("c").alias("size")).distinct()
-    meetings = meetings.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
-    several = meetings.groupBy("meeting").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y").select("meeting")
-    open_ = staged(meetings.join(several, "meeting"), "open")
-    x, y = open_.toDF("meeting", "a", "a_size", "a_class"), open_.toDF("meeting", "b", "b_size", "b_class")
-    fits = (F.col("a_size") * t.denominator >= F.col("b_size") * t.numerator) & (F.col("b_size") * t.denominator >= F.col("a_size") * t.numerator)
-    more = x.join(y, "meeting").where((F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & fits).select("a", "b").distinct()
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.union(linked(docs, more, holders, n, t, order))
-    return rows, staged(components(links), "classes")
+    meetings = met.where("kind = 2").select(F.col("a").alias("meeting"), F.col("b").alias("row")).distinct()
+    for every in (False, False, True):
+        known = meetings.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
+        several = known.groupBy("meeting").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("meeting", "n")
+        more = staged(_across(known.join(several, "meeting"), holders, t, every).join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        links = staged(links.union(linked(docs, more, holders, n, t, order)), "linked")
+        classes = staged(components(links), "classes")
+    return rows, classes
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
