@@ -1,11 +1,12 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, jaccard, licenses, mixing, quality, secrets, sharding, warc
+from . import ann, jaccard, licenses, mixing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_quality": quality.op3_quality,
+    "op4_substrings": substrings.op4_substrings,
     "op5_mixing": mixing.op5_mixing,
     "op7_licenses": licenses.op7_licenses,
     "op8_warc": warc.op8_warc,
