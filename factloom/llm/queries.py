@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, jaccard, licenses, mixing, quality, secrets, sharding, substrings, warc
+from . import ann, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_substrings": substrings.op4_substrings,
     "op5_mixing": mixing.op5_mixing,
+    "op6_pieces": pieces.op6_pieces,
     "op7_licenses": licenses.op7_licenses,
     "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
