@@ -8,7 +8,7 @@ Exact over 63-bit hashes of word n-grams (two distinct n-grams of a corpus share
    of size t * n to n / t. These matrix entries go in packed blocks, by column range, to tasks that read off which
    rows meet in a column. Documents with equal sets are one row.
 3. Rows that meet are tried in chains and stars first: each with the next and with the smallest that fits. Bitmaps of
-   2 to 4 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
+   4 to 8 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
    only it has. Pairs whose bound is too small are discarded. A block of the product is a star's centre and up to BLOCK
    of the partners left, whose overlaps are accumulated and held against t / (1 + t) * (sum of sizes). Its links join
    rows to classes.
@@ -97,7 +97,7 @@ def _sets(piece, n: int, order: _Order) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _bits(size: int) -> int:
     """Bits of the bitmap of a set of that size."""
-    return 1 << max(6, (2 * size - 1).bit_length())
+    return 1 << max(6, (4 * size - 1).bit_length())
 
 
 def _bitmaps(gram: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -294,8 +294,8 @@ def likely(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
 
 
 def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fraction, order: _Order) -> DataFrame:
-    """The pairs (a, b) of rows of the matrix that link. rows: row, its bitmap and size, and the key of a text that has its set."""
-    pairs, rows = staged(likely(pairs, rows, t), "likely"), rows.select("row", "key")
+    """The pairs (a, b) of rows of the matrix that link. rows: row, and the key of a text that has its set."""
+    rows = rows.select("row", "key")
     centre = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     partners = pairs.join(centre, "a").select(F.col("b").alias("row"), F.struct("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(1).alias("role")).alias("to"))
     centres = centre.select(F.col("a").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("row", F.struct(F.col("row").alias("a"), "block", F.lit(0).alias("role")).alias("to"))
@@ -435,7 +435,9 @@ def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataF
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), "key", F.col("b").alias("row"), F.col("c").alias("size"))
     holders = met.where("kind = 0 AND c > 0").groupBy(F.col("b").alias("row")).agg(F.min(F.struct("key", "map", F.col("c").alias("size"))).alias("x")).select("row", "x.*")
     tried = staged(met.where("kind = 1").select("a", "b").distinct(), "tried")
-    links = staged(linked(docs, tried, holders, n, t, order), "linked")
+    rowed = tried.select(F.col("a").alias("row")).union(tried.select("b")).distinct()  # rows in no pair fit no other in size
+    holders = staged(holders.join(rowed, "row", "left_semi"), "holders")
+    links = staged(linked(docs, staged(likely(tried, holders, t), "likely"), holders, n, t, order), "linked")
     classes = staged(components(links), "classes")
 
     meetings = met.where("kind = 2").select(F.col("a").alias("meeting"), F.col("b").alias("row")).distinct()

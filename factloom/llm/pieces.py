@@ -32,6 +32,8 @@ MARK = "▁"
 ALTERNATIVES, SHORT, REMEMBER = 3, 24, 300_000
 #: What an unknown character costs beyond the least score of a piece, as in the library.
 PENALTY = 10.0
+#: Scores at or below this mark pieces that segmentation does not use, single characters without another piece excepted.
+NEVER = -1e8
 
 
 class Model:
@@ -42,7 +44,7 @@ class Model:
         self.pieces = {p: (i, s) for i, p, s in pieces}
         self.names, self.bytes = names, bytes_
         self.longest = max(map(len, self.pieces))
-        self.unknown = min(s for _, _, s in pieces) - PENALTY
+        self.unknown = min(s for _, _, s in pieces if s > NEVER) - PENALTY
         inner = {c for p in self.pieces if len(p) > 1 for c in p}
         starts_only = all(MARK not in p[1:] for p in self.pieces)
         # segments: from one mark to the next; characters of no longer piece alone
@@ -56,7 +58,7 @@ class Model:
         p = SentencePieceProcessor(model_file=path)
         n = p.vocab_size()
         names = [p.id_to_piece(i) for i in range(n)]
-        other = lambda i: p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) or p.get_score(i) <= -1e8
+        other = lambda i: p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i) or (p.get_score(i) <= NEVER and len(names[i]) > 1)
         at = {names[i]: i for i in range(n) if p.is_byte(i)}
         return cls([(i, names[i], p.get_score(i)) for i in range(n) if not other(i)], names, [at[f"<0x{b:02X}>"] for b in range(256)])
 
