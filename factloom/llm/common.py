@@ -50,3 +50,20 @@ def held(df: DataFrame, *columns: str) -> DataFrame:
     """df, its columns named here computed once: filters above do not move below, where they would repeat the work."""
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_held")).select(*rest, *(F.col("_held")[c].alias(c) for c in columns))
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of df, and all others in one, so that no name of theirs meets a name used inside an operator."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*rest).alias("_others") if rest else F.lit(None).alias("_others"))
+
+
+def unpacked(columns: list[str], *needed: str) -> list[Column]:
+    """The columns of the frame that was packed, in their order."""
+    return [F.col(c) if c in needed else F.col("_others")[c].alias(c) for c in columns]
+
+
+def counted(docs: DataFrame, columns: list[Column]) -> list[Column]:
+    """columns, those of docs in order, with n_chars as the length of the text."""
+    length = F.char_length("text")
+    return [length.cast(f.dataType).alias(f.name) if f.name == "n_chars" else c for f, c in zip(docs.schema.fields, columns, strict=True)]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, row_key, staged, table
+from .common import packed, parallelism, row_key, staged, table, unpacked
 from .components import components
 from .words import gram_hashes, mixed, slices
 
@@ -479,8 +479,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     times = named.join(first, "key", "left_semi").groupBy("key").count()
     empty = named.where("class IS NULL").select("key").distinct()
     once = times.where("count = 1").select("key").union(empty)
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
+    keyed = packed(docs, "doc_id", "text").withColumn("key", row_key("doc_id", "text"))
     out = keyed.join(once, "key", "left_semi")
     again = keyed.join(times.where("count > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return out.union(again).select(*docs.columns)
+    return out.union(again).select(*unpacked(docs.columns, "doc_id", "text"))
 

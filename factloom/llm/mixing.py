@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, staged, table
+from .common import WORD, packed, row_key, staged, table, unpacked
 
 #: Weights of the sources in order of their names, repeating, and the most times a document is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -125,10 +125,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Documents that are equal in id and text are taken equally often."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    needed = ("doc_id", "text", "source")
+    keyed = packed(docs, *needed).withColumn("_key", row_key("doc_id", "text"))
     copies = mixed(keyed, words_of("text"), ["doc_id", "_key"]).groupBy("_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
     out = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    return out.select(*unpacked(docs.columns, *needed))
 
 
 _WORDS_SQL = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 MARK = "▁"
 #: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments a task remembers.
@@ -356,6 +356,8 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their best segmentation instead of their text."""
-    out = encoded(docs, default_model(), alternatives=0)
-    return out.select(*(c for c in docs.columns if c != "text"), "ids", "score")
+    """All documents with the ids of their best segmentation instead of their text; ids, n_pieces and score replace columns of docs with these names."""
+    others = packed(docs, "text")
+    out = encoded(others, default_model(), alternatives=0)
+    own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "score")]
+    return out.select(*unpacked(own), "ids", F.size("ids").cast("long").alias("n_pieces"), "score")

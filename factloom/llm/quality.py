@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, held, staged, table
+from .common import SEPARATORS, counted, held, packed, staged, table, unpacked
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 LINE_DOCS, LINE_SHARE = 20, 0.05
@@ -115,9 +115,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, without the lines above the limits."""
-    out = judged(docs, carry=tuple(docs.columns)).where("kept")
+    out = judged(packed(docs, "text", "source"), carry=("text", "source", "_others")).where("kept")
     out = out.withColumn("text", without_frequent("text", "_frequent"))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.select(*counted(docs, unpacked(docs.columns, "text", "source")))
 
 
 def oracle(source: str = "documents") -> str:

@@ -20,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import counted, packed, row_key, table, unpacked
 
 _parser = re._parser
 
@@ -249,8 +249,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
-    out = scanned(docs).withColumn("text", redacted("text", "spans"))
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = scanned(packed(docs, "doc_id", "text")).withColumn("text", redacted("text", "spans"))
+    return out.select(*counted(docs, unpacked(docs.columns, "doc_id", "text")))
 
 
 def _sql_text(pattern: str) -> str:

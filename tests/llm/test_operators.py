@@ -1,0 +1,267 @@
+"""Each query against a brute-force version on odd cases, and against DuckDB on the given tables."""
+
+import hashlib
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from factloom.llm import ann, components, jaccard, licenses, mixing, pieces, quality, queries, secrets, sharding, substrings, warc
+from factloom.llm.common import table
+from tests.llm import cases
+from tests.oracle import assert_same, connection
+
+SMALL = "/root/testdata/sf0.001"
+ROWS = cases.documents()
+ON_DOCUMENTS = [n for n in queries.QUERIES if n not in ("op8_warc", "op10_ann")]
+
+
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    return cases.write_documents(tmp_path_factory.mktemp("odd"), ROWS)
+
+
+def test_two_ten_queries_and_their_names():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    assert assert_same(queries.QUERIES[name](spark, SMALL), connection(SMALL), queries.ORACLES[name]) > 0
+
+
+@pytest.mark.parametrize("name", ["op3_quality", "op7_licenses", "op9_secrets"])
+def test_odd_cases_against_sql(spark, odd, name):
+    assert assert_same(queries.QUERIES[name](spark, odd), connection(odd), queries.ORACLES[name]) == len(ROWS)
+
+
+@pytest.mark.parametrize("name", ON_DOCUMENTS)
+def test_empty_table(spark, tmp_path, name):
+    assert queries.QUERIES[name](spark, cases.write_documents(tmp_path, [])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_jaccard", "op4_substrings", "op5_mixing", "op6_pieces"])
+def test_clashing_columns_change_nothing(spark, odd, tmp_path, name):
+    plain = queries.QUERIES[name](spark, odd).toPandas()
+    more = queries.QUERIES[name](spark, cases.write_documents(tmp_path, ROWS, extra=True)).toPandas()
+    by = [c for c in plain.columns if c != "next_scores"]
+    assert plain[by].sort_values(by).reset_index(drop=True).equals(more[by].sort_values(by).reset_index(drop=True))
+
+
+def test_op1_every_shard_gapless_and_growth_takes_into_the_new_one(spark, odd):
+    out = sharding.op1_sharding(spark, odd).toPandas()
+    assert len(out) == len(ROWS) and set(out["law"]) == {"key"}
+    for _, slots in out.groupby("shard")["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+    moved = out[out["shard"] != out["grown_shard"]]
+    assert set(moved["grown_shard"]) <= {24}
+    assert out.groupby("doc_id", dropna=False)["shard"].nunique().max() == 1
+
+
+def test_op1_weights(spark):
+    out = sharding.sharded(spark.range(20_000), ["id"], [1.0, 3.0]).groupBy("shard").count().toPandas().set_index("shard")["count"]
+    assert abs(out[1] / 20_000 - 0.75) < 0.02
+
+
+def test_op2(spark, odd):
+    got = [tuple(r)[:3] for r in jaccard.op2_jaccard(spark, odd).select("doc_id", "n_shingles", "component_id").collect()]
+    cases.same(got, cases.jaccard(ROWS))
+
+
+def test_op2_given_documents(spark):
+    rows = [tuple(r) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
+    got = jaccard.op2_jaccard(spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()
+    cases.same(got, cases.jaccard(rows))
+
+
+def test_op2_all_pairs_that_differ_at_the_threshold(spark, tmp_path):
+    words = [f"v{i}" for i in range(104)]  # 100 shingles
+    rows = []
+    for k in range(60):
+        w = list(words)
+        for at in range(2, 2 + k % 20, 5):
+            w[at + 5 * (k % 3)] = f"z{k}"
+        rows.append((k, " ".join(w[: 104 - k % 7]), "en", "s", 0))
+    got = jaccard.op2_jaccard(spark, cases.write_documents(tmp_path, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    cases.same(got, cases.jaccard(rows))
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
+    found = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    assert found == {i: 0 for i in range(51)} | {100: 100, 101: 100}
+
+
+def test_op3(spark, odd):
+    got = quality.op3_quality(spark, odd).drop("n_removed_words").collect()
+    cases.same(got, cases.quality(ROWS))
+
+
+def test_op4(spark, odd):
+    cases.same(substrings.op4_substrings(spark, odd).collect(), cases.substrings(ROWS))
+
+
+def test_op4_given_documents(spark):
+    rows = [tuple(r) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
+    cases.same(substrings.op4_substrings(spark, SMALL).collect(), cases.substrings(rows))
+
+
+def test_op5(spark, odd):
+    out = mixing.op5_mixing(spark, odd).toPandas()
+    again = mixing.op5_mixing(spark, odd).toPandas()
+    assert len(out) == len(ROWS) and (out["taken"] <= 3 * out["size"]).all() and (out["taken"] % out["size"].clip(lower=1) == 0).all()
+    by = list(out.columns)
+    assert out.sort_values(by).reset_index(drop=True).equals(again.sort_values(by).reset_index(drop=True))
+    targets = out.groupby(["target", "source_size"])["taken"].sum()
+    longest = out["size"].max()
+    assert all(abs(taken - target) <= longest + 1e-6 for (target, _), taken in targets.items())
+    assert math.isclose(sum(t for t, _ in targets.index), out["size"].sum())
+
+
+def _paths(model, text):
+    """All segmentations of a short text with their scores."""
+    s = pieces.MARK + text.replace(" ", pieces.MARK)
+
+    def walk(i):
+        if i == len(s):
+            yield 0.0, []
+        for j in range(i + 1, len(s) + 1):
+            known = model.pieces.get(s[i:j])
+            score = known[1] if known else model.unknown if j == i + 1 else None
+            if score is not None:
+                for rest, ids in walk(j):
+                    yield score + rest, model.ids(s[i:j]) + ids
+
+    return sorted(walk(0), key=lambda x: -x[0])
+
+
+def test_op6_n_best(spark):
+    model = pieces.default_model()
+    texts = ["hello world", "naïve \U0001f600", "aaaa bb", "the cat", "é", " lead", "two  gaps", "x\ny"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in pieces.encoded(df, model).collect():
+        want = _paths(model, r["text"])
+        assert r["score"] == pytest.approx(want[0][0]) and math.isclose(want[0][0], max(w for w, ids in want if ids == r["ids"]), rel_tol=1e-9)
+        assert [a["score"] for a in r["alternatives"]] == pytest.approx([w for w, _ in want[1:4]])
+        for a in r["alternatives"]:
+            ids, shift = list(r["ids"]), 0
+            for c in a["changes"]:
+                ids[c["at"] + shift : c["at"] + shift + c["drop"]] = c["ids"]
+                shift += len(c["ids"]) - c["drop"]
+            assert any(ids == i and math.isclose(w, a["score"], rel_tol=1e-9) for w, i in want)
+
+
+def test_op6_round_trips(spark, odd):
+    out = {r["doc_id"]: r for r in pieces.op6_pieces(spark, odd).collect()}
+    assert all(r["round_trip"] for i, r in out.items() if i != 7)  # document 7 holds U+2581
+    assert out[1]["n_pieces"] == out[2]["n_pieces"] == 0
+    assert pieces.op6_pieces(spark, SMALL).where("NOT round_trip").count() == 0
+
+
+def test_op7_bounds():
+    for n in range(1, 30):
+        low, high = licenses.size_bounds(n, 0.8)
+        assert all((2 * min(n, m) >= 0.8 * (n + m)) == (low <= m <= high) for m in range(1, 100))
+
+
+PAGES = [(1, "http://a", "x" * 1000), (2, "http://b", "x" * 1000), (5, None, "x" * 1000), (3, "http://c", "x" * 999), (4, "http://d", "x" * 999), (6, "u", None), (7, "u", ""), (8, "é\n", "é" * 600), (9, "u", "é" * 600)]
+
+
+def _archived(rows):
+    most = {}
+    for i, _, h in rows:
+        most[h] = max(i, most.get(h, i))
+    for i, _, h in rows:
+        data = (h or "").encode()
+        again = len(data) >= 1000 and most[h] != i
+        yield i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", most[h] if again else None
+
+
+def test_op8(spark, tmp_path):
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+    pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in PAGES], schema), f"{tmp_path}/pages.parquet")
+    cases.same(warc.op8_warc(spark, str(tmp_path)).collect(), _archived(PAGES))
+    pq.write_table(schema.empty_table(), f"{tmp_path}/pages.parquet")
+    spark.catalog.clearCache()
+    (tmp_path / "empty").mkdir()
+    pq.write_table(schema.empty_table(), f"{tmp_path}/empty/pages.parquet")
+    assert warc.op8_warc(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_op8_headers_only_and_pushed_filters(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    warc.archive_pages(pages, f"{tmp_path}/w")
+    out = warc.read_warc(spark, f"{tmp_path}/w", "type string, record_id string").where("type = 'revisit'")
+    assert out.count() == 3
+    assert warc.read_warc(spark, f"{tmp_path}/w").where("target_uri IS NULL").count() == 1
+
+
+def test_op8_reads_plain_records(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    block = b"some block"
+    plain = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 10\r\n\r\n" + block + b"\r\n\r\n"
+    import gzip
+
+    (tmp_path / "w/a.warc").write_bytes(plain * 3)
+    (tmp_path / "w/b.warc.gz").write_bytes(gzip.compress(plain) * 2)
+    assert [bytes(r[0]) for r in warc.read_warc(spark, f"{tmp_path}/w").select("payload").collect()] == [block] * 5
+
+
+def test_op9(spark, odd):
+    got = secrets.op9_secrets(spark, odd).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    cases.same(got, cases.secrets(ROWS))
+
+
+def test_op9_trigram_queries():
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.pattern)
+        assert all(len(t) == 3 for choice in query for option in choice for t in option)
+    assert not secrets.trigram_query("[0-9a-f]{24,}")
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
+    assert secrets.trigram_query("(abcd|xyz)q*") and not secrets.trigram_query("(abc)?[0-9]+")
+
+
+def _embeddings(tmp_path, vectors):
+    schema = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    pq.write_table(pa.Table.from_pylist([{"vec_id": i, "embedding": v} for i, v in vectors], schema), f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+def _exact(vectors, query, k=20):
+    fine = {i: np.array(v, dtype=np.float32).astype(float) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    return sorted((-float(fine[query] @ v), i) for i, v in fine.items() if i != query)[:k]
+
+
+def test_op10_odd_cases(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(10)]
+    vectors += [(20, vectors[0][1]), (40, None), (60, [0.0] * 16), (80, [float("nan")] * 16), (100, [None] + [1.0] * 15), (120, vectors[1][1]), (None, vectors[2][1]), (140, [float("inf")] * 16), (160, [])]
+    out = ann.op10_ann(spark, _embeddings(tmp_path, vectors)).toPandas()
+    assert set(out["query_id"]) == {0, 20, 120}
+    for q, g in out.sort_values("rank").groupby("query_id"):
+        want = {i: -s for s, i in _exact(vectors, q)}
+        assert list(g["rank"]) == list(range(1, len(g) + 1)) and q not in set(g["vec_id"])
+        for v, s in zip(g["vec_id"], g["score"], strict=True):
+            assert s == pytest.approx(want[v], rel=1e-12)
+        pairs = list(zip(-g["score"], g["vec_id"], strict=True))
+        assert pairs == sorted(pairs)
+
+
+def test_op10_recall(spark):
+    vectors = [(r[0], list(r[1])) for r in table(spark, SMALL, "embeddings").select("vec_id", "embedding").collect() if r[1] is not None]
+    out = ann.op10_ann(spark, SMALL).toPandas()
+    found = total = 0
+    for q, g in out.groupby("query_id"):
+        want = {i for _, i in _exact(vectors, q)}
+        found, total = found + len(want & set(g["vec_id"])), total + len(want)
+    assert found >= 0.9 * total
+
+
+def test_op10_rotation_is_orthogonal():
+    x = np.eye(8)
+    y = ann.rotated(x, 0, 1)
+    assert np.allclose(y @ y.T, np.eye(8))
+    assert [list(r) for r in itertools.islice(ann.axes(x, 0, 3, 1), 1)]
