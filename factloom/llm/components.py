@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +16,55 @@ def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
+#: Links that a task joins at once before any travel.
+LOCAL = 1_000_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each LOCAL links of a task: every node and the smallest one that these links join it to."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([h[c].to_numpy() for h in held]) for c in ("a", "b"))
+        nodes, label = np.unique(np.concatenate((a, b)), return_inverse=True)
+        x, y, least = label[: len(a)], label[len(a) :], np.arange(len(nodes))
+        while True:  # nodes are in order, so the least label is the smallest node
+            new = least.copy()
+            np.minimum.at(new, x, least[y])
+            np.minimum.at(new, y, least[x])
+            np.minimum.at(new, least[x], new[y])
+            np.minimum.at(new, least[y], new[x])
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        moved = np.flatnonzero(least < np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LOCAL:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every node of edges (columns a, b of one type); nulls and loops link nothing.
+    """node, component (its smallest node) of every node of edges (columns a, b, long); nulls and loops link nothing.
 
-    Each step keeps connectivity and is a join on a node and its smallest neighbour; the steps end when every node
+    Links are joined within each task first. Each further step keeps connectivity and is a join on a node and its smallest neighbour; the steps end when every node
     links to its component's smallest one. Lineage is cut at a written table each time.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = edges.where("a <> b").select("a", "b").mapInArrow(_joined, "a long, b long").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links, before = staged(links, "links"), None
     while (now := _state(links)) != before:
         before = now
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: larger neighbours link to the smallest one
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: smaller neighbours and the node itself link to the smallest one
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

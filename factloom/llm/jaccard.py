@@ -8,12 +8,12 @@ Exact over 63-bit hashes of word n-grams (two distinct n-grams of a corpus share
    of size t * n to n / t. These matrix entries go in packed blocks, by column range, to tasks that read off which
    rows meet in a column. Documents with equal sets are one row.
 3. Rows that meet are tried in chains and stars first: each with the next and with the smallest that fits. Bitmaps of
-   4 to 8 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
+   8 to 16 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
    only it has. Pairs whose bound is too small are discarded. A block of the product is a star's centre and up to BLOCK
    of the partners left, whose overlaps are accumulated and held against t / (1 + t) * (sum of sizes). Its links join
    rows to classes.
-4. Where rows of several classes meet in a column, each row's likeliest partner of another class is tried, twice, and at
-   last all pairs across classes that their bitmaps allow. Pairs within a class need no trial, as they are connected.
+4. Where rows of several classes meet in a column, the likeliest pairs that would join all classes are tried, and then
+   all pairs across classes that their bitmaps allow. Pairs within a class need no trial, as they are connected.
    So no link between classes is lost, and a group of thousands of near copies need not make all its pairs.
 
 Nulls: a null text has an empty set, which links with nothing; rows with a null id are linked, but do not name a class.
@@ -39,6 +39,8 @@ N, THRESHOLD = 5, Fraction(3, 4)
 FREQUENT, GATHER = 262_144, 2_000_000
 #: Partners in a block; pairs up to which their table, 24 bytes a pair, is broadcast to the texts.
 BLOCK, BROADCAST_PAIRS = 256, 500_000
+#: Rows of a meeting that are held against each other by bitmap in one go.
+MEETING_BLOCK = 1024
 _TOP = np.uint64(1 << 63)
 
 
@@ -97,7 +99,7 @@ def _sets(piece, n: int, order: _Order) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _bits(size: int) -> int:
     """Bits of the bitmap of a set of that size."""
-    return 1 << max(6, (4 * size - 1).bit_length())
+    return 1 << max(6, (8 * size - 1).bit_length())
 
 
 def _bitmaps(gram: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -353,9 +355,36 @@ def _wide(maps: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> set[tuple[int, int]]:
-    """Of two blocks of a meeting (row, size, class, bitmap): the pairs across classes that may link, or the likeliest of each row."""
-    out: set[tuple[int, int]] = set()
+def _forest(p: np.ndarray, q: np.ndarray, class_p: np.ndarray, class_q: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """The places of pairs (p, q) that join all classes that pairs join, those of most spare first; about one a class."""
+    _, label = np.unique(np.concatenate((class_p, class_q)), return_inverse=True)
+    lp, lq = label[: len(p)], label[len(p) :]
+    at, root, out = np.argsort(spare, kind="stable"), np.arange(int(label.max(initial=-1)) + 1), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = int(root[x])
+        return x
+
+    while len(at):
+        best = np.full(len(root), -1)
+        best[lp[at]] = at  # the last one written has the most spare
+        best[lq[at]] = np.where(best[lq[at]] < 0, at, best[lq[at]])
+        best[lq[at]] = np.where(spare[at] >= spare[best[lq[at]]], at, best[lq[at]])
+        chosen = np.unique(best[best >= 0])
+        out.append(chosen)
+        for i in chosen.tolist():
+            root[find(int(lp[i]))] = find(int(lq[i]))
+        flat = np.array([find(i) for i in range(len(root))], dtype=np.int64)
+        lp, lq = flat[lp], flat[lq]
+        at = at[lp[at] != lq[at]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks of a meeting (row, size, class, bitmap): the pairs across classes that may link, or the likeliest that would join all classes."""
+    found: list[tuple] = []
     by_length: dict[int, tuple[list, list]] = {}
     for k, block in enumerate((left, right)):
         for x in block:
@@ -367,38 +396,35 @@ def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> set
                 continue
             w = min(words, other)
             x_map, y_map = _wide([x[3] for x in xs], w), _wide([y[3] for y in ys], w)
-            x_n, y_n = (np.array([x[1] for x in z]) for z in (xs, ys))
-            x_c, y_c = (np.array([x[2] for x in z]) for z in (xs, ys))
-            x_r, y_r = (np.array([x[0] for x in z]) for z in (xs, ys))
+            x_r, x_n, x_c = (np.array([x[i] for x in xs]) for i in range(3))
+            y_r, y_n, y_c = (np.array([y[i] for y in ys]) for i in range(3))
             x_p, y_p = (np.bitwise_count(z).sum(axis=1).astype(np.int64) for z in (x_map, y_map))
             step = max(1, (1 << 20) // (w * len(ys)))
             for at in range(0, len(xs), step):
                 s = slice(at, at + step)
                 shared = np.bitwise_count(x_map[s, None, :] & y_map[None, :, :]).sum(axis=2).astype(np.int64)
                 most = np.minimum((x_n[s] - x_p[s])[:, None], (y_n - y_p)[None, :]) + shared
-                sizes = x_n[s][:, None] + y_n[None, :]
-                spare = (t.numerator + t.denominator) * most - t.numerator * sizes
+                spare = (t.numerator + t.denominator) * most - t.numerator * (x_n[s][:, None] + y_n[None, :])
                 spare[x_c[s][:, None] == y_c[None, :]] = -1
-                if same:
-                    spare[x_r[s][:, None] == y_r[None, :]] = -1
-                if every:
-                    i, j = np.nonzero(spare >= 0)
-                else:
-                    i = np.arange(spare.shape[0])
-                    j = np.argmax(spare, axis=1)
-                    good = spare[i, j] >= 0
-                    i, j = i[good], j[good]
-                p, q = x_r[s][i], y_r[j]
-                out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
-    return out
+                if same:  # each pair once
+                    spare[x_r[s][:, None] >= y_r[None, :]] = -1
+                i, j = np.nonzero(spare >= 0)
+                found.append((x_r[s][i], y_r[j], x_c[s][i], y_c[j], spare[i, j]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p, q, p_c, q_c, spare = (np.concatenate(z) for z in zip(*found, strict=True))
+    if not every:
+        at = _forest(p, q, p_c, q_c, spare)
+        p, q = p[at], q[at]
+    return np.minimum(p, q), np.maximum(p, q)
 
 
 def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> DataFrame:
-    """Pairs (a, b) of rows of several classes that meet and may link: all, or of each row the likeliest. known: meeting, n (its rows), row, class.
+    """Pairs (a, b) of rows of several classes that meet and may link: all, or the likeliest that would join all classes. known: meeting, n (its rows), row, class.
 
-    A meeting is worked on in pairs of blocks of about BLOCK rows; pairs that cannot link never leave their task.
+    A meeting is worked on in pairs of blocks of about MEETING_BLOCK rows; pairs that cannot link never leave their task.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("n") / MEETING_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
     dealt = known.join(rows.select("row", "size", "map"), "row").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("meeting", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "row", "size", "class", "map")
@@ -407,10 +433,7 @@ def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> Data
         key, left, right = None, [], []
 
         def out():
-            found = _block(left, right, False, t, every) if right else _block(left, left, True, t, every)
-            if not every and right:
-                found |= _block(right, left, False, t, every)
-            a, b = zip(*found, strict=True) if found else ((), ())
+            a, b = _block(left, right, False, t, every) if right else _block(left, left, True, t, every)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -441,7 +464,7 @@ def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataF
     classes = staged(components(links), "classes")
 
     meetings = met.where("kind = 2").select(F.col("a").alias("meeting"), F.col("b").alias("row")).distinct()
-    for every in (False, False, True):
+    for every in (False, True):
         known = meetings.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
         several = known.groupBy("meeting").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("meeting", "n")
         more = staged(_across(known.join(several, "meeting"), holders, t, every).join(tried, ["a", "b"], "left_anti"), "more")
