@@ -7,12 +7,12 @@ Exact over 63-bit hashes of word n-grams (two distinct n-grams of a corpus share
 2. A document of n n-grams can only link to one that shares an n-gram of its first n - ceil(t * n) + 1 (prefix bound),
    of size t * n to n / t. These matrix entries go in packed blocks, by column range, to tasks that read off which
    rows meet in a column. Documents with equal sets are one row.
-3. Rows that meet are tried in chains and stars first: each with the next and with the smallest that fits. Bitmaps of
+3. Rows that meet are tried in stars first: each with the smallest that fits. Bitmaps of
    8 to 16 bits an n-gram bound each pair's overlap from above: a bit that only one row has set stands for an n-gram that
    only it has. Pairs whose bound is too small are discarded. A block of the product is a star's centre and up to BLOCK
    of the partners left, whose overlaps are accumulated and held against t / (1 + t) * (sum of sizes). Its links join
    rows to classes.
-4. Where rows of several classes meet in a column, the likeliest pairs that would join all classes are tried, and then
+4. Columns whose smallest row is the same are taken as one. Where rows of several classes meet, the likeliest pairs that would join all classes are tried, and then
    all pairs across classes that their bitmaps allow. Pairs within a class need no trial, as they are connected.
    So no link between classes is lost, and a group of thousands of near copies need not make all its pairs.
 
@@ -212,7 +212,7 @@ _MET = "kind byte, a long, b long, c long, key long, map binary"
 
 
 def _met(t: Fraction):
-    """Reads off blocks which rows meet. kind 0: documents (id, row, size, key, bitmap); 1: pairs to try first; 2: rows that meet (meeting, row, size)."""
+    """Reads off blocks which rows meet. kind 0: documents (id, row, size, key, bitmap); 1: pairs to try first; 2: rows that meet (the smallest of them, row, size)."""
 
     def rows(kind, a, b, c, key=None, null=None, maps=None):
         columns = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64), mask=null), pa.array(b.astype(np.int64)), pa.array(c.astype(np.int64))]
@@ -251,7 +251,7 @@ def _met(t: Fraction):
             gram, row, size = gram[new], row[new], size[new]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]))
         del gram, by
-        seen, pairs, lists, sizes = set(), [], [], []
+        seen, pairs, lists = set(), [], []
         many = np.flatnonzero(np.diff(cuts) > 1)
         for i in many:
             a, b = cuts[i], cuts[i + 1]
@@ -267,16 +267,14 @@ def _met(t: Fraction):
                 continue
             pairs.append((r[lead[other]], r[other]))
             if len(r) > 2:
-                pairs.append((r[other - 1], r[other]))
-                lists.append((np.uint64(name >> 1), r))
-                sizes.append(s)
+                lists.append(np.stack((np.full(len(r), r.min()), r, s.astype(np.uint64)), axis=1))
         if pairs:
             x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
             both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
             yield rows(1, both[:, 0], both[:, 1], np.zeros(len(both)))
-        for at in range(0, len(lists), 1000):
-            part = lists[at : at + 1000]
-            yield rows(2, np.concatenate([np.full(len(r), k) for k, r in part]), np.concatenate([r for _, r in part]), np.concatenate(sizes[at : at + 1000]))
+        if lists:  # columns whose smallest row is the same meet as one
+            gathered = np.unique(np.concatenate(lists), axis=0)
+            yield rows(2, gathered[:, 0], gathered[:, 1], gathered[:, 2])
 
     return run
 
