@@ -321,13 +321,16 @@ def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     text_of = [bytes([of_byte[i]]) if i in of_byte else n.replace(MARK, " ").encode() for i, n in enumerate(model.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(text_of, pa.large_binary())
         for batch in batches:
             column = batch[ids]
-            out = []
-            for i in range(batch.num_rows):
-                row = column[i].values if column[i].is_valid else None
-                found = b"".join(map(text_of.__getitem__, row.to_pylist())) if row is not None else b""
-                out.append(found.removeprefix(b" ").decode("utf-8", "replace"))
+            # the bytes of all pieces in a row, cut where each list ends
+            taken = texts.take(column.flatten())
+            edges = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset : taken.offset + len(taken) + 1]
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+            cuts = edges[np.concatenate(([0], ends)).astype(np.int64)].tolist() if len(taken) else [0] * (batch.num_rows + 1)
+            data = memoryview(taken.buffers()[2] or b"")
+            out = [bytes(data[x:y]).removeprefix(b" ").decode("utf-8", "replace") for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.string())], [*names, "decoded"])
 
     return df.mapInArrow(run, f"{_ddl(df)}, decoded string")
