@@ -42,6 +42,15 @@ def row_key(*columns: str | Column) -> Column:
     return F.xxhash64(*columns)
 
 
+#: Rows of a few numbers each that a task of a table of known length has at least.
+TASK_ROWS = 200_000
+
+
+def sized(df: DataFrame, n: int) -> DataFrame:
+    """df of about n narrow rows in as many tasks as these need, the cluster's cores at least, where it would have more."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

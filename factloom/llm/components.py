@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sized, staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _settled(links: DataFrame, n: int) -> bool:
+    """Whether links are stars: each u has one v, and no v is a u itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out")).union(links.select("v", F.lit(0)))
+    return sized(ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least")), n).where("out > 1 OR (out = 1 AND least = 0)").isEmpty()
 
 
 #: Links that a task joins at once before any travel.
@@ -55,19 +57,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges (columns a, b, long); nulls and loops link nothing.
 
     Links are joined within each task first. Each further step keeps connectivity and is a join on a node and its smallest neighbour; the steps end when every node
-    links to its component's smallest one. Lineage is cut at a written table each time.
+    links to its component's smallest one. Lineage is cut at a written table each time, and the tasks follow the number of links.
     """
-    links = edges.where("a <> b").select("a", "b").mapInArrow(_joined, "a long, b long").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links, before = staged(links, "links"), None
-    while (now := _state(links)) != before:
-        before = now
+    n = edges.count()
+    links = sized(edges.where("a <> b").select("a", "b"), n).mapInArrow(_joined, "a long, b long").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = staged(sized(links, n), "links")
+    while not _settled(links, n):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = sized(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), n)
         # large star: larger neighbours link to the smallest one
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = sized(large.groupBy("u").agg(F.min("v").alias("m")), n)
         # small star: smaller neighbours and the node itself link to the smallest one
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        links = staged(sized(small.union(least.select("u", F.col("m").alias("v"))).distinct(), n), "links")
+    roots = sized(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct(), n)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, parallelism, row_key, staged, table, unpacked
+from .common import packed, parallelism, row_key, sized, staged, table, unpacked
 from .components import components
 from .words import gram_hashes, mixed, slices
 
@@ -300,7 +300,8 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
     partners = pairs.join(centre, "a").select(F.col("b").alias("row"), F.struct("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.lit(1).alias("role")).alias("to"))
     centres = centre.select(F.col("a").alias("row"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("row", F.struct(F.col("row").alias("a"), "block", F.lit(0).alias("role")).alias("to"))
     sent = partners.union(centres).groupBy("row").agg(F.collect_list("to").alias("to")).join(rows, "row").select("key", "to")
-    few = pairs.count() <= BROADCAST_PAIRS
+    n_pairs = pairs.count()
+    few = n_pairs <= BROADCAST_PAIRS
     texts = docs.join(F.broadcast(sent) if few else sent, "key").select("text", "to")
 
     def send(batches):
@@ -341,7 +342,8 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     blocks = texts.mapInArrow(send, "a long, block int, role int, row long, set binary")
-    return blocks.repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(accumulate, "a long, b long").distinct()
+    found = blocks.repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(accumulate, "a long, b long")
+    return sized(found.distinct(), n_pairs)
 
 
 def _wide(maps: list[bytes], words: int) -> np.ndarray:
