@@ -382,8 +382,8 @@ def _forest(p: np.ndarray, q: np.ndarray, class_p: np.ndarray, class_q: np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of two blocks of a meeting (row, size, class, bitmap): the pairs across classes that may link, or the likeliest that would join all classes."""
+def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks of a meeting (row, size, class, bitmap): the pairs across classes that may link, or the likeliest that would join all classes; and all rows in pairs that may link."""
     found: list[tuple] = []
     by_length: dict[int, tuple[list, list]] = {}
     for k, block in enumerate((left, right)):
@@ -411,16 +411,17 @@ def _block(left: list, right: list, same: bool, t: Fraction, every: bool) -> tup
                 i, j = np.nonzero(spare >= 0)
                 found.append((x_r[s][i], y_r[j], x_c[s][i], y_c[j], spare[i, j]))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     p, q, p_c, q_c, spare = (np.concatenate(z) for z in zip(*found, strict=True))
+    able = np.unique(np.concatenate((p, q)))
     if not every:
         at = _forest(p, q, p_c, q_c, spare)
         p, q = p[at], q[at]
-    return np.minimum(p, q), np.maximum(p, q)
+    return np.minimum(p, q), np.maximum(p, q), able
 
 
 def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> DataFrame:
-    """Pairs (a, b) of rows of several classes that meet and may link: all, or the likeliest that would join all classes. known: meeting, n (its rows), row, class.
+    """Of rows of several classes that meet: pairs (a, b) that may link, all or the likeliest that would join all classes, and, with no b, the rows a of each meeting that are in such pairs. known: meeting, n (its rows), row, class.
 
     A meeting is worked on in pairs of blocks of about MEETING_BLOCK rows; pairs that cannot link never leave their task.
     """
@@ -433,8 +434,10 @@ def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> Data
         key, left, right = None, [], []
 
         def out():
-            a, b = _block(left, right, False, t, every) if right else _block(left, left, True, t, every)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b, able = _block(left, right, False, t, every) if right else _block(left, left, True, t, every)
+            columns = [np.full(len(a) + len(able), key[0], np.int64), np.concatenate((a, able)), np.concatenate((b, able))]
+            single = np.arange(len(a) + len(able)) >= len(a)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64(), mask=single)], ["meeting", "a", "b"])
 
         for batch in batches:
             for m, i, j, second, *x in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
@@ -446,7 +449,7 @@ def _across(known: DataFrame, rows: DataFrame, t: Fraction, every: bool) -> Data
         if left or right:
             yield out()
 
-    return dealt.repartition("meeting", "i", "j").sortWithinPartitions("meeting", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("meeting", "i", "j").sortWithinPartitions("meeting", "i", "j").mapInArrow(run, "meeting long, a long, b long")
 
 
 def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -467,7 +470,10 @@ def similar(docs: DataFrame, n: int = N, t: Fraction = THRESHOLD) -> tuple[DataF
     for every in (False, True):
         known = meetings.join(classes.withColumnRenamed("node", "row"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
         several = known.groupBy("meeting").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("meeting", "n")
-        more = staged(_across(known.join(several, "meeting"), holders, t, every).join(tried, ["a", "b"], "left_anti"), "more")
+        found = staged(_across(known.join(several, "meeting"), holders, t, every), "found")
+        # classes only grow, so rows in no pair now are in none later
+        meetings = found.where("b IS NULL").select("meeting", F.col("a").alias("row")).distinct()
+        more = staged(found.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             continue
         tried = tried.union(more)
