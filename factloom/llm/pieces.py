@@ -2,7 +2,10 @@
 
 A text is prefixed with a space, spaces become U+2581, and the lattice has an edge for each piece of the vocabulary at
 each place, and for each character without a piece an edge that stands for its UTF-8 bytes. A path's score is the sum
-of its pieces' scores. A forward Viterbi pass gives the best score from the start to every place; it is the exact
+of its pieces' unigram log probabilities. The vocabulary's file is a BPE model, whose own scores are merge ranks and no
+log probabilities; they are not summed. fitted() counts the pieces of the library's BPE segmentation of all given texts
+and takes log probabilities from these counts, so best paths are those of a unigram model with this vocabulary, as the
+library finds them with the same scores, and not those of BPE merges. A forward Viterbi pass gives the best score from the start to every place; it is the exact
 remaining cost for a backward A* search, which therefore yields paths in order of their scores.
 
 No piece crosses certain places (before U+2581, around characters that are in no longer piece), so the lattice falls
@@ -18,7 +21,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +66,13 @@ class Model:
         at = {names[i]: i for i in range(n) if p.is_byte(i)}
         return cls([(i, names[i], p.get_score(i)) for i in range(n) if not other(i)], names, [at[f"<0x{b:02X}>"] for b in range(256)])
 
+    def unigram(self, counts: Mapping[int, int]) -> Model:
+        """The same pieces scored by the log of their share of counts, by id. The piece of rank r counts 1 / r more, so none has no share; floats are single, as in the library."""
+        ids = sorted((i, p) for p, (i, _) in self.pieces.items())
+        n = np.array([counts.get(i, 0) + 1 / r for r, (i, _) in enumerate(ids, 1)])
+        scores = np.log(n / n.sum()).astype(np.float32).astype(float).tolist()
+        return Model([(i, p, s) for (i, p), s in zip(ids, scores, strict=True)], self.names, self.bytes)
+
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
@@ -106,9 +117,13 @@ class Model:
     def cut_ids(self, s: str, cut: list[int]) -> list[int]:
         return [k for a, b in zip(cut[:-1], cut[1:], strict=True) for k in self.ids(s[a:b])]
 
-    def nbest(self, segments: list[str], n: int) -> list[tuple[float, list[list[int]]]]:
-        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts."""
-        lattices = [self.lattice(s) for s in segments]
+    def nbest(self, segments: list[str], n: int, known: dict[str, tuple] | None = None) -> list[tuple[float, list[list[int]]]]:
+        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts. known remembers lattices."""
+        known = {} if known is None else known
+        for s in segments:
+            if s not in known:
+                known[s] = self.lattice(s)
+        lattices = [known[s] for s in segments]
         before = np.concatenate(([0.0], np.cumsum([b[-1] for b, _ in lattices]))).tolist()
         last = len(segments) - 1
         # priority: score of the best whole path; of equal ones the latest put in, which has the longest last piece
@@ -160,6 +175,7 @@ class _Memory:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.lattices: dict[str, tuple] = {}
         self.flat, self.scores, self.gaps, self.sizes = [], [], [], []
 
     def _short(self, segments: list[str]) -> None:
@@ -279,13 +295,13 @@ def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
                     offsets.append(offsets[-1] + len(ids))
                     score = float(seg_scores[at].sum())
                     scores.append(score)
-                    others.append(self_alternatives(segments, gaps[at], ends, n, score))
+                    others.append(self_alternatives(segments, gaps[at], ends, n, score, memory.lattices))
                 part = batch.slice(first, len(texts))
                 values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists, pa.array(scores), pa.array(others, pa.list_(_ALTERNATIVE))], [*names, "ids", "score", "alternatives"])
 
-    def self_alternatives(segments, gaps, ends, sizes, score):
+    def self_alternatives(segments, gaps, ends, sizes, score, lattices):
         if not alternatives:
             return []
         k = min(alternatives, len(segments))
@@ -298,7 +314,7 @@ def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
         if not len(near):
             return []
         chain = [segments[i] for i in near.tolist()]
-        paths = model.nbest(chain, alternatives + 1)
+        paths = model.nbest(chain, alternatives + 1, lattices)
         out = []
         for g, cuts in paths[1:]:
             changes = []
@@ -336,16 +352,60 @@ def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, f"{_ddl(df)}, decoded string")
 
 
-def default_model() -> Model:
+def vocabulary_file() -> str:
     import public_tokenizers
 
-    return Model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def default_model() -> Model:
+    """The vocabulary with scores by merge rank alone: the piece of rank r has a share in proportion to 1 / r."""
+    return Model.load(vocabulary_file()).unigram({})
+
+
+def bpe_counts(segments: Mapping[str, int], bpe) -> np.ndarray:
+    """How often each id is in the BPE segmentations of segments, each of which counts so many times; bpe adds no prefix. No merge crosses segments."""
+    texts = list(segments)
+    times = np.fromiter(segments.values(), dtype=np.int64, count=len(texts))
+    ids = bpe.encode(texts, num_threads=1)
+    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
+    return np.bincount(flat, np.repeat(times, [len(x) for x in ids]), bpe.vocab_size()).astype(np.int64)
+
+
+def fitted(docs: DataFrame, text: str = "text") -> Model:
+    """The vocabulary with log probabilities fitted to all texts of docs. What comes to the driver is one count a piece at most."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, spec = default_model(), pb.ModelProto()
+    with open(vocabulary_file(), "rb") as f:
+        spec.ParseFromString(f.read())
+    spec.normalizer_spec.add_dummy_prefix = False
+    proto = spec.SerializeToString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from sentencepiece import SentencePieceProcessor
+
+        bpe = SentencePieceProcessor(model_proto=proto)
+        total, held = np.zeros(bpe.vocab_size(), dtype=np.int64), Counter()
+        for batch in batches:
+            for t in batch[0]:
+                held.update(model.segments(t.as_py() or ""))
+                if len(held) > REMEMBER:
+                    total += bpe_counts(held, bpe)
+                    held.clear()
+        if held:
+            total += bpe_counts(held, bpe)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["id", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return model.unigram({r["id"]: r["n"] for r in counts.collect()})
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the three next best segmentations, and decoded again."""
-    model = default_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted(docs)
     out = decoded(encoded(docs, model), model)
     return out.select(
         "doc_id",
@@ -361,6 +421,6 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the ids of their best segmentation instead of their text; ids, n_pieces and score replace columns of docs with these names."""
     others = packed(docs, "text")
-    out = encoded(others, default_model(), alternatives=0)
+    out = encoded(others, fitted(docs), alternatives=0)
     own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "score")]
     return out.select(*unpacked(own), "ids", F.size("ids").cast("long").alias("n_pieces"), "score")

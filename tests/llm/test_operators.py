@@ -154,6 +154,49 @@ def test_op6_n_best(spark):
             assert any(ids == i and math.isclose(w, a["score"], rel_tol=1e-9) for w, i in want)
 
 
+def _library(model):
+    """The library with the vocabulary's file as a unigram model of model's scores."""
+    from sentencepiece import SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(pieces.vocabulary_file(), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = proto.trainer_spec.UNIGRAM
+    for i, s in model.pieces.values():
+        proto.pieces[i].score = s
+    return SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+def test_op6_best_paths_are_the_librarys(spark):
+    docs = table(spark, SMALL, "documents").select("text").where("text IS NOT NULL")
+    model = pieces.fitted(docs)
+    library = _library(model)
+    score = lambda ids: sum(model.pieces[model.names[i]][1] if model.names[i] in model.pieces else 0 for i in ids)
+    out = pieces.encoded(docs, model).collect()
+    pairs = [(r["ids"], library.encode(r["text"])) for r in out]
+    apart = [(score(x), score(y)) for x, y in pairs if x != y]  # equal scores, the library adds up in single precision
+    assert len(pairs) > 100 and len(apart) < 0.05 * len(pairs) and all(x == pytest.approx(y, rel=1e-12) for x, y in apart)
+    starts = [r["text"][:60] for r in out]  # the library's own search gives up early on long texts
+    starts = [t for t in starts if all(c in model.pieces for c in t.replace(" ", pieces.MARK))]
+    assert len(starts) > 50
+    for r in pieces.encoded(spark.createDataFrame([(t,) for t in starts], "text string"), model).collect():
+        ids = library.nbest_encode_as_ids(r["text"], nbest_size=4)
+        assert [r["score"], *(a["score"] for a in r["alternatives"])] == pytest.approx([score(x) for x in ids], rel=1e-6)
+    known = spark.createDataFrame([("the international organization",)], "text string")
+    assert [model.names[i] for i in pieces.encoded(known, pieces.default_model()).first()["ids"]] == ["▁the", "▁international", "▁organization"]
+
+
+def test_op6_fit_counts_the_librarys_pieces(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    texts = ["the international organization", "naïve \U0001f600 x\ny", None, "", " lead  gaps", "日本語 テスト the", "the"]
+    bpe = SentencePieceProcessor(model_file=pieces.vocabulary_file())
+    counts = dict(zip(*np.unique([i for t in texts for i in bpe.encode(t or "")], return_counts=True), strict=True))
+    got = pieces.fitted(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert got.pieces == pieces.default_model().unigram({int(i): int(n) for i, n in counts.items()}).pieces
+
+
 def test_op6_round_trips(spark, odd):
     out = {r["doc_id"]: r for r in pieces.op6_pieces(spark, odd).collect()}
     assert all(r["round_trip"] for i, r in out.items() if i != 7)  # document 7 holds U+2581
