@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 A table rotates unit vectors by three rounds of random signs and a Hadamard transform; a vector's bucket is the signed
-axis nearest to it. Candidates are indexed once a table; a query looks into the buckets of its nearest axes in every
-table. Found candidates are ranked by the exact inner product of the original vectors, in double precision.
+axis nearest to it, and its range of lengths, as nearness is the inner product and grows with length. Candidates are
+indexed once a table; a query looks into buckets in the order of its projection on their axis times their mean length,
+until these hold a given share of all candidates and more than k of them. So lists are never short, long vectors at
+wider angles are met, and a query far from a tight cluster still reads that cluster's buckets. Tables of few rows are
+searched whole. Found candidates are ranked by the exact inner product of the original vectors, in double precision.
 
 Equal vectors are searched once, and of a group of equal candidates only the first k + 1 ids are kept: no others can be
-among the k nearest, ties going to smaller ids. Buckets are split by a hash of the id into parts of bounded size,
+among the k nearest, ties going to smaller ids. Buckets are counted first and split by the id into parts of bounded size,
 each of which sees all queries of its bucket, so a hot bucket is no large task.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, take no part; shorter ones count as padded
@@ -23,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-#: Hash tables, and axes that a query probes in each, as a share of the 2d axes. Recall on these data: README.
+#: Hash tables, and candidates that a query reads in each, as a share of all. Recall: README.
 TABLES, PROBE_SHARE = 8, 0.125
+#: Candidates that a query reads in each table at least; a table of no more rows is searched whole.
+LEAST_ROWS = 1024
+#: Ranges of lengths at most; neighbouring ranges whose lengths differ by less than this factor are one.
+RANGES, APART = 4, 1.05
 #: Rows that one part of a bucket holds about.
 PART_ROWS = 4096
 
@@ -80,36 +87,84 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20, tab
     firsts = Window.partitionBy("vec").orderBy("id")
     kept = rows.distinct().withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1).select("id", "vec")
     kept = staged(kept, "vectors")
-    n, width = kept.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
+    shares = F.array(*(F.lit(i / RANGES) for i in range(RANGES)))
+    n, width, edges = kept.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.percentile_approx(length, shares)).first()
     empty = "query_id long, rank int, id long, score double"
     if not n:
         return spark.createDataFrame([], empty)
     d = 1 << max(1, (width - 1).bit_length())
-    parts = max(1, round(n / (2 * d) / PART_ROWS))
-    probes = max(1, min(2 * d, round(probe_share * 2 * d)))
+    cuts = []  # lengths from which ranges but the first begin
+    for low, high in zip(edges, edges[1:]):
+        if high >= APART * (cuts[-1] if cuts else low):
+            cuts.append(high)
+    target = min(n, max(probe_share * n, LEAST_ROWS, k + 1))
+    tables = 1 if target == n else tables
+    slots = 2 * d * (len(cuts) + 1)
+
+    def places(x: np.ndarray) -> Iterator[np.ndarray]:
+        """Each candidate's bucket in every table."""
+        size = np.linalg.norm(x, axis=1)
+        unit, within = x / size[:, None], 2 * d * np.searchsorted(np.array(cuts), size, side="right")
+        for t in range(tables):
+            yield t * slots + within + axes(unit, t, 1, seed)[:, 0]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = np.zeros(tables * slots, dtype=np.int64), np.zeros(len(cuts) + 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = matrix(batch["vec"].slice(at, 4096), d)
+                for where_ in places(x):
+                    held += np.bincount(where_, minlength=len(held))
+                size = np.linalg.norm(x, axis=1)
+                total += np.bincount(np.searchsorted(np.array(cuts), size, side="right"), size, len(total))
+        met = np.flatnonzero(held)
+        ids = np.concatenate((met, -1 - np.arange(len(total))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.concatenate((held[met], total)))], ["bucket", "n"])
+
+    # at most tables * RANGES * 2d counts
+    sizes, lengths = np.zeros(tables * slots, dtype=np.int64), np.zeros(len(cuts) + 1)
+    for bucket, m in kept.mapInArrow(count, "bucket int, n double").groupBy("bucket").agg(F.sum("n")).collect():
+        if bucket < 0:
+            lengths[-1 - bucket] = m
+        else:
+            sizes[bucket] = int(m)
+    lengths /= np.maximum(sizes[:slots].reshape(-1, 2 * d).sum(axis=1), 1)
+    parts = np.maximum(1, -(-sizes // PART_ROWS))
     queries = rows.where(is_query(F.col("id"))).distinct()
     each = queries.groupBy("vec").agg(F.min("id").alias("id"))  # equal queries are searched once
     where = "kind byte, bucket int, part int, id long, vec binary"
 
+    def probed(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of queries and the buckets they read, in every table."""
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for t in range(tables):
+            full = np.flatnonzero(sizes[t * slots : (t + 1) * slots])
+            y = rotated(unit, t, seed)
+            promise = (lengths[None, :, None] * np.concatenate((y, -y), axis=1)[:, None, :]).reshape(len(x), -1)[:, full]
+            order = np.argsort(-promise, axis=1, kind="stable")
+            held = sizes[t * slots + full[order]]
+            row, at = np.nonzero(np.cumsum(held, axis=1) - held < target)
+            yield row, t * slots + full[order[row, at]]
+
     def put(is_q: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512 if is_q else 4096):
                     b = batch.slice(at, 512 if is_q else 4096)
                     x = matrix(b["vec"], d)
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     ids = b["id"].to_numpy()
                     raw = pa.array([r.tobytes() for r in x], pa.binary())
-                    for t in range(tables):
-                        near = axes(unit, t, probes if is_q else 1, seed)
-                        for p in range(parts) if is_q else (None,):
-                            m, w = near.shape
-                            take = np.repeat(np.arange(m), w)
-                            part = np.full(m * w, p) if is_q else ids % parts
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(m * w, is_q, dtype=np.int8)), pa.array((t * 2 * d + near.ravel()).astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[take]), raw.take(pa.array(take))],
-                                ["kind", "bucket", "part", "id", "vec"],
-                            )
+                    for take, bucket in probed(x) if is_q else ((np.arange(len(x)), w) for w in places(x)):
+                        part = ids[take] % parts[bucket]
+                        if is_q:  # every part of a bucket sees the query
+                            times = parts[bucket]
+                            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                            take, bucket = np.repeat(take, times), np.repeat(bucket, times)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(take), is_q, dtype=np.int8)), pa.array(bucket.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(ids[take]), raw.take(pa.array(take))],
+                            ["kind", "bucket", "part", "id", "vec"],
+                        )
 
         return run
 

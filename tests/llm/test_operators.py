@@ -303,6 +303,16 @@ def test_op10_recall(spark):
     assert found >= 0.9 * total
 
 
+@pytest.mark.parametrize("n,d", [(12, 16), (21, 64), (30, 64)])
+def test_op10_lists_are_full(spark, tmp_path, n, d):
+    rng = np.random.default_rng(n)
+    vectors = [(i, rng.normal(size=d).astype(np.float32).tolist()) for i in range(n)]
+    out = ann.op10_ann(spark, _embeddings(tmp_path, vectors)).toPandas().sort_values("rank")
+    for q in range(0, n, 20):
+        assert list(out[out["query_id"] == q]["vec_id"]) == [i for _, i in _exact(vectors, q)]
+    assert len(out) == len(range(0, n, 20)) * min(20, n - 1)
+
+
 def test_op10_rotation_is_orthogonal():
     x = np.eye(8)
     y = ann.rotated(x, 0, 1)
