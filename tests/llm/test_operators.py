@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import ann, components, jaccard, licenses, mixing, pieces, quality, queries, secrets, sharding, substrings, warc
 from factloom.llm.common import table
@@ -313,6 +314,34 @@ def test_op10_lists_are_full(spark, tmp_path, n, d):
     assert len(out) == len(range(0, n, 20)) * min(20, n - 1)
 
 
+def _recall(spark, folder, x, queries_):
+    """The least length of a list, and the recall of all."""
+    vectors = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    df = spark.read.parquet(f"{_embeddings(folder, vectors)}/embeddings.parquet")
+    got = ann.nearest(df, "vec_id", "embedding", lambda i: i.isin(queries_)).groupBy("query_id").agg(F.collect_list("id").alias("ids")).collect()
+    exact = x.astype(np.float32).astype(float)
+    found = [len(set(r["ids"]) & set([i for i in np.argsort(-(exact @ exact[r["query_id"]]), kind="stable") if i != r["query_id"]][:20])) for r in got]
+    assert len(got) == len(queries_)
+    return min(len(r["ids"]) for r in got), sum(found) / (20 * len(got))
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0, 1.5])
+def test_op10_recall_of_varied_lengths(spark, tmp_path, sigma):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64)) * np.exp(sigma * rng.normal(size=(8000, 1)))
+    least, recall = _recall(spark, tmp_path, x, list(range(0, 8000, 80)))
+    print("recall of varied lengths", sigma, recall)
+    assert least == 20 and recall >= 0.93
+
+
+def test_op10_recall_of_queries_far_from_a_cluster(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.normal(size=64) + 0.05 * rng.normal(size=(8000, 64)), rng.normal(size=(20, 64))))
+    least, recall = _recall(spark, tmp_path, x, list(range(8000, 8020)))
+    print("recall of queries far from a cluster", recall)
+    assert least == 20 and recall >= 0.9
+
+
 def test_op10_rotation_is_orthogonal():
     x = np.eye(8)
     y = ann.rotated(x, 0, 1)
