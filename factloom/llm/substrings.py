@@ -7,6 +7,9 @@ windows are sorted by hash, and those that seem equal are compared as text. Supe
 travel once, that of the smallest id; the others are marked where they are found, so a passage in a third of all
 documents sends one string a task.
 
+Grams are counted first, and those that are met often are the minimiser only of windows that have no other gram. So
+windows that hold one phrase among different words do not meet at the phrase, but at grams of these words.
+
 Nulls: a null text has no words; a document with a null id loses nothing and takes nothing from others. Documents with
 equal ids do not take from each other. Texts shorter than a window lose nothing. Very long texts are worked on whole.
 """
@@ -20,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, row_key, table
+from .common import parallelism, row_key, staged, table
 from .words import _BASE, _INVERSE, Slice, _power, gram_hashes, mixed, slices
 
 WINDOW, MINIMISER = 50, 8
 #: Bytes of packed strings that a task gathers before it sends them.
 GATHER = 12 << 20
+#: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets; its windows, 43 a time at most, would be more than a bucket's part.
+HOT_SHARE, HOT_LEAST = 64, 100
+#: Grams at least that a task remembers as it counts; it loses none that is met more often than the task's grams through this.
+COUNTED = 1 << 16
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,13 +57,59 @@ def joined_words(piece: Slice) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), ends - lengths, ends
 
 
-def super_kmers(piece: Slice, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def ranked(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The hashes in 63 bits, hot ones (sorted) beyond all others."""
+    grams = grams >> np.uint64(1)
+    if not len(hot):
+        return grams
+    return np.where(hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams, grams | np.uint64(1 << 63), grams)
+
+
+def _heaviest(grams: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The grams, each once with its count; with more than most of them all counts less the one next to these, which is given too."""
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate((grams[:1] == grams[:1], grams[1:] != grams[:-1])))
+    grams, n = grams[first], np.add.reduceat(n, first) if len(first) else n
+    if len(n) <= most:
+        return grams, n, 0
+    less = int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])
+    return grams[n > less], n[n > less] - less, less
+
+
+def hot_grams(docs: DataFrame, minimiser: int = MINIMISER, buckets: int = 1) -> np.ndarray:
+    """The hashes, in 63 bits and sorted, of all hot grams of docs, and maybe of some that are met half as often: 2 * HOT_SHARE * buckets or so at most."""
+    share = 2 * HOT_SHARE * buckets
+    remember = max(COUNTED, 2 * share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n, total, lost = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0, 0
+        for batch in batches:
+            for piece in slices(batch[0]):
+                of_word = piece.doc_of_word()
+                inside = of_word[: max(0, len(of_word) - minimiser + 1)] == of_word[minimiser - 1 :]
+                new = gram_hashes(piece.word_hashes(), minimiser)[inside] >> np.uint64(1)
+                total += len(new)
+                grams, n, less = _heaviest(np.concatenate((grams, new)), np.concatenate((n, np.ones(len(new), dtype=np.int64))), remember)
+                lost += less
+        # no count is more than lost too small; -1 stands for all grams. What tasks do not send of a hot gram is less than half of it
+        met = n + lost > total / share
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(grams[met].astype(np.int64), -1)), pa.array(np.append(n[met] + lost, total))], ["gram", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "grams")
+    total = counts.where("gram < 0").agg(F.sum("n")).first()[0] or 0
+    found = counts.where((F.col("gram") >= 0) & (F.col("n") > max(total / share, HOT_LEAST // 2))).collect()
+    return np.array(sorted(r["gram"] for r in found), dtype=np.uint64)
+
+
+def super_kmers(piece: Slice, window: int, minimiser: int, hot: np.ndarray = np.zeros(0, dtype=np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: the text, first word (in the slice), number of windows and minimiser of each super-k-mer."""
     of_word = piece.doc_of_word()
     n = len(of_word) - window + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = _sliding_min(gram_hashes(piece.word_hashes(), minimiser), window - minimiser + 1)
+    least = _sliding_min(ranked(gram_hashes(piece.word_hashes(), minimiser), hot), window - minimiser + 1)
     at = np.flatnonzero(of_word[:n] == of_word[window - 1 :])
     if not len(at):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
@@ -69,7 +122,7 @@ def super_kmers(piece: Slice, window: int, minimiser: int) -> tuple[np.ndarray,
 _PACKED = "bucket int, ids binary, keys binary, first binary, windows binary, bytes binary, strings binary, done binary"
 
 
-def _pack(window: int, minimiser: int, buckets: int):
+def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +154,7 @@ def _pack(window: int, minimiser: int, buckets: int):
 
         for batch in batches:
             for piece in slices(batch["text"]):
-                doc, first, windows, least = super_kmers(piece, window, minimiser)
+                doc, first, windows, least = super_kmers(piece, window, minimiser, hot)
                 if not len(doc):
                     continue
                 text, begin, end = joined_words(piece)
@@ -209,7 +262,8 @@ def _sort(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """key, first, last: words (from 0, end exclusive) of the documents (doc_id, text, key) that repeated windows cover."""
     buckets = 4 * parallelism(docs.sparkSession)
-    packed = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets), _PACKED)
+    hot = hot_grams(docs, minimiser, buckets)
+    packed = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
     return packed.repartition(buckets, "bucket").mapInArrow(_sort(window), "key long, first int, last int")
 
 

@@ -110,6 +110,24 @@ def test_op4_given_documents(spark):
     cases.same(substrings.op4_substrings(spark, SMALL).collect(), cases.substrings(rows))
 
 
+def test_op4_a_phrase_among_different_words_is_no_large_group(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    phrase, passage = word(14), word(55)
+    rows = [(i, f"{word(50)} {phrase} {word(50)}{' ' + passage if i % 10 == 0 else ''}", "en", "s", 0) for i in range(1500)]
+    folder = cases.write_documents(tmp_path, rows)
+    docs = table(spark, folder, "documents")
+    hot = substrings.hot_grams(docs, buckets=32)
+    piece = next(substrings.slices(pa.array([r[1] for r in rows]), limit=1 << 30))
+
+    def largest(hot):
+        _, _, windows, least = substrings.super_kmers(piece, 50, 8, hot)
+        return np.bincount(np.unique(least, return_inverse=True)[1], windows).max()
+
+    assert len(hot) >= 7 and largest(hot[:0]) > 20_000 and largest(hot) < 2_000
+    cases.same(substrings.op4_substrings(spark, folder).collect(), cases.substrings(rows))
+
+
 def test_op5(spark, odd):
     out = mixing.op5_mixing(spark, odd).toPandas()
     again = mixing.op5_mixing(spark, odd).toPandas()
