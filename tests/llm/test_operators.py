@@ -1,7 +1,6 @@
 """Each query against a brute-force version on odd cases, and against DuckDB on the given tables."""
 
 import hashlib
-import itertools
 import math
 
 import numpy as np
@@ -364,4 +363,31 @@ def test_op10_rotation_is_orthogonal():
     x = np.eye(8)
     y = ann.rotated(x, 0, 1)
     assert np.allclose(y @ y.T, np.eye(8))
-    assert [list(r) for r in itertools.islice(ann.axes(x, 0, 3, 1), 1)]
+
+
+def test_op10_buckets_are_the_nearest_axes():
+    x = np.random.default_rng(2).normal(size=(50, 16))
+    tables = ann.Tables(16, [3.0], 2, 1)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for t, place in enumerate(tables.places(x)):
+        promise = tables.promises(unit, t, np.ones(2)).reshape(50, 2, -1)
+        band = (np.linalg.norm(x, axis=1) >= 3.0).astype(int)
+        assert (place - t * tables.slots == band * tables.joint + promise[np.arange(50), band].argmax(axis=1)).all()
+
+
+def test_op10_reads_a_small_share_of_vectors_that_cluster(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(200, 32)), 40, axis=0) + 0.1 * rng.normal(size=(8000, 32))
+    df = spark.read.parquet(f"{_embeddings(tmp_path, list(enumerate(x.astype(np.float32).tolist())))}/embeddings.parquet")
+    facts = {}
+    ann.nearest(df, "vec_id", "embedding", lambda i: i % 20 == 0, facts=facts)
+    assert facts["rows"] == 8000 and facts["most_scored"] < 0.1, facts
+
+
+def test_op10_empty_table_and_clashing_columns(spark, tmp_path):
+    assert ann.op10_ann(spark, _embeddings(tmp_path, [])).count() == 0
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], "x", "y", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string, vec string, n int")
+    out = ann.nearest(df, "vec_id", "embedding", lambda i: i % 20 == 0)
+    assert out.count() == 2 * 20
