@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one in a local session, as in tests; on a cluster an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         context.setCheckpointDir(folder)
     elif not context.getCheckpointDir():
@@ -38,10 +41,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key(*columns: str | Column) -> Column:
-    """A 64-bit key of a row's contents; never null. Equal rows share it."""
+    """A 64-bit key of a row's contents; never null. Equal rows share it. Rows are joined on it together with their id."""
     return F.xxhash64(*columns)
 
 
+def wide_key(*columns: str | Column) -> Column:
+    """A 128-bit key of a row's contents, of two hashes from different seeds; never null. Equal rows share it."""
+    return F.struct(F.xxhash64(*columns).alias("h"), F.xxhash64(F.lit(1), *columns).alias("g"))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys among which null equals null."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    out = left.join(right, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*(f"_r_{k}" for k in keys))
+
+
 #: Rows of a few numbers each that a task of a table of known length has at least.
 TASK_ROWS = 200_000
 
@@ -64,7 +80,7 @@ def held(df: DataFrame, *columns: str) -> DataFrame:
 def packed(df: DataFrame, *needed: str) -> DataFrame:
     """The needed columns of df, and all others in one, so that no name of theirs meets a name used inside an operator."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
-    return df.select(*needed, F.struct(*rest).alias("_others") if rest else F.lit(None).alias("_others"))
+    return df.select(*needed, F.struct(*rest).alias("_others") if rest else F.lit(None).cast("string").alias("_others"))
 
 
 def unpacked(columns: list[str], *needed: str) -> list[Column]:

@@ -311,6 +311,8 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
             for d, to in enumerate(batch["to"].to_pylist()):
                 data = gram[bounds[d] : bounds[d + 1]].tobytes()
                 for x in to:
+                    if x["role"] == 0 and int(names[d]) != x["a"]:
+                        continue  # another text of the same hash
                     out.append((x["a"], x["block"], x["role"], int(names[d]), data))
                     size += len(data)
                 if size > 1 << 22:

@@ -2,11 +2,13 @@
 
 Every source shuffles its documents by a hash of their key. A document's virtual finish time is the running sum of
 its source's sizes, itself included, divided by the source's target; its k-th repeat comes k whole sources later.
-All items, sorted by finish time, are taken up to the total budget. Sources advance at rates in proportion to their
-targets, so each source ends within one document of its target.
+All items are sorted by finish time, globally by range, and taken up to the total budget. Sources advance at rates in
+proportion to their targets, so each source ends within one document of its target.
 
 Nulls: a null source is a source, the last one; a null text has size 0 and takes nothing. Rows equal in key and
-source are items of their own. With a budget of 0, or no rows, nothing is taken.
+source are items of their own; ties in finish time go by source, then by shuffled order. With a budget of 0, as if all
+texts are empty, or no rows, nothing is taken. A very long text is one item, so a source may end short of its target by
+as much. Only the named columns are read; the stage carries all others through whatever their names.
 """
 
 from __future__ import annotations
@@ -16,25 +18,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, row_key, staged, table, unpacked
+from .common import WORD, matched, packed, parallelism, row_key, staged, table, unpacked
 
 #: Weights of the sources in order of their names, repeating, and the most times a document is taken.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Leading hexadecimal digits of the shuffle key that group a source's documents for running sums.
 DIGITS = 3
-#: Steps of virtual time told apart at once while the cut is sought, twice.
-STEPS = 8192
+#: Items that a range of the global sort has at most, about.
+RANGE_ITEMS = 1_000_000
 #: Sources up to which their table is broadcast, a few dozen bytes each.
 BROADCAST_SOURCES = 100_000
 
 
-def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on keys among which null equals null."""
-    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
-    return left.join(right, on, how).drop(*(f"_r_{k}" for k in keys))
-
-
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target: the sum of all sizes shared by weight, no source above most times its size.
 
@@ -54,24 +49,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
 
 def _cut(items: DataFrame, budget: int) -> tuple | None:
-    """The last (finish, source, order) taken if items, sorted so, are taken while the sum of their sizes is at most budget.
+    """The first (finish, source, order) left out if items, sorted so, are taken while the sum of their sizes is at most budget.
 
-    Narrows twice to one of STEPS ranges of finish time, so that only the items of one tiny range are sorted together.
+    The items are sorted globally by range; the ranges' sums, few, tell in which the budget ends, and a running sum there tells where.
     """
-    low, width, before = 0.0, 2.0, 0
-    for _ in range(2):
-        step = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(width / STEPS)), F.lit(STEPS - 1))
-        sums = items.where((F.col("finish") >= low) & (F.col("finish") < low + width)).groupBy(step.alias("step")).agg(F.sum("size").alias("n"))
-        run = sums.withColumn("upto", F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) + before)
-        over = run.where(F.col("upto") > budget).orderBy("step").first()
-        if over is None:
-            return None
-        low, width, before = low + over["step"] * (width / STEPS), width / STEPS, over["upto"] - over["n"]
-    # the ends are multiples of powers of two, so that no rounding moves an item across them
-    last = items.where((F.col("finish") >= low) & (F.col("finish") < low + width))
     order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("order")]
-    run = last.withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + before)
-    first_out = run.where(F.col("upto") > budget).orderBy(*order).first()
+    n = max(parallelism(items.sparkSession), -(-items.count() // RANGE_ITEMS))
+    ranged = items.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    ranged = staged(ranged, "ranges")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("n"))
+    run = sums.withColumn("upto", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))
+    over = run.where(F.col("upto") > budget).orderBy("range").first()
+    if over is None:
+        return None
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = ranged.where(F.col("range") == over["range"]).withColumn("upto", F.sum("size").over(inside) + (over["upto"] - over["n"]))
+    first_out = last.where(F.col("upto") > budget).orderBy(*order).first()
     return None if first_out is None else (first_out["finish"], first_out["source"], first_out["order"])
 
 
@@ -92,8 +85,8 @@ def mixed(docs: DataFrame, size: Column, keys: Sequence[str], weights: Sequence[
     starts = starts.select("source", "_group", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     upto = Window.partitionBy("source", "_group").orderBy("order", "size", *keys).rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("_within", F.sum("size").over(upto))
-    placed = _matched(placed, starts, ["source", "_group"]).withColumn("upto", F.col("_start") + F.col("_within"))
-    placed = _matched(placed, F.broadcast(targets) if few else targets, ["source"])
+    placed = matched(placed, starts, ["source", "_group"]).withColumn("upto", F.col("_start") + F.col("_within"))
+    placed = matched(placed, F.broadcast(targets) if few else targets, ["source"])
     placed = staged(placed.select(*keys, "source", "size", "order", "source_size", "target", "upto"), "queue")
 
     finish = [F.try_divide((F.col("source_size") * k + F.col("upto")).cast("double"), F.col("target")) for k in range(most)]
@@ -127,8 +120,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Documents that are equal in id and text are taken equally often."""
     needed = ("doc_id", "text", "source")
     keyed = packed(docs, *needed).withColumn("_key", row_key("doc_id", "text"))
-    copies = mixed(keyed, words_of("text"), ["doc_id", "_key"]).groupBy("_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = keyed.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copies = mixed(keyed, words_of("text"), ["doc_id", "_key"]).groupBy("doc_id", "_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = matched(keyed, copies, ["doc_id", "_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*unpacked(docs.columns, *needed))
 
 

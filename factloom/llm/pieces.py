@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import packed, table, unpacked
 
 MARK = "▁"
-#: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments a task remembers.
-ALTERNATIVES, SHORT, REMEMBER = 3, 24, 300_000
+#: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments, and their characters, that a task remembers.
+ALTERNATIVES, SHORT, REMEMBER, REMEMBER_CHARS = 3, 24, 300_000, 1 << 24
 #: What an unknown character costs beyond the least score of a piece, as in the library.
 PENALTY = 10.0
 #: Scores at or below this mark pieces that segmentation does not use, single characters without another piece excepted.
@@ -176,7 +176,7 @@ class _Memory:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.lattices: dict[str, tuple] = {}
-        self.flat, self.scores, self.gaps, self.sizes = [], [], [], []
+        self.flat, self.scores, self.gaps, self.sizes, self.chars = [], [], [], [], 0
 
     def _short(self, segments: list[str]) -> None:
         """Segments of one length whose characters all have pieces."""
@@ -217,6 +217,7 @@ class _Memory:
 
     def _add(self, segments, flat, sizes, scores, gaps) -> None:
         first = len(self.at)
+        self.chars += sum(map(len, segments))
         self.at.update(zip(segments, range(first, first + len(segments)), strict=True))
         self.flat.append(flat)
         self.sizes.append(sizes)
@@ -273,7 +274,7 @@ def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
                     size += len(texts[-1])
                     done += 1
                 cut = [model.segments(t) for t in texts]
-                if len(memory.at) > REMEMBER:
+                if len(memory.at) > REMEMBER or memory.chars > REMEMBER_CHARS:
                     memory.clear()
                 new = set().union(*cut) - memory.at.keys()
                 if new:
@@ -419,8 +420,19 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their best segmentation instead of their text; ids, n_pieces and score replace columns of docs with these names."""
-    others = packed(docs, "text")
-    out = encoded(others, fitted(docs), alternatives=0)
-    own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "score")]
-    return out.select(*unpacked(own), "ids", F.size("ids").cast("long").alias("n_pieces"), "score")
+    """All documents with ids of their best segmentation instead of their text, its next best ones, and whether the ids decode to the text.
+
+    ids, n_pieces, score, next_scores, next_changes and round_trip replace columns of docs with these names.
+    """
+    model = fitted(docs)
+    out = decoded(encoded(packed(docs, "text"), model), model)
+    own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "score", "next_scores", "next_changes", "round_trip")]
+    return out.select(
+        *unpacked(own),
+        "ids",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        F.transform("alternatives", lambda a: a["score"]).alias("next_scores"),
+        F.to_json("alternatives").alias("next_changes"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )

@@ -2,12 +2,15 @@ r"""Secret scans through a trigram inverted index. DataFrame operations only.
 
 Each rule is a regular expression. From its syntax come strings that every match must hold: a conjunction of choices.
 A text holds a string only if it holds all the string's trigrams, so each rule has a Boolean query over trigrams. The
-index has a posting (trigram, document) for each trigram of the rules that the lower-cased text holds; postings meet by
-document, the queries are asked there, and rules are verified only in their candidates. A rule without mandatory
-trigrams scans every text.
+index is inverted: of each trigram of the rules and each block of documents, the list of the documents whose lower-cased
+text holds it. A block's lists meet, are intersected and united as the queries say, and what is left are each rule's
+candidates, the only texts in which it is verified. Documents are dealt to blocks of bounded size by a hash, so no list
+grows with the data. A rule without mandatory trigrams scans every text.
 
 Matches are leftmost and do not overlap within a rule; those that fail a rule's least length are dropped afterwards.
-Nulls: a null text is empty; a null id is an id. Repeated rows are each scanned. Spans count code points from 0.
+Nulls: a null text is empty; a null id is an id. Repeated rows are each scanned. Spans count code points from 0. Very
+long texts are scanned whole. An empty table has no results. The columns named spans and base_spans are replaced; all
+others are carried through whatever their names.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import counted, packed, row_key, table, unpacked
+from .common import counted, packed, table, unpacked, wide_key
 
 _parser = re._parser
 
 #: Strings that a part of a pattern may stand for before it counts as unknown.
 _MOST_STRINGS = 64
+#: Documents whose posting lists meet in one row, about: 16 bytes a document and trigram of the rules.
+BLOCK_DOCS = 8192
 
 
 @dataclass(frozen=True)
@@ -142,29 +148,33 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return out
 
 
-def postings(docs: DataFrame, text: str, key: Column, trigrams: Sequence[str]) -> DataFrame:
-    """trigram (its place in trigrams) and key, of each of the trigrams that each lower-cased text holds."""
+def postings(docs: DataFrame, text: str, key: Column, trigrams: Sequence[str], blocks: int = 1) -> DataFrame:
+    """trigram (its place in trigrams), block and keys: the sorted posting list of each trigram in each block of documents. key: a struct with a hash h."""
     there = docs.select(key.alias("key"), F.lower(text).alias("_lower"))
     flags = F.array(*(F.when(F.contains(F.col("_lower"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)))
-    return there.select("key", F.explode(F.array_compact(flags)).alias("trigram"))
+    each = there.select("key", F.explode(F.array_compact(flags)).alias("trigram"))
+    block = F.pmod(F.col("key.h"), F.lit(blocks)).alias("block")
+    return each.groupBy("trigram", block).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def _paired(rule: int):
+    return lambda key: F.struct(key.alias("key"), F.lit(rule).alias("rule"))
 
 
 def candidates(docs: DataFrame, text: str, key: Column, rules: Sequence[Rule]) -> DataFrame:
     """key and rules, the places of the rules with mandatory trigrams whose query a document satisfies; other documents have no row."""
     asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in asked.values() for choice in q for option in choice for t in option})
-    found = postings(docs, text, key, trigrams).groupBy("key").agg(F.collect_set("trigram").alias("_has"))
-    has = lambda option: F.forall(F.array(*(F.lit(trigrams.index(t)) for t in sorted(option))), lambda t: F.array_contains("_has", t))
+    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    lists = postings(docs, text, key, trigrams, blocks).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    nothing = F.array().cast("array<struct<h:bigint,g:bigint>>")
+    posting = lambda t: F.coalesce(F.try_element_at("lists", F.lit(trigrams.index(t))), nothing)
     hit = []
     for i, q in asked.items():
-        ok = F.lit(True)
-        for choice in q:
-            one = F.lit(False)
-            for option in choice:
-                one = one | has(option)
-            ok = ok & one
-        hit.append(F.when(ok, F.lit(i)))
-    return found.select("key", F.array_compact(F.array(*hit)).alias("rules")).where(F.size("rules") > 0)
+        choices = [reduce(F.array_union, [reduce(F.array_intersect, map(posting, sorted(option))) for option in choice]) for choice in q]
+        hit.append(F.transform(reduce(F.array_intersect, choices), _paired(i)))
+    found = lists.select(F.explode(F.concat(*hit)).alias("x")).select("x.key", "x.rule")
+    return found.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
 def spans(text: str, rules: Sequence[Rule], i: int) -> Column:
@@ -199,9 +209,10 @@ def spans(text: str, rules: Sequence[Rule], i: int) -> Column:
 
 def scanned(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES, base: int = len(BASE)) -> DataFrame:
     """docs with spans: all spans, and base_spans: those of the first base rules, each an array of start, kind and end in order."""
-    rows = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", row_key(*keys, text))
-    asked = candidates(rows, "_text", F.col("_key"), rules).withColumnRenamed("rules", "_rules")
-    rows = rows.join(asked.withColumnRenamed("key", "_key"), "_key", "left")
+    own = [c for c in docs.columns if c not in ("spans", "base_spans")]
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), wide_key(*keys, text).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"))
+    asked = candidates(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), wide_key(*keys, text).alias("_key")), "_text", F.col("_key"), rules)
+    rows = rows.join(asked.select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
     parts = []
     for i, rule in enumerate(rules):
         found = spans("_text", rules, i)
@@ -210,7 +221,7 @@ def scanned(docs: DataFrame, text: str = "text", keys: Sequence[str] = ("doc_id"
         parts.append(F.coalesce(found, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     rows = rows.withColumn("spans", F.array_sort(F.concat(*parts)))
     rows = rows.withColumn("base_spans", F.filter("spans", lambda s: s["kind"] < base))
-    return rows.drop("_text", "_key", "_rules")
+    return rows.select(*(F.col("_row")[c].alias(c) for c in own), "spans", "base_spans")
 
 
 def rendered(spans: str, rules: Sequence[Rule] = RULES) -> Column:

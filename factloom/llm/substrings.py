@@ -22,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import parallelism, row_key, staged, table
+from .common import packed, parallelism, row_key, staged, table, unpacked
 from .words import _BASE, _INVERSE, Slice, _power, gram_hashes, mixed, slices
 
 WINDOW, MINIMISER = 50, 8
+#: Bytes of text for which there is a bucket, and a task that counts grams, at least.
+BUCKET_BYTES, COUNT_BYTES = 4 << 20, 128 << 20
 #: Bytes of packed strings that a task gathers before it sends them.
 GATHER = 12 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets; its windows, 43 a time at most, would be more than a bucket's part.
@@ -77,8 +80,12 @@ def _heaviest(grams: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray,
     return grams[n > less], n[n > less] - less, less
 
 
-def hot_grams(docs: DataFrame, minimiser: int = MINIMISER, buckets: int = 1) -> np.ndarray:
-    """The hashes, in 63 bits and sorted, of all hot grams of docs, and maybe of some that are met half as often: 2 * HOT_SHARE * buckets or so at most."""
+def hot_grams(docs: DataFrame, minimiser: int = MINIMISER, buckets: int = 1, tasks: int | None = None) -> np.ndarray:
+    """The hashes, in 63 bits and sorted, of all hot grams of docs, and maybe of some that are met half as often: 2 * HOT_SHARE * buckets or so at most.
+
+    tasks: as many count at most, small partitions together, since in a task that sees few grams each is a large part of them.
+    """
+    docs = docs.select("text") if tasks is None else docs.select("text").coalesce(tasks)
     share = 2 * HOT_SHARE * buckets
     remember = max(COUNTED, 2 * share)
 
@@ -96,7 +103,7 @@ def hot_grams(docs: DataFrame, minimiser: int = MINIMISER, buckets: int = 1) ->
         met = n + lost > total / share
         yield pa.RecordBatch.from_arrays([pa.array(np.append(grams[met].astype(np.int64), -1)), pa.array(np.append(n[met] + lost, total))], ["gram", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = staged(counts, "grams")
     total = counts.where("gram < 0").agg(F.sum("n")).first()[0] or 0
     found = counts.where((F.col("gram") >= 0) & (F.col("n") > max(total / share, HOT_LEAST // 2))).collect()
@@ -182,7 +189,7 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
                             gone, held[s] = there, [mine]
                         else:
                             gone = [mine]
-                        done += [(k, f, f + w + window - 1) for _, _, k, f, w in gone]
+                        done += [(i, k, f, f + w + window - 1) for _, i, k, f, w in gone]
                 if size > GATHER or len(done) > 200_000:
                     yield out()
                     held, size, done = {}, 0, []
@@ -196,16 +203,16 @@ def _sort(window: int):
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(key, first, last):
-            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "first", "last"])
+        def spans(doc_id, key, first, last):
+            return pa.RecordBatch.from_arrays([pa.array(doc_id.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "key", "first", "last"])
 
         texts, parts = [], []
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             for ids, keys, first, windows, n_bytes, strings, done in zip(*(batch[c].to_pylist() for c in batch.schema.names[1:]), strict=True):
                 if done:
-                    marks = np.frombuffer(done, dtype=np.int64).reshape(-1, 3)
-                    yield spans(marks[:, 0], marks[:, 1], marks[:, 2])
+                    marks = np.frombuffer(done, dtype=np.int64).reshape(-1, 4)
+                    yield spans(*marks.T)
                 if not ids:
                     continue
                 ids, keys, first, windows, n_bytes = (np.frombuffer(x, dtype=np.int64) for x in (ids, keys, first, windows, n_bytes))
@@ -248,31 +255,38 @@ def _sort(window: int):
         g, h, p, q = gone[lo], gone[hi], src[lo], src[hi]
         for r, (tg, ga, gb, tp, pa_, pb) in enumerate(zip(text_of[g].tolist(), a[g].tolist(), b[h].tolist(), text_of[p].tolist(), a[p].tolist(), b[q].tolist(), strict=True)):
             same[r] = texts[tg][ga:gb] == texts[tp][pa_:pb]
-        yield spans(key[g][same], word[g][same], word[h][same] + window)
+        yield spans(ids[g][same], key[g][same], word[g][same], word[h][same] + window)
         for r in np.flatnonzero(~same).tolist():  # unequal windows with one hash: each against all others of that hash
             for x in gone[lo[r] : hi[r] + 1].tolist():
                 mine = texts[text_of[x]][a[x] : b[x]]
                 others = np.flatnonzero((found == found[x]) & (ids < ids[x])).tolist()
                 if any(texts[text_of[o]][a[o] : b[o]] == mine for o in others):
-                    yield spans(key[[x]], word[[x]], word[[x]] + window)
+                    yield spans(ids[[x]], key[[x]], word[[x]], word[[x]] + window)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
-    """key, first, last: words (from 0, end exclusive) of the documents (doc_id, text, key) that repeated windows cover."""
-    buckets = 4 * parallelism(docs.sparkSession)
-    hot = hot_grams(docs, minimiser, buckets)
-    packed = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
-    return packed.repartition(buckets, "bucket").mapInArrow(_sort(window), "key long, first int, last int")
+    """doc_id, key, first, last: words (from 0, end exclusive) of the documents (doc_id, text, key) that repeated windows cover.
+
+    Buckets follow the bytes of all texts, so a bucket's part does not grow with the data.
+    """
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * parallelism(spark), -(-n_bytes // BUCKET_BYTES))
+    hot = hot_grams(docs, minimiser, buckets, max(4 * spark.sparkContext.defaultParallelism, -(-n_bytes // COUNT_BYTES)))
+    sent = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
+    return sent.repartition(buckets, "bucket").mapInArrow(_sort(window), "doc_id long, key long, first int, last int")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with n_words, n_removed and kept_text, the words left joined by single spaces. docs has no columns of these names, nor key or cuts."""
-    keyed = docs.withColumn("key", row_key("doc_id", "text"))
-    cuts = repeated_spans(keyed, window).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    rows = keyed.join(cuts, "key", "left").drop("key")
-    names = docs.columns
+    """docs with n_words, n_removed and kept_text, the words left joined by single spaces, which replace columns of docs with these names."""
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
+    docs = docs.select(*own)
+    rest = packed(docs, "doc_id", "text").withColumn("key", row_key("doc_id", "text"))
+    cuts = repeated_spans(rest.select("doc_id", "text", "key"), window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    rows = rest.join(cuts, ["doc_id", "key"], "left").drop("key")
+    names = ["doc_id", "text", "_others"]
 
     def run(batches):
         for batch in batches:
@@ -297,8 +311,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 part = batch.slice(piece.first, piece.n_docs)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(piece.n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*names, "n_words", "n_removed", "kept_text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_text string")
+    schema = StructType([*(rest.schema[c] for c in names), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    out = rows.select(*names, "cuts").mapInArrow(run, schema)
+    return out.select(*unpacked(own, "doc_id", "text"), "n_words", "n_removed", "kept_text")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,12 @@ Files hold one gzip member a record; the member's header carries its lengths ("s
 from record to record without inflating them. The reader plans partitions of whole files, takes equality, IN,
 prefix and null tests on the record's type, id, URI and date from the query, inflates a record's headers first, and
 the payload only of records that pass, and only if the schema asked for has it. Files of other writers, plain or
-compressed, are read too; without lengths a gzip member is inflated to its end.
+compressed, are read too, with any number of records a member; without lengths a member is inflated to its end. A file
+is read by one task, so files of other writers should be split at the usual size of a gigabyte or less.
+
+Paths are those that pyarrow's file systems know. Nulls: a missing field is null; a null payload is written empty.
+Records that repeat are each kept. A payload is held whole, one at a time beside a batch of 4 MB. A table without rows
+writes no file, and reads as no rows. The source has its own columns only; those of pages are read by name.
 
 Writing is by task attempts: hidden files that the driver renames on commit, so that lost executors leave nothing behind.
 """
@@ -43,11 +48,14 @@ def _filesystem(path: str):
 
 
 def member(content: bytes, level: int = 6) -> bytes:
-    """A gzip member with the lengths of itself and of its content in its header."""
+    """A gzip member with the lengths of itself and of its content in its header, where they fit there."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(content) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size & 0xFFFFFFFF, len(content) & 0xFFFFFFFF)
+    if max(size, len(content)) >> 32:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+    else:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, size, len(content))
     return head + body + struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF)
 
 
@@ -84,25 +92,26 @@ class _Plain:
             self.got += more
         return self.got
 
-    def after(self, total: int) -> int:
-        return self.at + total
+    def next(self, total: int) -> tuple[int, bool]:
+        """Where the record after one of that many bytes begins, and whether it is in this source."""
+        return self.at + total, False
 
 
 class _Member:
-    """The content of one gzip member, inflated as far as asked."""
+    """The content of one gzip member, inflated as far as asked, from the record that is read next."""
 
     def __init__(self, file, at: int):
         self.file, self.at = file, at
         file.seek(at)
         head = file.read(12)
-        flags, skip, self.size = head[3], 10, 0
+        flags, skip, self.size, self.content = head[3], 10, 0, 0
         if flags & 4:
             n = struct.unpack("<H", head[10:12])[0]
             extra, skip = file.read(n), 12 + n
             while len(extra) >= 4:
                 kind, size = struct.unpack("<2sH", extra[:4])
                 if kind == b"sl" and size == 8:
-                    self.size = struct.unpack("<I", extra[4:8])[0]
+                    self.size, self.content = struct.unpack("<II", extra[4:12])
                 extra = extra[4 + size :]
         file.seek(at + skip)
         for flag in (8, 16):  # a file name, a comment
@@ -135,12 +144,31 @@ class _Member:
         self.got = [b"".join(self.got)]
         return self.got[0]
 
-    def after(self, total: int) -> int:
-        if self.size:
-            return self.at + self.size
-        while self._more(1 << 20):
-            self.got = []
-        return self.next_in - len(self.inflate.unused_data) + 8
+    def drop(self, n: int) -> None:
+        """Leaves n bytes out."""
+        while n > 0:
+            held = self.upto(min(n, 1 << 20))
+            k = min(n, len(held))
+            if not k:
+                return
+            self.got, self.n, n = [held[k:]], self.n - k, n - k
+
+    def next(self, total: int) -> tuple[int, bool]:
+        """Where the record after one of that many bytes begins: here, if the member has more than that, else beyond the member."""
+        if self.size and self.content <= total:
+            return self.at + self.size, False
+        self.drop(total)
+        if self.more():
+            return self.at, True
+        return self.next_in - len(self.inflate.unused_data) + 8, False
+
+    def more(self) -> bool:
+        """Whether the member goes on after blank lines, which are left out."""
+        while held := self.upto(1)[:1]:
+            if held not in b"\r\n":
+                return True
+            self.drop(1)
+        return False
 
 
 def records(file, wanted=lambda headers: True, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -148,17 +176,20 @@ def records(file, wanted=lambda headers: True, payloads: bool = True) -> Iterato
 
     The payload of an HTTP response is its body, that of other records their block.
     """
-    at, total = 0, file.size()
-    while at < total:
-        file.seek(at)
-        start = file.read(2)
-        if start != b"\x1f\x8b":
-            if start.strip() == b"":  # blank lines between records
+    at, total, within = 0, file.size(), False
+    while within or at < total:
+        if not within:
+            file.seek(at)
+            start = file.read(2)
+            if start != b"\x1f\x8b" and start.strip() == b"":  # blank lines between records
                 at += 2
                 continue
-            if start != b"WA":
-                raise ValueError(f"no WARC record at byte {at}")
-        source = _Member(file, at) if start == b"\x1f\x8b" else _Plain(file, at)
+            source = _Member(file, at) if start == b"\x1f\x8b" else _Plain(file, at)
+            if isinstance(source, _Member) and not source.more():
+                at, _ = source.next(0)
+                continue
+        if source.upto(5)[:5] != b"WARC/":
+            raise ValueError(f"no WARC record at byte {at}")
         n, end = 2048, -1
         while end < 0:
             text = source.upto(n)
@@ -173,7 +204,7 @@ def records(file, wanted=lambda headers: True, payloads: bool = True) -> Iterato
             if block is not None and headers.get("content-type", "").replace(" ", "").startswith("application/http"):
                 block = block.partition(b"\r\n\r\n")[2]
             yield headers, block
-        at = source.after(end + 4 + length + 4)
+        at, within = source.next(end + 4 + length + 4)
 
 
 @dataclass

@@ -48,6 +48,7 @@ def test_stages_in_order_keep_the_columns(spark, tmp_path):
     last = _stage(4, spark, mix, folder)
     assert last.count() == mix.count() and set(last.columns) >= {"doc_id", "ids", "n_pieces"}
     back = pieces.decoded(last.select("doc_id", "ids"), model).select("doc_id", "decoded").collect()
+    assert last.where("round_trip").count() == last.count() and last.where("size(next_scores) = 3").count() > 0
     texts = {r["doc_id"]: r["text"] for r in mix.collect()}
     assert all(r["decoded"] == texts[r["doc_id"]] for r in back)
 
