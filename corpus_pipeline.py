@@ -19,7 +19,7 @@ STAGES = [
     ("n-gram Jaccard join", jaccard_stage),
     ("secret scans", secrets_stage),
     ("mixing sources to target weights", mix_stage),
-    ("SentencePiece encoding", pieces_stage),
+    ("SentencePiece encoding and decoding", pieces_stage),
 ]
 
 #: The segmentation of the last stage has no SQL; tests/llm hold the pipeline against a brute-force version.
