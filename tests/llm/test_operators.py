@@ -246,6 +246,35 @@ def test_op7_bounds():
         assert all((2 * min(n, m) >= 0.8 * (n + m)) == (low <= m <= high) for m in range(1, 100))
 
 
+def test_op7_full_texts_and_broken_notices(spark, tmp_path):
+    texts = licenses.all_templates()
+    assert len(texts) > 16
+    rng = np.random.default_rng(1)
+    prose = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 999, n))
+    want, rows = {}, []
+    for i, (name, text) in enumerate(texts):
+        want[i] = name
+        body = text if "\n" in text else text.replace(" ", "\n", text.count(" ") // 3).replace("\n", " ", 2)  # a notice broken over lines
+        rows.append((i, f"{prose(30)}\n\n{body}\n{prose(40)}\n{prose(5)}", "en", "s", 0))
+    rows += [(100, prose(3000), "en", "s", 0), (101, "Copyright 2020 A B\n\n" + licenses.NOTICES[14][1].replace("Software", "Work", 2), "en", "s", 0)]
+    out = {r["doc_id"]: r for r in licenses.op7_licenses(spark, cases.write_documents(tmp_path, rows)).collect()}
+    assert len(out) == len(rows) and out[100]["n_templates"] == 0 and out[101]["best_license"] == "MIT"
+    assert all(name in out[i]["licenses"].split(",") for i, name in want.items()), {i: (n, out[i]["licenses"]) for i, n in want.items()}
+    assert all(out[i]["best_dice"] > 0.9 for i in want) and all(out[i]["first_line"] >= 2 for i in want if "\n" in texts[i][1])
+
+
+def test_op7_tests_of_a_document_are_exact(spark):
+    """Sets that reach the coefficient by the least pass the document's tests."""
+    whole, tests = licenses.template_tables(spark, licenses.NOTICES, 0.8)
+    grams = {r["template"]: set(r["t_grams"]) for r in whole.collect()}
+    held = {}
+    for r in tests.collect():
+        held.setdefault(r["template"], []).append(r)
+    for i, rows in held.items():
+        low, worst = rows[0]["t_low"], sorted(grams[i] - {r["gram"] for r in rows}) + sorted(r["gram"] for r in rows)
+        assert sum(r["gram"] in worst[:low] for r in rows) >= rows[0]["t_hits"] > 0
+
+
 PAGES = [(1, "http://a", "x" * 1000), (2, "http://b", "x" * 1000), (5, None, "x" * 1000), (3, "http://c", "x" * 999), (4, "http://d", "x" * 999), (6, "u", None), (7, "u", ""), (8, "é\n", "é" * 600), (9, "u", "é" * 600)]
 
 
