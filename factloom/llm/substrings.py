@@ -34,6 +34,8 @@ BUCKET_BYTES, COUNT_BYTES = 4 << 20, 128 << 20
 GATHER = 12 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets; its windows, 43 a time at most, would be more than a bucket's part.
 HOT_SHARE, HOT_LEAST = 64, 100
+#: Hot grams at most, twice over: 8 bytes each reach every task.
+HOT_MOST = 1 << 20
 #: Grams at least that a task remembers as it counts; it loses none that is met more often than the task's grams through this.
 COUNTED = 1 << 16
 
@@ -86,21 +88,33 @@ def hot_grams(docs: DataFrame, minimiser: int = MINIMISER, buckets: int = 1, tas
     tasks: as many count at most, small partitions together, since in a task that sees few grams each is a large part of them.
     """
     docs = docs.select("text") if tasks is None else docs.select("text").coalesce(tasks)
-    share = 2 * HOT_SHARE * buckets
-    remember = max(COUNTED, 2 * share)
+    share = 2 * min(HOT_SHARE * buckets, HOT_MOST)
+    remember = max(COUNTED, 4 * share)
+    least = HOT_LEAST / (4 * tasks) if tasks else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, n, total, lost = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0, 0
+        held, size = [], 0
+
+        def merge():
+            nonlocal grams, n, lost, held, size
+            new = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
+            grams, n, less = _heaviest(np.concatenate((grams, new)), np.concatenate((n, np.ones(len(new), dtype=np.int64))), remember)
+            lost, held, size = lost + less, [], 0
+
         for batch in batches:
             for piece in slices(batch[0]):
                 of_word = piece.doc_of_word()
                 inside = of_word[: max(0, len(of_word) - minimiser + 1)] == of_word[minimiser - 1 :]
                 new = gram_hashes(piece.word_hashes(), minimiser)[inside] >> np.uint64(1)
                 total += len(new)
-                grams, n, less = _heaviest(np.concatenate((grams, new)), np.concatenate((n, np.ones(len(new), dtype=np.int64))), remember)
-                lost += less
+                held.append(new)
+                size += len(new)
+                if size >= remember:
+                    merge()
+        merge()
         # no count is more than lost too small; -1 stands for all grams. What tasks do not send of a hot gram is less than half of it
-        met = n + lost > total / share
+        met = n + lost > max(total / (2 * share), least)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(grams[met].astype(np.int64), -1)), pa.array(np.append(n[met] + lost, total))], ["gram", "n"])
 
     counts = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -274,7 +288,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * parallelism(spark), -(-n_bytes // BUCKET_BYTES))
-    hot = hot_grams(docs, minimiser, buckets, max(4 * spark.sparkContext.defaultParallelism, -(-n_bytes // COUNT_BYTES)))
+    hot = hot_grams(docs, minimiser, buckets, max(spark.sparkContext.defaultParallelism, -(-n_bytes // COUNT_BYTES)))
     sent = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
     return sent.repartition(buckets, "bucket").mapInArrow(_sort(window), "doc_id long, key long, first int, last int")
 
