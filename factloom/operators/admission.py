@@ -24,6 +24,7 @@ def rules() -> list[tuple[str, Column]]:
         ("confidence_is_earned", c("confidence").isin("measured", "derived") & ~c("is_verifier")),
         ("confidence_known", c("confidence").isNull() | ~c("confidence").isin(*CLASSES)),
         ("derived_requires_inputs", (c("confidence") == "derived") & (F.coalesce(F.size("derived_from"), F.lit(0)) < 1)),
+        ("episode_evidence_is_never_measured", c("confidence").isin("measured", "derived") & c("source").startswith("episode:")),
         ("evidence_required", _blank("source")),
         ("failed_requires_reopen_if", (c("kind") == "failed") & _blank("reopen_if")),
         ("failure_requires_why", c("kind").isin("failed", "dead") & _blank("why")),
@@ -47,32 +48,50 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
-def exclusion(rows: DataFrame) -> DataFrame:
-    """id and accepted of machine-tier rows: a row is refused if its period overlaps that of a row of its key accepted before it.
+def exclusion(rows: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """id and accepted of machine-tier rows: a row is refused if its period overlaps that of a live row of its key, or of one accepted before it.
 
-    Rows come sorted by key and id and are folded as they stream by; a task holds the accepted periods of one key only,
-    which are disjoint.
+    A row that supersedes one of its key frees that one's period, if it is accepted. Rows come sorted by key, live ones
+    first, and id, and are folded as they stream by; a task holds the accepted periods of one key only, which are disjoint.
     """
-    key = F.concat_ws("\u0001", "scope", "subject", "predicate")
     last = F.lit((1 << 62)).cast("long")
-    cut = rows.where(F.col("confidence").isin("measured", "derived")).select(key.alias("key"), "id", F.unix_micros(F.col("valid_from").cast("timestamp")).alias("a"), F.coalesce(F.unix_micros(F.col("valid_to").cast("timestamp")), last).alias("b"))
+
+    def cut(df: DataFrame, new: int) -> DataFrame:
+        key = F.concat_ws("\u0001", "scope", "subject", "predicate")
+        target = F.col("supersedes") if new and "supersedes" in df.columns else F.lit(None).cast("long")
+        df = df.where(F.col("confidence").isin("measured", "derived"))
+        return df.select(key.alias("key"), F.lit(new).alias("new"), "id", target.alias("target"), F.unix_micros(F.col("valid_from").cast("timestamp")).alias("a"), F.coalesce(F.unix_micros(F.col("valid_to").cast("timestamp")), last).alias("b"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, starts, ends = None, [], []
+        held, starts, ends, periods = None, [], [], {}
         for batch in batches:
-            ids, out = batch["id"].to_pylist(), []
-            for k, a, b in zip(batch["key"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            ids, out = [], []
+            for k, new, i, target, a, b in zip(*(batch[c].to_pylist() for c in ("key", "new", "id", "target", "a", "b")), strict=True):
                 if k != held:
-                    held, starts, ends = k, [], []
+                    held, starts, ends, periods = k, [], [], {}
+                freed = periods.get(target)
+                if freed:
+                    where = bisect.bisect_left(starts, freed[0])
+                    del starts[where], ends[where]
                 at = bisect.bisect_left(starts, b)
                 free = at == 0 or ends[at - 1] <= a
                 if free:
                     starts.insert(at, a)
                     ends.insert(at, b)
-                out.append(free)
+                    periods[i] = (a, b)
+                    if freed:
+                        del periods[target]
+                elif freed:
+                    where = bisect.bisect_left(starts, freed[0])
+                    starts.insert(where, freed[0])
+                    ends.insert(where, freed[1])
+                if new:
+                    ids.append(i)
+                    out.append(free)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.bool_())], ["id", "accepted"])
 
-    return cut.repartition("key").sortWithinPartitions("key", "id").mapInArrow(fold, "id long, accepted boolean")
+    both = cut(rows, 1) if live is None else cut(live, 0).union(cut(rows, 1))
+    return both.repartition("key").sortWithinPartitions("key", "new", "id").mapInArrow(fold, "id long, accepted boolean")
 
 
 def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:

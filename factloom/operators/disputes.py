@@ -43,17 +43,29 @@ def history(ledger: DataFrame, tiers: Sequence[str]) -> DataFrame:
 
 
 def evaluate(gates: DataFrame, ledger: DataFrame, scopes: Sequence[str]) -> DataFrame:
-    """gates (mission, gate, subject, predicate, op, target, requires_confidence) with reached, actual, evidence and resolved_scope.
+    """gates (mission, gate, subject, predicate, op, target, requires_confidence) with reached, actual, unit, evidence, resolved_scope and why_null.
 
-    The evidence is the live measured row of exactly the class asked for, of the nearest scope, the newest first; without it
+    Numbers are compared as such; of other values, text in target or value, = and != compare the text and order is null. The evidence is the live measured row of exactly the class asked for, of the nearest scope, the newest first; without it
     reached is null. All gates are answered by one join with an aggregate.
     """
     rows = with_chain(live(ledger), scopes).where("kind = 'measured'")
-    best = rows.groupBy("subject", "predicate", F.col("confidence").alias("requires_confidence")).agg(F.min_by(F.struct("value", "id", "scope"), F.struct("ord", -F.col("asserted_at"))).alias("_e"))
+    unit = F.col("unit") if "unit" in ledger.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("unit", unit)
+    best = rows.groupBy("subject", "predicate", F.col("confidence").alias("requires_confidence")).agg(F.min_by(F.struct("value", "unit", "id", "scope"), F.struct("ord", -F.col("asserted_at"))).alias("_e"))
     x, y = F.col("_e.value"), F.col("target")
-    reached = F.when(F.col("op") == ">=", x >= y).when(F.col("op") == "<=", x <= y).when(F.col("op") == ">", x > y).when(F.col("op") == "<", x < y).when(F.col("op") == "=", x == y).when(F.col("op") == "!=", x != y)
+    if "string" in (gates.schema["target"].dataType.simpleString(), ledger.schema["value"].dataType.simpleString()):
+        p, q = F.try_to_number(x.cast("string"), F.lit("S999999999999999.999999999")), F.try_to_number(y.cast("string"), F.lit("S999999999999999.999999999"))
+        plain = F.when(F.col("op") == "=", x.cast("string") == y.cast("string")).when(F.col("op") == "!=", x.cast("string") != y.cast("string"))
+        reached = F.when(p.isNotNull() & q.isNotNull(), _compared(p, q)).otherwise(plain)
+    else:
+        reached = _compared(x, y)
     out = gates.join(best, ["subject", "predicate", "requires_confidence"], "left")
-    return out.select(*gates.columns, reached.alias("reached"), x.alias("actual"), F.col("_e.id").alias("evidence"), F.col("_e.scope").alias("resolved_scope"))
+    why = F.when(F.col("_e.id").isNull(), "no live assertion of the required confidence class in scope")
+    return out.select(*gates.columns, reached.alias("reached"), x.alias("actual"), F.col("_e.unit").alias("unit"), F.col("_e.id").alias("evidence"), F.col("_e.scope").alias("resolved_scope"), why.alias("why_null"))
+
+
+def _compared(x: Column, y: Column) -> Column:
+    return F.when(F.col("op") == ">=", x >= y).when(F.col("op") == "<=", x <= y).when(F.col("op") == ">", x > y).when(F.col("op") == "<", x < y).when(F.col("op") == "=", x == y).when(F.col("op") == "!=", x != y)
 
 
 def missions(evaluated: DataFrame) -> DataFrame:
@@ -70,3 +82,20 @@ def duplicates(rows: DataFrame, keys: Sequence[str], order: str, row: str) -> Da
     """Rows of a key beyond the first, with the first one's id."""
     first = rows.groupBy(*keys).agg(F.min_by(row, F.struct(order, row)).alias("keeps"))
     return rows.join(first, list(keys)).where(F.col(row) != F.col("keeps"))
+
+
+def on_chain(missions_: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """Live missions of a chain, the nearest scope first, then the oldest."""
+    return with_chain(missions_.where("superseded_by IS NULL"), scopes).orderBy("ord", "asserted_at", "id")
+
+
+def listed(pairs: DataFrame, resolutions: DataFrame, status: str, limit: int = 100) -> DataFrame:
+    """Contradictions with their status, open unless a resolution (pair_key, status, resolved_by, at) closes them, the last one counting; those of a status, newest first."""
+    last = resolutions.where(F.col("resolved_by").isNotNull()).groupBy("pair_key").agg(F.max_by(F.struct("status", "resolved_by"), F.struct("at", "status")).alias("r"))
+    out = pairs.join(last, "pair_key", "left").withColumn("status", F.coalesce("r.status", F.lit("open"))).withColumn("resolved_by", F.col("r.resolved_by")).drop("r")
+    return out.where(F.col("status") == status).orderBy(F.desc(F.greatest("a_id", "b_id")), "pair_key").limit(min(max(limit, 1), 500))
+
+
+def contradiction_id(pair_key: str) -> Column:
+    """An id that a pair always has."""
+    return F.concat(F.lit("c_"), F.substring(F.sha2(pair_key, 256), 1, 26))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -96,3 +98,178 @@ def newest_within(rows: DataFrame, budget: int) -> DataFrame:
     within = Window.partitionBy("_day").orderBy(F.desc("occurred_at"), F.desc("id"))
     out = day.withColumn("_w", F.sum("_n").over(within)).join(F.broadcast(starts), "_day")
     return out.select("id", (F.col("_before") + F.col("_w")).alias("upto")).where(F.col("upto") <= budget)
+
+
+#: What a respelling of a term is worth beside the term itself.
+DISCOUNT = {"exact": 1.0, "abbrev": 0.9, "numeric": 0.9, "stem": 0.7, "split": 0.5}
+#: Words of a question that say nothing about its subject.
+STOP = frozenset("a an and are as at be been but by did do does for from had has have how i in is it its me my of on or our say said that the their them then there they this to us was we were what when where which who why will with you your".split())
+#: Probes of a question at most, and turns of a window shown at most.
+MOST_PROBES, WINDOW_CAP = 24, 60
+
+
+def content_terms(question: str) -> list[str]:
+    """The words of a question that may find something, each once."""
+    words = re.findall(r"[^\W_]+(?:[_./-][^\W_]+)*", question.lower())
+    return list(dict.fromkeys(w for w in words if w not in STOP and len(w) > 1))
+
+
+def variants(term: str) -> list[tuple[str, str]]:
+    """(form, kind) of a term: itself, its stem, the parts of a compound; plain numbers and very short forms are left out."""
+    out = [(term, "exact")]
+    for end in ("ing", "ed", "es", "s"):
+        if term.endswith(end) and len(term) - len(end) >= 3:
+            out.append((term[: -len(end)], "stem"))
+            break
+    parts = [p for p in re.split(r"[_./-]+", term) if len(p) >= 3 and not p.isdigit()]
+    out += [(p, "split") for p in parts if len(parts) > 1]
+    return list({form: (form, kind) for form, kind in reversed(out)}.values())[::-1]
+
+
+def holds(text: str, probe: Column) -> Column:
+    return F.contains(F.lower(text), probe)
+
+
+def weighed(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """term, probe, via, df and idf of the spellings of terms that occur: (ln(n / df) + 1) times the spelling's discount.
+
+    The probes, MOST_PROBES at most, are counted in one pass over the turns, each in its own column.
+    """
+    probes = [(t, form, kind) for t in terms for form, kind in variants(t)][:MOST_PROBES]
+    if not probes:
+        return rows.sparkSession.createDataFrame([], "term string, probe string, via string, df long, idf double")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(holds("text", F.lit(p))).alias(f"p{i}") for i, (_, p, _) in enumerate(probes)))
+    each = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("probe"), F.lit(k).alias("via"), F.lit(DISCOUNT[k]).alias("_w"), F.col(f"p{i}").alias("df")) for i, (t, p, k) in enumerate(probes)))
+    out = counts.select("n", F.explode(each).alias("x")).select("n", "x.*").where("df > 0")
+    return out.select("term", "probe", "via", "df", F.round((F.ln(F.col("n") / F.col("df")) + 1) * F.col("_w"), 3).alias("idf"))
+
+
+def scored(rows: DataFrame, plan: Sequence[tuple[str, float]], rare: float) -> DataFrame:
+    """rows with matched (the probes found, in order), score and strong: two probes, or one that is rare. plan: (probe, idf), few."""
+    found = F.array_compact(F.array(*(F.when(holds("text", F.lit(p)), F.struct(F.lit(p).alias("p"), F.lit(float(w)).alias("w"))) for p, w in plan))) if plan else F.array().cast("array<struct<p:string,w:double>>")
+    total = F.aggregate("_found", F.lit(0.0), lambda a, x: a + x["w"])
+    out = rows.withColumn("_found", found).withColumn("score", F.round(total / (1 + F.ln(1 + F.length("text") / 240)), 4))
+    strong = (F.size("_found") >= 2) | F.exists("_found", lambda x: x["w"] >= rare)
+    return out.withColumn("strong", strong).withColumn("matched", F.array_join(F.transform("_found", lambda x: x["p"]), ",")).drop("_found")
+
+
+def recalled(rows: DataFrame, question: str, window: tuple | None = None, limit: int = 12) -> DataFrame:
+    """The turns that answer a question best: id, session, seq, occurred_at, matched, score and tier.
+
+    In the window (since, until: end exclusive), or everywhere if it holds no turn. Turns with a match come first, then
+    by score, then the earlier one. If no turn of a window tells anything apart, the window itself is the answer: up to
+    WINDOW_CAP of its turns in order of time.
+    """
+    limit = min(max(limit, 1), 100)
+    plan = [(r["probe"], r["idf"]) for r in weighed(rows, content_terms(question)).orderBy(F.desc("idf"), "probe").collect()]  # MOST_PROBES at most
+    n = rows.count()
+    rare = math.log(max(n, 4) / 4) + 1
+    inside = rows
+    if window:
+        within = (F.col("occurred_at") >= window[0]) & (F.col("occurred_at") < window[1])
+        inside = rows.where(within)
+        if inside.isEmpty():
+            inside, window = rows, None
+    hits = scored(inside, plan, rare)
+    if window is None:
+        hits = hits.where("matched <> ''")
+    tier = F.when(F.col("strong"), "term+window" if window else "term").otherwise("window")
+    keep = ["id", "session", "seq", "occurred_at", "matched", "score", tier.alias("tier")]
+    top = hits.orderBy(F.desc(F.col("matched") != ""), F.desc("score"), "occurred_at", "id").limit(limit).select(*keep)
+    if window and hits.where("strong").isEmpty():
+        return hits.orderBy("occurred_at", "id").limit(WINDOW_CAP).select(*keep)
+    return top
+
+
+def bounds(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+
+
+def tail(rows: DataFrame, session: int, k: int) -> DataFrame:
+    """The newest k turns of a session, in order."""
+    return rows.where(F.col("session") == session).orderBy(F.desc("seq")).limit(k).orderBy("seq")
+
+
+def branches(rows: DataFrame) -> DataFrame:
+    """Branches by their number of turns, then by name."""
+    return rows.where("branch IS NOT NULL").groupBy("branch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "branch")
+
+
+def searched(rows: DataFrame, phrase: str, limit: int) -> DataFrame:
+    """Tiers of a search one after another, each turn in its first one: the phrase, all its words, and only if both find nothing any of its words; limit in all, best tier and newest first."""
+    best = tiered(rows, phrase).join(rows.select("id", "occurred_at"), "id")
+    if best.isEmpty():
+        words = [w for w in phrase.lower().split() if w]
+        best = rows.where(F.arrays_overlap(F.array(*map(F.lit, words)), tokens("text"))).select("id", "session", "seq", F.lit(3).alias("tier"), "occurred_at")
+    return best.orderBy("tier", F.desc("occurred_at"), F.desc("id")).limit(limit)
+
+
+def filtered(rows: DataFrame, role: str | None = None, actor: int | None = None, since=None, until=None, limit: int = 50) -> DataFrame:
+    """A search by filters alone, newest first; until is inclusive here."""
+    for test in (role is not None and F.col("role") == role, actor is not None and F.col("actor") == actor, since is not None and F.col("occurred_at") >= since, until is not None and F.col("occurred_at") <= until):
+        if test is not False:
+            rows = rows.where(test)
+    return rows.orderBy(F.desc("occurred_at"), F.desc("id")).limit(min(max(limit, 1), 500))
+
+
+def needle(text: str) -> str:
+    """A pattern for text as a whole word, in either case."""
+    return rf"(?i)(^|[^A-Za-z0-9_]){re.escape(text)}($|[^A-Za-z0-9_])"
+
+
+def mentions(rows: DataFrame, symbol: Sequence[str], path: Sequence[str], basename: Sequence[str], limit: int) -> DataFrame:
+    """Turns that name code, by the surest way each: symbol, path, basename; then newest first. Needles are few."""
+    any_of = lambda names: F.lit(False) if not names else F.col("text").rlike("|".join(map(needle, names)))
+    why = F.when(any_of(symbol), "symbol").when(any_of(path), "path").when(any_of(basename), "basename")
+    rank = F.when(F.col("why") == "symbol", 0).when(F.col("why") == "path", 1).otherwise(2)
+    return rows.withColumn("why", why).where("why IS NOT NULL").orderBy(rank, F.desc("occurred_at"), F.desc("id")).limit(min(max(limit, 1), 200))
+
+
+def echoes(rows: DataFrame, turns: int = 40, run: int = 12, chars: int = 4000) -> DataFrame:
+    """Human turns that repeat a run of words of one of the session's last agent turns, each read up to chars: an echo is not the human's own word.
+
+    Runs are hashed and joined on session and run; an agent turn counts if fewer than turns others lie between.
+    """
+    words = F.filter(F.split(F.lower(F.col("_t")), r"\s+"), lambda w: w != "")
+    agents = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.withColumn("_a", F.count_if(F.col("role") == "agent").over(agents)).withColumn("_t", F.when(F.col("role") == "agent", F.substring("text", 1, chars)).otherwise(F.col("text")))
+    each = each.where(F.col("role").isin("agent", "human")).select("id", "session", "role", "_a", words.alias("w")).where(F.size("w") >= run)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (run - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, run), " ")))
+    each = each.select("id", "session", "role", "_a", F.explode(F.array_distinct(grams)).alias("g"))
+    said = each.where("role = 'agent'").select("session", "g", F.col("_a").alias("_said"))
+    mine = each.where("role = 'human'").join(said, ["session", "g"]).where((F.col("_said") <= F.col("_a")) & (F.col("_said") > F.col("_a") - turns))
+    return mine.groupBy("id").agg(F.countDistinct("g").alias("runs"))
+
+
+def transcript(lines: DataFrame) -> DataFrame:
+    """Utterances from the lines (path, line, value) of JSONL transcripts: path, line, seq, session, uuid, parent, role, at, branch and text.
+
+    Malformed lines are passed over. Every other record of a session counts for seq, so seq has holes where records say
+    nothing: meta records, summaries, records for display only, tool results, and texts that are one tag or a short note
+    in brackets.
+    """
+    block = "array<struct<type:string,text:string>>"
+    schema = "type string, timestamp string, sessionId string, uuid string, parentUuid string, gitBranch string, isMeta boolean, isCompactSummary boolean, isVisibleInTranscriptOnly boolean, message struct<role:string,content:variant>"
+    r = F.col("r")
+    rows = lines.select("path", "line", F.from_json("value", schema).alias("r")).where(r.isNotNull() & r["sessionId"].isNotNull())
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("path", "r.sessionId").orderBy("line")) - 1)
+    content = r["message"]["content"]
+    blocks = F.filter(F.try_variant_get(content, "$", block), lambda b: b["type"] == "text")
+    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.nullif(F.array_join(F.transform(blocks, lambda b: b["text"]), "\n"), F.lit("")))
+    role = F.when(r["message"]["role"] == "user", "human").when(r["message"]["role"] == "assistant", "agent")
+    out = rows.select("path", "line", "seq", r["sessionId"].alias("session"), r["uuid"].alias("uuid"), r["parentUuid"].alias("parent"), role.alias("role"), F.try_to_timestamp(r["timestamp"]).alias("at"), r["gitBranch"].alias("branch"), F.trim(text).alias("text"), r["isMeta"].alias("m"), r["isCompactSummary"].alias("c"), r["isVisibleInTranscriptOnly"].alias("v"))
+    fine = F.col("role").isNotNull() & F.col("at").isNotNull() & (F.coalesce("text", F.lit("")) != "") & ~F.coalesce("m", F.lit(False)) & ~F.coalesce("c", F.lit(False)) & ~F.coalesce("v", F.lit(False))
+    return out.where(fine & ~F.col("text").startswith("<") & ~F.col("text").rlike(r"^\[[^\]]{1,58}\]$")).drop("m", "c", "v")
+
+
+def threaded(rows: DataFrame) -> DataFrame:
+    """rows of transcript() with answers, the seq of the record that each one answers, within its file."""
+    parents = rows.select("path", F.col("uuid").alias("parent"), F.col("seq").alias("answers"))
+    return rows.join(parents, ["path", "parent"], "left")
+
+
+def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """path, line and value of the lines of all *.jsonl files below folder. A file is one partition, as lines are numbered in it."""
+    files = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return lines.where(F.trim("value") != "")

@@ -124,3 +124,81 @@ def keep_newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 def empty_modes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "scope string, mode string, asserted_at long")
+
+
+def answered(ledger: DataFrame, pairs: DataFrame, scopes: Sequence[str], subject: str | None = None, predicate: str | None = None, kind: str | None = None, as_of: int | None = None, limit: int = 50) -> DataFrame:
+    """The whole read: of each subject and predicate the live rows of the nearest scope, with contested and inputs_unresolvable, deepest scope first, then the newest; limit at most.
+
+    Filters come before the nearest scope is chosen. contested is as of now, also for reads of the past. The rows are
+    cut to limit before they are flagged, so flags are looked up for few.
+    """
+    rows = ledger
+    for c, v in (("subject", subject), ("predicate", predicate)):
+        rows = rows if v is None else rows.where(F.col(c) == v)
+    depth = F.size(F.split("scope", "/"))
+    top = take(rows, scopes, as_of, kind).withColumn("depth", depth).orderBy(F.desc("depth"), F.desc("asserted_at"), F.desc("id")).limit(min(max(limit, 1), 500))
+    flagged = unresolvable_inputs(contested(top, pairs), ledger, scopes)
+    return flagged.orderBy(F.desc("depth"), F.desc("asserted_at"), F.desc("id"))
+
+
+def walked(ledger: DataFrame, row: int, most: int = 10_000) -> DataFrame:
+    """The rows of the chain of supersession that a row is in, by walking both ways from it: each step is a join with the few rows of the frontier."""
+    links = ledger.select("id", "supersedes", "superseded_by")
+    front = links.where(F.col("id") == row).checkpoint()
+    found = front.select("id")
+    for _ in range(most):
+        ends = front.select(F.explode(F.array_compact(F.array("supersedes", "superseded_by"))).alias("id")).distinct()
+        front = links.join(F.broadcast(ends), "id").join(F.broadcast(found), "id", "left_anti").checkpoint()  # two rows a step at most, and one chain
+        if front.isEmpty():
+            return ledger.join(F.broadcast(found), "id", "left_semi")
+        found = found.union(front.select("id")).checkpoint()
+    raise ValueError(f"the chain of {row} is longer than {most}")
+
+
+def why(ledger: DataFrame, verifications: DataFrame, pairs: DataFrame, row: int) -> DataFrame:
+    """A row with its last verification, the length of its chain, and its contradictions (a_id, b_id)."""
+    one = ledger.where(F.col("id") == row).select("id", "scope", "subject", "predicate", "confidence", "kind")
+    last = verifications.where(F.col("target") == row).groupBy(F.col("target").alias("id")).agg(F.max_by("outcome", F.struct("checked_at", "id")).alias("outcome"))
+    chain_ = walked(ledger, row).agg(F.count(F.lit(1)).alias("chain_length"))
+    named = pairs_of(pairs, row).agg(F.count(F.lit(1)).alias("contradictions"))
+    return one.join(last, "id", "left").crossJoin(F.broadcast(chain_)).crossJoin(F.broadcast(named))  # one row each
+
+
+def pairs_of(pairs: DataFrame, row: int) -> DataFrame:
+    return pairs.where((F.col("a_id") == row) | (F.col("b_id") == row))
+
+
+def found_on(ledger: DataFrame, scopes: Sequence[str], text: Column, words: Sequence[str], limit: int = 25, exclude_dead: bool = False) -> DataFrame:
+    """search on the scopes of a chain, best rank first, then the newest; limit at most. Dead rows count unless excluded, and nearest scopes do not hide others."""
+    rows = search(ledger.where(F.col("scope").isin(list(scopes))), text, words)
+    rows = rows.where("kind <> 'dead'") if exclude_dead else rows
+    return rows.orderBy(F.desc("rank"), F.desc("asserted_at"), F.desc("id")).limit(min(max(limit, 1), 200))
+
+
+def state(ledger: DataFrame, pairs: DataFrame, evaluated: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """What stands on a chain, in one row: the sequence, live rows, those of each class, binding ones, open contradictions, gates reached, missed and awaiting evidence."""
+    here = live(ledger).where(F.col("scope").isin(list(scopes)))
+    n = lambda when: F.count_if(when)
+    counts = here.agg(F.count(F.lit(1)).alias("n_live"), *(n(F.col("confidence") == c).alias(c.replace("-", "_")) for c in ("measured", "derived", "unverified", "confirmed-by-human")), n(F.col("binding")).alias("binding"))
+    at = ledger.agg(F.max("asserted_at").alias("sequence"))
+    disputes_ = pairs.where(F.col("scope").isin(list(scopes))).agg(F.count(F.lit(1)).alias("contradictions"))
+    gates = evaluated.agg(n(F.col("reached")).alias("reached"), n(~F.col("reached")).alias("missed"), n(F.col("reached").isNull()).alias("awaiting"))
+    return counts.crossJoin(at).crossJoin(disputes_).crossJoin(gates)  # one row each
+
+
+def enforced_rules(ledger: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """Rules and constraints that a chain answers with, binding ones first, then the deepest, the newest, the subject."""
+    both = take(ledger, scopes, kind="rule").unionByName(take(ledger, scopes, kind="constraint"))
+    return both.orderBy(F.desc("binding"), F.desc(F.size(F.split("scope", "/"))), F.desc("asserted_at"), "subject", "id")
+
+
+def packed_lines(lines: DataFrame, budget: int) -> DataFrame:
+    """Lines (place, text, mandatory) within a budget of bytes: mandatory ones all, others in order of place while they and what comes before fit. A line takes its bytes and a line end.
+
+    Lines are few, the answer to one question, so one window sums them.
+    """
+    size = F.octet_length("text") + 1
+    must = lines.where("mandatory").agg(F.coalesce(F.sum(size), F.lit(0)).alias("_must"))
+    run = Window.partitionBy("mandatory").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    out = lines.withColumn("_upto", F.sum(size).over(run)).crossJoin(F.broadcast(must))  # one row
+    return out.where(F.col("mandatory") | (F.col("_must") + F.col("_upto") <= budget)).drop("_upto", "_must")

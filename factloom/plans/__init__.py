@@ -1 +1,3 @@
-"""plans of factloom."""
+"""The registered queries of factloom; importing this registers all of them in catalogue."""
+
+from . import answers, catalogue, code, talk  # noqa: F401

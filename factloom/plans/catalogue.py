@@ -31,7 +31,8 @@ ledger AS (SELECT *, lag(id) OVER w AS supersedes, lead(id) OVER w AS superseded
 live AS (SELECT * FROM ledger WHERE superseded_by IS NULL),
 chain AS (SELECT * FROM (VALUES ('org/acme/proj/a', 1), ('org/acme', 2)) v(scope, ord)),
 episodes AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session, turn AS seq, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'agent' ELSE 'system' END AS role,
-  TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS BIGINT)) + to_minutes(CAST(turn AS BIGINT)) AS occurred_at, coalesce(text, '') AS text FROM conversations),
+  TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS BIGINT)) + to_minutes(CAST(turn AS BIGINT)) AS occurred_at, coalesce(text, '') || CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN '?' ELSE '' END AS text,
+  CASE WHEN conv_id % 7 <> 0 THEN 'branch-' || (conv_id % 4) END AS branch, conv_id % 5 AS actor FROM conversations),
 fb AS (SELECT arg_min(struct_pack(id := event_id, scope := ['org/acme', 'org/acme/proj/a', 'org/acme/proj/b'][1 + user_id % 3], value := value, created_at := ts), event_id) AS e,
   user_id AS actor, event_type || ':' || (event_id % 50) AS signature, CAST(ts AS DATE) AS occasion FROM events GROUP BY 2, 3, 4),
 feedback AS (SELECT actor, signature, occasion, e.id AS id, e.scope AS scope, e.value AS value, e.created_at AS created_at FROM fb),
@@ -45,7 +46,17 @@ edges AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey + 1) % (S
   ['calls', 'imports', 'tests', 'implements', 'uses', 'extends', 'instantiates'][1 + (l_linenumber - 1) % 7] AS kind,
   CASE l_returnflag WHEN 'A' THEN 'unverified' WHEN 'N' THEN 'derived' ELSE 'measured' END AS confidence FROM lineitem),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS ls FROM documents)),
-prose AS (SELECT * FROM lines WHERE trim(text, ' ') <> '')
+prose AS (SELECT * FROM lines WHERE trim(text, ' ') <> ''),
+note AS (SELECT p_partkey AS doc_id, concat_ws(chr(10), '# ' || p_brand, replace(p_name, ' ', '_') || ': ' || p_size || ' mm', 'The ' || p_name || ' is now ' || p_size || ' kg.', 'widget_' || p_size || ' is a ' || lower(p_type) || ' part.',
+  CASE WHEN p_partkey % 5 = 0 THEN 'this estimate is 3 mm.' ELSE 'You must never mix small parts with large ones.' END, CASE WHEN p_partkey % 3 = 0 THEN '```' || chr(10) || 'size: 4 mm' || chr(10) || '```' ELSE '> quoted: 5 mm' END,
+  CASE WHEN p_partkey % 4 = 0 THEN 'const LIMIT: u32 = 1_' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ';' ELSE 'static_assert(width % ' || p_size || ');' END) AS text FROM part),
+noted AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS text FROM note),
+code AS (SELECT p_partkey AS id, ['trait', 'type', 'method', 'method', 'method', 'method', 'function', 'function', 'test', 'const'][1 + p_partkey % 10] AS kind,
+  CASE p_partkey % 10 WHEN 0 THEN 'Tr' || p_partkey WHEN 1 THEN 'T' || p_partkey ELSE 'm' || (p_size % 8) END AS name,
+  CASE WHEN p_partkey % 10 = 0 THEN 'Tr' || p_partkey WHEN p_partkey // 10 % 4 = 3 THEN NULL WHEN p_partkey % 10 = 1 THEN 'T' || p_partkey ELSE 'T' || (p_partkey - p_partkey % 10 + 1) || '::m' || (p_size % 8) END AS fqn,
+  'f' || (p_partkey // 10) || '.py' AS path, p_partkey % 10 * 10 + 1 AS line_start, p_partkey % 10 * 10 + 1 + CASE p_partkey % 10 WHEN 0 THEN 45 WHEN 1 THEN 60 ELSE 5 END AS line_end,
+  CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'rust' END AS family, p_partkey % 3 = 0 AS is_declaration, p_partkey % 50 AS index_id FROM part),
+cedges AS (SELECT src, dst, kind, confidence FROM edges WHERE kind <> 'implements' UNION ALL SELECT p_partkey, p_partkey // 10 % 5 * 10, 'implements', ['unverified', 'derived', 'measured'][1 + p_partkey // 10 % 3] FROM part WHERE p_partkey % 10 = 1)
 """
 
 
@@ -130,7 +141,7 @@ def chain_head(spark, d):
 forth AS (SELECT id, superseded_by FROM ledger WHERE id = 100 UNION SELECT l.id, l.superseded_by FROM ledger l JOIN forth f ON l.id = f.superseded_by)
 SELECT id, scope, subject, value, asserted_at FROM ledger WHERE id IN (SELECT id FROM back UNION SELECT id FROM forth)""")
 def lineage_full(spark, d):
-    return reads.lineage(t.ledger(spark, d), 100).select("id", "scope", "subject", "value", "asserted_at")
+    return reads.walked(t.ledger(spark, d), 100).select("id", "scope", "subject", "value", "asserted_at")
 
 
 @query("SELECT confidence, count(*) AS n, count(*) FILTER (binding) AS n_binding FROM live GROUP BY confidence")
@@ -165,7 +176,7 @@ def contradictions_autoclosed(spark, d):
 
 _GATES = [
     ("m1", 1, "user:1", "purchase", ">=", 50.0, "measured"), ("m1", 2, "user:2", "click", "<=", 80.0, "derived"), ("m1", 3, "user:3", "view", ">", 10.0, "unverified"),
-    ("m2", 4, "user:4", "error", "<", 30.0, "confirmed-by-human"), ("m2", 5, "user:5", "signup", "=", 12.0, "measured"), ("m3", 6, "user:6", "click", "!=", 3.0, "derived"), ("m3", 7, "nobody", "click", ">=", 1.0, "measured"),
+    ("m2", 4, "user:4", "error", "<", 30.0, "confirmed-by-human"), ("m2", 5, "user:5", "signup", "=", 12.0, "measured"), ("m3", 6, "user:6", "click", "!=", 3.0, "derived"), ("m3", 7, "nobody", "click", ">=", 1.0, "measured"), ("m4", 8, "user:7", "view", "<", -1.0, "confirmed-by-human"),
 ]
 _GATE_SQL = f"""gates AS (SELECT * FROM (VALUES {", ".join(map(str, _GATES))}) v(mission, gate, subject, predicate, op, target, requires_confidence)),
 evidence AS (SELECT * FROM live JOIN chain USING (scope) WHERE kind = 'measured' QUALIFY row_number() OVER (PARTITION BY subject, predicate, confidence ORDER BY ord, asserted_at DESC) = 1),
@@ -173,6 +184,9 @@ evaluated AS (SELECT g.*, CASE op WHEN '>=' THEN value >= target WHEN '<=' THEN
  value AS actual, id AS evidence, scope AS resolved_scope FROM gates g LEFT JOIN evidence e ON e.subject = g.subject AND e.predicate = g.predicate AND e.confidence = g.requires_confidence)"""
 
 
+_GATE_COLUMNS = ["mission", "gate", "subject", "predicate", "op", "target", "requires_confidence", "reached", "actual", "evidence", "resolved_scope"]
+
+
 def _gates(spark, d):
     gates = spark.createDataFrame(_GATES, "mission string, gate int, subject string, predicate string, op string, target double, requires_confidence string")
     return disputes.evaluate(gates, t.ledger(spark, d), CHAIN)
@@ -180,7 +194,7 @@ def _gates(spark, d):
 
 @query(f"WITH {_GATE_SQL} SELECT mission, gate, subject, predicate, op, CAST(target AS DOUBLE) AS target, requires_confidence, reached, actual, evidence, resolved_scope FROM evaluated")
 def gate_eval_all_ops(spark, d):
-    return _gates(spark, d)
+    return _gates(spark, d).select(*_GATE_COLUMNS)
 
 
 @query(f"WITH {_GATE_SQL} SELECT mission, count(*) AS gates, count(*) FILTER (reached) AS reached, count(*) FILTER (NOT reached) AS missed, count(*) FILTER (reached IS NULL) AS awaiting FROM evaluated GROUP BY mission")
@@ -204,7 +218,13 @@ def admit_reasons(spark, d):
     return admission.reasons(t.candidates(spark, d)).select("id", "reason")
 
 
-@query()
+@query("""WITH c AS (SELECT event_id AS id, event_id AS i, user_id, event_type, ts, ['measured', 'failed', 'dead', 'state', 'guess'][1 + event_id % 5] AS kind FROM events WHERE event_id % 4 < 2),
+r AS (SELECT id, ts AS a, CASE WHEN i % 2 = 0 THEN ts + INTERVAL 2 DAY ELSE TIMESTAMP '9999-01-01' END AS b, (user_id % 3) || '|' || (user_id % 20) || '|' || event_type AS k, row_number() OVER (PARTITION BY user_id % 3, user_id % 20, event_type ORDER BY id) AS rn FROM c
+ WHERE i % 19 <> 0 AND NOT (i % 4 = 1 AND i % 17 = 1) AND i % 11 <> 0 AND NOT (kind = 'failed' AND i % 9 = 1) AND kind <> 'guess' AND NOT (i % 4 = 0 AND i % 13 = 0) AND i % 37 <> 0 AND i % 41 <> 0 AND i % 29 <> 0),
+fold AS (SELECT k, rn, id, true AS accepted, [struct_pack(a := a, b := b)] AS held FROM r WHERE rn = 1
+ UNION ALL SELECT k, rn, id, len(hit) = 0, CASE WHEN len(hit) = 0 THEN list_append(held, struct_pack(a := a, b := b)) ELSE held END FROM (
+  SELECT r.*, fold.held, list_filter(fold.held, lambda h: h.a < r.b AND r.a < h.b) AS hit FROM fold JOIN r ON r.k = fold.k AND r.rn = fold.rn + 1))
+SELECT id, accepted FROM fold""")
 def admit_exclusion(spark, d):
     return admission.exclusion(admission.split(t.candidates(spark, d))[0])
 
@@ -355,11 +375,10 @@ def retention_doomed(spark, d):
     return reads.keep_newest(t.table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3).select(F.col("o_orderkey").alias("index_id"), "doomed")
 
 
-@query("SELECT DISTINCT language FROM symbols WHERE language NOT IN (SELECT s.language FROM edges e JOIN symbols s ON s.id = e.dst WHERE e.kind = 'tests' AND e.confidence = 'measured')")
+@query("SELECT DISTINCT c_custkey % 50 AS index_id, l AS language FROM customer, (VALUES ('rust'), ('python'), ('cuda')) v(l) WHERE (c_custkey % 50, l) NOT IN (SELECT p_partkey % 50, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'rust' END FROM part)")
 def silent_languages(spark, d):
-    s, e = t.symbols(spark, d), t.edges(spark, d).where("kind = 'tests' AND confidence = 'measured'")
-    heard = e.join(s, e["dst"] == s["id"]).select("language").distinct()
-    return s.select("language").distinct().join(heard, "language", "left_anti")
+    declared = t.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("index_id"), F.explode(F.array(*map(F.lit, ("rust", "python", "cuda")))).alias("language")).distinct()
+    return graph.silent(declared, t.code(spark, d).select("index_id", F.col("family").alias("language")))
 
 
 _PREFS = """prefs AS (SELECT scope, signature, count(*) AS occasions, count(DISTINCT actor) AS humans, min(created_at) AS first_seen, max(created_at) AS last_seen, arg_max(value, (created_at, id)) AS latest,
@@ -391,36 +410,39 @@ def bm25_lines(spark, d):
 
 
 _KV = r"""kv AS (SELECT doc_id, line, lower(regexp_extract(text, '^\s*([A-Za-z][A-Za-z _-]{1,40})\s*[:=]\s*(\S.{0,60})$', 1)) AS predicate, regexp_extract(text, '^\s*([A-Za-z][A-Za-z _-]{1,40})\s*[:=]\s*(\S.{0,60})$', 2) AS object
- FROM prose WHERE regexp_matches(text, '^\s*([A-Za-z][A-Za-z _-]{1,40})\s*[:=]\s*(\S.{0,60})$'))"""
+ FROM noted WHERE regexp_matches(text, '^\s*([A-Za-z][A-Za-z _-]{1,40})\s*[:=]\s*(\S.{0,60})$'))"""
 
 
 @query(f"WITH {_KV} SELECT * FROM kv")
 def proposals_kv(spark, d):
-    return prose.key_values(prose.lines(t.table(spark, d, "documents")))
+    return prose.key_values(prose.lines(t.notes(spark, d)))
 
 
 @query(f"WITH {_KV} SELECT predicate, arg_min(doc_id, (doc_id, line)) AS doc_id, arg_min(line, (doc_id, line)) AS line, count(*) AS n FROM kv GROUP BY predicate")
 def proposals_dedup(spark, d):
-    return prose.first_of_each(prose.key_values(prose.lines(t.table(spark, d, "documents"))), ["predicate"])
+    return prose.first_of_each(prose.key_values(prose.lines(t.notes(spark, d))), ["predicate"])
 
 
-@query(r"""WITH doctrine AS (SELECT doc_id, line, text FROM prose WHERE regexp_matches(lower(text), '\b(must|never|license|always)\b'))
-SELECT doc_id, line FROM doctrine WHERE NOT list_has_any(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['mit', 'lint', 'deny'])""")
+@query(r"""WITH w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM (SELECT * FROM prose UNION ALL SELECT doc_id + 1000000, line, text FROM noted)),
+s AS (SELECT *, CASE WHEN list_has_any(ws, ['must', 'never', 'always', 'shall']) THEN 3 WHEN list_has_any(ws, ['should', 'required']) THEN 2 WHEN list_has_any(ws, ['avoid', 'prefer']) THEN 1 END AS strength FROM w WHERE NOT list_contains(ws, 'retracted'))
+SELECT array_to_string(ws, ' ') AS rule, max(strength) AS strength, count(*) AS repeats, arg_min(doc_id, (doc_id, line)) AS doc_id, arg_min(line, (doc_id, line)) AS line, bool_or(list_has_any(ws, ['mit', 'lint', 'deny'])) AS enforced FROM s WHERE strength IS NOT NULL GROUP BY 1""")
 def doctrine_unenforced(spark, d):
-    rows = prose.lines(t.table(spark, d, "documents")).where(F.lower("text").rlike(r"\b(must|never|license|always)\b"))
-    return prose.unenforced(rows, spark.createDataFrame([("mit",), ("lint",), ("deny",)], "token string")).select("doc_id", "line")
+    rows = prose.lines(t.table(spark, d, "documents")).unionByName(prose.lines(t.notes(spark, d)).withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    return prose.doctrine(rows, spark.createDataFrame([("mit",), ("lint",), ("deny",)], "token string"))
 
 
 _NOW = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
 @query(f"""WITH act AS (SELECT user_id % 50 AS node_id, arg_max(event_type, event_id) AS activity, arg_max(ts, event_id) AS activity_at FROM events GROUP BY 1),
-h AS (SELECT node_id, count(*) AS held, count(DISTINCT path) AS paths FROM claims WHERE NOT released GROUP BY node_id)
-SELECT n.node_id, label, scope, epoch(date_trunc('microsecond', {_NOW})) - epoch(heartbeat_at) < 36001 AS live, activity, activity_at, coalesce(held, 0) AS held, coalesce(paths, 0) AS paths
-FROM nodes n LEFT JOIN act USING (node_id) LEFT JOIN h USING (node_id) WHERE NOT retired""")
+h AS (SELECT node_id, string_agg(path, ',' ORDER BY claimed_at, path) AS paths FROM claims WHERE NOT released GROUP BY node_id)
+SELECT n.node_id, label, scope, CASE WHEN n.node_id % 9 = 4 THEN n.node_id % 2 = 0 AND s < 36001 ELSE s < 36001 END AS live, activity, activity_at, coalesce(paths, '') AS paths
+FROM (SELECT *, CAST(floor(epoch({_NOW}) - epoch(heartbeat_at)) AS BIGINT) AS s FROM nodes) n LEFT JOIN act USING (node_id) LEFT JOIN h USING (node_id) WHERE NOT retired AND scope IN ('org/acme', 'org/acme/proj/a')""")
 def fleet_view(spark, d):
     now = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
-    return people.fleet(t.nodes(spark, d), t.activity(spark, d), t.claims(spark, d), now, 36_001)
+    n = F.col("node_id")  # some workers never beat; of these half were seen
+    nodes = t.nodes(spark, d).withColumn("last_seen", F.when(n % 2 == 0, F.col("heartbeat_at"))).withColumn("heartbeat_at", F.when(n % 9 != 4, F.col("heartbeat_at")))
+    return people.fleet(nodes, t.activity(spark, d), t.claims(spark, d), now, 36_001, ["org/acme", "org/acme/proj/a"]).drop("seconds_ago")
 
 
 @query("SELECT path, count(DISTINCT node_id) AS holders, min(claimed_at) AS since FROM claims JOIN nodes USING (node_id) WHERE NOT released AND NOT retired GROUP BY path HAVING count(DISTINCT node_id) > 1")
@@ -452,9 +474,10 @@ def duplicate_shadowed(spark, d):
     return people.shadowed(t.ledger(spark, d)).select("id", "scope", "subject", "predicate")
 
 
-@query("SELECT event_id AS seq, 'assertion.created' AS topic, user_id % 3 AS scope FROM events")
+@query("SELECT event_id AS seq, 'assertion.created' AS topic, user_id % 3 AS scope FROM events WHERE event_id % 3 <> 0")
 def outbox_unconsumed(spark, d):
-    return jobs.outbox(spark, f"{d}/events.parquet")
+    done = t.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("seq"))
+    return jobs.unconsumed(jobs.outbox(spark, f"{d}/events.parquet"), done)
 
 
 @query("SELECT DISTINCT user_id AS actor, event_type AS signature, CAST(ts AS DATE) AS occasion FROM events")

@@ -88,7 +88,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     role = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "agent").otherwise("system")
     at = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id AS INT), CAST(turn AS INT), 0)")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), role.alias("role"), (F.col("conv_id") % 5).alias("actor"), at.alias("occurred_at"), F.coalesce("text", F.lit("")).alias("text"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session"), F.col("turn").alias("seq"), role.alias("role"), (F.col("conv_id") % 5).alias("actor"), at.alias("occurred_at"), F.concat(F.coalesce("text", F.lit("")), F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), "?").otherwise("")).alias("text"), F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("branch-"), (F.col("conv_id") % 4).cast("string"))).alias("branch"))
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +132,63 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("n"))
     e = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))  # one row
     return e.select(F.col("l_partkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey") + 1) % F.col("n")).alias("dst"), _pick(kinds, (F.col("l_linenumber") - 1) % 7).alias("kind"), _pick(trust, ranks).alias("confidence")).distinct()
+
+
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidates, with ids beyond the ledger's, some of which ask to supersede rows of it."""
+    i = F.col("id")
+    target = F.when(i % 35 == 3, i + 200_000_000).when(i % 5 == 3, i - i % 4)
+    return candidates(spark, sf_dir).withColumn("supersedes", target).withColumn("id", i + 1_000_000_000)
+
+
+def missions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missions from orders: a customer's supersede one another in the order of their keys; some are faulty."""
+    i = F.col("o_orderkey")
+    mine = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    gate = F.struct(F.lit("user:1").alias("subject"), F.col("o_orderpriority").alias("predicate"), F.when(i % 11 == 0, "~").otherwise(">=").alias("op"), F.when(i % 13 == 0, "soon").otherwise("5").alias("target"), F.lit("measured").alias("requires_confidence"))
+    gates = F.when(i % 7 == 0, F.array().cast(gate_type())).otherwise(F.array(gate))
+    rows = table(spark, sf_dir, "orders").select(i.alias("id"), i.alias("asserted_at"), _pick(SCOPES, F.col("o_custkey") % 3).alias("scope"), F.when(i % 17 == 0, " ").otherwise(F.concat(F.lit("mission "), (i % 100).cast("string"))).alias("statement"), F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "closed").otherwise("odd").alias("state"), gates.alias("gates"), F.lag(i).over(mine).alias("supersedes"), F.lead(i).over(mine).alias("superseded_by"))
+    return rows
+
+
+def gate_type() -> str:
+    return "array<struct<subject:string,predicate:string,op:string,target:string,requires_confidence:string>>"
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of files of ten each from parts: a trait, a type, methods, functions, a test and a constant; one file in four has no qualified names."""
+    i = F.col("p_partkey")
+    at, file = i % 10, F.floor(i / 10)
+    kind = _pick(("trait", "type", "method", "method", "method", "method", "function", "function", "test", "const"), at)
+    own = F.concat(F.lit("m"), (F.col("p_size") % 8).cast("string"))
+    name = F.when(at == 0, F.concat(F.lit("Tr"), i.cast("string"))).when(at == 1, F.concat(F.lit("T"), i.cast("string"))).otherwise(own)
+    fqn = F.when(at == 0, name).when(file % 4 == 3, None).when(at == 1, name).otherwise(F.concat(F.lit("T"), (i - at + 1).cast("string"), F.lit("::"), own))
+    start = (at * 10 + 1).cast("long")
+    path = F.concat(F.lit("f"), file.cast("string"), F.lit(".py"))
+    return table(spark, sf_dir, "part").select(i.alias("id"), kind.alias("kind"), name.alias("name"), fqn.alias("fqn"), path.alias("path"), start.alias("line_start"), (start + F.when(at == 0, 45).when(at == 1, 60).otherwise(5)).alias("line_end"), F.when(i % 2 == 0, "python").otherwise("rust").alias("family"), (i % 3 == 0).alias("is_declaration"), (i % 50).alias("index_id"))
+
+
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges, types implementing five traits."""
+    i = F.col("p_partkey")
+    types = table(spark, sf_dir, "part").where(i % 10 == 1)
+    own = types.select(i.alias("src"), (F.floor(i / 10) % 5 * 10).alias("dst"), F.lit("implements").alias("kind"), _pick(("unverified", "derived", "measured"), F.floor(i / 10) % 3).alias("confidence"))
+    return edges(spark, sf_dir).where("kind <> 'implements'").unionByName(own)
+
+
+def preferences(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Preferences as an earlier pass over the candidates found may have left them."""
+    n = F.col("occasions")
+    return found.where(n % 3 != 0).select(F.concat_ws("|", "scope", "signature").alias("id"), "scope", "signature", F.when(n % 7 == 1, "personal").otherwise(F.col("tier")).alias("tier"), F.when(n % 4 == 0, n).otherwise(n - 1).alias("occasions"), "humans", F.when(n % 5 == 0, "rejected").otherwise("active").alias("status"), (F.col("tier") == "org").alias("binding"), "last_seen")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of notes on parts: headings, statements of three shapes, code in fences, and lines that state nothing."""
+    i, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    lines = [
+        F.concat(F.lit("# "), F.col("p_brand")), F.concat(name, F.lit(": "), size, F.lit(" mm")), F.concat(F.lit("The "), F.col("p_name"), F.lit(" is now "), size, F.lit(" kg.")),
+        F.concat(F.lit("widget_"), size, F.lit(" is a "), F.lower("p_type"), F.lit(" part.")), F.when(i % 5 == 0, "this estimate is 3 mm.").otherwise("You must never mix small parts with large ones."),
+        F.when(i % 3 == 0, "```\nsize: 4 mm\n```").otherwise("> quoted: 5 mm"), F.when(i % 4 == 0, F.concat(F.lit("const LIMIT: u32 = 1_"), F.lpad(size, 3, "0"), F.lit(";"))).otherwise(F.concat(F.lit("static_assert(width % "), size, F.lit(");"))),
+    ]
+    return table(spark, sf_dir, "part").select(i.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))

@@ -33,7 +33,7 @@ def test_exclusion(spark):
 
 
 BAD = {
-    "confidence_is_earned": {"is_verifier": False}, "confidence_known": {"confidence": "sure"}, "derived_requires_inputs": {"confidence": "derived", "derived_from": []}, "evidence_required": {"source": " "},
+    "confidence_is_earned": {"is_verifier": False}, "confidence_known": {"confidence": "sure"}, "derived_requires_inputs": {"confidence": "derived", "derived_from": []}, "episode_evidence_is_never_measured": {"source": "episode:e1"}, "evidence_required": {"source": " "},
     "failed_requires_reopen_if": {"reopen_if": None}, "failure_requires_why": {"why": ""}, "human_evidence_names_a_human": {"confidence": "confirmed-by-human", "human": None}, "kind_known": {"kind": "guess"},
     "measured_requires_verification": {"verification_id": None}, "predicate_present": {"predicate": None}, "scope_shape": {"scope": "a//b"}, "subject_present": {"subject": ""}, "valid_period_ordered": {"valid_to": 1},
 }
