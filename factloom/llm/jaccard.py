@@ -293,6 +293,23 @@ def likely(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def product(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The product of two blocks of rows (sorted column ids each): i, j and the columns that row i of left and row j of right share, where they share any.
+
+    The blocks' entries are joined on their columns once, and each joint entry adds one to the count of its pair of rows.
+    """
+    rows = [np.repeat(np.arange(len(x)), [len(c) for c in x]) for x in (left, right)]
+    (l_col, r_col) = (np.concatenate(x) for x in (left, right))
+    by = np.argsort(l_col, kind="stable")
+    l_col, l_row = l_col[by], rows[0][by]
+    first, last = np.searchsorted(l_col, r_col, side="left"), np.searchsorted(l_col, r_col, side="right")
+    times = last - first
+    at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+    counts = np.bincount(l_row[at] * len(right) + np.repeat(rows[1], times), minlength=len(left) * len(right))
+    met = np.flatnonzero(counts)
+    return met // len(right), met % len(right), counts[met]
+
+
 def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fraction, order: _Order) -> DataFrame:
     """The pairs (a, b) of rows of the matrix that link. rows: row, and the key of a text that has its set."""
     rows = rows.select("row", "key")
@@ -325,23 +342,29 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "block", "role", "row", "set"])
 
     def accumulate(batches):
-        key, centre_set = None, None
+        # rows come sorted by centre, block and role: the centre, then its partners
+        key, centre, names_, sets = None, None, [], []
+
+        def out():
+            i, j, shared = product([centre], sets)
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            ok = (t.numerator + t.denominator) * shared >= t.numerator * (len(centre) + sizes[j])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), key[0], np.int64)), pa.array(np.array(names_, dtype=np.int64)[j[ok]])], ["a", "b"])
+
         for batch in batches:
-            a_out, b_out = [], []
             for a, block, role, row, data in zip(*(batch[x].to_pylist() for x in ("a", "block", "role", "row", "set")), strict=True):
-                s = np.frombuffer(data, dtype=np.uint64)
+                if key != (a, block):
+                    if sets:
+                        yield out()
+                    key, centre, names_, sets = (a, block), None, [], []
+                x = np.frombuffer(data, dtype=np.uint64)
                 if role == 0:
-                    key, centre_set = (a, block), s
-                elif key == (a, block):
-                    need = -(-(len(s) + len(centre_set)) * t.numerator // (t.numerator + t.denominator))
-                    if min(len(s), len(centre_set)) >= need:
-                        at = np.searchsorted(centre_set, s)
-                        at[at == len(centre_set)] = 0
-                        if int((centre_set[at] == s).sum()) >= need:
-                            a_out.append(a)
-                            b_out.append(row)
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+                    centre = x
+                elif centre is not None and t.numerator * max(len(x), len(centre)) <= t.denominator * min(len(x), len(centre)):
+                    names_.append(row)
+                    sets.append(x)
+        if sets:
+            yield out()
 
     blocks = texts.mapInArrow(send, "a long, block int, role int, row long, set binary")
     found = blocks.repartition("a", "block").sortWithinPartitions("a", "block", "role").mapInArrow(accumulate, "a long, b long")

@@ -89,6 +89,15 @@ def test_op2(spark, odd):
     cases.same(got, cases.jaccard(ROWS))
 
 
+def test_op2_product_of_blocks():
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in rng.integers(1, 40, 30)]
+    left, right = rows[:12], rows[12:]
+    got = {(i, j): n for i, j, n in zip(*(x.tolist() for x in jaccard.product(left, right)), strict=True)}
+    want = {(i, j): len(set(a) & set(b)) for i, a in enumerate(left) for j, b in enumerate(right)}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_op2_given_documents(spark):
     rows = [tuple(r) for r in table(spark, SMALL, "documents").select("doc_id", "text").collect()]
     got = jaccard.op2_jaccard(spark, SMALL).select("doc_id", "n_shingles", "component_id").collect()
