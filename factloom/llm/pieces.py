@@ -33,7 +33,9 @@ from .common import packed, table, unpacked
 
 MARK = "▁"
 #: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments, and their characters, that a task remembers.
-ALTERNATIVES, SHORT, REMEMBER, REMEMBER_CHARS = 3, 24, 300_000, 1 << 24
+ALTERNATIVES, SHORT, REMEMBER, REMEMBER_CHARS = 3, 24, 200_000, 1 << 24
+#: Lattices of segments that a task remembers, a few kilobytes each.
+LATTICES = 20_000
 #: What an unknown character costs beyond the least score of a piece, as in the library.
 PENALTY = 10.0
 #: Scores at or below this mark pieces that segmentation does not use, single characters without another piece excepted.
@@ -276,6 +278,8 @@ def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
                 cut = [model.segments(t) for t in texts]
                 if len(memory.at) > REMEMBER or memory.chars > REMEMBER_CHARS:
                     memory.clear()
+                if len(memory.lattices) > LATTICES:
+                    memory.lattices.clear()
                 new = set().union(*cut) - memory.at.keys()
                 if new:
                     memory.learn(new)
