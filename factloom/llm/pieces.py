@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from .common import packed, table, unpacked
 MARK = "▁"
 #: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments, and their characters, that a task remembers.
 ALTERNATIVES, SHORT, REMEMBER, REMEMBER_CHARS = 3, 24, 200_000, 1 << 24
-#: Lattices of segments that a task remembers, a few kilobytes each.
-LATTICES = 20_000
+#: Forward scores of segments that a task remembers, and the longest segment it remembers them of.
+LATTICES, LONG = 20_000, 1000
+#: Distinct segments counted before they are segmented, in a task that fits scores.
+FIT = 50_000
 #: What an unknown character costs beyond the least score of a piece, as in the library.
 PENALTY = 10.0
 #: Scores at or below this mark pieces that segmentation does not use, single characters without another piece excepted.
@@ -82,27 +85,30 @@ class Model:
         known = self.pieces.get(piece)
         return [known[0]] if known else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def lattice(self, s: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
-        """Viterbi scores of each place, and the (start, score) of the edges that end there."""
-        n, get = len(s), self.pieces.get
-        best, ends = [0.0] + [-np.inf] * n, [[] for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                known = get(s[i:j])
-                if known:
-                    ends[j].append((i, known[1]))
-            if s[j - 1] not in self.pieces:
-                ends[j].append((j - 1, self.unknown))
-            best[j] = max(best[i] + x for i, x in ends[j])
-        return best, ends
+    def edges(self, s: str, j: int) -> list[tuple[int, float]]:
+        """The (start, score) of the lattice's edges that end at place j, longest first. They are looked up as needed, so a long segment has no lattice in memory."""
+        get, out = self.pieces.get, []
+        for i in range(max(0, j - self.longest), j):
+            known = get(s[i:j])
+            if known:
+                out.append((i, known[1]))
+        if s[j - 1] not in self.pieces:
+            out.append((j - 1, self.unknown))
+        return out
+
+    def forward(self, s: str) -> array:
+        """The Viterbi score of each place."""
+        best = array("d", [0.0])
+        for j in range(1, len(s) + 1):
+            best.append(max(best[i] + x for i, x in self.edges(s, j)))
+        return best
 
     def best(self, s: str) -> tuple[list[int], float, float]:
         """The ids and score of the best path, and the gap to the second best."""
-        _, ends = self.lattice(s)
-        first, second, back = [0.0], [-np.inf], [0]
+        first, second, back = array("d", [0.0]), array("d", [-np.inf]), array("l", [0])
         for j in range(1, len(s) + 1):
             one, two, start = -np.inf, -np.inf, 0
-            for i, x in ends[j]:
+            for i, x in self.edges(s, j):
                 c = first[i] + x
                 if c > one:
                     two, one, start = max(one, second[i] + x), c, i
@@ -119,14 +125,14 @@ class Model:
     def cut_ids(self, s: str, cut: list[int]) -> list[int]:
         return [k for a, b in zip(cut[:-1], cut[1:], strict=True) for k in self.ids(s[a:b])]
 
-    def nbest(self, segments: list[str], n: int, known: dict[str, tuple] | None = None) -> list[tuple[float, list[list[int]]]]:
-        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts. known remembers lattices."""
-        known = {} if known is None else known
+    def nbest(self, segments: list[str], n: int, known: dict[str, array] | None = None) -> list[tuple[float, list[list[int]]]]:
+        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts. known remembers forward scores."""
+        known, scores = {} if known is None else known, []
         for s in segments:
-            if s not in known:
-                known[s] = self.lattice(s)
-        lattices = [known[s] for s in segments]
-        before = np.concatenate(([0.0], np.cumsum([b[-1] for b, _ in lattices]))).tolist()
+            scores.append(known.get(s) or self.forward(s))
+            if len(s) <= LONG:
+                known[s] = scores[-1]
+        before = np.concatenate(([0.0], np.cumsum([b[-1] for b in scores]))).tolist()
         last = len(segments) - 1
         # priority: score of the best whole path; of equal ones the latest put in, which has the longest last piece
         heap, turn = [(-before[-1], 0, last, len(segments[last]), 0.0, None)], 0
@@ -142,8 +148,8 @@ class Model:
                     out.append((g, cuts))
                     continue
                 k, j = k - 1, len(segments[k - 1])
-            best, ends = lattices[k]
-            for i, x in reversed(ends[j]):
+            best = scores[k]
+            for i, x in reversed(self.edges(segments[k], j)):
                 turn -= 1
                 heapq.heappush(heap, (-(before[k] + best[i] + x + g), turn, k, i, g + x, ((k, j), path)))
         return out
@@ -177,7 +183,7 @@ class _Memory:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.lattices: dict[str, tuple] = {}
+        self.lattices: dict[str, array] = {}
         self.flat, self.scores, self.gaps, self.sizes, self.chars = [], [], [], [], 0
 
     def _short(self, segments: list[str]) -> None:
@@ -256,13 +262,30 @@ _ALTERNATIVE = pa.struct([("score", pa.float64()), ("changes", pa.list_(_CHANGE)
 ENCODED = "ids array<int>, score double, alternatives array<struct<score: double, changes: array<struct<at: int, drop: int, ids: array<int>>>>>"
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int = ALTERNATIVES) -> DataFrame:
     """df with ids and score of the best path, and alternatives, the next best ones: score, and what to change in ids.
 
     A change drops so many ids from a place of the best path's ids and puts others there. df must not have these columns.
     """
-    names = df.columns
+    return df.mapInArrow(_encoder(df.columns, model, text, alternatives), f"{_ddl(df)}, {ENCODED}")
+
+
+def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
+    """df with decoded, the text of the pieces in ids. df must not have this column."""
+    return df.mapInArrow(_decoder(df.columns, model, ids), f"{_ddl(df)}, decoded string")
+
+
+def recoded(df: DataFrame, model: Model, text: str = "text", alternatives: int = ALTERNATIVES) -> DataFrame:
+    """df encoded, and its ids decoded again: encoded() and decoded() in one Python worker, so that ids do not pass through Spark between them."""
+    encode = _encoder(df.columns, model, text, alternatives)
+    decode = _decoder([*df.columns, "ids", "score", "alternatives"], model, "ids")
+    return df.mapInArrow(lambda batches: decode(encode(batches)), f"{_ddl(df)}, {ENCODED}, decoded string")
 
+
+def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(model)
         for batch in batches:
@@ -329,16 +352,15 @@ def encoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
             out.append({"score": score + (g - paths[0][0]), "changes": changes})
         return out
 
-    return df.mapInArrow(run, f"{_ddl(df)}, {ENCODED}")
+    return run
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
-    """df with decoded, the text of the pieces in ids. df must not have this column."""
-    names, of_byte = df.columns, {i: b for b, i in enumerate(model.bytes)}
+def _decoder(names: list[str], model: Model, ids: str) -> Batches:
+    of_byte = {i: b for b, i in enumerate(model.bytes)}
     text_of = [bytes([of_byte[i]]) if i in of_byte else n.replace(MARK, " ").encode() for i, n in enumerate(model.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +376,7 @@ def decoded(df: DataFrame, model: Model, ids: str = "ids") -> DataFrame:
             out = [bytes(data[x:y]).removeprefix(b" ").decode("utf-8", "replace") for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.string())], [*names, "decoded"])
 
-    return df.mapInArrow(run, f"{_ddl(df)}, decoded string")
+    return run
 
 
 def vocabulary_file() -> str:
@@ -391,13 +413,16 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
         from sentencepiece import SentencePieceProcessor
 
         bpe = SentencePieceProcessor(model_proto=proto)
-        total, held = np.zeros(bpe.vocab_size(), dtype=np.int64), Counter()
+        total, held, chars = np.zeros(bpe.vocab_size(), dtype=np.int64), Counter(), 0
         for batch in batches:
             for t in batch[0]:
-                held.update(model.segments(t.as_py() or ""))
-                if len(held) > REMEMBER:
+                t = t.as_py() or ""
+                held.update(model.segments(t))
+                chars += len(t)
+                if len(held) > FIT or chars > REMEMBER_CHARS:
                     total += bpe_counts(held, bpe)
                     held.clear()
+                    chars = 0
         if held:
             total += bpe_counts(held, bpe)
         met = np.flatnonzero(total)
@@ -411,7 +436,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the three next best segmentations, and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted(docs)
-    out = decoded(encoded(docs, model), model)
+    out = recoded(docs, model)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
@@ -429,7 +454,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ids, n_pieces, score, next_scores, next_changes and round_trip replace columns of docs with these names.
     """
     model = fitted(docs)
-    out = decoded(encoded(packed(docs, "text"), model), model)
+    out = recoded(packed(docs, "text"), model)
     own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "score", "next_scores", "next_changes", "round_trip")]
     return out.select(
         *unpacked(own),
