@@ -199,6 +199,17 @@ def test_op6_n_best(spark):
             assert any(ids == i and math.isclose(w, a["score"], rel_tol=1e-9) for w, i in want)
 
 
+def test_op6_recoded_is_encoded_and_decoded(spark):
+    model = pieces.default_model()
+    texts = ["the cat", "", None, "a  b\u2581c \U0001f600", "internationalorganization" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    apart = {r["n"]: r for r in pieces.decoded(pieces.encoded(df, model), model).collect()}
+    once = {r["n"]: r for r in pieces.recoded(df, model).collect()}
+    assert once == apart
+    assert [once[n]["decoded"] for n in range(5)] == ["the cat", "", "", "a  b c \U0001f600", texts[4]]
+    assert len(once[4]["alternatives"]) == pieces.ALTERNATIVES
+
+
 def _library(model):
     """The library with the vocabulary's file as a unigram model of model's scores."""
     from sentencepiece import SentencePieceProcessor
