@@ -8,10 +8,11 @@ and takes log probabilities from these counts, so best paths are those of a unig
 library finds them with the same scores, and not those of BPE merges. A forward Viterbi pass gives the best score from the start to every place; it is the exact
 remaining cost for a backward A* search, which therefore yields paths in order of their scores.
 
-No piece crosses certain places (before U+2581, around characters that are in no longer piece), so the lattice falls
-into segments. Distinct segments are worked on once a task, in arrays: best path, and the gap to the second best. The n
-best paths of a text can differ from the best one only in the n - 1 segments of least gap, so the A* search is over the
-chain of these segments' lattices. Ties go to the path whose last pieces are longer.
+No piece holds certain pairs of characters, so none crosses the place between them, and the lattice falls into
+segments there. Distinct segments are worked on once a Python worker, in arrays: best path, and the gap to the second
+best. The n best paths of a text can differ from the best one only in the n - 1 segments of least gap, so the A* search
+is over the chain of these segments' lattices; what loses more than the greatest of these gaps is not among the n best
+and is not put in the queue. Ties go to the path whose last pieces are longer.
 
 Nulls: a null or empty text has no pieces and decodes to the empty text. U+2581 in a text decodes to a space, as it
 does in the library. Repeated rows are each encoded; texts are encoded whole.
@@ -20,10 +21,11 @@ does in the library. Repeated rows are each encoded; texts are encoded whole.
 from __future__ import annotations
 
 import heapq
-import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +56,21 @@ class Model:
         self.names, self.bytes = names, bytes_
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, _, s in pieces if s > NEVER) - PENALTY
-        inner = {c for p in self.pieces if len(p) > 1 for c in p}
-        starts_only = all(MARK not in p[1:] for p in self.pieces)
-        # segments: from one mark to the next; characters of no longer piece alone
-        alone = f"[^{re.escape(''.join(sorted(inner | {MARK})))}]"
-        self.segment = re.compile(f"{MARK}?(?:(?!{MARK}|{alone}).)+|{MARK}|{alone}" if starts_only else ".+", re.DOTALL)
+        self.key = uuid.uuid4().hex
+        pairs = sorted({p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)})
+        # hashes of the pairs of characters in a row that some piece holds
+        self.pairs = np.unique(self._pair(*(np.array([ord(x[i]) for x in pairs], dtype=np.uint32) for i in (0, 1))))
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(12)
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        """By hash of a pair: whether a piece can hold it. Pairs that share a hash with such a one are not cut, which is as right."""
+        out = np.zeros(1 << 20, dtype=bool)
+        out[self.pairs] = True
+        return out
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -79,7 +91,12 @@ class Model:
         return Model([(i, p, s) for (i, p), s in zip(ids, scores, strict=True)], self.names, self.bytes)
 
     def segments(self, text: str) -> list[str]:
-        return self.segment.findall(MARK + text.replace(" ", MARK)) if text else []
+        if not text:
+            return []
+        s = MARK + text.replace(" ", MARK)
+        chars = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cut = (np.flatnonzero(~self.joined[self._pair(chars[:-1], chars[1:])]) + 1).tolist()
+        return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)], strict=True)]
 
     def ids(self, piece: str) -> list[int]:
         known = self.pieces.get(piece)
@@ -125,15 +142,18 @@ class Model:
     def cut_ids(self, s: str, cut: list[int]) -> list[int]:
         return [k for a, b in zip(cut[:-1], cut[1:], strict=True) for k in self.ids(s[a:b])]
 
-    def nbest(self, segments: list[str], n: int, known: dict[str, array] | None = None) -> list[tuple[float, list[list[int]]]]:
-        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts. known remembers forward scores."""
+    def nbest(self, segments: list[str], n: int, known: dict[str, array] | None = None, loss: float = np.inf) -> list[tuple[float, list[list[int]]]]:
+        """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts.
+
+        known remembers forward scores. loss: a difference of scores from the best path that none of the n exceeds.
+        """
         known, scores = {} if known is None else known, []
         for s in segments:
             scores.append(known.get(s) or self.forward(s))
             if len(s) <= LONG:
                 known[s] = scores[-1]
         before = np.concatenate(([0.0], np.cumsum([b[-1] for b in scores]))).tolist()
-        last = len(segments) - 1
+        last, least = len(segments) - 1, before[-1] - loss - 1e-6
         # priority: score of the best whole path; of equal ones the latest put in, which has the longest last piece
         heap, turn = [(-before[-1], 0, last, len(segments[last]), 0.0, None)], 0
         out = []
@@ -150,8 +170,10 @@ class Model:
                 k, j = k - 1, len(segments[k - 1])
             best = scores[k]
             for i, x in reversed(self.edges(segments[k], j)):
-                turn -= 1
-                heapq.heappush(heap, (-(before[k] + best[i] + x + g), turn, k, i, g + x, ((k, j), path)))
+                whole = before[k] + best[i] + x + g
+                if whole >= least:
+                    turn -= 1
+                    heapq.heappush(heap, (-whole, turn, k, i, g + x, ((k, j), path)))
         return out
 
 
@@ -160,26 +182,42 @@ class _Memory:
 
     def __init__(self, model: Model):
         self.model = model
-        hashes = {self._hash(p): (i, s) for p, (i, s) in model.pieces.items()}
+        hashes, starts = {}, set()
+        for p, known in model.pieces.items():
+            *shorter, whole = self._hashes(p)
+            hashes[whole] = known
+            starts.update(shorter)
         if len(hashes) < len(model.pieces):
             raise ValueError("two pieces have one hash")
         self.keys = np.array(sorted(hashes), dtype=np.uint64)
         self.key_ids = np.array([hashes[k][0] for k in self.keys.tolist()], dtype=np.int32)
         self.key_scores = np.array([hashes[k][1] for k in self.keys.tolist()])
-        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe, self.longer = np.zeros(1 << 20, dtype=bool), np.zeros(1 << 20, dtype=bool)
         self.maybe[self.keys >> np.uint64(44)] = True
+        self.longer[np.fromiter(starts, dtype=np.uint64, count=len(starts)) >> np.uint64(44)] = True
         self.known = np.array(sorted(ord(p) for p in model.pieces if len(p) == 1), dtype=np.uint32)
         self.clear()
 
     BASE = 0x9E3779B97F4A7C15
+    #: The memory of this Python worker, which serves one task after another.
+    last: _Memory | None = None
+
+    @classmethod
+    def of(cls, model: Model) -> _Memory:
+        if cls.last is None or cls.last.model.key != model.key:
+            cls.last = None
+            cls.last = cls(model)
+        return cls.last
 
     @classmethod
-    def _hash(cls, piece: str) -> int:
-        h = 0
+    def _hashes(cls, piece: str) -> list[int]:
+        """The hashes of piece's first character, first two characters and so on."""
+        h, out = 0, []
         for c in piece:
             h = ((h + ord(c) + 1) * cls.BASE) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 29
-        return h
+            out.append(h)
+        return out
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
@@ -189,39 +227,47 @@ class _Memory:
     def _short(self, segments: list[str]) -> None:
         """Segments of one length whose characters all have pieces."""
         n, length = len(segments), len(segments[0])
-        chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.uint64)
-        best = np.full((n, length + 1), -np.inf)
-        second, back, piece = best.copy(), np.zeros((n, length + 1), dtype=np.int16), np.zeros((n, length + 1), dtype=np.int32)
-        best[:, 0] = 0
+        # a row of these arrays is a place, a column a segment
+        chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).T.astype(np.uint64, order="C") + np.uint64(1)
+        best = np.full((length + 1, n), -np.inf)
+        second, back, piece = best.copy(), np.zeros((length + 1, n), dtype=np.int16), np.zeros((length + 1, n), dtype=np.int32)
+        best[0] = 0
         # all edges out of a place are known once those into it are
         for i in range(length):
-            h = np.zeros(n, dtype=np.uint64)
+            h, live = np.zeros(n, dtype=np.uint64), None
             for j in range(i + 1, min(length, i + self.model.longest) + 1):
-                h = (h + chars[:, j - 1] + np.uint64(1)) * np.uint64(self.BASE)
+                h = (h + (chars[j - 1] if live is None else chars[j - 1][live])) * np.uint64(self.BASE)
                 h ^= h >> np.uint64(29)
-                rows = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                slot = h >> np.uint64(44)
+                rows = np.flatnonzero(self.maybe[slot])
                 at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
                 found = self.keys[at] == h[rows]
                 rows, at = rows[found], at[found]
-                if not len(rows):
-                    continue
-                c1, c2 = best[rows, i] + self.key_scores[at], second[rows, i] + self.key_scores[at]
-                b1, b2 = best[rows, j], second[rows, j]
-                better = c1 > b1
-                second[rows, j] = np.maximum(np.minimum(b1, c1), np.where(better, c2, b2))
-                up, a = rows[better], at[better]
-                best[up, j], back[up, j], piece[up, j] = c1[better], i, self.key_ids[a]
+                if len(rows):
+                    rows = rows if live is None else live[rows]
+                    c1, c2 = best[i][rows] + self.key_scores[at], second[i][rows] + self.key_scores[at]
+                    b1, b2 = best[j][rows], second[j][rows]
+                    better = c1 > b1
+                    second[j][rows] = np.maximum(np.minimum(b1, c1), np.where(better, c2, b2))
+                    up, a = rows[better], at[better]
+                    best[j][up], back[j][up], piece[j][up] = c1[better], i, self.key_ids[a]
+                # segments where a longer piece may start
+                more = np.flatnonzero(self.longer[slot])
+                if not len(more):
+                    break
+                if len(more) < n:
+                    h, live = h[more], more if live is None else live[more]
         ids = np.zeros((n, length), dtype=np.int32)
         count, place, every = np.zeros(n, dtype=np.int64), np.full(n, length), np.arange(n)
         live = every
         while len(live):
-            ids[live, count[live]] = piece[live, place[live]]
+            ids[live, count[live]] = piece[place[live], live]
             count[live] += 1
-            place[live] = back[live, place[live]]
+            place[live] = back[place[live], live]
             live = live[place[live] > 0]
         inside = np.arange(length)[None, :] < count[:, None]
         turned = np.maximum(count[:, None] - 1 - np.arange(length)[None, :], 0)
-        self._add(segments, np.take_along_axis(ids, turned, axis=1)[inside], count, best[:, -1], best[:, -1] - second[:, -1])
+        self._add(segments, np.take_along_axis(ids, turned, axis=1)[inside], count, best[-1], best[-1] - second[-1])
 
     def _add(self, segments, flat, sizes, scores, gaps) -> None:
         first = len(self.at)
@@ -234,7 +280,7 @@ class _Memory:
 
     def learn(self, segments: set[str]) -> None:
         by: dict[int, list[str]] = {}
-        for s in sorted(segments):
+        for s in segments:
             by.setdefault(len(s), []).append(s)
         for length, group in by.items():
             rest = group
@@ -287,7 +333,7 @@ def recoded(df: DataFrame, model: Model, text: str = "text", alternatives: int =
 
 def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(model)
+        memory = _Memory.of(model)
         for batch in batches:
             done = 0
             while done < batch.num_rows:
@@ -303,7 +349,7 @@ def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Ba
                     memory.clear()
                 if len(memory.lattices) > LATTICES:
                     memory.lattices.clear()
-                new = set().union(*cut) - memory.at.keys()
+                new = set().union(*cut).difference(memory.at)
                 if new:
                     memory.learn(new)
                 all_ids, offsets, scores, others = [], [0], [], []
@@ -342,7 +388,9 @@ def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Ba
         if not len(near):
             return []
         chain = [segments[i] for i in near.tolist()]
-        paths = model.nbest(chain, alternatives + 1, lattices)
+        # one path a segment differs there alone and loses its gap
+        loss = float(gaps[near].max()) if len(near) == alternatives else np.inf
+        paths = model.nbest(chain, alternatives + 1, lattices, loss)
         out = []
         for g, cuts in paths[1:]:
             changes = []
