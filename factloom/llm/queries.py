@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, warc
+from . import ann, infill, jaccard, licenses, mixing, periods, pieces, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_secrets": secrets.op9_secrets,
     "op10_ann": ann.op10_ann,
+    "op11_periods": periods.op11_periods,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLES = {
@@ -21,4 +23,5 @@ ORACLES = {
     "op7_licenses": licenses.ORACLE_OP7,
     "op8_warc": warc.ORACLE_OP8,
     "op9_secrets": secrets.ORACLE_OP9,
+    "op13_infill": infill.ORACLE_OP13,
 }
