@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from . import ann, infill, jaccard, licenses, mixing, periods, pieces, quality, secrets, sharding, substrings, warc
+from . import ann, infill, jaccard, licenses, mixing, parsing, periods, pieces, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_ann": ann.op10_ann,
     "op11_periods": periods.op11_periods,
+    "op12_parsing": parsing.op12_parsing,
     "op13_infill": infill.op13_infill,
 }
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import infill, periods, queries
+from factloom.llm import infill, parsing, periods, queries
 from factloom.llm.common import table
 from tests.llm import cases
 from tests.oracle import assert_same, connection
@@ -138,6 +138,98 @@ def test_op11_hashes_that_deceive_are_found(monkeypatch, spark):
     assert [x.tolist() for x in found] == [[0, 1], [0, 0], [40, 6], [8, 1]]
 
 
+# --- prefix-free parsing
+
+
+def brute_parsing(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    texts = [(r[1] or "").encode() for r in rows]
+    first: dict[bytes, int] = {}
+    for r, t in zip(rows, texts, strict=True):
+        if r[0] is not None:
+            for i in range(len(t) - 49):
+                k = t[i : i + 50]
+                first[k] = min(first.get(k, r[0]), r[0])
+    out = []
+    for r, t in zip(rows, texts, strict=True):
+        gone = bytearray(len(t))
+        if r[0] is not None:
+            for i in range(len(t) - 49):
+                if first[t[i : i + 50]] < r[0]:
+                    gone[i : i + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(t, gone, strict=True) if not g)
+        out.append((r[0], len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_op12_odd_cases(spark, odd):
+    cases.same(parsing.op12_parsing(spark, odd).collect(), brute_parsing(ROWS))
+
+
+def test_op12_given_documents(spark):
+    cases.same(parsing.op12_parsing(spark, SMALL).collect(), brute_parsing(_given(spark)))
+
+
+def _repetitive() -> list[tuple]:
+    """A passage among different words in every text, one of few kinds of letters, copies, cut passages, and ids that are not unique."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(k, f"{' '.join(word() for _ in range(12))} {passage} é{k} {' '.join(word() for _ in range(12))}") for k in range(150)]
+    rows += [(k, "".join(rng.choice("ab") for _ in range(600))) for k in range(150, 160)]
+    rows += [(160, "ab" * 900), (161, "ab" * 700 + "c"), (162, "a" * 3000), (163, "a" * 49), (164, "a" * 50), (165, passage[30:120]), (7, passage + " other row of this id"), (7, passage + " other row of this id"), (None, passage)]
+    rows += [(200 + k, rows[3][1]) for k in range(30)] + [(-5, rows[4][1][40:200]), (166, "\0" * 120), (167, "\0" * 60 + "x")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("hot", "few"), [(64, 400_000), (1, 0)])
+def test_op12_repetitive_texts(spark, monkeypatch, hot, few):
+    """Also with every gram of a passage hot, and with all spans shuffled."""
+    rows = _repetitive()
+    monkeypatch.setattr(parsing, "HOT_SHARE", hot)
+    out = parsing.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), few=few)
+    cases.same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute_parsing(rows))
+
+
+def test_op12_hot_grams_are_found(spark, monkeypatch):
+    """A common string of 45 bytes among different words: its grams are minimisers of no other string, so no bucket gets all texts."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(k, f"{word()} {word()} {word()} the same string in every text of these {word()} {word()} {word()}") for k in range(4000)]
+    monkeypatch.setattr(parsing, "HOT_SHARE", 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0).cast("long"))
+    assert parsing.repeated_bytes(docs).count() == 0
+    data = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    grams, n = np.unique(parsing._hashes(parsing._sums(data), parsing.GRAM) >> np.uint64(1), return_counts=True)
+    common = np.sort(grams[n > 3000])
+    assert len(common) >= 20
+    least = parsing._sliding_min(parsing.ranked(parsing._hashes(parsing._sums(data), parsing.GRAM), common), parsing.LENGTH - parsing.GRAM + 1)
+    strings = least[np.concatenate(([True], least[1:] != least[:-1]))]
+    assert np.unique(strings, return_counts=True)[1].max() < 600
+
+
+def test_op12_phrases_hold_every_string_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 3, 49, 50, 51, 4000, 0, 700)]
+    data, bounds = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    text, begin, own, end = parsing.phrases(parsing._hashes(parsing._sums(data), parsing.GRAM), bounds)
+    assert len(begin) > 10
+    covered = np.concatenate([np.arange(a, b) for a, b in zip(begin, own, strict=True)])
+    assert covered.tolist() == list(range(len(data)))
+    assert all(e == min(o + 49, bounds[t + 1]) and bounds[t] <= b for t, b, o, e in zip(text, begin, own, end, strict=True))
+
+
+def test_op12_suffixes_are_in_order():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    at = np.append(rng.integers(0, 2950, 400), [7, 7, 7])
+    doc = rng.integers(0, 9, len(at))
+    by, new = parsing.suffixes(data, at, doc)
+    keys = [(data[at[x] : at[x] + 50].tobytes(), doc[x]) for x in by]
+    assert keys == sorted(keys) and [k for k, x in enumerate(new) if x] == [k for k in range(len(keys)) if not k or keys[k][0] != keys[k - 1][0]]
+
+
 # --- fill-in-middle
 
 TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
