@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .disputes import number
+
 SCOPE = "^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)*$"
 #: The vocabularies of the data model.
 OPERATORS = (">=", "<=", ">", "<", "=", "!=")
@@ -32,7 +34,7 @@ def unlike(c: str, pattern: str) -> Column:
 def uncheckable(gate: Column) -> Column:
     """A gate (subject, predicate, op, target, requires_confidence) that no machine can check. Order needs a number; equality takes any value."""
     text = lambda c: gate[c].isNull() | (F.trim(gate[c]) == "")
-    ordered = gate["op"].isin(">=", "<=", ">", "<") & F.try_to_number(gate["target"], F.lit("S999999999999.999999")).isNull()
+    ordered = gate["op"].isin(">=", "<=", ">", "<") & number(gate["target"]).isNull()
     return text("subject") | text("predicate") | gate["op"].isNull() | ~gate["op"].isin(*OPERATORS) | gate["target"].isNull() | text("requires_confidence") | ordered
 
 

@@ -12,7 +12,7 @@ from .reads import live, with_chain
 KEY = ("scope", "subject", "predicate")
 
 
-def _overlap(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
+def overlap(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
     """Half-open periods; a null end never ends."""
     return (b_to.isNull() | (a_from < b_to)) & (a_to.isNull() | (b_from < a_to))
 
@@ -23,7 +23,7 @@ def open_pairs(ledger: DataFrame) -> DataFrame:
     a = rows.select(*KEY, *(F.col(c).alias(f"a_{c}") for c in ("id", "confidence", "value", "valid_from", "valid_to")))
     b = rows.select(*KEY, *(F.col(c).alias(f"b_{c}") for c in ("id", "confidence", "value", "valid_from", "valid_to")))
     pairs = a.join(b, list(KEY)).where("a_id < b_id").where(~F.col("a_value").eqNullSafe(F.col("b_value")))
-    pairs = pairs.where(_overlap(F.col("a_valid_from"), F.col("a_valid_to"), F.col("b_valid_from"), F.col("b_valid_to")))
+    pairs = pairs.where(overlap(F.col("a_valid_from"), F.col("a_valid_to"), F.col("b_valid_from"), F.col("b_valid_to")))
     return pairs.select(*KEY, "a_id", "b_id", "a_confidence", "b_confidence", F.concat_ws("|", "a_id", "b_id").alias("pair_key"))
 
 
@@ -37,7 +37,7 @@ def history(ledger: DataFrame, tiers: Sequence[str]) -> DataFrame:
     row = F.struct("id", "tier", "value", "valid_from", "valid_to", "superseded_by")
     lasts = F.array(*(F.last(F.when(F.col("tier") == t, row), ignorenulls=True).over(before) for t in tiers))
     pairs = ledger.withColumn("_lasts", lasts).withColumn("a", F.explode("_lasts")).where("a IS NOT NULL AND a.tier <> tier")
-    pairs = pairs.where(~F.col("a.value").eqNullSafe(F.col("value"))).where(_overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("valid_from"), F.col("valid_to")))
+    pairs = pairs.where(~F.col("a.value").eqNullSafe(F.col("value"))).where(overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("valid_from"), F.col("valid_to")))
     closed = F.col("a.superseded_by").isNotNull() | F.col("superseded_by").isNotNull()
     return pairs.select(*KEY, F.col("a.id").alias("a_id"), F.col("id").alias("b_id"), F.when(closed, "superseded").otherwise("open").alias("status"))
 
@@ -53,17 +53,23 @@ def evaluate(gates: DataFrame, ledger: DataFrame, scopes: Sequence[str]) -> Data
     rows = rows.withColumn("unit", unit)
     best = rows.groupBy("subject", "predicate", F.col("confidence").alias("requires_confidence")).agg(F.min_by(F.struct("value", "unit", "id", "scope"), F.struct("ord", -F.col("asserted_at"))).alias("_e"))
     x, y = F.col("_e.value"), F.col("target")
-    if "string" in (gates.schema["target"].dataType.simpleString(), ledger.schema["value"].dataType.simpleString()):
-        p, q = F.try_to_number(x.cast("string"), F.lit("S999999999999999.999999999")), F.try_to_number(y.cast("string"), F.lit("S999999999999999.999999999"))
-        plain = F.when(F.col("op") == "=", x.cast("string") == y.cast("string")).when(F.col("op") == "!=", x.cast("string") != y.cast("string"))
-        reached = F.when(p.isNotNull() & q.isNotNull(), _compared(p, q)).otherwise(plain)
-    else:
-        reached = _compared(x, y)
+    p, q = number(x), number(y)
+    # as decimals where both are such, so that long numbers are told apart
+    m, n = (F.when(v.isNotNull(), c.try_cast("decimal(38,18)")) for v, c in ((p, x), (q, y)))
+    plain = F.when(F.col("op") == "=", x.cast("string") == y.cast("string")).when(F.col("op") == "!=", ~x.cast("string").eqNullSafe(y.cast("string")))
+    reached = F.when(m.isNotNull() & n.isNotNull(), _compared(m, n)).when(p.isNotNull() & q.isNotNull(), _compared(p, q)).otherwise(plain)
+    reached = F.when(F.col("_e.id").isNotNull(), reached)
     out = gates.join(best, ["subject", "predicate", "requires_confidence"], "left")
     why = F.when(F.col("_e.id").isNull(), "no live assertion of the required confidence class in scope")
     return out.select(*gates.columns, reached.alias("reached"), x.alias("actual"), F.col("_e.unit").alias("unit"), F.col("_e.id").alias("evidence"), F.col("_e.scope").alias("resolved_scope"), why.alias("why_null"))
 
 
+def number(c: Column) -> Column:
+    """A value or text as a number; null where it is none."""
+    d = c.try_cast("double")
+    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+
 def _compared(x: Column, y: Column) -> Column:
     return F.when(F.col("op") == ">=", x >= y).when(F.col("op") == "<=", x <= y).when(F.col("op") == ">", x > y).when(F.col("op") == "<", x < y).when(F.col("op") == "=", x == y).when(F.col("op") == "!=", x != y)
 

@@ -114,6 +114,12 @@ def target_of(symbols: DataFrame, text: str, most: int = 25) -> int:
     raise ValueError(f"no symbol {text}")
 
 
+def only_repo(indexes: DataFrame, by: str) -> DataFrame:
+    """For each value of by, the repository that all its completed indexes are of, null if there are several, and how many there are: a question that names none is answered only if it is clear."""
+    n = F.countDistinct("repo")
+    return indexes.where("completed").groupBy(by).agg(F.min("repo").alias("_repo"), n.alias("repos")).select(by, F.when(F.col("repos") == 1, F.col("_repo")).alias("repo"), "repos")
+
+
 def index_of(indexes: DataFrame, repo: str, commit: str | None = None) -> DataFrame:
     """The completed index of a repository: that of a commit, whole before prefix, else the newest."""
     rows = indexes.where((F.col("repo") == repo) & F.col("completed"))

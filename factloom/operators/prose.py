@@ -121,8 +121,9 @@ def clean(subject: str) -> Column:
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """Proposals of the three patterns (doc_id, line, family, subject, object, unit, self_confidence), of lines without a disqualifying word. A line gives the first pattern that fits."""
-    fine = ~F.lower("text").rlike(r"\b(" + "|".join(DISQUALIFYING) + r")\b")
+    """Proposals of the three patterns (doc_id, line, family, subject, object, unit, self_confidence), of lines that hold no disqualifying word, nor does their heading. A line gives the first pattern that fits."""
+    words = "|".join(DISQUALIFYING)
+    fine = ~F.lower("text").rlike(words) & ~F.coalesce(F.lower("heading").rlike(words), F.lit(False))
     get = lambda pattern, i: F.regexp_extract("text", pattern, i)
     t = F.col("text")
     family = F.when(t.rlike(KV_LINE), "key_value").when(t.rlike(MEASURED), "measured").when(t.rlike(DEFINED) & get(DEFINED, 1).rlike(TERM), "defined")

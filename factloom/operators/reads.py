@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ancestors(scope: str | Column) -> Column:
-    """A slash path's prefixes, shortest first."""
-    parts = F.split(scope, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-
-
 def chain(modes: DataFrame, scope: str, as_of: int | None = None) -> list[str]:
     """The scopes that answer for scope, nearest first; the nearest one in isolated mode is the last. modes: scope, mode, asserted_at."""
     parts = scope.split("/")
@@ -64,25 +58,10 @@ def unresolvable_inputs(rows: DataFrame, ledger: DataFrame, scopes: Sequence[str
     return rows.join(missing, "id", "left").withColumn("inputs_unresolvable", F.coalesce("inputs_unresolvable", F.lit(False)))
 
 
-def chain_heads(ledger: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """id, head and hops: the end of each row's chain of supersession, by pointer doubling.
-
-    Each round joins pointers with themselves, so a chain of n takes log2(n) rounds.
-    """
-    p = cut(ledger.select("id", F.coalesce("superseded_by", "id").alias("head"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("hops")))
-    while True:
-        on = p.select(F.col("id").alias("head"), F.col("head").alias("_next"), F.col("hops").alias("_more"))
-        q = cut(p.join(on, "head").select("id", F.col("_next").alias("head"), (F.col("hops") + F.col("_more")).alias("hops"), (F.col("_more") > 0).alias("_moved")))
-        if q.where("_moved").isEmpty():
-            return q.drop("_moved")
-        p = q.drop("_moved")
-
-
-def lineage(ledger: DataFrame, row: int) -> DataFrame:
-    """All rows of the chain of supersession that a row is in."""
-    heads = chain_heads(ledger)
-    own = heads.where(F.col("id") == row).select("head")
-    return ledger.join(heads.join(F.broadcast(own), "head", "left_semi"), "id")
+def chain_heads(ledger: DataFrame) -> DataFrame:
+    """id, head and hops of every row: the end of its chain of supersession and how far it is. Rows know their chain and place; a chain's last is an aggregate."""
+    last = ledger.groupBy("chain").agg(F.max_by(F.struct("id", "place"), F.struct("place", "id")).alias("_last"))
+    return ledger.select("id", "chain", "place").join(last, "chain").select("id", F.col("_last.id").alias("head"), (F.col("_last.place") - F.col("place")).alias("hops"))
 
 
 def search(ledger: DataFrame, text: Column, words: Sequence[str]) -> DataFrame:
@@ -98,6 +77,14 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def flipped(modes: DataFrame, sequence: DataFrame) -> DataFrame:
+    """Rows to append to modes (scope, mode, asserted_at) that turn every scope's mode into the other; sequence has one row, the last asserted_at, from which they go on in the order of scope."""
+    now = newest(modes.select("scope", "mode", "asserted_at"), ["scope"], ["asserted_at"])
+    other = F.when(F.col("mode") == "isolated", "shared").otherwise("isolated")
+    place = F.row_number().over(Window.orderBy("scope"))  # scopes are few
+    return now.crossJoin(F.broadcast(sequence.toDF("_last"))).select("scope", other.alias("mode"), (F.col("_last") + place).alias("asserted_at"))  # one row
+
+
 def subtree(rows: DataFrame, root: str) -> DataFrame:
     return rows.where((F.col("scope") == root) | F.col("scope").startswith(f"{root}/"))
 
@@ -141,26 +128,29 @@ def answered(ledger: DataFrame, pairs: DataFrame, scopes: Sequence[str], subject
     return flagged.orderBy(F.desc("depth"), F.desc("asserted_at"), F.desc("id"))
 
 
-def walked(ledger: DataFrame, row: int, most: int = 10_000) -> DataFrame:
-    """The rows of the chain of supersession that a row is in, by walking both ways from it: each step is a join with the few rows of the frontier."""
-    links = ledger.select("id", "supersedes", "superseded_by")
-    front = links.where(F.col("id") == row).checkpoint()
-    found = front.select("id")
-    for _ in range(most):
-        ends = front.select(F.explode(F.array_compact(F.array("supersedes", "superseded_by"))).alias("id")).distinct()
-        front = links.join(F.broadcast(ends), "id").join(F.broadcast(found), "id", "left_anti").checkpoint()  # two rows a step at most, and one chain
-        if front.isEmpty():
-            return ledger.join(F.broadcast(found), "id", "left_semi")
-        found = found.union(front.select("id")).checkpoint()
-    raise ValueError(f"the chain of {row} is longer than {most}")
+def walked(ledger: DataFrame, row: int) -> DataFrame:
+    """The rows of the chain of supersession that a row is in, of any length, by the chain that rows know."""
+    own = ledger.where(F.col("id") == row).select("chain")
+    return ledger.join(F.broadcast(own), "chain", "left_semi")  # one row
+
+
+def contradictions_of(ledger: DataFrame, row: int) -> DataFrame:
+    """a_id and b_id of the open contradictions of a live row: its key's other live rows, held against it alone."""
+    from .disputes import overlap
+
+    one = live(ledger).where(F.col("id") == row).select("scope", "subject", "predicate", *(F.col(c).alias(f"_{c}") for c in ("id", "value", "valid_from", "valid_to")))
+    others = live(ledger).join(F.broadcast(one), ["scope", "subject", "predicate"])  # one row
+    c = F.col
+    other = others.where((c("id") != c("_id")) & ~c("value").eqNullSafe(c("_value")) & overlap(c("_valid_from"), c("_valid_to"), c("valid_from"), c("valid_to")))
+    return other.select(F.least("id", "_id").alias("a_id"), F.greatest("id", "_id").alias("b_id"))
 
 
-def why(ledger: DataFrame, verifications: DataFrame, pairs: DataFrame, row: int) -> DataFrame:
-    """A row with its last verification, the length of its chain, and its contradictions (a_id, b_id)."""
+def why(ledger: DataFrame, verifications: DataFrame, row: int) -> DataFrame:
+    """A row with its last verification, the length of its chain, and the number of its contradictions. Each part is read by the row's own key or chain."""
     one = ledger.where(F.col("id") == row).select("id", "scope", "subject", "predicate", "confidence", "kind")
     last = verifications.where(F.col("target") == row).groupBy(F.col("target").alias("id")).agg(F.max_by("outcome", F.struct("checked_at", "id")).alias("outcome"))
     chain_ = walked(ledger, row).agg(F.count(F.lit(1)).alias("chain_length"))
-    named = pairs_of(pairs, row).agg(F.count(F.lit(1)).alias("contradictions"))
+    named = contradictions_of(ledger, row).agg(F.count(F.lit(1)).alias("contradictions"))
     return one.join(last, "id", "left").crossJoin(F.broadcast(chain_)).crossJoin(F.broadcast(named))  # one row each
 
 

@@ -35,7 +35,7 @@ SELECT id, scope, subject, predicate, confidence, kind, (SELECT outcome FROM ver
  (SELECT count(*) FROM (SELECT id FROM back UNION SELECT id FROM forth)) AS chain_length, (SELECT count(*) FROM pairs WHERE a_id = 100 OR b_id = 100) AS contradictions FROM ledger WHERE id = 100""")
 def why_bundle(spark, d):
     led = t.ledger(spark, d)
-    return reads.why(led, t.verifications(spark, d), disputes.open_pairs(led), 100)
+    return reads.why(led, t.verifications(spark, d), 100)
 
 
 @query(r"""WITH w AS (SELECT live.*, list_filter(regexp_split_to_array(lower(subject || ' ' || predicate || ' ' || kind), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM live JOIN chain USING (scope))
@@ -69,15 +69,23 @@ def awaiting_human(spark, d):
     return rows.groupBy("mission").agg(F.count(F.lit(1)).alias("awaiting"))
 
 
-@query("""SELECT gate, CASE WHEN op = '=' THEN v = target WHEN op = '!=' THEN v <> target WHEN TRY_CAST(v AS DOUBLE) IS NULL OR TRY_CAST(target AS DOUBLE) IS NULL THEN NULL WHEN op = '>=' THEN CAST(v AS DOUBLE) >= CAST(target AS DOUBLE) END AS reached
-FROM (VALUES (1, 'user:1', '=', 'green'), (2, 'user:1', '!=', 'green'), (3, 'user:1', '>=', 'green'), (4, 'user:2', '>=', '5'), (5, 'user:3', '>=', '5')) g(gate, subject, op, target)
-LEFT JOIN (VALUES ('user:1', 'green'), ('user:2', '7.5')) e(s, v) ON s = subject""")
+_TEXTS = ("20000000", "2.0e7", "1e-5", "green", "12345678901234567", "-0.0000000001", "5")
+_OPS = (">=", "<=", ">", "<", "=", "!=")
+
+
+@query(f"""WITH g AS (SELECT c_custkey AS gate, 'user:' || (c_custkey % 23) AS subject, ['purchase', 'click', 'view', 'error', 'signup'][1 + c_custkey % 5] AS predicate, {list(_OPS)}[1 + c_custkey % 6] AS op, {list(_TEXTS)}[1 + c_custkey % 7] AS target FROM customer),
+v AS (SELECT *, CASE id % 8 WHEN 7 THEN '12345678901234568' ELSE {list(_TEXTS)}[1 + id % 8] END AS said FROM live JOIN chain USING (scope) WHERE kind = 'measured' AND confidence = 'measured'
+ QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY ord, asserted_at DESC) = 1),
+p AS (SELECT g.gate, op, target, said, TRY_CAST(said AS DOUBLE) IS NOT NULL AND TRY_CAST(target AS DOUBLE) IS NOT NULL AS numbers, TRY_CAST(said AS DECIMAL(38, 18)) AS a, TRY_CAST(target AS DECIMAL(38, 18)) AS b FROM g LEFT JOIN v USING (subject, predicate))
+SELECT gate, said AS actual, CASE WHEN said IS NULL THEN NULL WHEN numbers THEN CASE op WHEN '>=' THEN a >= b WHEN '<=' THEN a <= b WHEN '>' THEN a > b WHEN '<' THEN a < b WHEN '=' THEN a = b ELSE a <> b END
+ WHEN op = '=' THEN said = target WHEN op = '!=' THEN said <> target END AS reached FROM p""")
 def gate_of_texts(spark, d):
-    gates = spark.createDataFrame([(1, "user:1", "=", "green"), (2, "user:1", "!=", "green"), (3, "user:1", ">=", "green"), (4, "user:2", ">=", "5"), (5, "user:3", ">=", "5")], "gate int, subject string, op string, target string")
-    rows = [(1, 1, "org/acme", "user:1", "p", "green", "light", "measured", "measured"), (2, 2, "org/acme", "user:2", "p", "7.5", "ms", "measured", "measured")]
-    led = spark.createDataFrame(rows, "id long, asserted_at long, scope string, subject string, predicate string, value string, unit string, kind string, confidence string").withColumn("superseded_by", F.lit(None).cast("long"))
-    gates = gates.withColumns({"mission": F.lit("m"), "predicate": F.lit("p"), "requires_confidence": F.lit("measured")})
-    return disputes.evaluate(gates, led, CHAIN).select("gate", "reached")
+    """Gates with text targets on a ledger of text values: numbers in any form, numbers beyond a double's digits, words."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    k, i = F.col("c_custkey"), F.col("id")
+    gates = t.table(spark, d, "customer").select(F.lit("m").alias("mission"), k.alias("gate"), F.concat(F.lit("user:"), (k % 23).cast("string")).alias("subject"), pick(("purchase", "click", "view", "error", "signup"), k % 5).alias("predicate"), pick(_OPS, k % 6).alias("op"), pick(_TEXTS, k % 7).alias("target"), F.lit("measured").alias("requires_confidence"))
+    led = t.ledger(spark, d).withColumn("value", F.when(i % 8 == 7, "12345678901234568").otherwise(pick(_TEXTS, F.least(i % 8, F.lit(6)))))
+    return disputes.evaluate(gates, led, CHAIN).select("gate", "actual", "reached")
 
 
 @query(f"""SELECT a.id AS a_id, b.id AS b_id FROM live a JOIN live b USING (scope, subject, predicate) WHERE a.id < b.id AND a.value IS DISTINCT FROM b.value AND {_OVERLAP} AND a.tier = 'machine'""")
@@ -86,11 +94,11 @@ def contradictions_pairs_overlap(spark, d):
     return _pairs(spark, d).where(machine).select("a_id", "b_id")
 
 
-@query(f"WITH {_PAIRS} SELECT a_id, b_id FROM pairs WHERE a_id = (SELECT max(a_id) FROM pairs) OR b_id = (SELECT max(a_id) FROM pairs)")
+@query(f"WITH {_PAIRS} SELECT a_id, b_id FROM pairs WHERE a_id = (SELECT max(id) FROM live WHERE tier = 'machine' AND valid_to IS NULL) OR b_id = (SELECT max(id) FROM live WHERE tier = 'machine' AND valid_to IS NULL)")
 def contradictions_of_row(spark, d):
-    pairs = _pairs(spark, d)
-    row = pairs.agg(F.max("a_id")).first()[0]
-    return reads.pairs_of(pairs, row if row is not None else -1).select("a_id", "b_id")
+    led = t.ledger(spark, d)
+    row = reads.live(led).where("tier = 'machine' AND valid_to IS NULL").agg(F.max("id")).first()[0]
+    return reads.contradictions_of(led, row if row is not None else -1)
 
 
 def _resolutions(pairs: DataFrame) -> DataFrame:
@@ -122,27 +130,25 @@ _BATCH = r"""c0 AS (SELECT event_id AS i, event_id + 1000000000 AS id, CASE WHEN
 c1 AS (SELECT *, CASE WHEN confidence IN ('measured', 'derived') AND i % 19 = 0 THEN 'confidence_is_earned' WHEN confidence = 'derived' AND i % 17 = 1 THEN 'derived_requires_inputs' WHEN i % 11 = 0 THEN 'evidence_required'
  WHEN kind = 'failed' AND i % 9 = 1 THEN 'failed_requires_reopen_if' WHEN kind IN ('failed', 'dead') AND i % 4 = 2 THEN 'failure_requires_why' WHEN confidence = 'confirmed-by-human' AND i % 3 = 0 THEN 'human_evidence_names_a_human'
  WHEN kind = 'guess' THEN 'kind_known' WHEN confidence = 'measured' AND i % 13 = 0 THEN 'measured_requires_verification' WHEN i % 37 = 0 THEN 'scope_shape' WHEN i % 41 = 0 THEN 'subject_present' WHEN i % 29 = 0 THEN 'valid_period_ordered' END AS own FROM c0),
-c2 AS (SELECT c1.*, CASE WHEN target IS NULL THEN NULL WHEN l.id IS NULL THEN 'supersedes_target_missing' WHEN l.superseded_by IS NOT NULL OR min(CASE WHEN own IS NULL THEN c1.id END) OVER (PARTITION BY target) < c1.id THEN 'supersedes_target_already_superseded' END AS s
- FROM c1 LEFT JOIN ledger l ON l.id = target)"""
-
-
-@query(f"WITH {_BATCH} SELECT id, s AS s_reason FROM c2 WHERE target IS NOT NULL")
+k1 AS (SELECT c1.*, c1.scope || chr(1) || c1.subject || chr(1) || c1.predicate AS k, c1.confidence IN ('measured', 'derived') AS machine, coalesce(c1.valid_to, TIMESTAMP '9999-01-01') AS ends, l.id IS NOT NULL AS there, l.superseded_by IS NOT NULL AS gone,
+ CASE WHEN l.tier = 'machine' AND l.superseded_by IS NULL THEN l.scope || chr(1) || l.subject || chr(1) || l.predicate END AS tk, l.valid_from AS ta FROM c1 LEFT JOIN ledger l ON l.id = target),
+todo AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM k1 WHERE target IS NOT NULL OR (machine AND own IS NULL)),
+was AS (SELECT scope || chr(1) || subject || chr(1) || predicate AS k, list(struct_pack(a := valid_from, b := coalesce(valid_to, TIMESTAMP '9999-01-01'), id := id)) AS w FROM live WHERE tier = 'machine' GROUP BY 1),
+steps AS (SELECT t.*, coalesce(w, []) AS w FROM todo t LEFT JOIN was USING (k)),
+fold AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason, CAST([] AS BIGINT[]) AS taken, CAST([] AS STRUCT(k VARCHAR, a TIMESTAMP, b TIMESTAMP)[]) AS mine
+ UNION ALL SELECT rn, id, reason, CASE WHEN reason IS NULL AND target IS NOT NULL THEN list_append(taken, target) ELSE taken END, CASE WHEN reason IS NULL AND machine THEN list_append(mine, struct_pack(k := k, a := valid_from, b := ends)) ELSE mine END FROM (
+  SELECT s.*, f.taken, f.mine, CASE WHEN target IS NOT NULL AND NOT there THEN 'supersedes_target_not_found' WHEN target IS NOT NULL AND (gone OR list_contains(f.taken, target)) THEN 'supersedes_target_already_superseded' WHEN own IS NOT NULL THEN own
+   WHEN machine AND (len(list_filter(w, lambda h: h.a < ends AND valid_from < h.b AND h.id IS DISTINCT FROM target AND NOT list_contains(f.taken, h.id))) > 0 OR len(list_filter(f.mine, lambda h: h.k = s.k AND h.a < ends AND valid_from < h.b)) > 0) THEN 'no_two_live_contradictions' END AS reason
+  FROM fold f JOIN steps s ON s.rn = f.rn + 1))"""
+
+
+@query(f"WITH {_BATCH} SELECT t.id, CASE WHEN starts_with(f.reason, 'supersedes') THEN f.reason END AS s_reason FROM todo t JOIN fold f USING (id) WHERE target IS NOT NULL")
 def admit_supersede_head(spark, d):
-    rows = admission.reasons(t.batch(spark, d))
-    return writes.supersession(rows, t.ledger(spark, d)).where("supersedes IS NOT NULL").select("id", "s_reason")
-
-
-_FREE = "list_filter({held}, lambda h: h.id IS DISTINCT FROM r.target)"
-_HIT = "list_filter({held}, lambda h: h.a < r.b AND r.a < h.b AND h.id IS DISTINCT FROM r.target)"
-_FOLD = "CASE WHEN len(hit) = 0 THEN list_append(rest, struct_pack(a := a, b := b, id := id)) ELSE held END"
+    rows = writes.decided(t.batch(spark, d), t.ledger(spark, d)).where("supersedes IS NOT NULL")
+    return rows.select("id", F.when(F.col("reason").startswith("supersedes"), F.col("reason")).alias("s_reason"))
 
 
-@query(f"""WITH {_BATCH}, r0 AS (SELECT id, target, scope || chr(1) || subject || chr(1) || predicate AS k, valid_from AS a, coalesce(valid_to, TIMESTAMP '9999-01-01') AS b FROM c2 WHERE own IS NULL AND s IS NULL AND confidence IN ('measured', 'derived')),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS rn FROM r0),
-was AS (SELECT DISTINCT r0.k, coalesce(w, []) AS held FROM r0 LEFT JOIN (SELECT scope || chr(1) || subject || chr(1) || predicate AS k, list(struct_pack(a := valid_from, b := coalesce(valid_to, TIMESTAMP '9999-01-01'), id := id)) AS w FROM live WHERE tier = 'machine' GROUP BY 1) x USING (k)),
-fold AS (SELECT k, rn, id, len(hit) = 0 AS ok, {_FOLD} AS held FROM (SELECT r.*, held, {_HIT.format(held="held")} AS hit, {_FREE.format(held="held")} AS rest FROM r JOIN was USING (k) WHERE rn = 1)
-  UNION ALL SELECT k, rn, id, len(hit) = 0, {_FOLD} FROM (SELECT r.*, fold.held, {_HIT.format(held="fold.held")} AS hit, {_FREE.format(held="fold.held")} AS rest FROM fold JOIN r ON r.k = fold.k AND r.rn = fold.rn + 1))
-SELECT c2.id, coalesce(s, own, CASE WHEN NOT ok THEN 'no_two_live_contradictions' END) AS reason FROM c2 LEFT JOIN fold ON fold.id = c2.id""")
+@query(f"WITH {_BATCH} SELECT c1.id, CASE WHEN f.id IS NULL THEN own ELSE f.reason END AS reason FROM c1 LEFT JOIN fold f ON f.id = c1.id")
 def admit_precedence(spark, d):
     return writes.decided(t.batch(spark, d), t.ledger(spark, d)).select("id", "reason")
 
@@ -237,11 +243,11 @@ def rules_read(spark, d):
     return reads.enforced_rules(led, CHAIN).select("id", "scope", "kind", "binding")
 
 
-@query("""WITH w AS (SELECT c_custkey AS place, c_name AS text, octet_length(encode(c_name)) + 1 AS n, c_custkey % 10 = 9 AS mandatory FROM customer WHERE c_custkey < 60),
+@query("""WITH w AS (SELECT c_custkey AS place, c_name AS text, octet_length(encode(c_name)) + 1 AS n, c_custkey % 1000 = 9 AS mandatory FROM customer),
 u AS (SELECT *, sum(n) OVER (PARTITION BY mandatory ORDER BY place) AS upto, (SELECT sum(n) FROM w WHERE mandatory) AS must FROM w) SELECT place, text, mandatory FROM u WHERE mandatory OR must + upto <= 600""")
 def byte_budget(spark, d):
     i = F.col("c_custkey")
-    lines = t.table(spark, d, "customer").where(i < 60).select(i.alias("place"), F.col("c_name").alias("text"), (i % 10 == 9).alias("mandatory"))
+    lines = t.table(spark, d, "customer").select(i.alias("place"), F.col("c_name").alias("text"), (i % 1000 == 9).alias("mandatory"))
     return reads.packed_lines(lines, 600)
 
 
@@ -258,39 +264,48 @@ def missions_closed(spark, d):
     return writes.retractions(disputes.duplicates(rows, ["scope", "subject", "predicate"], "id", "id"), "repeats a mission")
 
 
-@query("""SELECT 2000000001 AS id, 'org/acme' AS scope, 'isolated' AS mode, (SELECT max(asserted_at) + 1 FROM ledger) AS asserted_at""")
+@query("SELECT scope, CASE mode WHEN 'isolated' THEN 'shared' ELSE 'isolated' END AS mode, (SELECT max(asserted_at) FROM ledger) + row_number() OVER (ORDER BY scope) AS asserted_at FROM modes")
 def mode_flip(spark, d):
-    last = t.ledger(spark, d).agg((F.max("asserted_at") + 1).alias("asserted_at"))
-    modes = spark.createDataFrame([(1, "org/acme", "shared", 1)], "id long, scope string, mode string, asserted_at long")
-    new = last.select(F.lit(2_000_000_001).cast("long").alias("id"), F.lit("org/acme").alias("scope"), F.lit("isolated").alias("mode"), "asserted_at")
-    return reads.newest(modes.unionByName(new), ["scope"], ["asserted_at"]).select("id", "scope", "mode", "asserted_at")
+    """The modes that hold after every scope's was flipped."""
+    was = t.modes(spark, d)
+    new = reads.flipped(was, t.ledger(spark, d).agg(F.max("asserted_at")))
+    return reads.newest(was.unionByName(new), ["scope"], ["asserted_at"]).select("scope", "mode", "asserted_at")
 
 
 _STORE = "id long, scope string, subject string, predicate string, value double, kind string, confidence string, source string, valid_from timestamp_ntz, valid_to timestamp_ntz, supersedes long"
 
 
-def stored(spark, d) -> tuple[writes.Store, DataFrame]:
-    """A ledger that two batches were appended to, the second one twice."""
+def stored(spark, d) -> writes.Store:
+    """A ledger that two batches were appended to, the first of them again after the second."""
     store = writes.Store(spark, f"{jobs.shared_dir(spark)}/store-{uuid.uuid4().hex}", _STORE)
-    rows = t.candidates(spark, d).where("id < 400").withColumn("supersedes", F.lit(None).cast("long"))
-    store.append(rows.where("id < 200"), "one")
-    store.append(rows.where("id >= 200"), "two")
-    store.append(rows.where("id >= 200"), "two")
-    return store, rows
+    rows = t.candidates(spark, d).withColumn("supersedes", F.lit(None).cast("long"))
+    store.append(rows.where("id % 2 = 0"), "one")
+    store.append(rows.where("id % 2 = 1"), "two")
+    store.append(rows.where("id % 2 = 0"), "one")
+    return store
+
+
+#: Candidates in the order of their batches, and what a row-by-row insert says of each.
+_STORED = _BATCH[: _BATCH.index("k1 AS (")] + """r AS (SELECT *, i % 2 AS batch, scope || chr(1) || subject || chr(1) || predicate AS k, coalesce(valid_to, TIMESTAMP '9999-01-01') AS ends FROM c1 WHERE own IS NULL AND confidence IN ('measured', 'derived')),
+s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY batch, i) AS rn FROM r),
+fold AS (SELECT k, rn, i, true AS ok, [struct_pack(a := valid_from, b := ends)] AS held FROM s WHERE rn = 1
+ UNION ALL SELECT k, rn, i, NOT hit, CASE WHEN hit THEN held ELSE list_append(held, struct_pack(a := a, b := b)) END FROM (SELECT s.k, s.rn, s.i, s.valid_from AS a, s.ends AS b, held, len(list_filter(held, lambda h: h.a < s.ends AND s.valid_from < h.b)) > 0 AS hit FROM fold f JOIN s ON s.k = f.k AND s.rn = f.rn + 1)),
+said AS (SELECT c1.*, i % 2 AS batch, coalesce(own, CASE WHEN NOT ok THEN 'no_two_live_contradictions' END) AS reason FROM c1 LEFT JOIN fold USING (i)),
+b AS (SELECT min(i) FILTER (i % 2 = 0) AS least0, max(i) FILTER (i % 2 = 0) - min(i) FILTER (i % 2 = 0) + 1 AS last0, min(i) FILTER (i % 2 = 1) AS least1 FROM c1)"""
 
 
-@query()
+@query(f"WITH {_STORED} SELECT i AS id, scope, subject, predicate, CASE batch WHEN 0 THEN i - least0 + 1 ELSE i - least1 + 1 + last0 END AS asserted_at, i AS chain, 0 AS place, CAST(NULL AS BIGINT) AS superseded_by FROM said, b WHERE reason IS NULL")
 def ledger_appended(spark, d):
     """What a ledger holds after three appends, one of which is a repetition."""
-    return stored(spark, d)[0].assertions().select("id", "scope", "subject", "predicate", "asserted_at", "hash")
+    return stored(spark, d).assertions().select("id", "scope", "subject", "predicate", "asserted_at", "chain", "place", "superseded_by")
 
 
-@query()
+@query(f"WITH {_STORED} SELECT i AS id, reason, 'refused: ' || reason || ' ' || scope || ' ' || subject AS message FROM said WHERE reason IS NOT NULL")
 def ledger_rejections(spark, d):
-    return stored(spark, d)[0].rejections()
+    return stored(spark, d).rejections()
 
 
-@query("SELECT user_id, start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * k) AS start FROM events, range(3) r(k)) WHERE start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL")
+@query("SELECT user_id, start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * k) AS start FROM events, range(3) r(k)) GROUP BY ALL")
 def attempts_stream(spark, d):
     return jobs.attempts(spark, f"{d}/events.parquet")
 

@@ -29,6 +29,7 @@ led1 AS (SELECT *, CASE WHEN confidence IN ('measured', 'derived') THEN 'machine
 ledger AS (SELECT *, lag(id) OVER w AS supersedes, lead(id) OVER w AS superseded_by, lead(asserted_at) OVER w AS superseded_at
   FROM led1 WINDOW w AS (PARTITION BY scope, subject, predicate, tier ORDER BY asserted_at)),
 live AS (SELECT * FROM ledger WHERE superseded_by IS NULL),
+modes AS (SELECT DISTINCT ON (scope) scope, CASE WHEN event_id % 2 = 0 THEN 'isolated' ELSE 'shared' END AS mode, event_id AS asserted_at FROM (SELECT event_id, ['org/acme', 'org/acme/proj/a', 'org/acme/proj/b'][1 + user_id % 3] AS scope FROM events WHERE event_id % 97 = 5) ORDER BY scope, event_id DESC),
 chain AS (SELECT * FROM (VALUES ('org/acme/proj/a', 1), ('org/acme', 2)) v(scope, ord)),
 episodes AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session, turn AS seq, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'agent' ELSE 'system' END AS role,
   TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS BIGINT)) + to_minutes(CAST(turn AS BIGINT)) AS occurred_at, coalesce(text, '') || CASE WHEN role = 'user' AND conv_id % 3 = 0 THEN '?' ELSE '' END AS text,
@@ -47,7 +48,7 @@ edges AS (SELECT DISTINCT l_partkey AS src, (l_partkey * 7 + l_suppkey + 1) % (S
   CASE l_returnflag WHEN 'A' THEN 'unverified' WHEN 'N' THEN 'derived' ELSE 'measured' END AS confidence FROM lineitem),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS ls FROM documents)),
 prose AS (SELECT * FROM lines WHERE trim(text, ' ') <> ''),
-note AS (SELECT p_partkey AS doc_id, concat_ws(chr(10), '# ' || p_brand, replace(p_name, ' ', '_') || ': ' || p_size || ' mm', 'The ' || p_name || ' is now ' || p_size || ' kg.', 'widget_' || p_size || ' is a ' || lower(p_type) || ' part.',
+note AS (SELECT p_partkey AS doc_id, concat_ws(chr(10), '# ' || p_brand || CASE WHEN p_partkey % 9 = 4 THEN ' UNMEASURED_x, do not quote' ELSE '' END, replace(p_name, ' ', '_') || ': ' || p_size || ' mm', 'The ' || p_name || ' is now ' || p_size || ' kg.', 'widget_' || p_size || ' is a ' || lower(p_type) || ' part.',
   CASE WHEN p_partkey % 5 = 0 THEN 'this estimate is 3 mm.' ELSE 'You must never mix small parts with large ones.' END, CASE WHEN p_partkey % 3 = 0 THEN '```' || chr(10) || 'size: 4 mm' || chr(10) || '```' ELSE '> quoted: 5 mm' END,
   CASE WHEN p_partkey % 4 = 0 THEN 'const LIMIT: u32 = 1_' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ';' ELSE 'static_assert(width % ' || p_size || ');' END) AS text FROM part),
 noted AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS text FROM note),

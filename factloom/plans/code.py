@@ -75,9 +75,9 @@ def index_resolve(spark, d):
     return graph.index_of(_indexes(spark, d), "r3", "a").select("index_id", "commit_sha")
 
 
-@query(f"WITH {_INDEX} SELECT DISTINCT repo FROM ix WHERE repo = 'r3'")
+@query(f"WITH {_INDEX} SELECT commit_sha, CASE WHEN count(DISTINCT repo) = 1 THEN min(repo) END AS repo, count(DISTINCT repo) AS repos FROM (SELECT substr(commit_sha, 1, 3) AS commit_sha, repo FROM ix WHERE completed) GROUP BY 1")
 def only_repo(spark, d):
-    return _indexes(spark, d).where("repo = 'r3'").select("repo").distinct().limit(2)
+    return graph.only_repo(_indexes(spark, d).withColumn("commit_sha", F.substring("commit_sha", 1, 3)), "commit_sha")
 
 
 _RAW = """raw AS (SELECT l_orderkey AS o, l_linenumber AS n, 's' || l_partkey AS src, CASE WHEN l_linenumber % 3 = 0 THEN ['s' || (l_partkey + 1), 's' || (l_partkey + 2)] ELSE ['s' || (l_partkey + l_linenumber * 7)] END AS ds,

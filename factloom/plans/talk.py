@@ -192,7 +192,7 @@ def prose_name_tokens(spark, d):
     return rows.select("doc_id", F.array_join(F.array_except(prose.name_tokens("text"), F.array(F.lit("x"), F.lit("2"))), " ").alias("tokens"))
 
 
-_STATED = """stated AS (SELECT n.*, '# ' || p_brand AS h FROM noted n JOIN part ON p_partkey = doc_id WHERE NOT starts_with(text, '#') AND NOT starts_with(text, '>') AND NOT starts_with(text, '```') AND NOT starts_with(text, 'size: 4'))"""
+_STATED = """stated AS (SELECT n.*, '# ' || p_brand || CASE WHEN p_partkey % 9 = 4 THEN ' UNMEASURED_x, do not quote' ELSE '' END AS h FROM noted n JOIN part ON p_partkey = doc_id WHERE NOT starts_with(text, '#') AND NOT starts_with(text, '>') AND NOT starts_with(text, '```') AND NOT starts_with(text, 'size: 4'))"""
 
 
 @query(f"WITH {_STATED} SELECT doc_id, line, text, substr(h, 3) AS heading FROM stated")
@@ -200,9 +200,9 @@ def prose_statements(spark, d):
     return prose.statements(prose.lines(t.notes(spark, d)))
 
 
-_FACTS = f"""{_STATED}, facts AS (SELECT doc_id, line, 'key_value' AS family, split_part(text, ': ', 1) AS subject, regexp_extract(text, ': ([0-9]+)', 1) AS object, 'mm' AS unit, 0.7 AS self_confidence FROM stated WHERE regexp_matches(text, '^[a-z_]+: [0-9]+ mm$')
-UNION ALL SELECT doc_id, line, 'measured', replace(regexp_extract(lower(text), '^the (.*) is now', 1), ' ', '_'), regexp_extract(text, 'now ([0-9]+)', 1), 'kg', 0.6 FROM stated WHERE starts_with(text, 'The ')
-UNION ALL SELECT doc_id, line, 'defined', split_part(text, ' ', 1), regexp_extract(text, ' is a (.*)[.]$', 1), '', 0.35 FROM stated WHERE starts_with(text, 'widget_'))"""
+_FACTS = f"""{_STATED}, quotable AS (SELECT * FROM stated WHERE doc_id % 9 <> 4), facts AS (SELECT doc_id, line, 'key_value' AS family, split_part(text, ': ', 1) AS subject, regexp_extract(text, ': ([0-9]+)', 1) AS object, 'mm' AS unit, 0.7 AS self_confidence FROM quotable WHERE regexp_matches(text, '^[a-z_]+: [0-9]+ mm$')
+UNION ALL SELECT doc_id, line, 'measured', replace(regexp_extract(lower(text), '^the (.*) is now', 1), ' ', '_'), regexp_extract(text, 'now ([0-9]+)', 1), 'kg', 0.6 FROM quotable WHERE starts_with(text, 'The ')
+UNION ALL SELECT doc_id, line, 'defined', split_part(text, ' ', 1), regexp_extract(text, ' is a (.*)[.]$', 1), '', 0.35 FROM quotable WHERE starts_with(text, 'widget_'))"""
 _FACT = ["doc_id", "line", "family", "subject", "object", "unit"]
 
 
@@ -240,12 +240,12 @@ def rules_dedupe(spark, d):
     return prose.merged_rules(rows)
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, p_name AS subject, 'size' AS predicate, p_size % 2 AS object, CASE WHEN p_partkey % 7 = 0 THEN 'nowhere' ELSE 'f' || p_partkey || ':1' END AS locator, p_partkey % 5 <> 0 AS timed FROM part WHERE p_partkey < 150),
+@query("""WITH r AS (SELECT p_partkey AS id, p_name AS subject, 'size' AS predicate, p_size % 2 AS object, CASE WHEN p_partkey % 7 = 0 THEN 'nowhere' ELSE 'f' || p_partkey || ':1' END AS locator, p_partkey % 5 <> 0 AS timed FROM part),
 c AS (SELECT subject FROM r GROUP BY subject HAVING count(DISTINCT object) > 1)
 SELECT id, CASE WHEN NOT timed THEN 'no_commit_time' WHEN locator = 'nowhere' THEN 'no_line' WHEN subject IN (SELECT subject FROM c) THEN 'conflicting_value' WHEN row_number() OVER (PARTITION BY subject, object ORDER BY locator) > 1 THEN 'duplicate' ELSE 'accepted' END AS verdict FROM r""")
 def facts_ingested(spark, d):
     i = F.col("p_partkey")
-    rows = t.table(spark, d, "part").where(i < 150).select(i.alias("id"), F.col("p_name").alias("subject"), F.lit("size").alias("predicate"), (F.col("p_size") % 2).alias("object"), F.when(i % 7 == 0, "nowhere").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(":1"))).alias("locator"), F.when(i % 5 != 0, i).alias("committed_at"))
+    rows = t.table(spark, d, "part").select(i.alias("id"), F.col("p_name").alias("subject"), F.lit("size").alias("predicate"), (F.col("p_size") % 2).alias("object"), F.when(i % 7 == 0, "nowhere").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(":1"))).alias("locator"), F.when(i % 5 != 0, i).alias("committed_at"))
     return prose.ingestable(rows).select("id", "verdict")
 
 

@@ -21,7 +21,7 @@ def _pick(values, n) -> F.Column:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions from events: one a row, each superseding the one before it of its key and tier."""
+    """Assertions from events: one a row, each superseding the one before it of its key and tier. chain and place are what a store keeps of each row at its append."""
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     rows = e.select(
         i.alias("id"),
@@ -38,7 +38,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 == 1, F.array(i - 1, F.when(i % 40 == 1, i + 100_000_000).otherwise(i))).alias("derived_from"),
     ).withColumn("tier", F.when(F.col("confidence").isin("measured", "derived"), "machine").otherwise(F.col("confidence")))
     before = Window.partitionBy("scope", "subject", "predicate", "tier").orderBy("asserted_at")
-    return with_supersession(rows.withColumn("supersedes", F.lag("id").over(before)))
+    return with_supersession(rows.withColumns({"supersedes": F.lag("id").over(before), "chain": F.first("id").over(before), "place": (F.row_number().over(before) - 1).cast("long")}))
 
 
 def with_supersession(rows: DataFrame) -> DataFrame:
@@ -48,6 +48,12 @@ def with_supersession(rows: DataFrame) -> DataFrame:
     return out.withColumns({"superseded_by": F.col("_by.id"), "superseded_at": F.col("_by.asserted_at")}).drop("_by", "_target")
 
 
+def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes that scopes were set to, from every 97th event."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").where(i % 97 == 5).select(_pick(SCOPES, F.col("user_id") % 3).alias("scope"), F.when(i % 2 == 0, "isolated").otherwise("shared").alias("mode"), i.alias("asserted_at"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assertions that ask for admission, some with defects."""
     i = F.col("event_id")
@@ -187,7 +193,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, size = F.col("p_partkey"), F.col("p_size").cast("string")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     lines = [
-        F.concat(F.lit("# "), F.col("p_brand")), F.concat(name, F.lit(": "), size, F.lit(" mm")), F.concat(F.lit("The "), F.col("p_name"), F.lit(" is now "), size, F.lit(" kg.")),
+        F.concat(F.lit("# "), F.col("p_brand"), F.when(i % 9 == 4, " UNMEASURED_x, do not quote").otherwise("")), F.concat(name, F.lit(": "), size, F.lit(" mm")), F.concat(F.lit("The "), F.col("p_name"), F.lit(" is now "), size, F.lit(" kg.")),
         F.concat(F.lit("widget_"), size, F.lit(" is a "), F.lower("p_type"), F.lit(" part.")), F.when(i % 5 == 0, "this estimate is 3 mm.").otherwise("You must never mix small parts with large ones."),
         F.when(i % 3 == 0, "```\nsize: 4 mm\n```").otherwise("> quoted: 5 mm"), F.when(i % 4 == 0, F.concat(F.lit("const LIMIT: u32 = 1_"), F.lpad(size, 3, "0"), F.lit(";"))).otherwise(F.concat(F.lit("static_assert(width % "), size, F.lit(");"))),
     ]

@@ -84,8 +84,12 @@ def tallies(spark: SparkSession, path: str, job: str | None = None) -> DataFrame
     return parts.groupBy("signature").agg(F.sum("n").alias("events"), F.countDistinct("actor").alias("humans"))
 
 
-def attempts(spark: SparkSession, path: str, span: str = "15 minutes", step: str = "5 minutes", job: str | None = None) -> DataFrame:
-    """Attempts of each user in sliding windows, as far as the watermark of an hour has closed them."""
-    rows = appended(spark, path).select("user_id", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "1 hour")
-    rows = rows.groupBy(F.window("at", span, step), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
-    return _run(rows, job or job_name("attempts", path), "user_id long, start timestamp_ntz, n long").drop("batch")
+def attempts(spark: SparkSession, path: str, span: int = 900, step: int = 300, job: str | None = None) -> DataFrame:
+    """Attempts of each user in sliding windows of span seconds that begin every step seconds. However late a row arrives, it counts: batches add their counts a window and what is read sums them up."""
+    rows = appended(spark, path).select("user_id", "ts")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    last = at - at % step
+    starts = F.transform(F.sequence(F.lit(0), F.lit(span // step - 1)), lambda k: F.timestamp_seconds(last - k * step).cast("timestamp_ntz"))
+    each = lambda batch, _: batch.select("user_id", F.explode(starts).alias("start")).groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("n"))
+    parts = _run(rows, job or job_name("attempts", path), "user_id long, start timestamp_ntz, n long", each)
+    return parts.groupBy("user_id", "start").agg(F.sum("n").alias("n"))
