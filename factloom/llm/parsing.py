@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -39,7 +39,7 @@ from .words import _BASE, _BYTES, _INVERSE, _power, mixed
 #: Bytes of a string, of the grams whose hashes trigger and rank, and the share of grams that trigger.
 LENGTH, GRAM, SPACING = 50, 12, 256
 #: Bytes of text that are worked on at once, for which there is a bucket, a partition of buckets, and a task that parses.
-SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 1 << 20, 4 << 20, 256 << 20, 256 << 20
+SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 1 << 20, 2 << 20, 256 << 20, 256 << 20
 #: Bytes of packed strings that a task gathers before it sends them.
 GATHER = 24 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets.
@@ -48,8 +48,8 @@ HOT_SHARE, HOT_LEAST = 64, 100
 HOT_MOST = 1 << 20
 #: Grams at least that a task remembers as it counts.
 COUNTED = 1 << 16
-#: Rows of spans up to which they reach all tasks instead of a shuffle of the texts: tens of MB.
-FEW_SPANS = 400_000
+#: Spans up to which they reach all tasks, 8 bytes each and some for each text that has any; beyond, texts are shuffled to meet theirs.
+FEW_SPANS = 4_000_000
 
 
 def _slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -215,8 +215,9 @@ def _pack(buckets: int, parts: int, hot: np.ndarray):
                 if len(lists):  # what belongs to a smaller id: all strings within its phrases
                     of = np.repeat(np.arange(n_docs), pc.fill_null(pc.list_value_length(gone), 0).to_numpy())
                     depth = np.zeros(len(data) + 1, dtype=np.int32)
-                    np.add.at(depth, bounds[of] + lists.field("first").to_numpy(), 1)
-                    np.add.at(depth, bounds[of] + lists.field("last").to_numpy() - LENGTH + 1, -1)
+                    lists = lists.to_numpy()
+                    np.add.at(depth, bounds[of] + (lists >> 32), 1)
+                    np.add.at(depth, bounds[of] + (lists & 0xFFFFFFFF) - LENGTH + 1, -1)
                     use &= np.cumsum(depth)[:n] == 0
                 least = _sliding_min(ranked(_hashes(total, GRAM), hot), LENGTH - GRAM + 1)
                 common = use & (least >> np.uint64(63) > 0)
@@ -283,32 +284,35 @@ def _bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(unpress(r[4]) for r in rows), dtype=np.uint8)
     length = windows + LENGTH - 1
     place = np.cumsum(length) - length
-    of = np.repeat(np.arange(len(windows)), windows)
-    begin = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)  # within its string
-    at = place[of] + begin
+    before = np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    at = (np.arange(len(of)) + np.repeat(place - before, windows)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
     found, edge, lo = np.empty(len(of), dtype=np.uint64), np.append(place, len(data)), 0
     upto = np.cumsum(windows)
     while lo < len(windows):  # some strings at a time
         hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + SLICE, side="right")) - 1)
-        mine, total = slice(int(upto[lo] - windows[lo]), int(upto[hi - 1])), _sums(data[edge[lo] : edge[hi]])
+        mine, total = slice(int(before[lo]), int(upto[hi - 1])), _sums(data[edge[lo] : edge[hi]])
         x = at[mine] - edge[lo]
         found[mine] = mixed((total[x + LENGTH] - total[x]) * _power(_INVERSE, len(total))[x])
         lo = hi
     # the hash's upper bits above the place: one sort brings those together that may be equal, a few others among them
     bits = max(1, int(len(found)).bit_length())
-    found = np.sort((found >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(found), dtype=np.uint64))
-    name = found >> np.uint64(bits)
+    found &= np.uint64(((1 << 64) - 1) ^ ((1 << bits) - 1))
+    found |= np.arange(len(found), dtype=np.uint64)
+    found.sort()
+    same = (found[1:] ^ found[:-1]) < np.uint64(1 << bits)
     twin = np.zeros(len(found), dtype=bool)
-    twin[1:] = name[1:] == name[:-1]
-    twin[:-1] |= twin[1:].copy()
+    twin[1:] = same
+    twin[:-1] |= same
     some = (found[twin] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    del found, name, twin
+    del found, same, twin
     by, new = suffixes(data, at[some], ids[of[some]])
     some = some[by]
     doc = ids[of[some]]
     least = doc[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))] if len(some) else doc
     gone = some[doc > least]
-    return ids[of[gone]], keys[of[gone]], first[of[gone]] + begin[gone]
+    of = of[gone]
+    return ids[of], keys[of], first[of] + at[gone] - place[of]
 
 
 _SPANS = "doc_id long, key long, first int, last int"
@@ -347,9 +351,18 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ended(rows)
 
 
+def merged(spans: DataFrame, overlap: int | None = None) -> DataFrame:
+    """Spans (doc_id, key, first, last) that touch or overlap as one; with overlap those alone that overlap by just so much."""
+    mine = Window.partitionBy("doc_id", "key").orderBy("first")
+    before = F.max("last").over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    joins = F.col("first") <= before if overlap is None else F.col("first") == before - overlap
+    apart = spans.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    return apart.groupBy("doc_id", "key", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
 def _with_spans(docs: DataFrame, spans: DataFrame, name: str, few: int) -> DataFrame:
-    """docs with their spans (doc_id, key, first, last) as a list, null for none; a list reaches all tasks if there are few spans, counted first."""
-    lists = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias(name))
+    """docs with their spans (doc_id, key, first, last; written, merged) as a list of first * 2^32 + last, null for none. The lists reach all tasks if there are few spans, counted first."""
+    lists = spans.groupBy("doc_id", "key").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias(name))
     return docs.join(F.broadcast(lists) if spans.count() <= few else lists, ["doc_id", "key"], "left")
 
 
@@ -369,7 +382,8 @@ def repeated_bytes(docs: DataFrame, few: int = FEW_SPANS) -> DataFrame:
 
     parsed = parse.where("kind = 0")
     owned = parsed.groupBy("p", "q").agg(F.min("doc_id").alias("_owner"), F.max("doc_id").alias("_last")).where("_owner < _last").drop("_last")
-    gone = staged(parsed.join(owned, ["p", "q"]).where("doc_id > _owner").select("doc_id", "key", "first", "last"), "phrases")
+    # consecutive phrases overlap by just LENGTH - 1; with one of its own between two that go, a text keeps these apart
+    gone = staged(merged(parsed.join(owned, ["p", "q"]).where("doc_id > _owner").select("doc_id", "key", "first", "last"), LENGTH - 1), "phrases")
     rows = _with_spans(docs.select("doc_id", "text", "key"), gone, "gone", few)
     sent = rows.mapInArrow(_pack(buckets, parts, hot), _PACKED)
     found = sent.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(_sorted, _SPANS)
@@ -383,7 +397,7 @@ def without_repeats(docs: DataFrame, few: int = FEW_SPANS) -> DataFrame:
     twice = not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
     # the id alone tells rows apart where it does; a hash of eight bytes a string would be most of what is sent
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text") if twice else F.lit(0).cast("long"))
-    cuts = staged(repeated_bytes(rows, few), "cuts")
+    cuts = staged(merged(repeated_bytes(rows, few)), "cuts")
     names = ["doc_id", "text", "_others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +407,7 @@ def without_repeats(docs: DataFrame, few: int = FEW_SPANS) -> DataFrame:
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 out, upto, n_spans = [], 0, 0
                 end = -1
-                for s in sorted((s["first"], s["last"]) for s in cut or ()):
+                for s in sorted((x >> 32, x & 0xFFFFFFFF) for x in cut or ()):
                     n_spans += s[0] > end
                     end = max(end, s[1])
                     if s[0] > upto:

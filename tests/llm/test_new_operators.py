@@ -220,6 +220,17 @@ def test_op12_phrases_hold_every_string_once():
     assert all(e == min(o + 49, bounds[t + 1]) and bounds[t] <= b for t, b, o, e in zip(text, begin, own, end, strict=True))
 
 
+def test_op12_a_phrase_between_two_that_go_is_still_a_source(spark):
+    """Strings across two phrases of smaller ids are the dictionary's."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(12)]
+    rows = [(k, p) for k, p in enumerate(parts)]
+    rows += [(100 + k, parts[k][rng.randrange(60) :] + parts[k + 1][: 240 + rng.randrange(60)]) for k in range(11)]
+    rows += [(200 + k, rows[12 + k][1]) for k in range(11)] + [(300 + k, "x" + rows[12 + k][1][9:]) for k in range(11)]
+    out = parsing.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    cases.same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute_parsing(rows))
+
+
 def test_op12_suffixes_are_in_order():
     rng = np.random.default_rng(5)
     data = rng.integers(0, 2, 3000).astype(np.uint8)
