@@ -22,30 +22,156 @@ def _batch(spark, *rows):
     return spark.createDataFrame([GOOD | r for r in rows], SCHEMA)
 
 
+def _said(verdicts):
+    return {r["id"]: (r["reason"], r["existing"]) for r in verdicts.collect()}
+
+
+TAKEN, ABSENT, CLASH = "supersedes_target_already_superseded", "supersedes_target_not_found", "no_two_live_contradictions"
+
+
 def test_appends_supersessions_and_refusals(spark, tmp_path):
     store = _store(spark, tmp_path)
     assert store.assertions().count() == store.outbox().count() == store.rejections().count() == 0
-    first = store.append(_batch(spark, {"id": 1}, {"id": 2}, {"id": 3, "value": 2.0}, {"id": 4, "source": " ", "subject": "t"}), "one").collect()
-    got = {r["id"]: (r["reason"], r["existing"]) for r in first}
-    assert got == {1: (None, None), 2: (None, 1), 3: ("no_two_live_contradictions", None), 4: ("evidence_required", None)}
+    first = store.append(_batch(spark, {"id": 1}, {"id": 2}, {"id": 3, "value": 2.0}, {"id": 4, "source": " ", "subject": "t"}), "one")
+    assert _said(first) == {1: (None, None), 2: (None, 1), 3: (CLASH, None), 4: ("evidence_required", None)}
     # a successor frees its target's period; a second one comes too late, as does one of a row that is not there
-    second = store.append(_batch(spark, {"id": 11, "value": 3.0, "supersedes": 1}, {"id": 12, "value": 4.0, "supersedes": 1}, {"id": 13, "subject": "u", "supersedes": 99}), "two").collect()
-    assert {r["id"]: r["reason"] for r in second} == {11: None, 12: "supersedes_target_already_superseded", 13: "supersedes_target_missing"}
-    third = store.append(_batch(spark, {"id": 21, "value": 5.0, "supersedes": 1}, {"id": 22}), "three").collect()
-    assert {r["id"]: (r["reason"], r["existing"]) for r in third} == {21: ("supersedes_target_already_superseded", None), 22: (None, 1)}
+    second = store.append(_batch(spark, {"id": 11, "value": 3.0, "supersedes": 1}, {"id": 12, "value": 4.0, "supersedes": 1}, {"id": 13, "subject": "u", "supersedes": 99}), "two")
+    assert {i: r for i, (r, _) in _said(second).items()} == {11: None, 12: TAKEN, 13: ABSENT}
+    third = store.append(_batch(spark, {"id": 21, "value": 5.0, "supersedes": 1}, {"id": 22}), "three")
+    assert _said(third) == {21: (TAKEN, None), 22: (None, 1)}
     led = store.assertions()
-    assert {(r["id"], r["superseded_by"]) for r in led.collect()} == {(1, 11), (11, None)}
+    assert {(r["id"], r["superseded_by"], r["chain"], r["place"]) for r in led.collect()} == {(1, 11, 1, 0), (11, None, 1, 1)}
     assert [r["id"] for r in store.outbox().orderBy("seq").collect()] == [1, 11]
-    assert {r["id"] for r in store.rejections().collect()} == {3, 4, 12, 13, 21}
+    told = {r["id"]: r["message"] for r in store.rejections().collect()}
+    assert set(told) == {3, 4, 12, 13, 21} and told[21].endswith("head: 11")
     assert {r["id"] for r in reads.walked(led, 1).collect()} == {1, 11}
+    assert store.tampered() == []
+
+
+def test_a_batch_sent_again_after_its_successor_loses_nothing(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    one = _batch(spark, {"id": 1}, {"id": 2, "subject": "t"}, {"id": 3, "source": " "})
+    first = sorted(store.append(one, "one").collect())
+    store.append(_batch(spark, {"id": 11, "value": 2.0, "supersedes": 1}), "two")
+    before = sorted(store.assertions().collect())
+    assert sorted(store.append(one, "one").collect()) == first
+    assert sorted(store.assertions().collect()) == before and len(before) == 3
+    assert {r["id"]: r["superseded_by"] for r in before} == {1: 11, 2: None, 11: None}
+    assert sorted(r["id"] for r in store.outbox().collect()) == [1, 2, 11] and store.rejections().count() == 1
+    assert [c["batch"] for c in store.commits()] == ["one", "two"]
+
+
+def test_of_two_writers_one_commits_a_version(spark, tmp_path):
+    """The other decides anew on what is there then; if it has the same batch, it gets the stored verdicts."""
+    mine, other = _store(spark, tmp_path), _store(spark, tmp_path)
+    real, turns = mine._commit, []
+
+    def late(entry):
+        if not turns:
+            turns.append(entry["version"])
+            other.append(_batch(spark, {"id": 5, "value": 9.0}), "theirs")
+        real(entry)
+
+    mine._commit = late
+    assert _said(mine.append(_batch(spark, {"id": 6, "value": 1.0}, {"id": 7, "subject": "free"}), "ours")) == {6: (CLASH, None), 7: (None, None)}
+    assert [(c["version"], c["batch"]) for c in mine.commits()] == [(1, "theirs"), (2, "ours")]
+    with pytest.raises(writes.Conflict):
+        real(mine.commits()[0])
+    turns.clear()
+    rows = _batch(spark, {"id": 8, "subject": "same"})
+
+    def twin(entry):
+        if not turns:
+            turns.append(1)
+            other.append(rows, "same")
+        real(entry)
+
+    mine._commit = twin
+    assert _said(mine.append(rows, "same")) == {8: (None, None)} and len(mine.commits()) == 3
+    assert mine.assertions().where("id = 8").count() == 1
+
+
+def test_a_writer_that_fails_leaves_nothing_to_be_seen(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    store.append(_batch(spark, {"id": 1}), "one")
+
+    def lost(_):
+        raise OSError("gone")
 
+    broken = _store(spark, tmp_path)
+    broken._commit = lost
+    with pytest.raises(OSError):
+        broken.append(_batch(spark, {"id": 2, "subject": "t"}, {"id": 3, "source": ""}), "two")
+    assert [r["id"] for r in store.assertions().collect()] == [1] and store.rejections().count() == 0
+    assert _said(store.append(_batch(spark, {"id": 2, "subject": "t"}), "two")) == {2: (None, None)}
 
-def test_a_batch_sent_again_replaces_itself(spark, tmp_path):
+
+def test_stored_rows_are_not_rewritten(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    store.append(_batch(spark, {"id": 1}, {"id": 2, "subject": "t"}), "one")
+    again = store.append(_batch(spark, {"id": 1, "value": 7.0}, {"id": 2, "subject": "t"}, {"id": 3, "subject": "u"}), "two")
+    assert _said(again) == {1: ("assertions_are_immutable", None), 2: (None, 2), 3: (None, None)}
+    assert {r["id"]: r["value"] for r in store.assertions().collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+    # rows that vanish or change below the store's hands are told of
+    folder = store.commits()[0]["folder"] + "/assertions"
+    rows = spark.read.parquet(folder).collect()
+    schema = spark.read.parquet(folder).schema
+    spark.createDataFrame([r for r in rows if r["id"] == 2], schema).write.mode("overwrite").parquet(folder)
+    assert store.tampered() == [("one", "assertions_are_append_only")]
+    spark.createDataFrame([tuple("forged" if n == "hash" and r["id"] == 1 else r[n] for n in schema.names) for r in rows], schema).write.mode("overwrite").parquet(folder)
+    assert store.tampered() == [("one", "assertions_are_immutable")]
+
+
+def test_chains_within_a_batch_and_across_keys(spark, tmp_path):
+    """A row may supersede one of its own batch, and one of another key; a row that falls leaves its target to the next."""
+    store = _store(spark, tmp_path)
+    store.append(_batch(spark, {"id": 1}, {"id": 2, "subject": "t"}), "one")
+    rows = [
+        {"id": 10, "value": 2.0, "subject": "t", "supersedes": 1},  # the period of t is 2's: falls, 1 stays a head
+        {"id": 11, "value": 3.0, "supersedes": 1},
+        {"id": 12, "value": 4.0, "supersedes": 11},
+        {"id": 13, "value": 5.0, "supersedes": 12},
+        {"id": 14, "value": 6.0, "subject": "v", "supersedes": 2},  # of another key: t's period is free
+        {"id": 15, "value": 7.0, "subject": "t"},
+        {"id": 16, "value": 8.0, "subject": "w", "supersedes": 14},
+        {"id": 17, "value": 9.0, "subject": "v"},
+        {"id": 18, "value": 9.5, "subject": "x", "supersedes": 19},  # comes before its target
+        {"id": 19, "value": 9.5, "subject": "y"},
+        {"id": 20, "value": 1.5, "subject": "z", "supersedes": 2},
+    ]
+    got = {i: r for i, (r, _) in _said(store.append(_batch(spark, *rows), "two")).items()}
+    assert got == {10: CLASH, 11: None, 12: None, 13: None, 14: None, 15: None, 16: None, 17: None, 18: ABSENT, 19: None, 20: TAKEN}
+    led = {r["id"]: (r["superseded_by"], r["chain"], r["place"]) for r in store.assertions().collect()}
+    assert led == {1: (11, 1, 0), 11: (12, 1, 1), 12: (13, 1, 2), 13: (None, 1, 3), 2: (14, 2, 0), 14: (16, 2, 1), 16: (None, 2, 2), 15: (None, 15, 0), 17: (None, 17, 0), 19: (None, 19, 0)}
+    heads = {r["id"]: (r["head"], r["hops"]) for r in reads.chain_heads(store.assertions()).collect()}
+    assert heads[1] == (13, 3) and heads[2] == (16, 2) and heads[16] == (16, 0)
+
+
+def test_long_chain_takes_no_more_jobs(spark, tmp_path):
     store = _store(spark, tmp_path)
-    rows = _batch(spark, {"id": 1}, {"id": 2, "subject": "t"})
-    once = store.append(rows, "b").collect()
-    assert sorted(once) == sorted(store.append(rows, "b").collect())
-    assert store.assertions().count() == store.outbox().count() == 2
+    rows = _batch(spark, *({"id": k, "value": float(k), "supersedes": k - 1 if k > 1 else None} for k in range(1, 301)))
+    assert set(_said(store.append(rows, "one")).values()) == {(None, None)}
+    led = store.assertions()
+    assert reads.walked(led, 150).count() == 300 and reads.chain_heads(led).where("head = 300 AND hops = 300 - id").count() == 300
+
+
+def test_gates_of_numbers_of_any_form(spark):
+    from factloom.operators import disputes
+
+    cases_ = [(2.0e7, ">=", "5", True), (2.0e7, "=", "20000000", True), (1e-5, ">=", "5", False), (1e-5, "=", "0.00001", True), (12345678.25, ">", "12345678.2", True), (5.0, "=", "five", False), (5.0, "!=", "five", True), (5.0, ">", "five", None), (1e300, ">", "1e299", True), (7.0, "=", "NaN", False)]
+    gates = spark.createDataFrame([("m", k, "s", str(k), op, target, "measured") for k, (_, op, target, _) in enumerate(cases_)], "mission string, gate int, subject string, predicate string, op string, target string, requires_confidence string")
+    led = spark.createDataFrame([(k, k, "a", "s", str(k), v, "measured", "measured", None) for k, (v, *_) in enumerate(cases_)], "id long, asserted_at long, scope string, subject string, predicate string, value double, kind string, confidence string, superseded_by long")
+    got = {r["gate"]: r["reached"] for r in disputes.evaluate(gates, led, ["a"]).collect()}
+    assert got == {k: want for k, (*_, want) in enumerate(cases_)}
+    texts = led.withColumn("value", F.lit("12345678901234568")).where("id = 0")
+    gate = gates.where("gate = 0").withColumn("op", F.lit("=")).withColumn("target", F.lit("12345678901234567"))
+    assert disputes.evaluate(gate, texts, ["a"]).first()["reached"] is False
+    assert checks.refused(spark.createDataFrame([("x", "active", "a", [("s", "p", ">=", t, "measured")]) for t in ("1234567890123456789", "1e-7", "ten")], "statement string, state string, scope string, gates array<struct<subject:string,predicate:string,op:string,target:string,requires_confidence:string>>"), checks.missions()).where("reason IS NULL").count() == 2
+
+
+def test_retracted_numbers_are_no_facts(spark):
+    lines = spark.createDataFrame([(1, 1, "# Results"), (1, 2, "aa: 3 ms"), (1, 3, "## UNMEASURED - do not quote"), (1, 4, "latency: 31.69 ms"), (1, 5, "## Later"), (1, 6, "bb: 4 ms"), (1, 7, "cc_UNVERIFIED_x: 5 ms")], "doc_id long, line long, text string")
+    assert sorted(r["subject"] for r in prose.facts(prose.statements(lines)).collect()) == ["aa", "bb"]
 
 
 def test_empty_batch(spark, tmp_path):
