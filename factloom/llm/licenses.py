@@ -11,7 +11,10 @@ bigrams at least. Its document has all of the unit's bigrams, so only documents
 a template's bigrams are compared with it: bigrams meet templates by an equality join, of each template those that are
 in the fewest others, as many as make the bound exact. What is left, few, is compared unit by unit.
 
-Templates are the usual notices, given here, and the full texts of a folder of public licence texts on the driver.
+A unit's end is found by halving, and its bigrams are compared only if enough places of it hold bigrams of the template,
+which is counted by halving too; so the work grows with the lines and the places, not with their product.
+
+Templates are the usual notices, given here, and the full texts of a folder of public licence texts, those of this package.
 Nulls: a null text has no units; repeated rows are each scanned; ties go to the template listed first and then to the
 first line. Very long texts are scanned whole. Every input row has a result row; other columns are not read.
 """
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import held, staged, table, wide_key
 
 LEAST = 0.8
-#: Full licence texts, a file each, as many systems have them; links are left out. A parameter; without it there are the texts below only.
-TEXT_FOLDER = "/usr/share/common-licenses"
+#: Full licence texts, a file each; links are left out. A parameter; without it there are the texts below only.
+TEXT_FOLDER = os.path.join(os.path.dirname(__file__), "texts")
 #: Candidates (a document and its templates, about 100 bytes) up to which they are broadcast.
 BROADCAST_CANDIDATES = 200_000
 #: The usual notices of public licences, by SPDX name, and the texts of short licences.
@@ -143,24 +146,50 @@ def license_hits(docs: DataFrame, text: str = "text", key: Column | None = None,
     few = asked.count() <= BROADCAST_CANDIDATES
     found = rows.join(F.broadcast(asked) if few else asked, "key").dropDuplicates(["key"])
     lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract_all(F.lower(x), F.lit(_WORD), F.lit(0)).alias("ws")))
-    found = held(found.select("key", "_asked", F.filter(lines, lambda x: F.size(x["ws"]) > 0).alias("_lines")), "_lines")
-    found = held(found.withColumn("_words", F.flatten(F.transform("_lines", lambda x: x["ws"]))), "_words")
-    upto = F.aggregate("_lines", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.size(x["ws"]))))
-    upto = F.when(F.size("_lines") > 0, upto).otherwise(F.array().cast("array<int>"))
-    found = found.select("key", F.explode("_asked").alias("template"), F.transform("_lines", lambda x: x["line"]).alias("_at"), _grams("_words").alias("_grams"), upto.alias("_upto"))
-    found = held(found, "_grams", "_upto").join(F.broadcast(whole), "template")
-    L, U = F.size("_upto"), F.col("_upto")
+    found = held(found.select("key", "_asked", F.filter(lines, lambda x: F.size(x["ws"]) > 0).alias("_lines")), "_lines").where(F.size("_lines") > 0)
+    flat = lambda of: F.flatten(F.transform("_lines", of))
+    found = found.withColumns({"_words": flat(lambda x: x["ws"]), "_of": flat(lambda x: F.array_repeat(x["line"], F.size(x["ws"])))})
+    found = held(found, "_words", "_of")
+    # a line ends at the word behind which another line begins
+    n = F.size("_of")
+    ends = F.filter(F.sequence(F.lit(1), n), lambda p: (p == n) | (F.element_at("_of", p) != F.element_at("_of", F.least(p + 1, n))))
+    found = staged(found.select("key", "_asked", F.transform("_lines", lambda x: x["line"]).alias("_at"), _grams("_words").alias("_grams"), ends.alias("_upto")), "units")
+    # where a template's bigrams are in a document: a unit with too few of them is passed over uncompared
+    own = F.broadcast(whole.select("template", F.explode("t_grams").alias("gram")))
+    met = found.select("key", "_asked", F.posexplode("_grams").alias("at", "gram")).join(own, "gram").where(F.array_contains("_asked", F.col("template")))
+    met = met.groupBy("key", "template").agg(F.array_sort(F.collect_list("at")).alias("_met"))
+    found = held(found.drop("_asked").join(met, "key").join(F.broadcast(whole), "template"), "_grams", "_upto", "_met")
+    L, U, M = F.size("_upto"), F.col("_upto"), F.col("_met")
+
+    def first_at_least(values: Column, least_: Column, low: Column, high: Column) -> Column:
+        """The first place (from 0) in [low, high) of a sorted array with a value of at least least_, else high; by halving."""
+        halved = lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(F.get(values, halved(a)) < least_, F.struct((halved(a) + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), halved(a).alias("hi")))
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(high - low + 1.0)).cast("int") + 1), F.struct(low.alias("lo"), high.alias("hi")), step)["lo"]
 
     def unit(i: Column) -> Column:
+        """Of the line i: where the unit that starts there begins and ends in words, its last line, and how many places of the template's bigrams it has."""
         start = F.when(i > 0, F.get(U, i - 1)).otherwise(F.lit(0))
-        near = F.array_min(F.transform(F.slice(U, i + 1, L - i), lambda e, j: F.struct(F.abs(e - start - F.col("t_words")).alias("off"), e.alias("end"), (i + j).alias("last"))))
-        size = near["end"] - start - 1
-        grams = F.array_distinct(F.slice("_grams", start + 1, F.greatest(size, F.lit(0))))
+        return F.struct(i.alias("i"), start.alias("start"), first_at_least(U, start + F.col("t_words"), i, L).alias("j"))
+
+    def ended(x: Column) -> Column:
+        after, before = F.get(U, x["j"]), F.when(x["j"] > x["i"], F.get(U, x["j"] - 1))
+        nearer = after.isNotNull() & (before.isNull() | (after - x["start"] - F.col("t_words") < x["start"] + F.col("t_words") - before))
+        return F.struct(x["i"].alias("i"), x["start"].alias("start"), F.when(nearer, x["j"]).otherwise(x["j"] - 1).alias("last"), F.when(nearer, after).otherwise(before).alias("end"))
+
+    def counted_(x: Column) -> Column:
+        size, zero, m = x["end"] - x["start"] - 1, F.lit(0), F.size(M)
+        places = first_at_least(M, x["start"] + F.greatest(size, zero), zero, m) - first_at_least(M, x["start"], zero, m)
+        return F.struct(x["i"].alias("i"), x["start"].alias("start"), x["last"].alias("last"), size.alias("size"), places.alias("places"))
+
+    def compared(x: Column) -> Column:
+        grams = F.array_distinct(F.slice("_grams", x["start"] + 1, F.greatest(x["size"], F.lit(0))))
         dice = 2.0 * F.size(F.array_intersect("t_grams", grams)) / (F.size(grams) + F.size("t_grams"))
-        return F.struct(F.when(size >= F.col("t_low"), dice).alias("dice"), (-i).alias("i"), near["last"].alias("last"))
+        return F.struct(dice.alias("dice"), (-x["i"]).alias("i"), x["last"].alias("last"))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), L - 1), unit))
-    found = held(found.where(L > 0).withColumn("b", best), "b").where(F.col("b.dice") >= least)
+    units = F.transform(F.transform(F.transform(F.sequence(F.lit(0), L - 1), unit), ended), counted_)
+    near = held(found.withColumn("_near", F.filter(units, lambda x: (x["size"] >= F.col("t_low")) & (x["places"] >= F.col("t_low")))), "_near").where(F.size("_near") > 0)
+    found = held(near.withColumn("b", F.array_max(F.transform("_near", compared))), "b").where(F.col("b.dice") >= least)
     return found.select("key", "template", "license", F.col("b.dice").alias("dice"), F.get("_at", -F.col("b.i")).alias("first_line"), F.get("_at", F.col("b.last")).alias("last_line"))
 
 

@@ -291,3 +291,44 @@ def test_op13_very_long_text_of_many_lines(spark):
 def test_op13_against_sql(spark, odd):
     for d in (SMALL, odd):
         assert assert_same(infill.op13_infill(spark, d), connection(d), queries.ORACLES["op13_infill"]) > 100
+
+
+# --- many lines, many matches
+
+
+def test_op7_many_lines_in_seconds(spark):
+    """A licence text far into a text of 16,000 lines; every line could begin a unit."""
+    import time
+
+    from factloom.llm import licenses
+
+    rng = random.Random(4)
+    gpl = dict(licenses.all_templates())["GPL-3"]
+    junk = lambda n: "\n".join(f"w{rng.randrange(900)} the program v{rng.randrange(900)}" for _ in range(n))
+    rows = [(1, junk(10)), (2, f"{junk(12_000)}\n{gpl}\n{junk(3_300)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    licenses.license_hits(docs.where("doc_id = 1")).count()
+    began = time.time()
+    found = {r["license"]: r for r in licenses.license_hits(docs).collect()}
+    assert time.time() - began < 60
+    first = 12_001 + next(i for i, x in enumerate(gpl.split("\n")) if re.search("[a-zA-Z0-9]", x))
+    assert found["GPL-3"]["dice"] == 1.0 and found["GPL-3"]["first_line"] == first
+
+
+def test_op9_many_matches(spark, tmp_path):
+    from factloom.llm import secrets
+
+    text = "\n".join(f"password = hunter{k:06d} AKIAABCDEFGH{k:08d} {k:032x}" for k in range(3000))
+    rows = [(1, text, "en", "s", len(text))]
+    got = secrets.op9_secrets(spark, cases.write_documents(tmp_path, rows)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    cases.same(got, cases.secrets(rows))
+
+
+def test_op3_many_lines(spark, tmp_path):
+    from factloom.llm import quality
+
+    rng = random.Random(8)
+    text = "\n".join(f"w{rng.randrange(99)} x{rng.randrange(99)} y{rng.randrange(9999)}" for _ in range(20_000))
+    rows = [(1, text, "en", "s", len(text)), (2, "a b c d e f g h i j k l", "en", "s", 0)]
+    got = quality.op3_quality(spark, cases.write_documents(tmp_path, rows)).drop("n_removed_words").collect()
+    cases.same(got, cases.quality(rows))
