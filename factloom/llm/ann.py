@@ -6,7 +6,7 @@ inner product and grows with length. Candidates are indexed once a table; a quer
 its projections on their axes times their mean length, until these hold a given share of all candidates and more than
 k of them. So lists are never short, long vectors at wider angles are met, and a query far from a tight cluster still
 reads that cluster's buckets. Found candidates are ranked by the exact inner product of the original vectors, in double
-precision. Tables of few rows are searched whole.
+precision. Tables of every size are hashed and searched alike.
 
 The share is fitted: FIT_QUERIES queries are answered exactly, in one pass over all rows, and the least share is taken
 at which FIT_RECALL of their true neighbours lie in a bucket that is read. So vectors that cluster are found by reading
@@ -37,8 +37,6 @@ from .common import staged, table
 TABLES, BLOCKS, BLOCK_WIDTH = 16, 2, 32
 #: Queries that the share is fitted on, and the part of their neighbours that the buckets read must hold. Recall: README.
 FIT_QUERIES, FIT_RECALL = 64, 0.96
-#: Tables of no more rows are searched whole.
-FEW_ROWS = 1024
 #: Ranges of lengths at most; neighbouring ranges whose lengths differ by less than this factor are one.
 RANGES, APART = 4, 1.05
 #: Candidates that one cell holds about.
@@ -203,8 +201,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20, tab
     for low, high in zip(edges, edges[1:]):
         if high >= APART * (cuts[-1] if cuts else low):
             cuts.append(high)
-    whole = n <= max(FEW_ROWS, k + 1)
-    hashed = Tables(d, cuts, 1 if whole else tables, seed)
+    hashed = Tables(d, cuts, tables, seed)
     slots = hashed.slots
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +228,7 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20, tab
     queries = rows.where(is_query(F.col("id"))).distinct()
     each = queries.groupBy("vec").agg(F.min("id").alias("id"))  # equal queries are searched once
     each = staged(each, "queries")
-    target = n if whole else min(n, max(fitted_share(kept, each, hashed, sizes, lengths, d, k, n), 2 * (k + 1)))
+    target = min(n, max(fitted_share(kept, each, hashed, sizes, lengths, d, k, n), 2 * (k + 1)))
     # cells: neighbouring buckets of a table, or parts of one
     cell_of = np.concatenate([t * slots + (np.cumsum(s) - s) // CELL_ROWS for t, s in enumerate(sizes.reshape(hashed.n, slots))])
     parts = np.maximum(1, -(-sizes // CELL_ROWS))
