@@ -39,9 +39,9 @@ from .words import _BASE, _BYTES, _INVERSE, _power, mixed
 #: Bytes of a string, of the grams whose hashes trigger and rank, and the share of grams that trigger.
 LENGTH, GRAM, SPACING = 50, 12, 256
 #: Bytes of text that are worked on at once, for which there is a bucket, a partition of buckets, and a task that parses.
-SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 1 << 20, 2 << 20, 256 << 20, 256 << 20
+SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 256 << 10, 2 << 20, 256 << 20, 256 << 20
 #: Bytes of packed strings that a task gathers before it sends them.
-GATHER = 24 << 20
+GATHER = 12 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets.
 HOT_SHARE, HOT_LEAST = 64, 100
 #: Hot grams at most, twice over: 8 bytes each reach every task.
