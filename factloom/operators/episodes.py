@@ -102,28 +102,63 @@ def newest_within(rows: DataFrame, budget: int) -> DataFrame:
 
 #: What a respelling of a term is worth beside the term itself.
 DISCOUNT = {"exact": 1.0, "abbrev": 0.9, "numeric": 0.9, "stem": 0.7, "split": 0.5}
-#: Words of a question that say nothing about its subject.
-STOP = frozenset("a an and are as at be been but by did do does for from had has have how i in is it its me my of on or our say said that the their them then there they this to us was we were what when where which who why will with you your".split())
+#: Words of a question that carry no topic, and names of months.
+STOP = frozenset((
+    "the", "a", "an", "and", "or", "but", "of", "to", "in", "on", "at", "for", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "being", "it", "its", "this",
+    "that", "these", "those", "he", "she", "they", "his", "her", "their", "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "did", "does", "do", "done",
+    "can", "could", "should", "would", "will", "shall", "may", "might", "must", "have", "has", "had", "not", "no", "yes", "only", "same", "other", "another", "two", "three",
+    "there", "then", "than", "them", "you", "your", "i", "me", "my", "we", "us", "our", "give", "gave", "name", "named", "call", "called", "about", "into", "out", "up", "down",
+    "just", "also", "both", "each", "any", "all", "some", "one", "if", "so", "such",
+))
+MONTHS = frozenset("jan january feb february mar march apr april may jun june jul july aug august sep sept september oct october nov november dec december".split())
 #: Probes of a question at most, and turns of a window shown at most.
 MOST_PROBES, WINDOW_CAP = 24, 60
 
 
 def content_terms(question: str) -> list[str]:
-    """The words of a question that may find something, each once."""
-    words = re.findall(r"[^\W_]+(?:[_./-][^\W_]+)*", question.lower())
-    return list(dict.fromkeys(w for w in words if w not in STOP and len(w) > 1))
+    """The words of a question that may find something, each once: no stop words, months, days of a month or single letters."""
+    words = re.findall(r"[a-z0-9_$/](?:[a-z0-9_.$/+-]*[a-z0-9_$/])?", question.lower())
+    return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOP | MONTHS and not re.fullmatch(r"\d{1,2}(?:st|nd|rd|th)?", w)))
+
+
+#: Endings that are cut off, the longest that fits; a stem keeps three letters, and a vowel.
+ENDINGS = ("izations", "ization", "ations", "ation", "ements", "ement", "ingly", "ments", "ment", "ings", "ing", "ies", "ied", "ed", "es", "s")
+
+
+def stem_of(word: str) -> str:
+    """A word of letters less an ending, or what a verb and a particle written as one begin with; a doubled consonant at its end once."""
+    end = next((e for e in ENDINGS if word.endswith(e) and len(word) - len(e) >= 3 and re.search("[aeiouy]", word[: -len(e)])), "")
+    stem = word if word.endswith(("ss", "us")) else word[: len(word) - len(end)]
+    particle = next((p for p in ("out", "off", "in", "up") if stem.endswith(p) and len(stem) - len(p) >= 3 and stem[-len(p) - 1] not in "aeiou"), "")
+    stem = stem[: len(stem) - len(particle)]
+    return stem[:-1] if stem != word and len(stem) > 3 and stem[-1] == stem[-2] and stem[-1] not in "lsz" else stem
 
 
 def variants(term: str) -> list[tuple[str, str]]:
-    """(form, kind) of a term: itself, its stem, the parts of a compound; plain numbers and very short forms are left out."""
+    """(form, kind) of a term: itself, its stem, short and joined forms of a word with a number, other ways to write a number, the parts of a compound."""
     out = [(term, "exact")]
-    for end in ("ing", "ed", "es", "s"):
-        if term.endswith(end) and len(term) - len(end) >= 3:
-            out.append((term[: -len(end)], "stem"))
-            break
-    parts = [p for p in re.split(r"[_./-]+", term) if len(p) >= 3 and not p.isdigit()]
-    out += [(p, "split") for p in parts if len(parts) > 1]
-    return list({form: (form, kind) for form, kind in reversed(out)}.values())[::-1]
+    if re.fullmatch("[a-z]{4,}", term):
+        out.append((stem_of(term), "stem"))
+    coded = re.fullmatch(r"([a-z]+)[-_=. ]?(\d+(?:\.\d+)?)", term)
+    if coded:
+        word, n = coded.groups()
+        out += [(word + n, "abbrev"), (f"{word}-{n}", "abbrev")] + [(word[0] + n, "abbrev")] * (len(word) >= 4)
+    number = re.fullmatch(r"(\d{1,3}(?:,\d{3})+|\d+)(\.\d+)?", term)
+    if number:
+        whole, part = number[1].replace(",", ""), number[2] or ""
+        tails = dict.fromkeys((part, part + "0" if part else "", part.rstrip("0").rstrip(".")))
+        out += [(head + tail, "numeric") for tail in tails for head in (whole, f"{int(whole):,}")]
+    elif re.search("[-_/.=+]", term):
+        out += [(p, "split") for p in re.split("[-_/.=+]+", term) if len(p) >= 3 and not p.isdigit()]
+    best: dict[str, str] = {}
+    for form, kind in out:
+        best.setdefault(form, kind)
+    return list(best.items())[:8]
+
+
+def probes_of(terms: Sequence[str]) -> list[tuple[str, str, str]]:
+    """(term, probe, via) of all spellings of terms, MOST_PROBES at most."""
+    return [(t, form, kind) for t in terms for form, kind in variants(t)][:MOST_PROBES]
 
 
 def holds(text: str, probe: Column) -> Column:
@@ -135,7 +170,7 @@ def weighed(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
 
     The probes, MOST_PROBES at most, are counted in one pass over the turns, each in its own column.
     """
-    probes = [(t, form, kind) for t in terms for form, kind in variants(t)][:MOST_PROBES]
+    probes = probes_of(terms)
     if not probes:
         return rows.sparkSession.createDataFrame([], "term string, probe string, via string, df long, idf double")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(holds("text", F.lit(p))).alias(f"p{i}") for i, (_, p, _) in enumerate(probes)))

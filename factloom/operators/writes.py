@@ -11,13 +11,13 @@ of the log alone, so all tables of a batch appear together, and a writer that fa
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.log import Conflict, Log
 from . import admission
 
 #: The fields whose contents are an assertion's identity.
@@ -118,10 +118,6 @@ def chained(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.join(p.select("id", "chain", "place"), "id")
 
 
-class Conflict(Exception):
-    """Another writer has committed the version."""
-
-
 class Store:
     """The append-only tables below one folder: assertions, outbox, rejections, and the verdicts of every batch.
 
@@ -130,39 +126,13 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         """schema: the columns of assertions, those that the store adds left out."""
-        self.spark, self.folder, self.schema = spark, folder, schema
+        self.spark, self.log, self.schema = spark, Log(spark, folder), schema
 
     _OWN = {"outbox": "seq long, topic string, id long, scope string", "rejections": "id long, reason string, message string", "verdicts": "id long, reason string, existing long, holder long"}
 
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def commits(self) -> list[dict]:
         """The log in order: version, batch, folder, last (the sequence so far), rows and digest. A line a batch."""
-        fs, path = self._path("commits")
-        if not fs.exists(path) or not len(fs.listStatus(path)):
-            return []
-        lines = self.spark.read.text(f"{self.folder}/commits").collect()
-        return sorted((json.loads(r["value"]) for r in lines), key=lambda c: c["version"])
-
-    def _commit(self, entry: dict) -> None:
-        """Puts the version there unless it is: the file is written aside and renamed, which fails if another has the name."""
-        fs, aside = self._path(f"aside/{uuid.uuid4().hex}")
-        _, path = self._path(f"commits/{entry['version']:012d}")
-        out = fs.create(aside)
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        fs.mkdirs(path.getParent())
-        jvm = self.spark._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(path), options)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                raise Conflict(entry["version"]) from None
-            raise
+        return self.log.commits()
 
     def _read(self, name: str, log: list[dict] | None = None) -> DataFrame:
         schema = self._OWN.get(name, f"{self.schema}, hash string, asserted_at long, chain long, place long")
@@ -202,7 +172,7 @@ class Store:
             return self.verdicts(name)
 
     def _append(self, batch: DataFrame, name: str, log: list[dict]) -> None:
-        folder, last = f"{self.folder}/data/{uuid.uuid4().hex}", log[-1]["last"] if log else 0
+        folder, last = self.log.new_folder(), log[-1]["last"] if log else 0
         before = self.assertions(log)
         verdicts = admitted(batch, before).checkpoint()
         least, most = batch.agg(F.min("id"), F.max("id")).first()
@@ -218,7 +188,7 @@ class Store:
         asked.select("id", "reason", F.substring(F.concat_ws(" ", F.lit("refused:"), "reason", "scope", "subject", head), 1, 2000).alias("message")).write.parquet(f"{folder}/rejections")
         verdicts.select("id", "reason", "existing", "holder").write.parquet(f"{folder}/verdicts")
         n, digest = self._digest(self.spark.read.parquet(f"{folder}/assertions")).first()
-        self._commit({"version": len(log) + 1, "batch": name, "folder": folder, "last": last + ((most - least + 1) if most is not None else 0), "rows": n, "digest": digest})
+        self.log.commit({"version": len(log) + 1, "batch": name, "folder": folder, "last": last + ((most - least + 1) if most is not None else 0), "rows": n, "digest": digest})
 
     @staticmethod
     def _digest(rows: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import episodes, people, prose
+from ..operators import episodes, people, prose, recall
 from ..sources import tables as t
+from ..streaming import jobs
 from .catalogue import _PREFS, _TOKENS, CHAIN, query
 
 _NTZ = "timestamp_ntz"
 _QUESTION = "What did you say of the data in der zu les?"
-_PROBES = ("data", "der", "zu", "les")
+_PROBES = ("say", "data", "der", "zu", "les")
 
 
 def _holds(probes=_PROBES) -> str:
@@ -63,6 +66,37 @@ def recall_window_total(spark, d):
     return t.episodes(spark, d).where((F.col("occurred_at") >= F.lit(_HALF[1]).cast(_NTZ)) & (F.col("occurred_at") < F.lit(_HALF[2]).cast(_NTZ))).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _index(spark, d) -> recall.Index:
+    """An index of all turns, those of even sessions first; the second batch comes twice."""
+    index = recall.Index(spark, f"{jobs.shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    turns = t.episodes(spark, d)
+    index.ingest(turns.where("session % 2 = 0"), "even")
+    index.ingest(turns, "all")
+    index.ingest(turns, "all")
+    return index
+
+
+@query(f"WITH {_PLAN} SELECT probe AS term, probe, 'exact' AS via, df, idf FROM plan")
+def recall_index_plan(spark, d):
+    plan = _index(spark, d).plan(_QUESTION)[0]
+    return spark.createDataFrame([tuple(p[c] for c in ("term", "probe", "via", "df", "idf")) for p in plan], "term string, probe string, via string, df long, idf double")
+
+
+@query(f"WITH {_PLAN} {_SCORED.format(rows='episodes')} SELECT id, session, seq, matched, score, CASE WHEN strong THEN 'term' ELSE 'window' END AS tier FROM scored WHERE matched <> '' ORDER BY score DESC, occurred_at, id LIMIT 12")
+def recall_indexed(spark, d):
+    return _index(spark, d).recalled(_QUESTION).hits.select(*_RECALL)
+
+
+@query(f"WITH {_PLAN}, inside AS (SELECT * FROM episodes WHERE {_DAY}) {_SCORED.format(rows='inside')} SELECT id, session, seq, matched, score, CASE WHEN strong THEN 'term+window' ELSE 'window' END AS tier FROM scored ORDER BY matched <> '' DESC, score DESC, occurred_at, id LIMIT 12")
+def recall_indexed_window(spark, d):
+    return _index(spark, d).recalled(_QUESTION, (F.lit(_HALF[1]).cast(_NTZ), F.lit(_HALF[2]).cast(_NTZ))).hits.select(*_RECALL)
+
+
+@query(f"WITH {_PLAN} {_SCORED.format(rows='episodes')}, top AS (SELECT id, session, seq FROM scored WHERE matched <> '' ORDER BY score DESC, occurred_at, id LIMIT 12) SELECT top.id AS hit, e.id, e.session, e.seq, e.role FROM top JOIN episodes e ON e.session = top.session AND abs(e.seq - top.seq) = 1")
+def recall_nearby(spark, d):
+    return _index(spark, d).recalled(_QUESTION).nearby(t.episodes(spark, d)).select("hit", "id", "session", "seq", "role")
+
+
 @query("SELECT min(occurred_at) AS first_at, max(occurred_at) AS last_at, count(*) AS n FROM episodes")
 def corpus_bounds(spark, d):
     return episodes.bounds(t.episodes(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import checks, episodes, graph, people, prose, reads, writes
 from factloom.plans import answers, catalogue
+from factloom.sources import log
 from factloom.streaming import jobs
 
 SCHEMA = "id long, scope string, subject string, predicate string, value double, kind string, confidence string, source string, human string, why string, reopen_if string, verification_id long, derived_from array<long>, valid_from timestamp_ntz, valid_to timestamp_ntz, is_verifier boolean, supersedes long"
@@ -64,7 +65,7 @@ def test_a_batch_sent_again_after_its_successor_loses_nothing(spark, tmp_path):
 def test_of_two_writers_one_commits_a_version(spark, tmp_path):
     """The other decides anew on what is there then; if it has the same batch, it gets the stored verdicts."""
     mine, other = _store(spark, tmp_path), _store(spark, tmp_path)
-    real, turns = mine._commit, []
+    real, turns = mine.log.commit, []
 
     def late(entry):
         if not turns:
@@ -72,10 +73,10 @@ def test_of_two_writers_one_commits_a_version(spark, tmp_path):
             other.append(_batch(spark, {"id": 5, "value": 9.0}), "theirs")
         real(entry)
 
-    mine._commit = late
+    mine.log.commit = late
     assert _said(mine.append(_batch(spark, {"id": 6, "value": 1.0}, {"id": 7, "subject": "free"}), "ours")) == {6: (CLASH, None), 7: (None, None)}
     assert [(c["version"], c["batch"]) for c in mine.commits()] == [(1, "theirs"), (2, "ours")]
-    with pytest.raises(writes.Conflict):
+    with pytest.raises(log.Conflict):
         real(mine.commits()[0])
     turns.clear()
     rows = _batch(spark, {"id": 8, "subject": "same"})
@@ -86,7 +87,7 @@ def test_of_two_writers_one_commits_a_version(spark, tmp_path):
             other.append(rows, "same")
         real(entry)
 
-    mine._commit = twin
+    mine.log.commit = twin
     assert _said(mine.append(rows, "same")) == {8: (None, None)} and len(mine.commits()) == 3
     assert mine.assertions().where("id = 8").count() == 1
 
@@ -99,7 +100,7 @@ def test_a_writer_that_fails_leaves_nothing_to_be_seen(spark, tmp_path):
         raise OSError("gone")
 
     broken = _store(spark, tmp_path)
-    broken._commit = lost
+    broken.log.commit = lost
     with pytest.raises(OSError):
         broken.append(_batch(spark, {"id": 2, "subject": "t"}, {"id": 3, "source": ""}), "two")
     assert [r["id"] for r in store.assertions().collect()] == [1] and store.rejections().count() == 0
