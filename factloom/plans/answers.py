@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admission, checks, disputes, people, reads, writes
+from ..sources import seeds
 from ..sources import tables as t
 from ..streaming import jobs
 from .catalogue import _GATE_SQL, _OVERLAP, CHAIN, _gates, query
@@ -305,6 +306,28 @@ def ledger_rejections(spark, d):
     return stored(spark, d).rejections()
 
 
+_SEED_SCHEMA = "id long, " + ", ".join(c for c in seeds.ASSERTION.split(", ") if "ref " not in c) + ", supersedes long"
+
+
+def _seed(spark, d) -> DataFrame:
+    """Chains of five parts each; some rows have no source, some name a ref that is not there."""
+    i = F.col("p_partkey")
+    up = F.when(i % 50 == 7, "nowhere").when(i % 5 != 0, F.concat(F.lit("r"), (i - 1).cast("string")))
+    no = lambda kind: F.lit(None).cast(kind)
+    return t.table(spark, d, "part").select(
+        i.cast("int").alias("place"), F.concat(F.lit("r"), i.cast("string")).alias("ref"), up.alias("supersedes_ref"), F.lit("org/acme").alias("scope"), F.concat(F.lit("part:"), F.floor(i / 5).cast("string")).alias("subject"), F.lit("size").alias("predicate"), F.col("p_size").cast("double").alias("value"), F.lit("state").alias("kind"), F.lit("unverified").alias("confidence"),
+        F.when(i % 11 == 3, " ").otherwise(F.concat(F.lit("part:"), i.cast("string"))).alias("source"), *(no("string").alias(c) for c in ("human", "why", "reopen_if")), no("long").alias("verification_id"), no("array<long>").alias("derived_from"), no("timestamp_ntz").alias("valid_from"), no("timestamp_ntz").alias("valid_to"), F.lit(False).alias("is_verifier"),
+    )
+
+
+@query("""WITH s AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 50 = 7 THEN 'nowhere' WHEN p_partkey % 5 <> 0 THEN 'r' || (p_partkey - 1) END AS up, p_partkey % 11 = 3 AS bad FROM part),
+l AS (SELECT i, CASE WHEN bad THEN 'evidence_required' END AS reason, 0 AS step FROM s WHERE up IS NULL UNION ALL SELECT s.i, CASE WHEN l.reason IS NOT NULL THEN 'supersedes_ref "' || s.up || '" was not loaded' WHEN s.bad THEN 'evidence_required' END, step + 1 FROM s JOIN l ON s.up = 'r' || l.i)
+SELECT i AS place, coalesce(l.reason, CASE WHEN l.i IS NULL THEN 'supersedes_ref "' || up || '" was not loaded' END) AS reason FROM s LEFT JOIN l USING (i)""")
+def seed_loaded(spark, d):
+    store = writes.Store(spark, f"{jobs.shared_dir(spark)}/seeds-{uuid.uuid4().hex}", _SEED_SCHEMA)
+    return seeds.load(store, _seed(spark, d), "parts", 1).rows.select(F.col("place").cast("long").alias("place"), "reason")
+
+
 @query("SELECT user_id, start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * k) AS start FROM events, range(3) r(k)) GROUP BY ALL")
 def attempts_stream(spark, d):
     return jobs.attempts(spark, f"{d}/events.parquet")

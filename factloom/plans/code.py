@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources import graphs
 from ..sources import tables as t
+from ..streaming import jobs
 from .catalogue import query
 
 _RANK = "CASE confidence WHEN 'measured' THEN 0 WHEN 'derived' THEN 1 ELSE 2 END"
@@ -159,3 +163,33 @@ def default_scopes(spark, d):
 def retention_kept(spark, d):
     newest = Window.partitionBy("repo").orderBy(F.desc("indexed_at"), F.desc("index_id"))
     return _indexes(spark, d).where("completed").withColumn("_n", F.row_number().over(newest)).where("_n <= 3").select("index_id", "repo")
+
+
+_HEAD = {"version": 1, "repo": "acme/code", "commit_sha": "0123abcd", "indexer": "ix", "languages": ["python", "rust", "c"], "file_count": 20}
+
+
+def loaded(spark, d) -> graphs.Graphs:
+    """A store of three indexes of a repository, of which two are kept; the third has the edges of all of lineitem."""
+    store = graphs.Graphs(spark, f"{jobs.shared_dir(spark)}/graphs-{uuid.uuid4().hex}")
+    i, n, p = F.col("p_partkey"), F.col("l_linenumber"), F.col("l_partkey")
+    key = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    symbols = t.table(spark, d, "part").select(key(i).alias("key"), F.when(i % 3 == 0, "type").otherwise("function").alias("kind"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("fqn"), F.when(i % 2 == 0, "python").otherwise("rust").alias("language"), F.concat("p_brand", F.lit(".x")).alias("path"), i.alias("line_start"), (i + 5).alias("line_end"), *(F.lit(None).cast("string").alias(c) for c in ("visibility", "signature", "signature_hash")))
+    resolution = F.when(n % 4 == 0, "ambiguous-name").when(n % 4 == 1, "unique-name").when(n % 4 == 2, "compiler").otherwise("unresolved")
+    edges = t.table(spark, d, "lineitem").select(key(p).alias("src"), F.when(n % 4 < 3, F.when(n % 4 > 0, key(p))).alias("dst"), F.lit("f").alias("dst_name"), F.when(n % 2 == 0, "calls").otherwise("uses_type").alias("kind"), resolution.alias("resolution"), F.when(n % 4 == 0, F.array(key(p), key(p))).alias("candidates"), F.lit("a.x").alias("path"), F.col("l_orderkey").alias("line"))
+    for k, sha in enumerate(("aaaaaaa", "bbbbbbb", "ccccccc")):
+        store.load_parts(_HEAD | {"commit_sha": sha}, symbols, edges if k == 2 else edges.limit(0), "org/acme", keep=2)
+    return store
+
+
+@query("""WITH r AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'calls' ELSE 'uses_type' END AS kind, ['ambiguous-name', 'unique-name', 'compiler', 'unresolved'][1 + l_linenumber % 4] AS resolution FROM lineitem)
+SELECT kind, resolution, CASE resolution WHEN 'compiler' THEN 'measured' WHEN 'unique-name' THEN 'derived' ELSE 'unverified' END AS confidence, CAST(sum(CASE WHEN resolution = 'ambiguous-name' THEN 2 ELSE 1 END) AS BIGINT) AS n, CAST(count(*) FILTER (resolution = 'unresolved') AS BIGINT) AS without_target FROM r GROUP BY ALL""")
+def graph_loaded(spark, d):
+    store = loaded(spark, d)
+    return store.edges(store.latest("acme/code")).groupBy("kind", "resolution", "confidence").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dst").isNull()).alias("without_target"))
+
+
+@query("""SELECT x.index_id, x.commit_sha, (SELECT count(*) FROM part) AS symbols, CASE WHEN x.index_id = 4 THEN (SELECT CAST(sum(CASE WHEN l_linenumber % 4 = 0 THEN 2 ELSE 1 END) AS BIGINT) FROM lineitem) ELSE 0 END AS edges, ['c'] AS silent FROM (VALUES (2, 'bbbbbbb'), (3, 'ccccccc')) x(index_id, commit_sha)""".replace("index_id = 4", "index_id = 3"))
+def graph_indexes(spark, d):
+    """What is left of three loads, and what the report of each says."""
+    rows = [(c["version"], c["commit_sha"], c["symbols"], c["edges"]["rows"], c["silent"]) for c in loaded(spark, d).indexes()]
+    return spark.createDataFrame(rows, "index_id int, commit_sha string, symbols long, edges long, silent array<string>")
