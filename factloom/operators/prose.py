@@ -215,3 +215,14 @@ def agreement(found: DataFrame, expected: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     tp = F.col("tp")
     return out.withColumns({"precision": ratio(tp, tp + F.col("fp")), "recall": ratio(tp, tp + F.col("fn")), "f1": ratio(2 * tp, 2 * tp + F.col("fp") + F.col("fn"))})
+
+
+def scores(judged: DataFrame, stratum: str) -> DataFrame:
+    """Of each stratum and of all (stratum null, overall true): questions, macro precision, recall and F1 (the means of the questions'), and micro ones (of the summed counts). One pass with grouping sets."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
+    out = judged.groupingSets([[stratum], []], stratum).agg(
+        (F.grouping(stratum) == 1).alias("overall"), F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")),
+        ratio(tp, tp + fp).alias("micro_precision"), ratio(tp, tp + fn).alias("micro_recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f1"),
+    )
+    return out

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import episodes, people, prose, recall
+from ..operators import doctrine, episodes, people, prose, recall
+from ..sources import prose_files
 from ..sources import tables as t
 from ..streaming import jobs
 from .catalogue import _PREFS, _TOKENS, CHAIN, query
@@ -302,14 +303,22 @@ def bench_strata(spark, d):
     return t.table(spark, d, "part").groupBy(F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("mean"), F.stddev_samp("p_retailprice").alias("deviation"))
 
 
-@query("""WITH f AS (SELECT DISTINCT l_orderkey % 40 AS question, l_partkey AS item FROM lineitem WHERE l_linenumber < 4), e AS (SELECT DISTINCT l_orderkey % 40 AS question, l_partkey AS item FROM lineitem WHERE l_linenumber > 2),
-c AS (SELECT coalesce(f.question, e.question) AS question, count(*) FILTER (f.item IS NOT NULL AND e.item IS NOT NULL) AS tp, count(*) FILTER (e.item IS NULL) AS fp, count(*) FILTER (f.item IS NULL) AS fn FROM f FULL JOIN e ON f.question = e.question AND f.item = e.item GROUP BY 1)
-SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c""")
+_JUDGED = """WITH f AS (SELECT DISTINCT l_orderkey % 40 AS question, l_partkey AS item FROM lineitem WHERE l_linenumber < 4), e AS (SELECT DISTINCT l_orderkey % 40 AS question, l_partkey AS item FROM lineitem WHERE l_linenumber > 2),
+c AS (SELECT coalesce(f.question, e.question) AS question, count(*) FILTER (f.item IS NOT NULL AND e.item IS NOT NULL) AS tp, count(*) FILTER (e.item IS NULL) AS fp, count(*) FILTER (f.item IS NULL) AS fn FROM f FULL JOIN e ON f.question = e.question AND f.item = e.item GROUP BY 1)"""
+_RATIOS = """SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM c"""
+
+
+@query(f"{_JUDGED} {_RATIOS}")
 def impact_agreement(spark, d):
     rows = t.table(spark, d, "lineitem").select((F.col("l_orderkey") % 40).alias("question"), F.col("l_partkey").alias("item"), "l_linenumber")
     return prose.agreement(rows.where("l_linenumber < 4").drop("l_linenumber"), rows.where("l_linenumber > 2").drop("l_linenumber"))
 
 
+@query(f"{_JUDGED}, j AS ({_RATIOS}) SELECT question % 3 AS stratum, grouping(question % 3) = 1 AS overall, count(*) AS n, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, coalesce(sum(tp) / nullif(sum(tp + fp), 0), 0) AS micro_precision, coalesce(sum(tp) / nullif(sum(tp + fn), 0), 0) AS micro_recall, coalesce(2 * sum(tp) / nullif(sum(2 * tp + fp + fn), 0), 0) AS micro_f1 FROM j GROUP BY GROUPING SETS ((question % 3), ())")
+def impact_scores(spark, d):
+    return prose.scores(impact_agreement(spark, d).withColumn("stratum", F.col("question") % 3), "stratum")
+
+
 _HELD = f"""{_PREFS}, held AS (SELECT scope || '|' || signature AS id, scope, signature, CASE WHEN occasions % 7 = 1 THEN 'personal' ELSE tier END AS tier, CASE WHEN occasions % 4 = 0 THEN occasions ELSE occasions - 1 END AS occasions, humans,
  CASE WHEN occasions % 5 = 0 THEN 'rejected' ELSE 'active' END AS status, tier = 'org' AS binding, last_seen FROM prefs WHERE occasions % 3 <> 0)"""
 
@@ -385,3 +394,39 @@ def verification_outcomes(spark, d):
 @query(f"WITH {_CHECKED}, l AS (SELECT target, outcome FROM verifications QUALIFY row_number() OVER (PARTITION BY target ORDER BY checked_at DESC, id DESC) = 1) SELECT v.* FROM v LEFT JOIN l ON l.target = v.id WHERE v.outcome IS DISTINCT FROM l.outcome")
 def verification_changes(spark, d):
     return people.changed(_verdicts(spark, d), t.verifications(spark, d))
+
+
+_BUDGET = 100_000
+
+
+@query(f"""WITH f AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, row_number() OVER (ORDER BY 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS rn FROM documents),
+w AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS doc_id, false AS taken, CAST({_BUDGET} AS BIGINT) AS left_ UNION ALL SELECT f.rn, f.doc_id, left_ > 0 AND size <= left_, CASE WHEN left_ > 0 AND size <= left_ THEN left_ - size ELSE left_ END FROM w JOIN f ON f.rn = w.rn + 1)
+SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path FROM w WHERE taken""")
+def prose_budget(spark, d):
+    """Documents as files, chosen within a budget of bytes as a walk would."""
+    files = t.table(spark, d, "documents").select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    return prose_files.chosen(files, _BUDGET, 50).select("path")
+
+
+def _handbook(spark, d) -> DataFrame:
+    """doc_id, line and text of handbooks on parts: rules under headings, wrapped, listed, retracted, told of the past, in code and in tables."""
+    i, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    k = (i % 40).cast("string")
+    text = [
+        F.when(i % 3 == 0, "# Rules that must hold").when(i % 3 == 1, "# Notes").otherwise("# Old ways (SUPERSEDED)"), F.lit(""), F.concat(F.lit("Never ship `tool_"), k, F.lit("` with `mode_"), size, F.lit("`. This has never been")), F.lit("tested with `x_gate`. All builds must set LIMIT_"), F.concat(F.lit("SIZE="), size, F.lit(" for part "), k, F.lit(".")),
+        F.concat(F.lit("- The `opt_"), k, F.lit("` switch is banned, unlike `alt_"), k, F.lit("`.")), F.concat(F.lit("- Always pass --flag-"), k, F.lit(" so that it works.")), F.lit("| never | `cell` |"), F.lit("```"), F.lit("never `code`"), F.lit("```"), F.lit("You must be careful here."),
+    ]
+    return prose.lines(t.table(spark, d, "part").select(i.alias("doc_id"), F.concat_ws("\n", *text).alias("text")))
+
+
+@query(r"""WITH k AS (SELECT CAST(p_partkey % 40 AS VARCHAR) AS k, p_partkey AS i, CAST(p_size AS VARCHAR) AS size, p_partkey % 3 = 0 AS ruled FROM part WHERE p_partkey % 3 <> 2),
+s AS (SELECT i AS doc_id, 3 AS line, 'Never ship `tool_' || k || '` with `mode_' || size || '`.' AS statement, 'absolute' AS strength, 'tool_' || k AS target, 4 AS own, ruled FROM k
+UNION ALL SELECT i, 6, '- The `opt_' || k || '` switch is banned, unlike `alt_' || k || '`.', 'absolute', 'alt_' || k, 4, ruled FROM k
+UNION ALL SELECT i, 7, '- Always pass --flag-' || k || ' so that it works.', 'obligation', 'flag-' || k, 2, ruled FROM k
+UNION ALL SELECT i, 4, 'All builds must set LIMIT_ SIZE=' || size || ' for part ' || k || '.', 'obligation', 'size=' || size, 4, ruled FROM k),
+r AS (SELECT *, own + CASE WHEN ruled THEN 4 ELSE 0 END AS doctrinal, count(*) OVER (PARTITION BY statement) - 1 AS also_at, row_number() OVER (PARTITION BY statement ORDER BY doc_id, line) AS rn FROM s)
+SELECT doc_id, line, statement, strength, target, doctrinal, also_at, starts_with(target, 'tool_') AND coalesce(TRY_CAST(substr(target, 6) AS INT) % 4 = 0, false) AS enforced FROM r WHERE rn = 1""")
+def doctrine_scan(spark, d):
+    rules = t.table(spark, d, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("deny(tool_"), (F.col("p_partkey") % 40).cast("string"), F.lit(")")).alias("text"), F.lit(True).alias("binding"))
+    said = doctrine.sentences(doctrine.blocks(_handbook(spark, d))).withColumn("path", F.lit("docs/a.md"))
+    return doctrine.scan(said, doctrine.corpus(rules)).select("doc_id", "line", "statement", "strength", "target", "doctrinal", "also_at", "enforced")
