@@ -160,6 +160,17 @@ def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.arange(int(size.sum())) + np.repeat(begin - edge, size)]
 
 
+def _united(doc_id: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of equal length, those of a text that touch or overlap as one."""
+    by = np.lexsort((first, key, doc_id))
+    doc_id, key, first, last = doc_id[by], key[by], first[by], last[by]
+    apart = np.ones(len(by), dtype=bool)
+    apart[1:] = (doc_id[1:] != doc_id[:-1]) | (key[1:] != key[:-1]) | (first[1:] > last[:-1])
+    lo = np.flatnonzero(apart)
+    hi = np.append(lo[1:], len(by))[: len(lo)] - 1
+    return doc_id[lo], key[lo], first[lo], last[hi]
+
+
 def _pack(buckets: int, parts: int, hot: np.ndarray):
     """The dictionary's suffixes: a row a bucket and gathering, of the strings that its suffixes begin in."""
     import zstandard
@@ -191,7 +202,8 @@ def _pack(buckets: int, parts: int, hot: np.ndarray):
                     columns[7].append(b"")
             if done:
                 turn = (turn * 31 + len(done)) % buckets
-                for c, x in zip(columns, (turn * parts // buckets, turn, b"", b"", b"", b"", b"", np.array(done, dtype=np.int64).tobytes()), strict=True):
+                marks = np.stack(_united(*np.array(done, dtype=np.int64).T), axis=1)
+                for c, x in zip(columns, (turn * parts // buckets, turn, b"", b"", b"", b"", b"", marks.tobytes()), strict=True):
                     c.append(x)
             pieces, size, crowd, done = [], 0, {}, []
             types = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
@@ -326,15 +338,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def ended(rows):
         doc_id, key, first = _bucket(rows)
-        if not len(first):
-            return spans(doc_id, key, first, first)
-        by = np.lexsort((first, key, doc_id))
-        doc_id, key, first = doc_id[by], key[by], first[by]
-        apart = np.ones(len(by), dtype=bool)
-        apart[1:] = (doc_id[1:] != doc_id[:-1]) | (key[1:] != key[:-1]) | (first[1:] > first[:-1] + LENGTH)
-        lo = np.flatnonzero(apart)
-        hi = np.append(lo[1:], len(by)) - 1
-        return spans(doc_id[lo], key[lo], first[lo], first[hi] + LENGTH)
+        return spans(*_united(doc_id, key, first, first + LENGTH))
 
     held, rows = None, []
     for batch in batches:
