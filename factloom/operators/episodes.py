@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import similar
+
 
 def stats(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session").alias("sessions"), F.count_if(F.col("role") == "human").alias("human"), F.count_if(F.col("role") == "agent").alias("agent"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at"))
@@ -231,12 +233,33 @@ def branches(rows: DataFrame) -> DataFrame:
 
 
 def searched(rows: DataFrame, phrase: str, limit: int) -> DataFrame:
-    """Tiers of a search one after another, each turn in its first one: the phrase, all its words, and only if both find nothing any of its words; limit in all, best tier and newest first."""
-    best = tiered(rows, phrase).join(rows.select("id", "occurred_at"), "id")
+    """Tiers of a search one after another, each turn in its first one: the phrase, all its words, and only if both find nothing the texts that come near the phrase by trigrams; limit in all, best tier, nearest and newest first."""
+    best = tiered(rows, phrase).join(rows.select("id", "occurred_at"), "id").withColumn("similarity", F.lit(1.0))
     if best.isEmpty():
-        words = [w for w in phrase.lower().split() if w]
-        best = rows.where(F.arrays_overlap(F.array(*map(F.lit, words)), tokens("text"))).select("id", "session", "seq", F.lit(3).alias("tier"), "occurred_at")
-    return best.orderBy("tier", F.desc("occurred_at"), F.desc("id")).limit(limit)
+        best = similar.similar(rows.select("id", "session", "seq", "occurred_at", "text"), phrase).select("id", "session", "seq", F.lit(3).alias("tier"), "occurred_at", "similarity")
+    return best.orderBy("tier", F.desc("similarity"), F.desc("occurred_at"), F.desc("id")).limit(limit)
+
+
+def resumed(rows: DataFrame, now: Column, stale_hours: float = 24.0, k: int = 12, session: int | None = None) -> DataFrame:
+    """Where a thread was left, in one row: the session asked for or else the last one, its start, end, turns, human turns and branches (most used first), the last k turns in order, its open question, its age in hours, and what speaks against going on with it.
+
+    drift: the newest turn of all is on another branch than the session mostly was; stale: it is older than stale_hours;
+    single, no_human: there is no thread, or only an agent's. No row if there is no turn.
+    """
+    mine = rows if session is None else rows.where(F.col("session") == session)
+    last = sessions(mine).orderBy(F.desc("last_at"), F.desc("session")).limit(1)
+    own = rows.join(F.broadcast(last.select("session")), "session")  # one row
+    used = own.where("branch IS NOT NULL").groupBy("branch").agg(F.count(F.lit(1)).alias("_n"))
+    branches_ = used.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "branch"))), lambda b: b["branch"]).alias("branches"))
+    short = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 240)
+    top = own.orderBy(F.desc("seq")).limit(k)
+    thread = top.agg(F.array_sort(F.collect_list(F.struct("seq", "id", "role", "occurred_at", short.alias("text"), "branch"))).alias("thread"))
+    asked = open_questions(own).agg(F.collect_list(F.struct("id", "seq", "text")).alias("open_questions"))
+    newest = rows.agg(F.max_by("branch", F.struct("occurred_at", "seq")).alias("_newest"))
+    out = last.crossJoin(F.broadcast(branches_)).crossJoin(F.broadcast(thread)).crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(newest))  # one row each
+    age = F.round((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 3_600_000_000, 2)
+    main = F.try_element_at("branches", F.lit(1))
+    return out.select("session", "first_at", "last_at", "n", "human", "branches", "thread", "open_questions", age.alias("age_hours"), F.coalesce(main != F.col("_newest"), F.lit(False)).alias("drift"), (age > stale_hours).alias("stale"), (F.col("n") == 1).alias("single"), (F.col("human") == 0).alias("no_human"))
 
 
 def filtered(rows: DataFrame, role: str | None = None, actor: int | None = None, since=None, until=None, limit: int = 50) -> DataFrame:

@@ -50,6 +50,18 @@ def contested(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(named, "id", "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
 
 
+def contested_few(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """contested for few rows: each is held against the live rows of its own key, and whether one speaks against it is all that comes back."""
+    from .disputes import overlap
+
+    key, c = ["scope", "subject", "predicate"], F.col
+    few = rows.where("superseded_by IS NULL").select(*key, *(c(x).alias(f"_{x}") for x in ("id", "value", "valid_from", "valid_to")))
+    others = live(ledger).select(*key, "id", "value", "valid_from", "valid_to").join(F.broadcast(few), key)  # a page of rows
+    against = others.where((c("id") != c("_id")) & ~c("value").eqNullSafe(c("_value")) & overlap(c("_valid_from"), c("_valid_to"), c("valid_from"), c("valid_to")))
+    named = against.select(c("_id").alias("id")).distinct().withColumn("contested", F.lit(True))
+    return rows.join(F.broadcast(named), "id", "left").withColumn("contested", F.coalesce("contested", F.lit(False)))
+
+
 def unresolvable_inputs(rows: DataFrame, ledger: DataFrame, scopes: Sequence[str]) -> DataFrame:
     """rows with inputs_unresolvable: derived from an input that no scope of the chain has."""
     inputs = rows.where("confidence = 'derived'").select(F.col("id").alias("_row"), F.explode("derived_from").alias("id"))
@@ -77,6 +89,12 @@ def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> D
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def mode_of(modes: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """mode, in one row: the newest of the nearest scope of a chain that has any, else shared."""
+    now = with_chain(newest(modes.select("scope", "mode", "asserted_at"), ["scope"], ["asserted_at"]), scopes)
+    return now.agg(F.coalesce(F.min_by("mode", "ord"), F.lit("shared")).alias("mode"))
+
+
 def flipped(modes: DataFrame, sequence: DataFrame) -> DataFrame:
     """Rows to append to modes (scope, mode, asserted_at) that turn every scope's mode into the other; sequence has one row, the last asserted_at, from which they go on in the order of scope."""
     now = newest(modes.select("scope", "mode", "asserted_at"), ["scope"], ["asserted_at"])
@@ -113,7 +131,7 @@ def empty_modes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "scope string, mode string, asserted_at long")
 
 
-def answered(ledger: DataFrame, pairs: DataFrame, scopes: Sequence[str], subject: str | None = None, predicate: str | None = None, kind: str | None = None, as_of: int | None = None, limit: int = 50) -> DataFrame:
+def answered(ledger: DataFrame, scopes: Sequence[str], subject: str | None = None, predicate: str | None = None, kind: str | None = None, as_of: int | None = None, limit: int = 50) -> DataFrame:
     """The whole read: of each subject and predicate the live rows of the nearest scope, with contested and inputs_unresolvable, deepest scope first, then the newest; limit at most.
 
     Filters come before the nearest scope is chosen. contested is as of now, also for reads of the past. The rows are
@@ -124,7 +142,7 @@ def answered(ledger: DataFrame, pairs: DataFrame, scopes: Sequence[str], subject
         rows = rows if v is None else rows.where(F.col(c) == v)
     depth = F.size(F.split("scope", "/"))
     top = take(rows, scopes, as_of, kind).withColumn("depth", depth).orderBy(F.desc("depth"), F.desc("asserted_at"), F.desc("id")).limit(min(max(limit, 1), 500))
-    flagged = unresolvable_inputs(contested(top, pairs), ledger, scopes)
+    flagged = unresolvable_inputs(contested_few(top, ledger), ledger, scopes)
     return flagged.orderBy(F.desc("depth"), F.desc("asserted_at"), F.desc("id"))
 
 

@@ -11,7 +11,9 @@ from ..operators import admission, checks, disputes, people, reads, writes
 from ..sources import seeds
 from ..sources import tables as t
 from ..streaming import jobs
+from . import talk
 from .catalogue import _GATE_SQL, _OVERLAP, CHAIN, _gates, query
+from .talk import _RESUME
 
 _PAIRS = f"""pairs AS (SELECT scope, a.id AS a_id, b.id AS b_id, a.id || '|' || b.id AS pair_key, b.asserted_at AS at FROM live a JOIN live b USING (scope, subject, predicate)
  WHERE a.id < b.id AND a.value IS DISTINCT FROM b.value AND {_OVERLAP})"""
@@ -27,7 +29,7 @@ SELECT id, scope, subject, predicate, kind, confidence, value, CAST(depth AS INT
  confidence = 'derived' AND EXISTS (SELECT 1 FROM unnest(derived_from) u(x) WHERE x NOT IN (SELECT id FROM ledger JOIN chain USING (scope))) AS inputs_unresolvable FROM top""")
 def take_api(spark: SparkSession, d: str) -> DataFrame:
     led = t.ledger(spark, d)
-    return reads.answered(led, disputes.open_pairs(led), CHAIN).select("id", "scope", "subject", "predicate", "kind", "confidence", "value", "depth", "contested", "inputs_unresolvable")
+    return reads.answered(led, CHAIN).select("id", "scope", "subject", "predicate", "kind", "confidence", "value", "depth", "contested", "inputs_unresolvable")
 
 
 @query(f"""WITH {_PAIRS}, back AS (SELECT id, supersedes FROM ledger WHERE id = 100 UNION SELECT l.id, l.supersedes FROM ledger l JOIN back b ON l.id = b.supersedes),
@@ -59,6 +61,19 @@ def state_of_chain(spark, d):
     return reads.state(led, disputes.open_pairs(led), _gates(spark, d), CHAIN)
 
 
+@query(f"""WITH {_PAIRS}, {_GATE_SQL}, {_RESUME}, h AS (SELECT * FROM live JOIN chain USING (scope)), orders_ AS (SELECT o_orderkey AS id, o_orderstatus AS st, ['org/acme', 'org/acme/proj/a', 'org/acme/proj/b'][1 + o_custkey % 3] AS scope, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders)
+SELECT (SELECT count(*) FROM h) AS n_live, (SELECT count(*) FROM h WHERE binding) AS binding, (SELECT max(asserted_at) FROM ledger) AS sequence, (SELECT count(*) FROM pairs JOIN chain USING (scope)) AS contradictions, (SELECT count(*) FROM evaluated WHERE reached) AS reached,
+ (SELECT count(*) FROM orders_ JOIN chain USING (scope) WHERE nxt IS NULL AND st <> 'F') AS missions, coalesce((SELECT m.mode FROM modes m JOIN chain USING (scope) ORDER BY ord LIMIT 1), 'shared') AS mode, r.session, r.thread, r.questions, r.drift FROM resumed r""")
+def state_bundle(spark, d):
+    """All that a chain's state says, in one row: counts, gates, live missions, the mode that holds, and where the last session was left."""
+    led = t.ledger(spark, d)
+    counts = reads.state(led, disputes.open_pairs(led), _gates(spark, d), CHAIN).select("n_live", "binding", "sequence", "contradictions", "reached")
+    missions = disputes.on_chain(t.missions(spark, d), CHAIN).where("state <> 'closed'").agg(F.count(F.lit(1)).alias("missions"))
+    mode = reads.mode_of(t.modes(spark, d), CHAIN)
+    resume = talk.resume_of(spark, d).select("session", "thread", "questions", "drift")
+    return counts.crossJoin(missions).crossJoin(mode).crossJoin(resume)  # one row each
+
+
 @query(f"WITH {_GATE_SQL} SELECT mission, gate, subject, predicate FROM evaluated WHERE evidence IS NULL")
 def gate_no_evidence(spark, d):
     return _gates(spark, d).where("why_null IS NOT NULL").select("mission", "gate", "subject", "predicate")

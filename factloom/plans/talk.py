@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import doctrine, episodes, people, prose, recall
+from ..operators import doctrine, episodes, people, prose, recall, similar
 from ..sources import prose_files
 from ..sources import tables as t
 from ..streaming import jobs
@@ -124,9 +124,33 @@ def search_tiers(spark, d):
     return episodes.searched(t.episodes(spark, d), "the in", 15).select("id", "session", "seq", "tier")
 
 
-@query(f"SELECT id, session, seq, 3 AS tier FROM episodes WHERE list_has_any({_TOKENS}, ['the', 'zzqx']) ORDER BY occurred_at DESC, id DESC LIMIT 15")
+_NEEDLE = "thhat wass"
+
+
+@query(rf"""WITH need AS (SELECT {similar.trigrams_of(_NEEDLE)} AS t), g AS (SELECT id, session, seq, occurred_at, flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) AS l FROM episodes),
+c AS (SELECT g.*, list_distinct(t) AS t FROM g, need WHERE len(list_intersect(t, l)) >= 0.45 * len(list_distinct(t))), p AS (SELECT id, unnest(list_filter(range(1, len(l) + 1), lambda i: list_contains(t, l[i]))) AS i FROM c),
+x AS (SELECT c.id, session, seq, occurred_at, max(len(list_intersect(t, l[a.i:b.i])) / CAST(len(list_distinct(list_concat(t, l[a.i:b.i]))) AS DOUBLE)) AS s FROM c JOIN p a ON a.id = c.id JOIN p b ON b.id = c.id AND b.i BETWEEN a.i AND a.i + 60 GROUP BY ALL)
+SELECT id, session, seq, 3 AS tier FROM x WHERE s >= 0.45 ORDER BY s DESC, occurred_at DESC, id DESC LIMIT 15""")
 def search_last_tier(spark, d):
-    return episodes.searched(t.episodes(spark, d), "the zzqx", 15).select("id", "session", "seq", "tier")
+    return episodes.searched(t.episodes(spark, d), _NEEDLE, 15).select("id", "session", "seq", "tier")
+
+
+_RESUME = """last AS (SELECT session, min(occurred_at) AS first_at, max(occurred_at) AS last_at, count(*) AS n, count(*) FILTER (role = 'human') AS human FROM episodes GROUP BY session ORDER BY last_at DESC, session DESC LIMIT 1),
+own AS (SELECT e.* FROM episodes e JOIN last USING (session)),
+resumed AS (SELECT session, n, human, (SELECT coalesce(list(branch ORDER BY k DESC, branch), []) FROM (SELECT branch, count(*) AS k FROM own WHERE branch IS NOT NULL GROUP BY branch)) AS branches, (SELECT list(id ORDER BY seq) FROM (SELECT * FROM own ORDER BY seq DESC LIMIT 3)) AS thread,
+ (SELECT coalesce(list(id), []) FROM own o WHERE role = 'human' AND right(rtrim(text, ' '), 1) = '?' AND NOT EXISTS (SELECT 1 FROM own p WHERE p.role = 'human' AND p.seq > o.seq)) AS questions, round(epoch(TIMESTAMP '2026-01-01' - last_at) / 3600.0, 2) AS age_hours,
+ coalesce((SELECT branch FROM own WHERE branch IS NOT NULL GROUP BY branch ORDER BY count(*) DESC, branch LIMIT 1) <> (SELECT branch FROM episodes ORDER BY occurred_at DESC, seq DESC LIMIT 1), false) AS drift, n = 1 AS single, human = 0 AS no_human FROM last)"""
+
+
+def resume_of(spark, d) -> DataFrame:
+    rows = episodes.resumed(t.episodes(spark, d), F.lit("2026-01-01").cast(_NTZ), k=3)
+    ids = lambda c: F.transform(c, lambda x: x["id"])
+    return rows.select("session", "n", "human", "branches", ids("thread").alias("thread"), ids("open_questions").alias("questions"), "age_hours", "drift", "stale", "single", "no_human")
+
+
+@query(f"WITH {_RESUME} SELECT *, age_hours > 24 AS stale FROM resumed")
+def resume_bundle(spark, d):
+    return resume_of(spark, d)
 
 
 @query(f"SELECT id, session, seq FROM episodes WHERE role = 'human' AND actor = 2 AND occurred_at <= TIMESTAMP '2024-01-03' ORDER BY occurred_at DESC, id DESC LIMIT 50")
