@@ -23,6 +23,7 @@ an empty one. Columns of the input named n_bytes, n_removed, n_spans or kept are
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from .words import _BASE, _BYTES, _INVERSE, _power, mixed
 #: Bytes of a string, of the grams whose hashes trigger and rank, and the share of grams that trigger.
 LENGTH, GRAM, SPACING = 50, 12, 256
 #: Bytes of text that are worked on at once, for which there is a bucket, a partition of buckets, and a task that parses.
-SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 256 << 10, 2 << 20, 256 << 20, 256 << 20
+SLICE, BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 256 << 10, 1 << 20, 256 << 20, 256 << 20
 #: Bytes of packed strings that a task gathers before it sends them.
 GATHER = 12 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets.
@@ -276,11 +277,15 @@ def suffixes(data: np.ndarray, at: np.ndarray, doc_id: np.ndarray) -> tuple[np.n
     text = np.zeros((len(at), words * 8), dtype=np.uint8)
     if len(at):
         text[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
-    columns = text.view(">u8").astype(np.uint64)
-    by = np.lexsort((doc_id, *(columns[:, k] for k in range(words - 1, -1, -1))))
-    columns = columns[by]
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = (columns[1:] != columns[:-1]).any(axis=1)
+    columns = text.view(np.uint64)
+    if sys.byteorder == "little":
+        columns.byteswap(inplace=True)  # so that the order of numbers is that of bytes
+    by = np.lexsort((doc_id, *columns.T[::-1]))
+    new = np.zeros(len(by), dtype=bool)
+    new[:1] = True
+    for word in columns.T:
+        word = word[by]
+        new[1:] |= word[1:] != word[:-1]
     return by, new
 
 
@@ -405,25 +410,26 @@ def without_repeats(docs: DataFrame, few: int = FEW_SPANS) -> DataFrame:
     names = ["doc_id", "text", "_others"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for text, cut in zip(batch["text"], batch["cuts"].to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                out, upto, n_spans = [], 0, 0
-                end = -1
-                for s in sorted((x >> 32, x & 0xFFFFFFFF) for x in cut or ()):
-                    n_spans += s[0] > end
-                    end = max(end, s[1])
-                    if s[0] > upto:
-                        out.append(data[upto : s[0]])
-                    upto = max(upto, s[1])
-                out.append(data[upto:])
-                left = b"".join(out)
-                sizes.append(len(data))
-                removed.append(len(data) - len(left))
-                spans.append(n_spans)
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sizes, removed, spans, kept = [], [], [], []
+                for text, cut in zip(batch["text"], batch["cuts"].to_pylist(), strict=True):
+                    data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    out, upto, n_spans, end = [], 0, 0, -1
+                    for first, last in sorted((x >> 32, x & 0xFFFFFFFF) for x in cut or ()):
+                        n_spans += first > end
+                        end = max(end, last)
+                        if first > upto:
+                            out.append(data[upto:first])
+                        upto = max(upto, last)
+                    out.append(data[upto:])
+                    left = b"".join(out)
+                    sizes.append(len(data))
+                    removed.append(len(data) - len(left))
+                    spans.append(n_spans)
+                    kept.append(left)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = StructType([*(rows.schema[c] for c in names), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
     out = _with_spans(rows, cuts, "cuts", few).select(*names, "cuts").mapInArrow(run, schema)
