@@ -28,8 +28,8 @@ from .common import packed, parallelism, row_key, staged, table, unpacked
 from .words import _BASE, _INVERSE, Slice, _power, gram_hashes, mixed, slices
 
 WINDOW, MINIMISER = 50, 8
-#: Bytes of text for which there is a bucket, and a task that counts grams, at least.
-BUCKET_BYTES, COUNT_BYTES = 4 << 20, 128 << 20
+#: Bytes of text for which there is a bucket, a partition of buckets, and a task that counts grams, at least.
+BUCKET_BYTES, PART_BYTES, COUNT_BYTES = 4 << 20, 256 << 20, 128 << 20
 #: Bytes of packed strings that a task gathers before it sends them.
 GATHER = 12 << 20
 #: A gram is hot if it is met HOT_LEAST times and more often than all grams through HOT_SHARE times the buckets; its windows, 43 a time at most, would be more than a bucket's part.
@@ -140,10 +140,10 @@ def super_kmers(piece: Slice, window: int, minimiser: int, hot: np.ndarray = np.
     return of_word[at[first]], at[first], np.diff(np.append(first, len(at))), least[at[first]]
 
 
-_PACKED = "bucket int, ids binary, keys binary, first binary, windows binary, bytes binary, strings binary, done binary"
+_PACKED = "part int, bucket int, ids binary, keys binary, first binary, windows binary, bytes binary, strings binary, done binary"
 
 
-def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
+def _pack(window: int, minimiser: int, buckets: int, parts: int, hot: np.ndarray):
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
                 for c in columns:
                     c.append(b"")
                 marks.append(np.array(done, dtype=np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in columns), pa.array(marks, pa.binary())], ["bucket", "ids", "keys", "first", "windows", "bytes", "strings", "done"])
+            part = [b * parts // buckets for b in names]
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in columns), pa.array(marks, pa.binary())], ["part", "bucket", "ids", "keys", "first", "windows", "bytes", "strings", "done"])
 
         for batch in batches:
             for piece in slices(batch["text"]):
@@ -216,14 +217,17 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
 def _sort(window: int):
     import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(doc_id, key, first, last):
-            return pa.RecordBatch.from_arrays([pa.array(doc_id.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "key", "first", "last"])
+    def spans(doc_id, key, first, last):
+        return pa.RecordBatch.from_arrays([pa.array(doc_id.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc_id", "key", "first", "last"])
 
-        texts, parts = [], []
-        unpress = zstandard.ZstdDecompressor()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bucket by bucket, as the sorted rows stream by."""
+        unpress, bucket, texts, parts = zstandard.ZstdDecompressor(), None, [], []
         for batch in batches:
-            for ids, keys, first, windows, n_bytes, strings, done in zip(*(batch[c].to_pylist() for c in batch.schema.names[1:]), strict=True):
+            for mine, ids, keys, first, windows, n_bytes, strings, done in zip(*(batch[c].to_pylist() for c in batch.schema.names[1:]), strict=True):
+                if mine != bucket:
+                    yield from repeated(texts, parts)
+                    bucket, texts, parts = mine, [], []
                 if done:
                     marks = np.frombuffer(done, dtype=np.int64).reshape(-1, 4)
                     yield spans(*marks.T)
@@ -244,10 +248,13 @@ def _sort(window: int):
                 kmer = np.repeat(np.arange(len(ids)), windows)
                 parts.append((found, ids[kmer], keys[kmer], first[kmer] + at - start[kmer], np.full(len(at), len(texts)), piece.starts[at], piece.ends[at + window - 1]))
                 texts.append(text)
+        yield from repeated(texts, parts)
+
+    def repeated(texts: list[bytes], parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The windows of a bucket that also start in a smaller id."""
         if not parts:
             return
         found, ids, key, word, text_of, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
         by = np.lexsort((ids, found))
         f = found[by]
         new = np.ones(len(f), dtype=bool)
@@ -283,14 +290,16 @@ def _sort(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """doc_id, key, first, last: words (from 0, end exclusive) of the documents (doc_id, text, key) that repeated windows cover.
 
-    Buckets follow the bytes of all texts, so a bucket's part does not grow with the data.
+    Buckets follow the bytes of all texts, so a bucket's part does not grow with the data; a partition has many of them and
+    takes them one by one, so partitions stay few enough to shuffle.
     """
     spark = docs.sparkSession
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * parallelism(spark), -(-n_bytes // BUCKET_BYTES))
     hot = hot_grams(docs, minimiser, buckets, max(spark.sparkContext.defaultParallelism, -(-n_bytes // COUNT_BYTES)))
-    sent = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
-    return sent.repartition(buckets, "bucket").mapInArrow(_sort(window), "doc_id long, key long, first int, last int")
+    parts = min(buckets, max(4 * parallelism(spark), -(-n_bytes // PART_BYTES)))
+    sent = docs.select("doc_id", "text", "key").mapInArrow(_pack(window, minimiser, buckets, parts, hot), _PACKED)
+    return sent.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(_sort(window), "doc_id long, key long, first int, last int")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
