@@ -69,9 +69,10 @@ def tiered(rows: DataFrame, phrase: str) -> DataFrame:
 
 
 def machine_lines(rows: DataFrame) -> DataFrame:
-    """Of long texts the share of lines shaped as a machine writes them: tables, arrows, bold bullets, fences, headings."""
+    """Of long texts the share of lines shaped as a machine writes them: tables and their rules, boxes, arrows, bold bullets, fences, headings."""
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
-    shaped = lambda x: x.rlike(r"^\|.*\|$") | (x.rlike("->|=>|→") & (F.length(x) < 200)) | x.rlike(r"^(?:[-*]|[0-9]+\.)\s+\*\*") | x.startswith("```") | x.rlike(r"^#{1,4}\s")
+    # fixed values: the shapes of lines
+    shaped = lambda x: x.rlike(r"^\|.*\|$") | x.rlike(r"^[+|][-+|\s]{6,}$") | x.rlike("^[┌├└│]") | (x.rlike("->|→|=>") & (F.length(x) < 200)) | x.rlike(r"^(?:[-*]|[0-9]+\.)\s+\*\*") | x.startswith("```") | x.rlike(r"^#{1,4}\s")
     return rows.where(F.length("text") >= 900).select("id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, shaped)).cast("long").alias("n_machine"))
 
 

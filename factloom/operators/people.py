@@ -41,6 +41,13 @@ def collisions(claims: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.groupBy("path").agg(F.countDistinct("node_id").alias("holders"), F.min("claimed_at").alias("since")).where("holders > 1")
 
 
+def contenders(claims: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Each held claim of a path that others in service hold too, with others, their ids: a set a path, of which a claim's own holder is left out."""
+    held = claims.where("NOT released").join(nodes.where("NOT retired").select("node_id"), "node_id", "left_semi")
+    all_ = held.groupBy("path").agg(F.array_sort(F.collect_set("node_id")).alias("_all")).where(F.size("_all") > 1)
+    return held.join(all_, "path").select("claim_id", "node_id", "path", F.array_remove("_all", F.col("node_id")).alias("others"))
+
+
 def latest_verification(verifications: DataFrame) -> DataFrame:
     return verifications.groupBy("target").agg(F.max_by(F.struct("outcome", "reason", "checked_at"), F.struct("checked_at", "id")).alias("v")).select("target", "v.*")
 

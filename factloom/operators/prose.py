@@ -21,15 +21,17 @@ def _tokens(c):
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def bm25(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """doc_id, line and score of lines with a term, lines being the documents of BM25. Lines are tokenised once, and only terms travel."""
+def bm25(rows: DataFrame, terms: Sequence[str], phrase: str | None = None) -> DataFrame:
+    """doc_id, line and score of lines with a term, lines being the documents of BM25; with phrase, whether the line holds that in a row. Lines are tokenised once, and only terms travel."""
     n, average = rows.select(F.size(_tokens("text")).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
     counted = rows.select("doc_id", "line", _tokens("text").alias("t"))
-    tf = counted.select("doc_id", "line", F.size("t").alias("len"), F.explode(F.filter("t", lambda w: w.isin(list(terms)))).alias("term")).groupBy("doc_id", "line", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = F.contains(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), F.lit(f" {phrase} ")) if phrase else F.lit(False)
+    tf = counted.select("doc_id", "line", held.alias("phrase"), F.size("t").alias("len"), F.explode(F.filter("t", lambda w: w.isin(list(terms)))).alias("term")).groupBy("doc_id", "line", "phrase", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average)))
-    return tf.join(F.broadcast(df), "term").groupBy("doc_id", "line").agg(F.round(F.sum(part), 4).alias("score"))
+    out = tf.join(F.broadcast(df), "term").groupBy("doc_id", "line", "phrase").agg(F.round(F.sum(part), 4).alias("score"))
+    return out if phrase else out.drop("phrase")
 
 
 def key_values(rows: DataFrame) -> DataFrame:
@@ -75,8 +77,7 @@ def name_tokens(c: str) -> Column:
 def phrase_boosted(rows: DataFrame, query: str, limit: int = 10, boost: float = 2.0) -> DataFrame:
     """doc_id, line, score and phrase of the lines found by the words of query: bm25, lines that hold them in a row scored boost times. Best first, then by place."""
     words = [w for w in re.split("[^a-z0-9]+", query.lower()) if w]
-    held = F.contains(F.concat(F.lit(" "), F.array_join(_tokens("text"), " "), F.lit(" ")), F.lit(f" {' '.join(words)} "))
-    found = bm25(rows, tuple(dict.fromkeys(words))).join(rows.select("doc_id", "line", held.alias("phrase")), ["doc_id", "line"])
+    found = bm25(rows, tuple(dict.fromkeys(words)), " ".join(words))
     out = found.withColumn("score", F.round(F.col("score") * F.when(F.col("phrase"), boost).otherwise(1.0), 4))
     return out.orderBy(F.desc("score"), "doc_id", "line").limit(limit)
 

@@ -310,7 +310,7 @@ def search_phrase(spark, d):
 
 
 @query(r"""WITH l AS (SELECT id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM episodes WHERE length(text) >= 900)
-SELECT id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^\|.*\|$') OR (regexp_matches(x, '->|=>|→') AND length(x) < 200) OR regexp_matches(x, '^(?:[-*]|[0-9]+\.)\s+\*\*')
+SELECT id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^\|.*\|$') OR regexp_matches(x, '^[+|][-+|\s]{6,}$') OR regexp_matches(x, '^[┌├└│]') OR (regexp_matches(x, '->|→|=>') AND length(x) < 200) OR regexp_matches(x, '^(?:[-*]|[0-9]+\.)\s+\*\*')
  OR starts_with(x, '```') OR regexp_matches(x, '^#{1,4}\s'))) AS BIGINT) AS n_machine FROM l""")
 def machine_prose(spark, d):
     return episodes.machine_lines(t.episodes(spark, d))
@@ -451,6 +451,11 @@ def fleet_collisions(spark, d):
     return people.collisions(t.claims(spark, d), t.nodes(spark, d))
 
 
+@query("""WITH h AS (SELECT claim_id, node_id, path FROM claims JOIN nodes USING (node_id) WHERE NOT released AND NOT retired) SELECT h.claim_id, h.node_id, h.path, list_sort(list(DISTINCT o.node_id)) AS others FROM h JOIN h o ON o.path = h.path AND o.node_id <> h.node_id GROUP BY ALL""")
+def fleet_contenders(spark, d):
+    return people.contenders(t.claims(spark, d), t.nodes(spark, d))
+
+
 @query("SELECT node_id, label, scope FROM nodes WHERE scope = 'org/acme/proj' OR starts_with(scope, 'org/acme/proj/')")
 def nodes_subtree(spark, d):
     return reads.subtree(t.nodes(spark, d), "org/acme/proj").select("node_id", "label", "scope")

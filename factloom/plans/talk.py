@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import doctrine, episodes, people, prose, recall, similar
+from ..operators import doctrine, episodes, people, prose, recall, records, similar, writes
 from ..sources import prose_files
 from ..sources import tables as t
 from ..streaming import jobs
@@ -308,6 +308,34 @@ def facts_ingested(spark, d):
     return prose.ingestable(rows).select("id", "verdict")
 
 
+_RECORD = "id long, scope string, subject string, predicate string, value double, kind string, confidence string, source string, human string, valid_from timestamp_ntz, valid_to timestamp_ntz, supersedes long"
+
+
+def _store(spark) -> writes.Store:
+    return writes.Store(spark, f"{jobs.shared_dir(spark)}/records-{uuid.uuid4().hex}", _RECORD)
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_name AS subject, p_size % 2 AS object, CASE WHEN p_partkey % 7 = 0 THEN 'nowhere' ELSE 'f' || p_partkey || ':1' END AS locator, p_partkey % 5 <> 0 AS timed FROM part),
+c AS (SELECT subject FROM r GROUP BY subject HAVING count(DISTINCT object) > 1), v AS (SELECT *, row_number() OVER (PARTITION BY subject, object ORDER BY locator) AS rn FROM r)
+SELECT id + 1000 AS id, subject, CAST(object AS DOUBLE) AS value, locator AS source, 'unverified' AS confidence, id + 1000 AS chain FROM v WHERE timed AND locator <> 'nowhere' AND subject NOT IN (SELECT subject FROM c) AND rn = 1""")
+def facts_recorded(spark, d):
+    """What the ledger holds after the accepted facts were appended, twice."""
+    i, store = F.col("p_partkey"), _store(spark)
+    rows = t.table(spark, d, "part").select(i.alias("id"), F.col("p_name").alias("subject"), F.lit("size").alias("predicate"), (F.col("p_size") % 2).alias("object"), F.when(i % 7 == 0, "nowhere").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(":1"))).alias("locator"), F.when(i % 5 != 0, i).alias("committed_at"))
+    new = records.facts(prose.ingestable(rows), "org/acme", 1000)
+    store.append(new, "facts")
+    store.append(new, "facts")
+    return store.assertions().select("id", "subject", "value", "source", "confidence", "chain")
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 2 THEN 'accepted' WHEN p_partkey % 4 = 2 THEN 'rejected' ELSE 'pending' END AS status, p_partkey % 6 <> 1 AS named, p_partkey % 10 <> 8 AS sourced FROM part)
+SELECT id, status, CASE WHEN status = 'accepted' AND sourced AND named THEN id + 5000 END AS promoted_to, CASE WHEN status = 'accepted' AND NOT sourced THEN 'evidence_required' WHEN status = 'accepted' AND NOT named THEN 'human_evidence_names_a_human' END AS refused FROM r""")
+def proposals_promoted(spark, d):
+    i = F.col("p_partkey")
+    rows = t.table(spark, d, "part").select(i.alias("id"), F.when(i % 4 < 2, "accepted").when(i % 4 == 2, "rejected").otherwise("pending").alias("status"), F.when(i % 6 != 1, "ada").alias("reviewed_by"), F.concat(F.lit("part:"), i.cast("string")).alias("subject"), F.lit("size").alias("predicate"), F.col("p_size").cast("double").alias("value"), F.when(i % 10 != 8, F.concat(F.lit("notes:"), i.cast("string"))).alias("source"))
+    return records.promote(_store(spark), rows, "org/acme", "reviewed", 5000).select("id", "status", "promoted_to", "refused")
+
+
 @query("""SELECT doc_id, line, CASE WHEN doc_id % 4 = 0 THEN 'LIMIT' ELSE 'width' END AS name, CASE WHEN doc_id % 4 = 0 THEN '=' ELSE 'divisible_by' END AS relation, CASE WHEN doc_id % 4 = 0 THEN 1000 + CAST(right(regexp_replace(text, '[^0-9]', '', 'g'), 3) AS BIGINT) ELSE CAST(regexp_extract(text, '% ([0-9]+)', 1) AS BIGINT) END AS value
 FROM noted WHERE starts_with(text, 'const') OR starts_with(text, 'static_assert')""")
 def pinned_consts(spark, d):
