@@ -65,8 +65,8 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
     held = admission._rows(ledger.where(F.col("superseded_by").isNull() & F.col("confidence").isin("measured", "derived")), 0)
     held = held.join(asking.select("key").distinct(), "key", "left_semi").select(held.columns).checkpoint()
     far = asking.where("supersedes IS NOT NULL AND NOT near")
-    # of the round before: accepted rows of other keys, and which of the targets they ask for are accepted rows of the batch
-    accepted = None
+    # of the round before: accepted rows of other keys, which of the targets they ask for are accepted rows of the batch, and their number and sum of hashes
+    accepted, digest = None, None
     while True:
         taken = accepted.groupBy("supersedes").agg(F.min("id").alias("_taken")) if accepted is not None else None
         now = asking.withColumn("taken_by", F.lit(None).cast("long"))
@@ -84,9 +84,10 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
         if far.isEmpty():
             break
         new = asking.select("id", "supersedes").join(found.where("reason IS NULL AND existing IS NULL").select("id"), "id", "left_semi").checkpoint()
-        if accepted is not None and new.exceptAll(accepted).isEmpty() and accepted.exceptAll(new).isEmpty():
+        now_digest = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
+        if now_digest == digest:
             break
-        accepted = new
+        accepted, digest = new, now_digest
     hard = asking.drop("key", "near", "standing", "target_key").withColumnRenamed("own", "_own").join(found, "id").withColumn("holder", F.coalesce("holder", "ledger_holder")).drop("_own", "ledger_holder")
     columns = [*batch.columns, "hash", "reason", "existing", "holder"]
     hard = hard.withColumn("holder", F.when(F.col("reason") == "supersedes_target_already_superseded", F.col("holder")))
