@@ -50,8 +50,8 @@ HOT_SHARE, HOT_LEAST = 64, 100
 HOT_MOST = 1 << 20
 #: Grams at least that a task remembers as it counts.
 COUNTED = 1 << 16
-#: Spans up to which they reach all tasks, 8 bytes each and some for each text that has any; beyond, texts are shuffled to meet theirs.
-FEW_SPANS = 4_000_000
+#: Spans up to which they reach all tasks, about 40 bytes each with what each text takes; beyond, texts are shuffled to meet theirs.
+FEW_SPANS = 1_000_000
 
 
 def _give_back() -> None:
