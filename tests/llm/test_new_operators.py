@@ -332,3 +332,31 @@ def test_op3_many_lines(spark, tmp_path):
     rows = [(1, text, "en", "s", len(text)), (2, "a b c d e f g h i j k l", "en", "s", 0)]
     got = quality.op3_quality(spark, cases.write_documents(tmp_path, rows)).drop("n_removed_words").collect()
     cases.same(got, cases.quality(rows))
+
+
+# --- repeated rows and clashing names of archives and vectors
+
+
+def test_op8_clashing_columns_and_very_long_payloads(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from factloom.llm import warc
+
+    long = "<p>" + "x\n" * 400_000
+    rows = [(1, long), (2, long), (3, "y" * 1000), (4, "y" * 999), (5, "y" * 999), (6, None), (7, "")]
+    columns = {"page_id": [i for i, _ in rows], "url": [f"http://h/{i}" for i, _ in rows], "html": [h for _, h in rows], **{c: [c] * len(rows) for c in ("payload", "digest", "type", "headers", "record_id", "n")}}
+    pq.write_table(pa.table(columns), f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.op8_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()}
+    n = len(long)
+    assert got == {1: (n, "revisit", 2), 2: (n, "response", None), 3: (1000, "response", None), 4: (999, "response", None), 5: (999, "response", None), 6: (0, "response", None), 7: (0, "response", None)}
+
+
+def test_op10_repeated_rows_count_once(spark):
+    from factloom.llm import ann
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=16)]) for i in range(60)]
+    nearest = lambda x: sorted(map(tuple, ann.nearest(spark.createDataFrame(x, "vec_id long, embedding array<float>"), "vec_id", "embedding", lambda i: i % 20 == 0, k=5).collect()))
+    once = nearest(rows)
+    assert len(once) == 15 and nearest(rows + rows[:25] + rows[:3] + [(None, rows[0][1])]) == once
