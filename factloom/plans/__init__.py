@@ -1,3 +1,3 @@
 """The registered queries of factloom; importing this registers all of them in catalogue."""
 
-from . import answers, catalogue, code, talk  # noqa: F401
+from . import answers, catalogue, code, passes, talk  # noqa: F401
