@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records, verify, writes
+from ..operators import records, verify, why, writes
 from ..sources import tables as t
 from ..sources.appended import Appended
 from ..streaming import jobs
-from .catalogue import query
+from .catalogue import CHAIN, query
 from .talk import _RECORD
 
 _NTZ = "timestamp_ntz"
@@ -55,3 +55,53 @@ UNION ALL SELECT verification_id + n, 'assertion:' || id, 'verification_outcome'
 def verification_recorded(spark, d):
     """The live rows of the ledger after the pass."""
     return verified(spark, d)[0].assertions().where("superseded_by IS NULL").select("id", "subject", "predicate", "value", "confidence", "source", "supersedes")
+
+
+#: An excerpt of flat around its first match (pre before it, hit long), as SQL.
+_CUT = r"""f AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS flat FROM m),
+g AS (SELECT *, length(regexp_extract(flat, {pattern}, 1)) AS at_, length(regexp_extract(flat, {pattern}, 2)) AS hit, length(flat) AS n FROM f),
+h AS (SELECT *, greatest(at_ - 72, 0) AS s0 FROM g), h1 AS (SELECT *, greatest(least(n, s0 + 240), least(n, at_ + hit)) AS e0 FROM h),
+h2 AS (SELECT *, instr(substr(flat, s0 + 1), ' ') AS gap, e0 + 1 - instr(reverse(substr(flat, 1, e0 + 1)), ' ') AS last_ FROM h1),
+h3 AS (SELECT *, CASE WHEN s0 > 0 AND gap > 0 AND s0 + gap - 1 < at_ THEN s0 + gap ELSE s0 END AS b, CASE WHEN e0 < n AND last_ <= e0 AND last_ > at_ + hit THEN last_ ELSE e0 END AS e FROM h2),
+x AS (SELECT *, CASE WHEN b > 0 THEN '…' ELSE '' END || trim(substr(flat, b + 1, e - b), ' ') || CASE WHEN e < n THEN '…' ELSE '' END AS excerpt FROM h3)"""
+
+
+def _why_sql(symbol: list[str], path: list[str], base: list[str], facts: list[str]) -> str:
+    """m, the turns that the needles find, x, with excerpts, and w, the facts."""
+    one = lambda ns: "false" if not ns else f"regexp_matches(text, '\\b({'|'.join(ns)})\\b', 'i')"
+    cut = _CUT.replace("{pattern}", "'(?i)^(.*?)\\b(" + "|".join([*symbol, *path, *base]) + ")\\b'")
+    return f"""m AS (SELECT *, CASE WHEN {one(symbol)} THEN 0 WHEN {one(path)} THEN 1 WHEN {one(base)} THEN 2 END AS r FROM episodes WHERE r IS NOT NULL ORDER BY r, occurred_at DESC, id DESC LIMIT 20), {cut},
+w AS (SELECT id, row_number() OVER (ORDER BY len(string_split(scope, '/')) DESC, asserted_at DESC, id DESC) AS rn FROM live JOIN chain USING (scope) WHERE regexp_matches(subject, '\\b({'|'.join(facts)})\\b', 'i') ORDER BY rn LIMIT 20)"""
+
+
+def _shown(row: DataFrame) -> DataFrame:
+    """An answer's parts, each turn as its id, needle and excerpt, and facts as ids, as rows of text."""
+    turn = F.transform("mentions", lambda m: F.concat_ws("|", m["id"].cast("string"), m["why"], m["excerpt"]))
+    return row.select("target", "resolved.kind", "resolved.path", "resolved.line_start", F.array_join(turn, "\n").alias("mentions"), F.array_join(F.transform("facts", lambda f: f["id"].cast("string")), ",").alias("facts"), (F.col("note").isNotNull()).alias("noted"))
+
+
+_SHOWN = "(SELECT coalesce(string_agg(id || '|' || ['symbol', 'path', 'basename'][1 + r] || '|' || excerpt, chr(10) ORDER BY r, occurred_at DESC, id DESC), '') FROM x) AS mentions, (SELECT coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn), '') FROM w) AS facts"
+
+
+@query(f"WITH {_why_sql([], ['of/der'], ['der'], ['of/der', 'der'])} SELECT 'of/der' AS target, 'path' AS kind, 'of/der' AS path, CAST(NULL AS BIGINT) AS line_start, {_SHOWN}, true AS noted")
+def why_path_answer(spark, d):
+    return _shown(why.why_path(t.episodes(spark, d), t.ledger(spark, d), "./of/der/", CHAIN))
+
+
+def _asked(spark, d, symbol: str, repo: str | None = None) -> DataFrame:
+    """Symbols named after words that are said, in two indexes of a repository; the older one has what the newer has not."""
+    p = F.col("p_partkey")
+    word = F.element_at(F.split("p_name", " "), 1)
+    symbols = t.table(spark, d, "part").select((p % 2).alias("index_id"), F.when(p < 3, "the").otherwise(word).alias("name"), F.when(p < 3, "m::the").otherwise(F.concat(F.lit("m::"), word)).alias("fqn"), F.concat(F.lit("src/f"), p.cast("string"), F.lit(".rs")).alias("path"), p.alias("line_start"))
+    indexes = t.table(spark, d, "region").where("r_regionkey < 2").select(F.col("r_regionkey").cast("long").alias("index_id"), F.lit("r").alias("repo"), F.lit("abc").alias("commit_sha"), F.lit("org/acme").alias("scope"), F.col("r_regionkey").alias("indexed_at"), F.lit(True).alias("completed"))
+    return _shown(why.why_symbol(t.episodes(spark, d), t.ledger(spark, d), symbols, indexes, symbol, CHAIN, repo))
+
+
+@query(f"WITH {_why_sql(['m::the', 'the'], ['src/f1.rs'], ['f1.rs'], ['m::the', 'the', 'f1.rs'])} SELECT 'm::the' AS target, 'symbol' AS kind, 'src/f1.rs' AS path, CAST(1 AS BIGINT) AS line_start, {_SHOWN}, false AS noted")
+def why_symbol_answer(spark, d):
+    return _asked(spark, d, "m::the")
+
+
+@query(f"WITH {_why_sql(['zzqx'], [], [], ['zzqx'])} SELECT 'zzqx' AS target, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line_start, {_SHOWN}, true AS noted")
+def why_symbol_unknown(spark, d):
+    return _asked(spark, d, "zzqx", "r")
