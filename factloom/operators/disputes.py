@@ -84,6 +84,12 @@ def missions(evaluated: DataFrame) -> DataFrame:
     )
 
 
+def live_scopes(rows: DataFrame) -> DataFrame:
+    """The scopes of missions (id, scope, supersedes) that none supersedes: where a reader of all scopes has to look."""
+    later = rows.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id"))
+    return rows.join(later, "id", "left_anti").select("scope").distinct()
+
+
 def duplicates(rows: DataFrame, keys: Sequence[str], order: str, row: str) -> DataFrame:
     """Rows of a key beyond the first, with the first one's id."""
     first = rows.groupBy(*keys).agg(F.min_by(row, F.struct(order, row)).alias("keeps"))

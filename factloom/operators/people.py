@@ -120,6 +120,12 @@ def registered(events: DataFrame) -> DataFrame:
     return out.where(F.col("announced_at").isNotNull() | F.col("heartbeat_at").isNotNull()).select(*key, "announced_at", "heartbeat_at", gone.alias("retired"))
 
 
+def reported(nodes: DataFrame, activity: DataFrame) -> DataFrame:
+    """nodes whose heartbeat_at is moved on by what they report (activity: node_id, occurred_at): who says what it does is alive. It never moves back."""
+    said = activity.groupBy("node_id").agg(F.max("occurred_at").alias("_said"))
+    return nodes.join(said, "node_id", "left").withColumn("heartbeat_at", F.greatest("heartbeat_at", "_said")).drop("_said").select(nodes.columns)
+
+
 def held_paths(log: DataFrame) -> DataFrame:
     """Claims from a log (node_id, path, event: claim, release or retire, at): the live ones and since when. Claiming again changes nothing; retiring, whose path is null, releases all."""
     each = log.where("event <> 'retire'").groupBy("node_id", "path").agg(F.max(F.when(F.col("event") == "release", F.col("at"))).alias("_freed"), F.array_sort(F.collect_set(F.when(F.col("event") == "claim", F.col("at")))).alias("_claims"))

@@ -151,8 +151,9 @@ class Store:
     def rejections(self) -> DataFrame:
         return self._read("rejections")
 
-    def verdicts(self, batch: str) -> DataFrame:
-        return self._read("verdicts", [c for c in self.commits() if c["batch"] == batch])
+    def verdicts(self, batch: str | None = None) -> DataFrame:
+        """What was said of the rows of a batch, or of all."""
+        return self._read("verdicts", [c for c in self.commits() if batch is None or c["batch"] == batch])
 
     def append(self, batch: DataFrame, name: str | None = None) -> DataFrame:
         """Decides a batch and commits it: id, reason, existing and holder of every row.

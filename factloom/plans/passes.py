@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records, verify, why, writes
+from ..operators import disputes, people, preferences, records, verify, why, writes
 from ..sources import tables as t
 from ..sources.appended import Appended
 from ..streaming import jobs
@@ -105,3 +105,51 @@ def why_symbol_answer(spark, d):
 @query(f"WITH {_why_sql(['zzqx'], [], [], ['zzqx'])} SELECT 'zzqx' AS target, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line_start, {_SHOWN}, true AS noted")
 def why_symbol_unknown(spark, d):
     return _asked(spark, d, "zzqx", "r")
+
+
+def _learned(spark, d) -> preferences.Preferences:
+    """Preferences after two promotions, of half of the feedback and of all, the second sent twice."""
+    prefs = preferences.Preferences(writes.Store(spark, _folder(spark, "learned"), _VERIFIED), _folder(spark, "preferences"))
+    said = t.feedback(spark, d)
+    prefs.promote(said.where("id % 2 = 0"), "half")
+    prefs.promote(said, "all")
+    prefs.promote(said, "all")
+    return prefs
+
+
+_TIERED = "SELECT scope, signature, count(*) AS occasions, count(DISTINCT actor) AS humans, CASE WHEN count(DISTINCT actor) >= 3 THEN 'org' WHEN count(DISTINCT actor) = 2 THEN 'team' ELSE 'personal' END AS tier FROM feedback WHERE {} GROUP BY 1, 2 HAVING count(*) > 1"
+
+
+@query(f"""WITH h AS ({_TIERED.format("id % 2 = 0")}), a AS ({_TIERED.format("true")}), first_ AS (SELECT scope, signature, arg_min(actor, struct_pack(a := created_at, b := id)) AS human FROM feedback GROUP BY 1, 2)
+SELECT a.*, tier = 'org' AS binding, 'active' AS status, CAST(human AS VARCHAR) AS human, h.occasions IS NOT NULL AND h.occasions <> a.occasions AS follows FROM a LEFT JOIN (SELECT scope, signature, occasions FROM h) h USING (scope, signature) JOIN first_ f USING (scope, signature) WHERE h.occasions IS DISTINCT FROM a.occasions
+UNION ALL SELECT a.*, a.tier = 'org', 'active', (SELECT CAST(arg_min(actor, struct_pack(a := created_at, b := id)) AS VARCHAR) FROM feedback f WHERE f.scope = a.scope AND f.signature = a.signature AND id % 2 = 0), false FROM a JOIN h USING (scope, signature) WHERE h.occasions = a.occasions""")
+def preferences_recorded(spark, d):
+    return _learned(spark, d).rows().select("scope", "signature", "occasions", "humans", "tier", "binding", "status", "human", F.col("supersedes").isNotNull().alias("follows"))
+
+
+@query("""WITH c AS (SELECT event_id, 'user:' || (user_id % 20) AS s, event_type AS p, event_id % 7 AS v FROM events)
+SELECT event_id AS id, s || '|' || p || '|' || sha256('{"a":' || v || ',"b":["use tabs",' || v || ']}') AS signature FROM c""")
+def preference_signatures(spark, d):
+    """Feedback spelled in several ways that mean the same."""
+    i, v = F.col("event_id"), (F.col("event_id") % 7).cast("string")
+    tabs = F.when(i % 3 == 0, "Use  Tabs").when(i % 3 == 1, " use\\ttabs ").otherwise("\uff55\uff53\uff45 TABS")
+    a, b = F.concat(F.lit('"A": '), v, F.when(i % 2 == 0, ".0").otherwise("")), F.concat(F.lit('"b": ["'), tabs, F.lit('", '), v, F.lit("]"))
+    correction = F.when(i % 5 < 2, F.concat(F.lit("{"), a, F.lit(", "), b, F.lit("}"))).otherwise(F.concat(F.lit("{"), b, F.lit(","), a, F.lit("}")))
+    subject = F.concat(F.when(i % 2 == 0, "USER:").otherwise(" user:"), (F.col("user_id") % 20).cast("string"))
+    return t.table(spark, d, "events").select(i.alias("id"), preferences.signature(subject, F.upper("event_type"), correction).alias("signature"))
+
+
+@query("""WITH a AS (SELECT user_id % 50 AS node_id, max(ts) FILTER (event_id % 3 = 0) AS said, max(ts) AS beat FROM events GROUP BY 1)
+SELECT node_id, greatest(beat - INTERVAL 1 HOUR, said) AS heartbeat_at FROM a""")
+def activity_reported(spark, d):
+    """Nodes whose reports, some sent twice, move their heartbeat on."""
+    log = Appended(spark, _folder(spark, "activity"), "node_id long, seq long, statement string, occurred_at timestamp_ntz")
+    said = t.activity(spark, d).where("seq % 3 = 0")
+    for name in ("one", "one"):
+        log.append(said, name)
+    return people.reported(t.nodes(spark, d).withColumn("heartbeat_at", F.col("heartbeat_at") - F.expr("INTERVAL 1 HOUR")), log.rows()).select("node_id", "heartbeat_at")
+
+
+@query("SELECT DISTINCT ['org/acme', 'org/acme/proj/a', 'org/acme/proj/b'][1 + o_custkey % 3] AS scope FROM orders")
+def mission_scopes(spark, d):
+    return disputes.live_scopes(t.missions(spark, d)).select("scope")
