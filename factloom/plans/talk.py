@@ -52,8 +52,11 @@ def recall_in_window(spark, d):
 
 @query(f"WITH {_PLAN} {_SCORED.format(rows='episodes')} SELECT id, session, seq, matched, score, CASE WHEN strong THEN 'term' ELSE 'window' END AS tier FROM scored WHERE matched <> '' ORDER BY score DESC, occurred_at, id LIMIT 12")
 def recall_fallback(spark, d):
-    """A window without turns: the whole scope answers."""
-    return episodes.recalled(t.episodes(spark, d), _QUESTION, (F.lit("2031-01-01").cast(_NTZ), F.lit("2031-01-02").cast(_NTZ))).select(*_RECALL)
+    """A window without turns, whatever the turns are: a day that begins a day after the last one. The whole scope answers."""
+    turns = t.episodes(spark, d)
+    last = episodes.bounds(turns).first()["last_at"]  # one row
+    last = F.lit(last or "2031-01-01").cast(_NTZ)
+    return episodes.recalled(turns, _QUESTION, (last + F.expr("INTERVAL 1 DAY"), last + F.expr("INTERVAL 2 DAYS"))).select(*_RECALL)
 
 
 @query(f"SELECT id, session, seq, '' AS matched, CAST(0 AS DOUBLE) AS score, 'window' AS tier FROM episodes WHERE {_DAY} ORDER BY occurred_at, id LIMIT 60")

@@ -74,3 +74,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fallback_with_turns_in_any_year(spark, tmp_path):
+    """A turn of 2031, as tables of 60,000 conversations have, leaves the window of recall_fallback empty."""
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    rows.union(rows.withColumn("conv_id", F.col("conv_id") + 61_365)).write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("region", "nation", "part", "orders", "lineitem", "events", "documents"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    assert assert_same(catalogue.QUERIES["recall_fallback"](spark, str(tmp_path)), connection(str(tmp_path)), catalogue.ORACLES["recall_fallback"]) == 12
