@@ -156,6 +156,16 @@ def test_long_chain_takes_no_more_jobs(spark, tmp_path):
     assert reads.walked(led, 150).count() == 300 and reads.chain_heads(led).where("head = 300 AND hops = 300 - id").count() == 300
 
 
+def test_versions_of_long_chains_take_few_rounds(spark, monkeypatch):
+    rows = [(k * 7 % 41, (k - 1) * 7 % 41 if k else None) for k in range(41)] + [(100, 101), (101, 102), (102, 100), (103, 100), (104, 999), (105, 104), (106, 7)]
+    missions, rounds = spark.createDataFrame(rows, "id long, supersedes long"), []
+    kind, real = type(missions), type(missions).checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: rounds.append(1) or real(self, *a))
+    got = {r["id"]: r["version"] for r in writes.versions(missions).collect()}
+    assert got == {k * 7 % 41: k + 1 for k in range(41)} | {106: 3}  # none in or behind a circle, or that leads nowhere
+    assert len(rounds) <= 9
+
+
 def test_gates_of_numbers_of_any_form(spark):
     from factloom.operators import disputes
 
