@@ -18,8 +18,12 @@ def trigrams_of(text: str) -> list[str]:
     return [f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for i in range(len(w) + 1)]
 
 
+def words_of(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def trigrams(text: str) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = words_of(text)
     each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.call_function("substring", F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
     return F.flatten(F.transform(words, each))
 
@@ -45,22 +49,24 @@ def similarity(needle: set[str], grams: list[str], least: float) -> float:
 
 
 def similar(rows: DataFrame, needle: str, least: float = THRESHOLD) -> DataFrame:
-    """rows (text, ...) with similarity, those that reach least.
+    """rows (text, ...) with similarity in place of text, those that reach least.
 
     First the texts that hold enough of needle's trigrams anywhere, counted by array functions: a coefficient of least
-    needs least of needle's. Stretches are looked at in these alone.
+    needs least of needle's. Stretches are looked at in these alone. A worker of Python gets their words, a text's worth
+    and not several times that, and holds the trigrams of one text at a time.
     """
     want = set(trigrams_of(needle))
     if not want:
-        return rows.withColumn("similarity", F.lit(0.0)).limit(0)
+        return rows.drop("text").withColumn("similarity", F.lit(0.0)).limit(0)
     enough = math.ceil(least * len(want) - 1e-9)
-    counted = rows.withColumn("_g", trigrams("text")).where(F.size(F.array_intersect(F.array(*map(F.lit, sorted(want))), "_g")) >= enough)
+    near = rows.where(F.size(F.array_intersect(F.array(*map(F.lit, sorted(want))), trigrams("text"))) >= enough)
+    kept = [c for c in rows.columns if c != "text"]
+    lean = near.select(*kept, F.array_join(words_of("text"), " ").alias("_w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [similarity(want, g, least) for g in batch["_g"].to_pylist()]
-            kept = [n for n in batch.schema.names if n != "_g"]
+            scores = [similarity(want, [f"  {w} "[i : i + 3] for w in x.as_py().split(" ") for i in range(len(w) + 1)], least) for x in batch["_w"]]
             out = pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(scores, pa.float64())], [*kept, "similarity"])
             yield out.filter(pa.array([s > 0 for s in scores], pa.bool_()))
 
-    return counted.mapInArrow(run, rows.withColumn("similarity", F.lit(0.0)).schema)
+    return lean.mapInArrow(run, rows.drop("text").withColumn("similarity", F.lit(0.0)).schema)

@@ -246,6 +246,13 @@ def test_similarity_is_that_of_the_best_stretch(spark):
     assert similar.similar(rows, "...").count() == 0
 
 
+def test_python_gets_the_words_of_texts_and_no_lists_of_trigrams(spark):
+    rows = spark.createDataFrame([(1, "A Databse, eror\u00e9"), (2, "\u0130x databas_error")], "id long, text string")
+    found = similar.similar(rows, "databas error")
+    assert found._jdf.queryExecution().analyzed().children().apply(0).schema().simpleString() == "struct<id:bigint,_w:string>"
+    assert {r["id"]: round(r["similarity"], 4) for r in found.collect()} == {2: 1.0}
+
+
 def test_doctrine_is_about_the_nearest_token(spark):
     text = ["Build `--features \"cuda flash-attn\"`; never `cudnn` in CI.", "`greedy` is banned.", "It has never been `run`.", "~~Never use `old`~~ now.", "NO DEGRADED ARTIFACTS", "You must be careful.", "Set W=256 or it must not bake, e.g. Never."]
     rows = spark.createDataFrame([(1, 2 * k + 1, x) for k, x in enumerate(text)], "doc_id long, line long, text string")
