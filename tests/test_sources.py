@@ -253,6 +253,14 @@ def test_python_gets_the_words_of_texts_and_no_lists_of_trigrams(spark):
     assert {r["id"]: round(r["similarity"], 4) for r in found.collect()} == {2: 1.0}
 
 
+def test_words_are_cut_once_a_turn(spark):
+    """Not in the lambda, once for every shingle, which takes time with the square of a turn's length."""
+    turns = spark.createDataFrame([(1, 1, 1, "agent", "a b c d e f g h i j k l m n"), (2, 1, 2, "human", "b c d e f g h i j k l m n o")], "id long, session long, seq long, role string, text string")
+    found = episodes.quoted(turns, 10, 2)
+    assert "slice(filter(split" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(2, 5, 4)]
+
+
 def test_doctrine_is_about_the_nearest_token(spark):
     text = ["Build `--features \"cuda flash-attn\"`; never `cudnn` in CI.", "`greedy` is banned.", "It has never been `run`.", "~~Never use `old`~~ now.", "NO DEGRADED ARTIFACTS", "You must be careful.", "Set W=256 or it must not bake, e.g. Never."]
     rows = spark.createDataFrame([(1, 2 * k + 1, x) for k, x in enumerate(text)], "doc_id long, line long, text string")
