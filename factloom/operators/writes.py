@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.log import Conflict, Log
+from ..sources.tables import looked_up, with_supersession
 from . import admission
 
 #: The fields whose contents are an assertion's identity.
@@ -35,7 +36,7 @@ def _standing(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     asked = batch.where("supersedes IS NOT NULL").select("supersedes").distinct()
     known = asked.join(there, "supersedes", "left").join(mine.dropDuplicates(["supersedes"]), "supersedes", "left")
     known = known.select("supersedes", F.when(F.col("_there").isNull(), None).when(F.col("_by").isNull(), "head").otherwise("superseded").alias("standing"), F.coalesce("_there", "_mine").alias("target_key"), F.col("_by").alias("ledger_holder"))
-    return batch.join(known, "supersedes", "left")
+    return looked_up(batch, known, "supersedes")
 
 
 def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
         events = None
         if accepted is not None:
             mine = accepted.select(F.col("id").alias("supersedes")).distinct().withColumn("_in", F.lit(True))
-            now = asking.join(taken, "supersedes", "left").join(mine, "supersedes", "left")
+            now = looked_up(asking, mine.join(taken, "supersedes", "full"), "supersedes")
             in_batch = F.col("standing").isNull() & F.coalesce(F.col("_in"), F.lit(False)) & (F.col("supersedes") < F.col("id"))
             now = now.withColumn("taken_by", F.col("_taken")).withColumn("standing", F.when(~F.col("near") & in_batch, "head").otherwise(F.col("standing")))
             others = far.join(accepted.select("id"), "id", "left_semi")
@@ -109,12 +110,12 @@ def chained(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     Targets in the ledger have both already. Chains within rows are followed by doubling, in log2 of the longest.
     """
     there = ledger.select(F.col("id").alias("supersedes"), F.col("chain").alias("_chain"), F.col("place").alias("_place"))
-    p = rows.select("id", "supersedes").join(there, "supersedes", "left")
+    p = looked_up(rows.select("id", "supersedes"), there, "supersedes")
     root = F.when(F.col("supersedes").isNull(), F.col("id")).otherwise(F.col("_chain"))
     p = p.select("id", root.alias("chain"), F.when(F.col("supersedes").isNull(), 0).otherwise(F.col("_place") + 1).cast("long").alias("place"), F.when(root.isNull(), F.col("supersedes")).alias("next"), F.lit(1).cast("long").alias("hops")).checkpoint()
     while not p.where("next IS NOT NULL").isEmpty():
         on = p.select(F.col("id").alias("next"), F.col("chain").alias("_chain"), F.col("place").alias("_place"), F.col("next").alias("_next"), F.col("hops").alias("_hops"))
-        q = p.join(on, "next", "left")
+        q = looked_up(p, on, "next")
         p = q.select("id", F.coalesce("chain", "_chain").alias("chain"), F.coalesce("place", F.col("_place") + F.col("hops")).alias("place"), F.when(F.col("chain").isNull() & F.col("_chain").isNull(), F.col("_next")).alias("next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")).checkpoint()
     return rows.join(p.select("id", "chain", "place"), "id")
 
@@ -141,8 +142,6 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def assertions(self, log: list[dict] | None = None) -> DataFrame:
-        from ..sources.tables import with_supersession
-
         return with_supersession(self._read("assertions", log))
 
     def outbox(self) -> DataFrame:
@@ -185,7 +184,7 @@ class Store:
         self.spark.read.schema(f"{self.schema}, hash string, asserted_at long").parquet(f"{folder}/assertions").select(F.col("asserted_at").alias("seq"), F.lit("assertion.created").alias("topic"), "id", "scope").write.parquet(f"{folder}/outbox")
         refused = verdicts.where("reason IS NOT NULL")
         heads = before.where("superseded_by IS NULL").select(F.col("chain").alias("_chain"), F.col("id").alias("_head"))
-        asked = refused.join(before.select(F.col("id").alias("supersedes"), F.col("chain").alias("_chain")), "supersedes", "left").join(heads, "_chain", "left")
+        asked = looked_up(looked_up(refused, before.select(F.col("id").alias("supersedes"), F.col("chain").alias("_chain")), "supersedes"), heads, "_chain")
         head = F.when(F.col("reason") == "supersedes_target_already_superseded", F.concat(F.lit("head: "), F.coalesce("_head", "holder").cast("string")))
         asked.select("id", "reason", F.substring(F.concat_ws(" ", F.lit("refused:"), "reason", "scope", "subject", head), 1, 2000).alias("message")).write.parquet(f"{folder}/rejections")
         verdicts.select("id", "reason", "existing", "holder").write.parquet(f"{folder}/verdicts")

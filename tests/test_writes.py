@@ -156,6 +156,19 @@ def test_long_chain_takes_no_more_jobs(spark, tmp_path):
     assert reads.walked(led, 150).count() == 300 and reads.chain_heads(led).where("head = 300 AND hops = 300 - id").count() == 300
 
 
+def test_rows_that_ask_for_no_target_are_dealt_to_all_tasks(spark):
+    ledger = _batch(spark, *({"id": k, "subject": f"s{k}"} for k in range(1, 40))).withColumn("superseded_by", F.lit(None).cast("long"))
+    batch = _batch(spark, *({"id": 1000 + k, "supersedes": k if k < 50 else None} for k in range(1, 400)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = writes._standing(batch, ledger).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 399 and {r["id"] - 1000 for r in rows if r["standing"] == "head"} == set(range(1, 40))
+    none = [r["task"] for r in rows if r["supersedes"] is None]
+    assert len(none) == 350 and max(map(none.count, set(none))) < 350 / 2
+
+
 def test_versions_of_long_chains_take_few_rounds(spark, monkeypatch):
     rows = [(k * 7 % 41, (k - 1) * 7 % 41 if k else None) for k in range(41)] + [(100, 101), (101, 102), (102, 100), (103, 100), (104, 999), (105, 104), (106, 7)]
     missions, rounds = spark.createDataFrame(rows, "id long, supersedes long"), []
