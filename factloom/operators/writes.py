@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.log import Conflict, Log
-from ..sources.tables import looked_up, with_supersession
+from ..sources.tables import joined, looked_up, with_supersession
 from . import admission
 
 #: The fields whose contents are an assertion's identity.
@@ -34,7 +34,7 @@ def _standing(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     there = ledger.select(F.col("id").alias("supersedes"), admission.key_of().alias("_there"), F.col("superseded_by").alias("_by"))
     mine = batch.select(F.col("id").alias("supersedes"), admission.key_of().alias("_mine"))
     asked = batch.where("supersedes IS NOT NULL").select("supersedes").distinct()
-    known = asked.join(there, "supersedes", "left").join(mine.dropDuplicates(["supersedes"]), "supersedes", "left")
+    known = joined(joined(asked, there, "supersedes", "left"), mine.dropDuplicates(["supersedes"]), "supersedes", "left")
     known = known.select("supersedes", F.when(F.col("_there").isNull(), None).when(F.col("_by").isNull(), "head").otherwise("superseded").alias("standing"), F.coalesce("_there", "_mine").alias("target_key"), F.col("_by").alias("ledger_holder"))
     return looked_up(batch, known, "supersedes")
 
@@ -49,22 +49,22 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
     """
     rows = _hashed(admission.reasons(batch, without).withColumnRenamed("reason", "own"))
     known = ledger.select("hash", F.col("id").alias("known")).groupBy("hash").agg(F.min("known").alias("known")) if "hash" in ledger.columns else None
-    rows = rows.join(known, "hash", "left") if known is not None else rows.withColumn("known", F.lit(None).cast("long"))
+    rows = joined(rows, known, "hash", "left") if known is not None else rows.withColumn("known", F.lit(None).cast("long"))
     machine = F.coalesce(F.col("confidence").isin("measured", "derived"), F.lit(False))
     simple = F.col("supersedes").isNull() & (~machine | F.col("own").isNotNull())
     first = rows.where(simple & F.col("own").isNull()).groupBy("hash").agg(F.min("id").alias("_first"))
     asked = rows.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("id")).distinct().withColumn("_asked", F.lit(True))
-    rows = rows.join(first, "hash", "left").join(asked, "id", "left")
+    rows = joined(joined(rows, first, "hash", "left"), asked, "id", "left")
     rows = rows.withColumn("known", F.coalesce("known", F.when(F.col("_first") < F.col("id"), F.col("_first"))))
     serial = ~simple | F.coalesce("_asked", F.lit(False))
-    rows = rows.withColumn("_serial", serial).drop("_first", "_asked")
+    rows = rows.withColumn("_serial", serial).drop("_first", "_asked").checkpoint()
 
     plain = rows.where("NOT _serial").withColumn("existing", F.when(F.col("own").isNull(), F.col("known")))
     plain = plain.withColumnRenamed("own", "reason").withColumn("holder", F.lit(None).cast("long"))
 
     asking = _standing(rows.where("_serial").drop("_serial"), ledger).withColumn("key", admission.key_of()).withColumn("near", F.coalesce(F.col("key") == F.col("target_key"), F.lit(False))).checkpoint()
     held = admission._rows(ledger.where(F.col("superseded_by").isNull() & F.col("confidence").isin("measured", "derived")), 0)
-    held = held.join(asking.select("key").distinct(), "key", "left_semi").select(held.columns).checkpoint()
+    held = joined(held, asking.select("key").distinct(), "key", "left_semi").select(held.columns).checkpoint()
     far = asking.where("supersedes IS NOT NULL AND NOT near")
     # of the round before: accepted rows of other keys, which of the targets they ask for are accepted rows of the batch, and their number and sum of hashes
     accepted, digest = None, None
@@ -74,22 +74,22 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
         events = None
         if accepted is not None:
             mine = accepted.select(F.col("id").alias("supersedes")).distinct().withColumn("_in", F.lit(True))
-            now = looked_up(asking, mine.join(taken, "supersedes", "full"), "supersedes")
+            now = looked_up(asking, joined(mine, taken, "supersedes", "full"), "supersedes")
             in_batch = F.col("standing").isNull() & F.coalesce(F.col("_in"), F.lit(False)) & (F.col("supersedes") < F.col("id"))
             now = now.withColumn("taken_by", F.col("_taken")).withColumn("standing", F.when(~F.col("near") & in_batch, "head").otherwise(F.col("standing")))
-            others = far.join(accepted.select("id"), "id", "left_semi")
+            others = joined(far, accepted.select("id"), "id", "left_semi")
             events = admission._rows(others, 2, key=F.col("target_key"), target=F.col("supersedes"))
         ask = admission._rows(now, 1, own=F.col("own"), hash=F.col("hash"), known=F.col("known"), target=F.col("supersedes"), near=F.col("near"), standing=F.col("standing"), taken_by=F.col("taken_by"))
         both = held.unionByName(ask) if events is None else held.unionByName(ask).unionByName(events)
         found = admission.folded(both).checkpoint()
         if far.isEmpty():
             break
-        new = asking.select("id", "supersedes").join(found.where("reason IS NULL AND existing IS NULL").select("id"), "id", "left_semi").checkpoint()
+        new = joined(asking.select("id", "supersedes"), found.where("reason IS NULL AND existing IS NULL").select("id"), "id", "left_semi").checkpoint()
         now_digest = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first()
         if now_digest == digest:
             break
         accepted, digest = new, now_digest
-    hard = asking.drop("key", "near", "standing", "target_key").withColumnRenamed("own", "_own").join(found, "id").withColumn("holder", F.coalesce("holder", "ledger_holder")).drop("_own", "ledger_holder")
+    hard = joined(asking.drop("key", "near", "standing", "target_key").withColumnRenamed("own", "_own"), found, "id").withColumn("holder", F.coalesce("holder", "ledger_holder")).drop("_own", "ledger_holder")
     columns = [*batch.columns, "hash", "reason", "existing", "holder"]
     hard = hard.withColumn("holder", F.when(F.col("reason") == "supersedes_target_already_superseded", F.col("holder")))
     return plain.select(*columns).unionByName(hard.select(*columns))
@@ -98,9 +98,9 @@ def decided(batch: DataFrame, ledger: DataFrame, without: str | None = None) ->
 def admitted(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """decided rows; those whose id the ledger has already are refused if their contents are others, as a stored row is never rewritten, and else are the row that is there."""
     there = ledger.select("id", F.col("hash").alias("_hash"))
-    again = _hashed(batch).join(there, "id").withColumn("holder", F.lit(None).cast("long"))
+    again = joined(_hashed(batch), there, "id").withColumn("holder", F.lit(None).cast("long"))
     again = again.withColumn("reason", F.when(F.col("_hash") != F.col("hash"), "assertions_are_immutable")).withColumn("existing", F.when(F.col("_hash") == F.col("hash"), F.col("id")))
-    new = decided(batch.join(there.select("id"), "id", "left_anti").select(*batch.columns), ledger)
+    new = decided(joined(batch, there.select("id"), "id", "left_anti").select(*batch.columns), ledger)
     return new.unionByName(again.select(*new.columns))
 
 
@@ -117,7 +117,7 @@ def chained(rows: DataFrame, ledger: DataFrame) -> DataFrame:
         on = p.select(F.col("id").alias("next"), F.col("chain").alias("_chain"), F.col("place").alias("_place"), F.col("next").alias("_next"), F.col("hops").alias("_hops"))
         q = looked_up(p, on, "next")
         p = q.select("id", F.coalesce("chain", "_chain").alias("chain"), F.coalesce("place", F.col("_place") + F.col("hops")).alias("place"), F.when(F.col("chain").isNull() & F.col("_chain").isNull(), F.col("_next")).alias("next"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")).checkpoint()
-    return rows.join(p.select("id", "chain", "place"), "id")
+    return joined(rows, p.select("id", "chain", "place"), "id")
 
 
 class Store:
@@ -223,11 +223,10 @@ def versions(missions: DataFrame) -> DataFrame:
     before, left = None, open_.count()
     while left and left != before:
         on = done.union(open_).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("version").alias("_more"))
-        # by a shuffle at any size: both sides grow with the missions
-        p = open_.join(on.hint("merge"), "up").select("id", F.col("_up").alias("up"), (F.col("version") + F.col("_more")).alias("version")).checkpoint()
+        p = joined(open_, on, "up").select("id", F.col("_up").alias("up"), (F.col("version") + F.col("_more")).alias("version")).checkpoint()
         done, open_ = done.union(p.where("up IS NULL")), p.where("up IS NOT NULL")
         before, left = left, open_.count()
-    return missions.join(done.select("id", "version").hint("merge"), "id")
+    return joined(missions, done.select("id", "version"), "id")
 
 
 def retractions(doomed: DataFrame, reason: str, columns: Sequence[str] = ("scope", "subject", "predicate")) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.writes import Store
+from .tables import joined, looked_up
 
 ASSERTION = "ref string, supersedes_ref string, scope string, subject string, predicate string, value double, kind string, confidence string, source string, human string, why string, reopen_if string, verification_id long, derived_from array<long>, valid_from timestamp_ntz, valid_to timestamp_ntz, is_verifier boolean"
 SEED = f"assertions array<struct<{', '.join(': '.join(c.split(' ', 1)) for c in ASSERTION.split(', '))}>>"
@@ -40,13 +41,13 @@ def layered(rows: DataFrame) -> DataFrame:
         if 1 << rounds > 2 * n:
             circle = [r["next"] for r in p.where("next IS NOT NULL").select("next").distinct().orderBy("next").limit(20).collect()]
             raise Cycle(f"seed has a supersession cycle at refs {circle}")
-        q = p.join(step, "next", "left")
+        q = looked_up(p, step, "next")
         met = F.col("_hops").isNotNull()
         p = q.select("place", F.when(met, F.col("_up")).alias("next"), (F.col("layer") + F.coalesce("_hops", F.lit(0))).alias("layer"), F.when(F.col("next").isNotNull() & ~met, F.col("next")).otherwise(F.col("orphan")).alias("orphan")).checkpoint()
         on = step.select(F.col("next").alias("_up"), F.col("_up").alias("_up2"), F.col("_hops").alias("_hops2"))
-        step = step.join(on, "_up", "left").select("next", F.when(F.col("_hops2").isNull(), F.col("_up")).otherwise(F.col("_up2")).alias("_up"), (F.col("_hops") + F.coalesce("_hops2", F.lit(0))).alias("_hops")).checkpoint()
+        step = looked_up(step, on, "_up").select("next", F.when(F.col("_hops2").isNull(), F.col("_up")).otherwise(F.col("_up2")).alias("_up"), (F.col("_hops") + F.coalesce("_hops2", F.lit(0))).alias("_hops")).checkpoint()
         rounds += 1
-    return rows.join(p.select("place", "layer", "orphan"), "place")
+    return joined(rows, p.select("place", "layer", "orphan"), "place")
 
 
 @dataclass
@@ -81,12 +82,12 @@ def load(store: Store, rows: DataFrame, name: str, first_id: int) -> Report:
         else:
             last = Window.partitionBy("ref").orderBy(F.desc("place"))
             known = done.where("reason IS NULL AND ref IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").select(F.col("ref").alias("supersedes_ref"), F.col("loaded_id").alias("supersedes"))
-            mine = mine.join(known, "supersedes_ref", "left")
+            mine = joined(mine, known, "supersedes_ref", "left").checkpoint()
         missing = F.col("supersedes_ref").isNotNull() & F.col("supersedes").isNull()
         lost = mine.where(missing).withColumn("reason", F.concat(F.lit('supersedes_ref "'), "supersedes_ref", F.lit('" was not loaded'))).withColumn("loaded_id", F.lit(None).cast("long"))
         batch = mine.where(~missing)
         said = store.append(batch.drop("layer", "orphan", "ref", "supersedes_ref", "place"), f"{name}-{layer}")
-        told = batch.join(said.select("id", "reason", F.coalesce("existing", "id").alias("loaded_id")), "id")
+        told = joined(batch, said.select("id", "reason", F.coalesce("existing", "id").alias("loaded_id")), "id")
         keep = ["place", "ref", "subject", "predicate", "kind", "confidence", "loaded_id", "reason"]
         both = told.select(*keep).unionByName(lost.select(*keep))
         done = (both if done is None else done.unionByName(both)).checkpoint()

@@ -52,6 +52,24 @@ def test_seed_goes_in_the_order_of_its_supersessions(spark, tmp_path):
     assert {r["place"]: r["id"] for r in again.rows.collect()}[2] == 102 and store.assertions().count() == 3
 
 
+def _executions(seen):
+    found = seen.executionsList()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_seed_load_broadcasts_no_rows(spark, tmp_path):
+    """Both sides of a load's joins grow with the seed."""
+    rows = [{"ref": f"r{k}", "supersedes_ref": f"r{k - 1}" if k % 3 else None, "subject": f"s{k // 3}", "source": " " if k == 4 else "x"} for k in range(12)]
+    store = writes.Store(spark, str(tmp_path / "store"), answers._SEED_SCHEMA)
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _executions(seen)}
+    got = {r["place"]: r["reason"] for r in seeds.load(store, seeds.read(spark, _seed_file(tmp_path, rows)), "seed", 1).rows.collect()}
+    assert {k: v for k, v in got.items() if v} == {4: "evidence_required", 5: 'supersedes_ref "r4" was not loaded'} and len(got) == 12
+    plans = [e.physicalPlanDescription() for e in _executions(seen) if e.executionId() not in before]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_seed_with_a_cycle_is_refused(spark, tmp_path):
     rows = [{"ref": r, "supersedes_ref": u, "subject": "s"} for r, u in (("a", "c"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None))]
     with pytest.raises(seeds.Cycle, match="a"):
