@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +94,11 @@ def counted(docs: DataFrame, columns: list[Column]) -> list[Column]:
     """columns, those of docs in order, with n_chars as the length of the text."""
     length = F.char_length("text")
     return [length.cast(f.dataType).alias(f.name) if f.name == "n_chars" else c for f, c in zip(docs.schema.fields, columns, strict=True)]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and arrays of many sizes leave them holding what they no longer use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -22,7 +22,6 @@ an empty one. Columns of the input named n_bytes, n_removed, n_spans or kept are
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import sys
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import packed, parallelism, staged, table, unpacked
+from .common import give_back, packed, parallelism, staged, table, unpacked
 from .substrings import _heaviest, _sliding_min, ranked
 from .words import _BASE, _BYTES, _INVERSE, _power, mixed
 
@@ -54,14 +53,6 @@ COUNTED = 1 << 16
 FEW_SPANS = 1_000_000
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system: workers live on, and arrays of many sizes leave them holding what they no longer use."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The texts of a string column in slices of about limit bytes: the first's number, the bytes, and where each text begins in them."""
     column = pc.fill_null(column, "") if column.null_count else column
@@ -152,7 +143,7 @@ def _parse(share: int, least: float):
         yield rows(1, grams[met], zero, zero, zero, zero, zero, n[met] + lost)
         yield rows(2, [0], [0], [0], [0], [0], [0], [total])
         del grams, n, held, met, zero
-        _give_back()
+        give_back()
 
     return run
 
@@ -276,10 +267,10 @@ def _pack(buckets: int, parts: int, hot: np.ndarray):
                             done.append((i, k, f, f + LENGTH))
                 if size > GATHER or len(done) > 200_000:
                     yield out()
-                    _give_back()
+                    give_back()
         if pieces or crowd or done:
             yield out()
-        _give_back()
+        give_back()
 
     return run
 
@@ -364,7 +355,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != held:
                 if rows:
                     yield ended(rows)
-                    _give_back()
+                    give_back()
                 held, rows = bucket, []
             if done:
                 yield spans(*np.frombuffer(done, dtype=np.int64).reshape(-1, 4).T)
@@ -373,7 +364,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows:
         yield ended(rows)
         rows = []
-    _give_back()
+    give_back()
 
 
 def merged(spans: DataFrame, overlap: int | None = None) -> DataFrame:
@@ -446,7 +437,7 @@ def without_repeats(docs: DataFrame, few: int = FEW_SPANS) -> DataFrame:
                     spans.append(n_spans)
                     kept.append(left)
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
-        _give_back()
+        give_back()
 
     schema = StructType([*(rows.schema[c] for c in names), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
     out = _with_spans(rows, cuts, "cuts", few).select(*names, "cuts").mapInArrow(run, schema)

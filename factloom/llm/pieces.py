@@ -10,7 +10,8 @@ remaining cost for a backward A* search, which therefore yields paths in order o
 
 No piece holds certain pairs of characters, so none crosses the place between them, and the lattice falls into
 segments there. Distinct segments are worked on once a Python worker, in arrays: best path, and the gap to the second
-best. The n best paths of a text can differ from the best one only in the n - 1 segments of least gap, so the A* search
+best. Short ones are known by 64-bit hashes (two that are remembered at a time share one with negligible probability),
+so that texts are cut and looked up in arrays, too. The n best paths of a text can differ from the best one only in the n - 1 segments of least gap, so the A* search
 is over the chain of these segments' lattices; what loses more than the greatest of these gaps is not among the n best
 and is not put in the queue. Ties go to the path whose last pieces are longer.
 
@@ -23,24 +24,26 @@ from __future__ import annotations
 import heapq
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, table, unpacked
+from .common import give_back, packed, table, unpacked
 
 MARK = "▁"
-#: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays; segments, and their characters, that a task remembers.
-ALTERNATIVES, SHORT, REMEMBER, REMEMBER_CHARS = 3, 24, 200_000, 1 << 24
-#: Forward scores of segments that a task remembers, and the longest segment it remembers them of.
-LATTICES, LONG = 20_000, 1000
-#: Distinct segments counted before they are segmented, in a task that fits scores.
-FIT = 50_000
+#: Alternatives returned beside the best path; characters up to which a segment is worked on in arrays, and is known by its hash; segments, and their characters, that a worker remembers.
+ALTERNATIVES, SHORT, HASHED, REMEMBER, REMEMBER_CHARS = 3, 24, 64, 200_000, 1 << 22
+#: Characters of the lattices that a worker remembers, a few hundred bytes each, and the longest segment it remembers them of.
+LATTICES, LONG = 1 << 17, 1000
+#: Segments that the library is given at once by a task that fits scores.
+FIT = 20_000
+#: Characters of texts that are cut into segments at once.
+CHUNK = 1 << 20
 #: What an unknown character costs beyond the least score of a piece, as in the library.
 PENALTY = 10.0
 #: Scores at or below this mark pieces that segmentation does not use, single characters without another piece excepted.
@@ -90,14 +93,6 @@ class Model:
         scores = np.log(n / n.sum()).astype(np.float32).astype(float).tolist()
         return Model([(i, p, s) for (i, p), s in zip(ids, scores, strict=True)], self.names, self.bytes)
 
-    def segments(self, text: str) -> list[str]:
-        if not text:
-            return []
-        s = MARK + text.replace(" ", MARK)
-        chars = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        cut = (np.flatnonzero(~self.joined[self._pair(chars[:-1], chars[1:])]) + 1).tolist()
-        return [s[a:b] for a, b in zip([0, *cut], [*cut, len(s)], strict=True)]
-
     def ids(self, piece: str) -> list[int]:
         known = self.pieces.get(piece)
         return [known[0]] if known else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -142,16 +137,13 @@ class Model:
     def cut_ids(self, s: str, cut: list[int]) -> list[int]:
         return [k for a, b in zip(cut[:-1], cut[1:], strict=True) for k in self.ids(s[a:b])]
 
-    def nbest(self, segments: list[str], n: int, known: dict[str, array] | None = None, loss: float = np.inf) -> list[tuple[float, list[list[int]]]]:
+    def nbest(self, segments: list[str], n: int, known: _Lattices | None = None, loss: float = np.inf) -> list[tuple[float, list[list[int]]]]:
         """The n best paths through the segments' lattices in a row: score, and the places of each segment's cuts.
 
-        known remembers forward scores. loss: a difference of scores from the best path that none of the n exceeds.
+        known remembers lattices. loss: a difference of scores from the best path that none of the n exceeds.
         """
-        known, scores = {} if known is None else known, []
-        for s in segments:
-            scores.append(known.get(s) or self.forward(s))
-            if len(s) <= LONG:
-                known[s] = scores[-1]
+        known = _Lattices(self) if known is None else known
+        scores, edges = zip(*map(known.of, segments), strict=True)
         before = np.concatenate(([0.0], np.cumsum([b[-1] for b in scores]))).tolist()
         last, least = len(segments) - 1, before[-1] - loss - 1e-6
         # priority: score of the best whole path; of equal ones the latest put in, which has the longest last piece
@@ -169,7 +161,7 @@ class Model:
                     continue
                 k, j = k - 1, len(segments[k - 1])
             best = scores[k]
-            for i, x in reversed(self.edges(segments[k], j)):
+            for i, x in edges[k][j - 1] if edges[k] else reversed(self.edges(segments[k], j)):
                 whole = before[k] + best[i] + x + g
                 if whole >= least:
                     turn -= 1
@@ -177,11 +169,107 @@ class Model:
         return out
 
 
+class _Lattices:
+    """Forward scores of the segments met so far, and for each place the edges that end there, shortest first."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.chars = model, {}, 0
+
+    def of(self, s: str) -> tuple[array, list[list[tuple[int, float]]] | None]:
+        """A segment too long to be remembered has no list of edges."""
+        if len(s) > LONG:
+            return self.model.forward(s), None
+        if s not in self.known:
+            if self.chars + len(s) > LATTICES:
+                self.known, self.chars = {}, 0
+            self.known[s] = self.model.forward(s), [self.model.edges(s, j)[::-1] for j in range(1, len(s) + 1)]
+            self.chars += len(s)
+        return self.known[s]
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _stepped(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The hashes of strings of hashes h, each with one more character."""
+    h = (h + chars + np.uint64(1)) * np.uint64(_BASE)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+class _Cut:
+    """The segments of texts in a row: bounds, the places where they begin and end; lengths; hashes, of short ones; and of_text, those that each text begins and ends with."""
+
+    def __init__(self, model: Model, texts: list[str]):
+        self.all = "".join([MARK + t for t in texts if t]).replace(" ", MARK)
+        chars = np.frombuffer(self.all.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        text_bounds = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        cut = np.ones(len(chars) + 1, dtype=bool)
+        cut[1:-1] = ~model.joined[model._pair(chars[:-1], chars[1:])]
+        cut[text_bounds] = True
+        self.bounds = np.flatnonzero(cut)
+        self.of_text = np.searchsorted(self.bounds, text_bounds)
+        self.lengths = np.diff(self.bounds)
+        self.hashes = np.zeros(len(self.lengths), dtype=np.uint64)
+        live, chars = np.flatnonzero(self.lengths <= HASHED), chars.astype(np.uint64)
+        for k in range(HASHED):
+            self.hashes[live] = _stepped(self.hashes[live], chars[self.bounds[live] + k])
+            live = live[self.lengths[live] > k + 1]
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def __getitem__(self, k: int) -> str:
+        return self.all[self.bounds[k] : self.bounds[k + 1]]
+
+
+class _Index:
+    """Numbers for distinct segments, from 0 on."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        # by a hash's first bits: the number of one segment that has them; others are in rest, by hash, or by text if they are long
+        self.slots = np.full(1 << 20, -1, dtype=np.int32)
+        self.rest: dict[int | str, int] = {}
+
+    def numbers(self, cut: _Cut) -> tuple[np.ndarray, list[str]]:
+        """The number of each segment of cut, and the new segments in the order of their numbers."""
+        if not len(cut):
+            return np.zeros(0, dtype=np.int64), []
+        slot = (cut.hashes >> np.uint64(44)).astype(np.int64)
+        out, short = self.slots[slot].astype(np.int64), cut.lengths <= HASHED
+        known = short & (out >= 0)
+        known[known] = self.hashes[out[known]] == cut.hashes[known]
+        new, first = [], len(self.hashes)
+        open_ = np.flatnonzero(short & ~known)
+        hashes, at, inverse = np.unique(cut.hashes[open_], return_index=True, return_inverse=True)
+        numbers = np.array([self.rest.get(h, -1) for h in hashes.tolist()], dtype=np.int64)
+        fresh = np.flatnonzero(numbers < 0)
+        numbers[fresh] = first + np.arange(len(fresh))
+        new += [cut[k] for k in open_[at[fresh]].tolist()]
+        out[open_] = numbers[inverse]
+        slot = (hashes[fresh] >> np.uint64(44)).astype(np.int64)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = numbers[fresh[free]]
+        lost = self.slots[slot] != numbers[fresh]
+        self.rest.update(zip(hashes[fresh[lost]].tolist(), numbers[fresh[lost]].tolist(), strict=True))
+        for k in np.flatnonzero(~short).tolist():
+            s = cut[k]
+            if s not in self.rest:
+                self.rest[s] = first + len(new)
+                new.append(s)
+            out[k] = self.rest[s]
+        own = np.zeros(len(new), dtype=np.uint64)  # no slot leads to a long segment
+        own[: len(fresh)] = hashes[fresh]
+        self.hashes = np.concatenate((self.hashes, own))
+        return out, new
+
+
 class _Memory:
     """Best ids, score and gap of the segments met so far."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.lattices = model, _Lattices(model)
         hashes, starts = {}, set()
         for p, known in model.pieces.items():
             *shorter, whole = self._hashes(p)
@@ -198,7 +286,6 @@ class _Memory:
         self.known = np.array(sorted(ord(p) for p in model.pieces if len(p) == 1), dtype=np.uint32)
         self.clear()
 
-    BASE = 0x9E3779B97F4A7C15
     #: The memory of this Python worker, which serves one task after another.
     last: _Memory | None = None
 
@@ -214,30 +301,43 @@ class _Memory:
         """The hashes of piece's first character, first two characters and so on."""
         h, out = 0, []
         for c in piece:
-            h = ((h + ord(c) + 1) * cls.BASE) & 0xFFFFFFFFFFFFFFFF
+            h = ((h + ord(c) + 1) * _BASE) & 0xFFFFFFFFFFFFFFFF
             h ^= h >> 29
             out.append(h)
         return out
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.lattices: dict[str, array] = {}
-        self.flat, self.scores, self.gaps, self.sizes, self.chars = [], [], [], [], 0
-
-    def _short(self, segments: list[str]) -> None:
-        """Segments of one length whose characters all have pieces."""
-        n, length = len(segments), len(segments[0])
-        # a row of these arrays is a place, a column a segment
-        chars = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).T.astype(np.uint64, order="C") + np.uint64(1)
+        self.index, self.chars = _Index(), 0
+        self.flat = np.zeros(0, dtype=np.int32)
+        self.begin, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.scores, self.gaps = np.zeros(0), np.zeros(0)
+
+    def numbers(self, cut: _Cut) -> np.ndarray:
+        """The number of each segment of cut, new ones being worked on first."""
+        if len(self.begin) > REMEMBER or self.chars > REMEMBER_CHARS:
+            self.clear()
+        out, new = self.index.numbers(cut)
+        if new:
+            self._learn(new)
+        return out
+
+    def _short(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """Of short segments, longest first, whose characters all have pieces: ids, one after another; how many; score; and gap."""
+        n, sizes = len(segments), np.array([len(s) for s in segments])
+        length = int(sizes[0])
+        # a row of these arrays is a place, a column a segment; what lies beyond a segment's end does not reach back
+        chars = np.zeros((n, length), dtype=np.uint64)
+        chars[np.arange(length)[None, :] < sizes[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)
+        chars = chars.T.copy()
         best = np.full((length + 1, n), -np.inf)
         second, back, piece = best.copy(), np.zeros((length + 1, n), dtype=np.int16), np.zeros((length + 1, n), dtype=np.int32)
         best[0] = 0
         # all edges out of a place are known once those into it are
         for i in range(length):
-            h, live = np.zeros(n, dtype=np.uint64), None
+            m = int(np.searchsorted(-sizes, -i))  # longer than i
+            h, live = np.zeros(m, dtype=np.uint64), None
             for j in range(i + 1, min(length, i + self.model.longest) + 1):
-                h = (h + (chars[j - 1] if live is None else chars[j - 1][live])) * np.uint64(self.BASE)
-                h ^= h >> np.uint64(29)
+                h = _stepped(h, chars[j - 1][:m] if live is None else chars[j - 1][live])
                 slot = h >> np.uint64(44)
                 rows = np.flatnonzero(self.maybe[slot])
                 at = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
@@ -252,13 +352,13 @@ class _Memory:
                     up, a = rows[better], at[better]
                     best[j][up], back[j][up], piece[j][up] = c1[better], i, self.key_ids[a]
                 # segments where a longer piece may start
-                more = np.flatnonzero(self.longer[slot])
+                more = np.flatnonzero(self.longer[slot] & (sizes[:m] > j if live is None else sizes[live] > j))
                 if not len(more):
                     break
-                if len(more) < n:
+                if len(more) < m:
                     h, live = h[more], more if live is None else live[more]
         ids = np.zeros((n, length), dtype=np.int32)
-        count, place, every = np.zeros(n, dtype=np.int64), np.full(n, length), np.arange(n)
+        count, place, every = np.zeros(n, dtype=np.int64), sizes.copy(), np.arange(n)
         live = every
         while len(live):
             ids[live, count[live]] = piece[place[live], live]
@@ -267,40 +367,35 @@ class _Memory:
             live = live[place[live] > 0]
         inside = np.arange(length)[None, :] < count[:, None]
         turned = np.maximum(count[:, None] - 1 - np.arange(length)[None, :], 0)
-        self._add(segments, np.take_along_axis(ids, turned, axis=1)[inside], count, best[-1], best[-1] - second[-1])
-
-    def _add(self, segments, flat, sizes, scores, gaps) -> None:
-        first = len(self.at)
-        self.chars += sum(map(len, segments))
-        self.at.update(zip(segments, range(first, first + len(segments)), strict=True))
-        self.flat.append(flat)
-        self.sizes.append(sizes)
-        self.scores.append(scores)
-        self.gaps.append(gaps)
-
-    def learn(self, segments: set[str]) -> None:
-        by: dict[int, list[str]] = {}
-        for s in segments:
-            by.setdefault(len(s), []).append(s)
-        for length, group in by.items():
-            rest = group
-            if length <= SHORT:
-                for at in range(0, len(group), 20_000):
-                    part = group[at : at + 20_000]
-                    chars = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), length)
-                    fine = np.isin(chars, self.known).all(axis=1)
-                    if fine.any():
-                        self._short([s for s, ok in zip(part, fine, strict=True) if ok])
-                rest = [s for s in group if s not in self.at]
-            for s in rest:
-                ids, score, gap = self.model.best(s)
-                self._add([s], np.array(ids, dtype=np.int32), np.array([len(ids)]), np.array([score]), np.array([gap]))
-
-    def arrays(self):
-        if len(self.flat) != 1:
-            self.flat, self.sizes, self.scores, self.gaps = ([np.concatenate(x)] if x else x for x in (self.flat, self.sizes, self.scores, self.gaps))
-        ends = np.cumsum(self.sizes[0])
-        return self.flat[0], ends - self.sizes[0], self.sizes[0], self.scores[0], self.gaps[0]
+        score = best[sizes, every]
+        return np.take_along_axis(ids, turned, axis=1)[inside], count, score, score - second[sizes, every]
+
+    def _learn(self, new: list[str]) -> None:
+        first, n = len(self.begin), len(new)
+        self.chars += sum(map(len, new))
+        self.begin, self.sizes = (np.concatenate((x, np.zeros(n, dtype=np.int64))) for x in (self.begin, self.sizes))
+        self.scores, self.gaps = (np.concatenate((x, np.zeros(n))) for x in (self.scores, self.gaps))
+        flat, end = [self.flat], len(self.flat)
+        lengths = np.array([len(s) for s in new])
+        at = np.flatnonzero(lengths <= SHORT)
+        at = at[np.argsort(-lengths[at], kind="stable")]
+        chars = np.frombuffer("".join([new[k] for k in at.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        odd = np.concatenate(([0], np.cumsum(~np.isin(chars, self.known))))
+        ends = np.cumsum(lengths[at])
+        fine = at[odd[ends] == odd[ends - lengths[at]]]
+        for k in range(0, len(fine), 20_000):
+            part = fine[k : k + 20_000]
+            ids, sizes, scores, gaps = self._short([new[k] for k in part.tolist()])
+            flat.append(ids)
+            self.begin[first + part] = end + np.cumsum(sizes) - sizes
+            self.sizes[first + part], self.scores[first + part], self.gaps[first + part] = sizes, scores, gaps
+            end += len(ids)
+        for k in np.setdiff1d(np.arange(n), fine).tolist():
+            ids, self.scores[first + k], self.gaps[first + k] = self.model.best(new[k])
+            flat.append(np.array(ids, dtype=np.int32))
+            self.begin[first + k], self.sizes[first + k] = end, len(ids)
+            end += len(ids)
+        self.flat = np.concatenate(flat)
 
 
 _CHANGE = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -337,48 +432,27 @@ def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Ba
         for batch in batches:
             done = 0
             while done < batch.num_rows:
-                # some texts at a time
-                texts, size, first = [], 0, done
-                column = batch[text]
-                while done < batch.num_rows and (size < 1 << 20 or not texts):
-                    texts.append(column[done].as_py() or "")
-                    size += len(texts[-1])
-                    done += 1
-                cut = [model.segments(t) for t in texts]
-                if len(memory.at) > REMEMBER or memory.chars > REMEMBER_CHARS:
-                    memory.clear()
-                if len(memory.lattices) > LATTICES:
-                    memory.lattices.clear()
-                new = set().union(*cut).difference(memory.at)
-                if new:
-                    memory.learn(new)
-                all_ids, offsets, scores, others = [], [0], [], []
-                if memory.at:
-                    flat, begin, sizes, seg_scores, gaps = memory.arrays()
-                for segments in cut:
-                    if not segments:
-                        offsets.append(offsets[-1])
-                        scores.append(0.0)
-                        others.append([])
-                        continue
-                    at = np.fromiter(map(memory.at.__getitem__, segments), dtype=np.int64, count=len(segments))
-                    n = sizes[at]
-                    ends = np.cumsum(n)
-                    ids = flat[np.repeat(begin[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-                    all_ids.append(ids)
-                    offsets.append(offsets[-1] + len(ids))
-                    score = float(seg_scores[at].sum())
-                    scores.append(score)
-                    others.append(self_alternatives(segments, gaps[at], ends, n, score, memory.lattices))
+                texts, first = _some(batch[text], done), done
+                done += len(texts)
+                cut = _Cut(model, texts)
+                at = memory.numbers(cut)
+                n, gaps = memory.sizes[at], memory.gaps[at]
+                ends = np.cumsum(n)
+                values = memory.flat[np.repeat(memory.begin[at] - (ends - n), n) + np.arange(int(n.sum()))]
+                offsets = np.concatenate(([0], ends))[cut.of_text]
+                scores, others = [], []
+                for a, b, start in zip(cut.of_text[:-1].tolist(), cut.of_text[1:].tolist(), offsets[:-1].tolist(), strict=True):
+                    scores.append(float(memory.scores[at[a:b]].sum()))
+                    others.append(self_alternatives(cut, a, gaps[a:b], ends[a:b] - start, n[a:b], scores[-1], memory.lattices) if b > a else [])
                 part = batch.slice(first, len(texts))
-                values = pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, dtype=np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists, pa.array(scores), pa.array(others, pa.list_(_ALTERNATIVE))], [*names, "ids", "score", "alternatives"])
+        give_back()  # the worker lives on beside tasks of other stages
 
-    def self_alternatives(segments, gaps, ends, sizes, score, lattices):
+    def self_alternatives(cut, first, gaps, ends, sizes, score, lattices):
         if not alternatives:
             return []
-        k = min(alternatives, len(segments))
+        k = min(alternatives, len(gaps))
         near = np.lexsort((np.arange(len(gaps)), gaps))[:k] if len(gaps) <= 64 else None
         if near is None:
             edge = np.partition(gaps, k - 1)[k - 1]
@@ -387,14 +461,14 @@ def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Ba
         near = np.sort(near[np.isfinite(gaps[near])])
         if not len(near):
             return []
-        chain = [segments[i] for i in near.tolist()]
+        in_row = [cut[first + i] for i in near.tolist()]
         # one path a segment differs there alone and loses its gap
         loss = float(gaps[near].max()) if len(near) == alternatives else np.inf
-        paths = model.nbest(chain, alternatives + 1, lattices, loss)
+        paths = model.nbest(in_row, alternatives + 1, lattices, loss)
         out = []
         for g, cuts in paths[1:]:
             changes = []
-            for i, s, c, top in zip(near.tolist(), chain, cuts, paths[0][1], strict=True):
+            for i, s, c, top in zip(near.tolist(), in_row, cuts, paths[0][1], strict=True):
                 if c != top:
                     changes.append({"at": int(ends[i] - sizes[i]), "drop": int(sizes[i]), "ids": model.cut_ids(s, c)})
             out.append({"score": score + (g - paths[0][0]), "changes": changes})
@@ -403,6 +477,15 @@ def _encoder(names: list[str], model: Model, text: str, alternatives: int) -> Ba
     return run
 
 
+def _some(column: pa.Array, first: int) -> list[str]:
+    """Texts of a column from one on, about CHUNK characters of them."""
+    texts, size = [], 0
+    while first + len(texts) < len(column) and (size < CHUNK or not texts):
+        texts.append(column[first + len(texts)].as_py() or "")
+        size += len(texts[-1])
+    return texts
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -440,11 +523,14 @@ def default_model() -> Model:
 
 def bpe_counts(segments: Mapping[str, int], bpe) -> np.ndarray:
     """How often each id is in the BPE segmentations of segments, each of which counts so many times; bpe adds no prefix. No merge crosses segments."""
-    texts = list(segments)
-    times = np.fromiter(segments.values(), dtype=np.int64, count=len(texts))
-    ids = bpe.encode(texts, num_threads=1)
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
-    return np.bincount(flat, np.repeat(times, [len(x) for x in ids]), bpe.vocab_size()).astype(np.int64)
+    texts, out = list(segments), np.zeros(bpe.vocab_size(), dtype=np.int64)
+    for at in range(0, len(texts), FIT):
+        part = texts[at : at + FIT]
+        times = np.fromiter(map(segments.__getitem__, part), dtype=np.int64, count=len(part))
+        ids = bpe.encode(part, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+        out += np.bincount(flat, np.repeat(times, [len(x) for x in ids]), len(out)).astype(np.int64)
+    return out
 
 
 def fitted(docs: DataFrame, text: str = "text") -> Model:
@@ -461,20 +547,26 @@ def fitted(docs: DataFrame, text: str = "text") -> Model:
         from sentencepiece import SentencePieceProcessor
 
         bpe = SentencePieceProcessor(model_proto=proto)
-        total, held, chars = np.zeros(bpe.vocab_size(), dtype=np.int64), Counter(), 0
+        total = np.zeros(bpe.vocab_size(), dtype=np.int64)
+        index, held, counts, chars = _Index(), [], np.zeros(0, dtype=np.int64), 0
         for batch in batches:
-            for t in batch[0]:
-                t = t.as_py() or ""
-                held.update(model.segments(t))
-                chars += len(t)
-                if len(held) > FIT or chars > REMEMBER_CHARS:
-                    total += bpe_counts(held, bpe)
-                    held.clear()
-                    chars = 0
+            done = 0
+            while done < batch.num_rows:
+                texts = _some(batch[0], done)
+                done += len(texts)
+                numbers, new = index.numbers(_Cut(model, texts))
+                held += new
+                counts = np.bincount(numbers, minlength=len(held)) + np.pad(counts, (0, len(held) - len(counts)))
+                chars += sum(map(len, new))
+                if len(held) > REMEMBER or chars > REMEMBER_CHARS:
+                    total += bpe_counts(dict(zip(held, counts.tolist(), strict=True)), bpe)
+                    index, held, counts, chars = _Index(), [], np.zeros(0, dtype=np.int64), 0
         if held:
-            total += bpe_counts(held, bpe)
+            total += bpe_counts(dict(zip(held, counts.tolist(), strict=True)), bpe)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["id", "n"])
+        del index, held, counts
+        give_back()
 
     counts = docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return model.unigram({r["id"]: r["n"] for r in counts.collect()})

@@ -253,6 +253,58 @@ def test_op6_fit_counts_the_librarys_pieces(spark):
     assert got.pieces == pieces.default_model().unigram({int(i): int(n) for i, n in counts.items()}).pieces
 
 
+def _words(n):
+    """Distinct made-up words."""
+    rng = np.random.default_rng(7)
+    return ["".join(w) for w in np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, (n, 9))].tolist()]
+
+
+def _batches(texts, rows):
+    for at in range(0, len(texts), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(texts[at : at + rows])], ["text"])
+
+
+def test_op6_fit_gives_the_library_each_segment_of_a_task_once(monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            self.run = f
+            raise InterruptedError
+
+    docs, words, given = Docs(), _words(60_000), []
+    texts = [" ".join(words[at : at + 100]) for at in range(0, len(words), 100)] * 3
+    with pytest.raises(InterruptedError):
+        pieces.fitted(docs)
+    count = pieces.bpe_counts
+    monkeypatch.setattr(pieces, "bpe_counts", lambda segments, bpe: (given.append(len(segments)), count(segments, bpe))[1])
+    (got,) = list(docs.run(_batches(texts, 600)))
+    cut = pieces._Cut(pieces.default_model(), texts)
+    assert sum(given) == len({cut[i] for i in range(len(cut))})  # before, three times as many: each 50,000 anew
+    assert all(n % 3 == 0 for n in got["n"].to_pylist()) and sum(got["n"].to_pylist()) > 3 * len(words)
+
+
+def test_op6_segments_have_one_number_each():
+    model, words = pieces.default_model(), _words(30_000)
+    odd = ["", "a", "  ", "x" * 100 + " " + "x" * 100, "na\u00efve \U0001f600", "\u65e5\u672c\u8a9e \u30c6\u30b9\u30c8", "-" * 64 + " " + "-" * 65, " lead\n\n\ttail "]
+    index, numbers = pieces._Index(), {}
+    holds = {p[i : i + 2] for p in model.pieces for i in range(len(p) - 1)}
+    for texts in (odd, [" ".join(words), *odd], [" ".join(words[::-1])], odd[::-1]):
+        cut = pieces._Cut(model, texts)
+        got, new = index.numbers(cut)
+        assert len(cut) == len(got) == cut.of_text[-1]
+        for k, t in enumerate(texts):
+            parts = [cut[i] for i in range(cut.of_text[k], cut.of_text[k + 1])]
+            assert "".join(parts) == (pieces.MARK + t.replace(" ", pieces.MARK) if t else "")
+            assert not any(a[-1] + b[0] in holds for a, b in zip(parts[:-1], parts[1:], strict=True))
+        first = len(numbers)
+        assert len(set(new)) == len(new) and not set(new) & set(numbers)
+        numbers |= {s: first + i for i, s in enumerate(new)}
+        assert [numbers[cut[i]] for i in range(len(cut))] == got.tolist()
+    assert len(index.rest) > 100  # segments whose slot another one has
+
+
 def test_op6_round_trips(spark, odd):
     out = {r["doc_id"]: r for r in pieces.op6_pieces(spark, odd).collect()}
     assert all(r["round_trip"] for i, r in out.items() if i != 7)  # document 7 holds U+2581
