@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, parallelism, row_key, sized, staged, table, unpacked
+from .common import give_back, packed, parallelism, row_key, sized, staged, table, unpacked
 from .components import components
 from .words import gram_hashes, mixed, slices
 
@@ -160,6 +160,8 @@ def frequent_grams(docs: DataFrame, n: int, buckets: int, most: int) -> np.ndarr
                 held, size = [], 0
         if size:
             yield out()
+        del held
+        give_back()
 
     def total(batches):
         ids, counts = [], []
@@ -173,6 +175,8 @@ def frequent_grams(docs: DataFrame, n: int, buckets: int, most: int) -> np.ndarr
                 top = np.argpartition(-sums, most - 1)[:most]
                 ids, sums = ids[top], sums[top]
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(sums)], ["id", "n"])
+        del ids, counts
+        give_back()
 
     sums = docs.mapInArrow(local, "bucket int, ids binary, counts binary").repartition("bucket").mapInArrow(total, "id long, n long")
     top = sums.where("n > 3").orderBy(F.desc("n"), "id").limit(most).toPandas()  # bounded by most
@@ -204,6 +208,7 @@ def _entries(docs: DataFrame, n: int, t: Fraction, order: _Order, buckets: int)
                 [pa.array([k for k, _ in got], pa.int32()), *(pa.array([v[i] for _, v in got], pa.binary()) for i in range(3)), keys, flags, maps],
                 ["bucket", "a", "b", "c", "key", "nulls", "maps"],
             )
+        give_back()
 
     return docs.mapInArrow(run, "bucket int, a binary, b binary, c binary, key binary, nulls binary, maps binary")
 
@@ -275,6 +280,9 @@ def _met(t: Fraction):
         if lists:  # columns whose smallest row is the same meet as one
             gathered = np.unique(np.concatenate(lists), axis=0)
             yield rows(2, gathered[:, 0], gathered[:, 1], gathered[:, 2])
+            del gathered
+        del lists, pairs, seen, row, size
+        give_back()
 
     return run
 
@@ -337,6 +345,7 @@ def linked(docs: DataFrame, pairs: DataFrame, rows: DataFrame, n: int, t: Fracti
                     out, size = [], 0
             if out:
                 yield _batch(out)
+        give_back()
 
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["a", "block", "role", "row", "set"])

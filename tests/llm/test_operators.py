@@ -1,7 +1,9 @@
 """Each query against a brute-force version on odd cases, and against DuckDB on the given tables."""
 
+import gc
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -264,6 +266,22 @@ def _batches(texts, rows):
         yield pa.RecordBatch.from_arrays([pa.array(texts[at : at + rows])], ["text"])
 
 
+def test_op6_a_worker_keeps_little_between_tasks():
+    model, words = pieces.default_model(), _words(60_000)
+    encode = pieces._encoder(["text"], model, "text", 3)
+    pieces._Memory.last = None
+    list(encode(_batches(["the cat"], 1)))
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in encode(_batches([" ".join(words[at : at + 100]) for at in range(0, len(words), 100)], 50)))
+        gc.collect()
+        kept = tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+        pieces._Memory.last = None
+    assert n == 600 and kept < 8, kept  # before, 12 MB: each segment was kept as a text in a dictionary
+
+
 def test_op6_fit_gives_the_library_each_segment_of_a_task_once(monkeypatch):
     class Docs:
         def select(self, *_):
